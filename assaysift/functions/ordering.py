@@ -263,17 +263,23 @@ def quantiles(
     value: str,
     probabilities: Mapping[str, float],
     strategy: str = "auto",
+    count_column: str | None = None,
 ) -> DataFrame:
-    """Return exact linearly interpolated quantiles per group with values, one column per named probability."""
+    """Return exact linearly interpolated quantiles per group with values, one column per named probability.
+
+    ``count_column`` adds the number of non-missing values.
+    """
     strategy = choose(df, strategy)
     clean = df.withColumn("__v", F.nanvl(col(value).cast("double"), F.lit(None).cast("double"))).where("__v IS NOT NULL")
     keys = [col(g) for g in group]
     if strategy == "window":
         # Map-side combined histogram per group; bounded because the whole input is.
         picked = clean.groupBy(*keys).agg(
-            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probabilities.values()])).alias("__q")
+            F.percentile("__v", F.array(*[F.lit(float(p)) for p in probabilities.values()])).alias("__q"),
+            F.count(F.lit(1)).alias("__n"),
         )
-        return picked.select(*keys, *[F.get("__q", i).alias(name) for i, name in enumerate(probabilities)])
+        columns = [F.get("__q", i).alias(name) for i, name in enumerate(probabilities)]
+        return picked.select(*keys, *columns, *([F.col("__n").alias(count_column)] if count_column else []))
     totals = prefix_totals(clean, group, ["__v"], strategy="split", slots=slot_count(df))
     picks = []
     for i, p in enumerate(probabilities.values()):
@@ -287,7 +293,7 @@ def quantiles(
         at = (F.col("__n") - 1) * F.lit(float(p))
         fraction = at - F.floor(at)
         columns.append((F.col(f"__lo{i}") * (1 - fraction) + F.col(f"__hi{i}") * fraction).alias(name))
-    return ends.select(*keys, *columns)
+    return ends.select(*keys, *columns, *([F.col("__n").alias(count_column)] if count_column else []))
 
 
 def exact_quantile(df: DataFrame, value: str, probability: float, strategy: str = "auto") -> float | None:
