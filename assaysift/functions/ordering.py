@@ -9,7 +9,9 @@ hopeless for large ones, so everything here knows two plans and picks by the siz
             cut points; windows then run per (group, slot) and slot totals carry the offsets. No task ever holds
             more than a slot, and a value shared by a third of all rows is one row after the first aggregation.
 
-Both give the same numbers.
+Both give the same numbers. The split plan reads its input and the collapsed values more than once, so it writes them to
+the shared checkpoint folder first: a chain of orderings then costs a sum of passes, not a product, and lost executors
+only re-read files.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
-from assaysift.session import is_small, slot_count
+from assaysift.session import is_small, reliable_checkpoint, slot_count
 
 # A value held by more rows than this is replicated when its ranks go back to the rows.
 COPY_ROWS = 4_000_000
@@ -125,6 +127,7 @@ def prefix_totals(
             *[F.coalesce(F.sum(col(m)).over(running), F.lit(0)).alias(f"{m}_before") for m in names],
             *[F.sum(col(m)).over(whole).alias(f"{m}_total") for m in names],
         )
+    base = reliable_checkpoint(base)
     placed = _place(base, group, order, slots or slot_count(df))
     offsets = _slot_offsets(placed, group, {m: F.sum(col(m)) for m in names})
     joined = null_safe_join(placed, offsets, [*group, "__slot"])
@@ -186,21 +189,31 @@ def average_rank(
         if total_column:
             ranked = ranked.withColumn(total_column, F.count("__v").over(Window.partitionBy(*parts)))
         return ranked.drop("__v")
-    rows = df.withColumn("__v", clean)
-    totals = prefix_totals(rows.where("__v IS NOT NULL"), group, ["__v"], strategy="split", slots=slot_count(df))
-    lookup = totals.select(
-        *[col(g) for g in group],
-        "__v",
-        F.col("n").alias("__n"),
-        (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank_column),
-        *([F.col("n_total").alias("__total")] if total_column else []),
+    slots = slot_count(df)
+    rows = reliable_checkpoint(df.withColumn("__v", clean))
+    return _split_rank(rows, group, "__v", rank_column, total_column, slots).drop("__v")
+
+
+def _split_rank(
+    rows: DataFrame, group: Sequence[str], value: str, rank_column: str, total_column: str | None, slots: int
+) -> DataFrame:
+    """Rank checkpointed rows: collapse values, place them, and hand the ranks back to the rows."""
+    known = rows.where(col(value).isNotNull())
+    totals = prefix_totals(known, group, [value], strategy="split", slots=slots)
+    lookup = reliable_checkpoint(
+        totals.select(
+            *[col(g) for g in group],
+            col(value),
+            F.col("n").alias("__n"),
+            (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank_column),
+            *([F.col("n_total").alias(total_column)] if total_column else []),
+        )
     )
-    missing = rows.where("__v IS NULL").drop("__v")
-    ranked = attach_by_key(rows.where("__v IS NOT NULL"), lookup, [*group, "__v"], "__n").drop("__v", "__n")
-    missing = missing.withColumn(rank_column, F.lit(None).cast("double"))
+    ranked = attach_by_key(known, lookup, [*group, value], "__n").drop("__n")
+    missing = rows.where(col(value).isNull()).withColumn(rank_column, F.lit(None).cast("double"))
     if total_column:
-        ranked = ranked.withColumnRenamed("__total", total_column)
-        counts = totals.groupBy(*[col(g) for g in group]).agg(F.max("n_total").alias(total_column))
+        # One row per group.
+        counts = lookup.groupBy(*[col(g) for g in group]).agg(F.max(total_column).alias(total_column))
         if group:
             missing = null_safe_join(missing, counts, group, "left")
         else:
@@ -210,13 +223,34 @@ def average_rank(
     return ranked.unionByName(missing)
 
 
+def pair_ranks(
+    df: DataFrame, group: Sequence[str], values: Mapping[str, str], strategy: str = "auto"
+) -> DataFrame:
+    """Add average ranks of several complete double columns (no missing values) within the group."""
+    strategy = choose(df, strategy)
+    if strategy == "window":
+        out = df
+        for value, rank in values.items():
+            out = average_rank(out, group, value, rank, strategy=strategy)
+        return out
+    slots = slot_count(df)
+    rows = reliable_checkpoint(df)
+    out = rows
+    for value, rank in values.items():
+        totals = prefix_totals(rows, group, [value], strategy="split", slots=slots)
+        ranked = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
+        lookup = reliable_checkpoint(totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked))
+        out = attach_by_key(out, lookup, [*group, value], "__n").drop("__n")
+    return out
+
+
 def percent_rank_average(
     df: DataFrame, group: Sequence[str], value: str, out: str, strategy: str = "auto"
 ) -> DataFrame:
     """Add average-tie rank divided by the number of non-missing values of the group."""
-    ranked = average_rank(df, group, value, "__rank", "__count", strategy)
-    share = F.try_divide(F.col("__rank"), F.col("__count"))
-    return ranked.withColumn(out, share).drop("__rank", "__count")
+    ranked = average_rank(df, group, value, "__avg_rank", "__avg_count", strategy)
+    share = F.try_divide(F.col("__avg_rank"), F.col("__avg_count"))
+    return ranked.withColumn(out, share).drop("__avg_rank", "__avg_count")
 
 
 def row_positions(
@@ -246,7 +280,7 @@ def row_positions(
         if total_column:
             out = out.withColumn(total_column, F.count(F.lit(1)).over(Window.partitionBy(*parts)))
         return out.drop(*names)
-    placed = _place(keyed, group, names, slot_count(df))
+    placed = _place(reliable_checkpoint(keyed), group, names, slot_count(df))
     offsets = _slot_offsets(placed, group, {"n": F.count(F.lit(1))})
     # Slots hold comparable row counts, so the few offset rows per group meet balanced partitions.
     joined = null_safe_join(placed, offsets, [*group, "__slot"])

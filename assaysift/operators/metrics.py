@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col, finite, number
-from assaysift.functions.ordering import average_rank, choose, row_positions
+from assaysift.functions.ordering import choose, pair_ranks, row_positions
 
 MAXIMISED = ("spearman", "r2")
 
@@ -44,8 +44,7 @@ def with_pair_ranks(
     """Keep rows where both values are finite and add their average ranks within the group."""
     strategy = choose(df, strategy)
     pairs = df.withColumn("__x", finite(x)).withColumn("__y", finite(y)).where("__x IS NOT NULL AND __y IS NOT NULL")
-    ranked = average_rank(pairs, group, "__x", x_rank, strategy=strategy)
-    return average_rank(ranked, group, "__y", y_rank, strategy=strategy)
+    return pair_ranks(pairs, group, {"__x": x_rank, "__y": y_rank}, strategy)
 
 
 def correlations(df: DataFrame, group: Sequence[str], x: str, y: str, strategy: str = "auto") -> DataFrame:

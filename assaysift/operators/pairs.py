@@ -13,6 +13,7 @@ from assaysift.functions.numeric import coerce_number, col
 from assaysift.functions.ordering import row_positions
 from assaysift.operators.keys import require_columns
 from assaysift.operators.metrics import correlations
+from assaysift.session import local_table
 from assaysift.sources import registry
 
 # dataset label -> ((target, strain), ...) in comparison order
@@ -36,7 +37,8 @@ def eligible_rows(df: DataFrame, members: Members) -> DataFrame:
     """
     spark = df.sparkSession
     flat = [(d, t, i, len(ts)) for d, ts in members.items() for i, (t, _) in enumerate(ts)]
-    table = spark.createDataFrame(flat, "dataset_label string, target string, __at int, __size int")
+    kinds = {"dataset_label": "string", "target": "string", "__at": "int", "__size": "int"}
+    table = local_table(spark, flat, kinds)
     rows = df.join(F.broadcast(table), ["dataset_label", "target"])
     # Bounded by the member table: one row per dataset.
     seen = rows.groupBy("dataset_label").agg(F.size(F.collect_set("__at")).alias("__seen"), F.max("__size").alias("__need"))
@@ -226,7 +228,7 @@ def pair_summary(
     scores = correlations(levels, keys, "observed_delta_pkd", "predicted_delta_pkd", strategy).drop("n", "pearson")
     sizes = levels.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.avg("abs_delta_error").alias("mae"))
     flat = [(d, t) for d, ts in members.items() for t, _ in ts]
-    table = oof.sparkSession.createDataFrame(flat, "dataset_label string, target string")
+    table = local_table(oof.sparkSession, flat, {"dataset_label": "string", "target": "string"})
     # Count distinct compounds in two steps, so that no task sees more than its share of ids.
     ids = oof.join(F.broadcast(table), ["dataset_label", "target"]).select("dataset_label", "id").distinct()
     compounds = ids.groupBy("dataset_label").agg(F.count(F.lit(1)).alias("oof_compounds"))

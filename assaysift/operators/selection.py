@@ -45,10 +45,11 @@ def pick_best(df: DataFrame, group: Sequence[str], order: Sequence[Column]) -> D
     return best.select("__row.*")
 
 
-def params_by_fold(tuning: DataFrame) -> DataFrame:
+def params_by_fold(tuning: DataFrame, group: Sequence[str] = ()) -> DataFrame:
     """Return, per candidate, its chosen parameters as ``fold_0={..} | fold_1={..}``."""
     rows = tuning.where(col("outer_fold").isNotNull()).withColumn("outer_fold", col("outer_fold").cast("int"))
-    listed = rows.groupBy(*TUNED_CANDIDATE).agg(
+    # A candidate has one row per outer fold.
+    listed = rows.groupBy(*group, *TUNED_CANDIDATE).agg(
         F.array_sort(F.collect_list(F.struct("outer_fold", "model_params"))).alias("__folds")
     )
     text = F.array_join(
@@ -58,21 +59,22 @@ def params_by_fold(tuning: DataFrame) -> DataFrame:
         ),
         " | ",
     )
-    return listed.select(*TUNED_CANDIDATE, text.alias("selected_model_params_by_outer_fold"))
+    return listed.select(*group, *TUNED_CANDIDATE, text.alias("selected_model_params_by_outer_fold"))
 
 
-def cv_summary(folds: DataFrame, tuning: DataFrame | None = None) -> DataFrame:
+def cv_summary(folds: DataFrame, tuning: DataFrame | None = None, group: Sequence[str] = ()) -> DataFrame:
     """Average fold metrics per candidate, attach parameters by fold and round to four digits."""
-    skipped = {*TUNED_CANDIDATE, "outer_fold", "tuning_score"}
+    keys = [*group, *TUNED_CANDIDATE]
+    skipped = {*keys, "outer_fold", "tuning_score"}
     metrics = [c for c in folds.columns if c not in skipped]
-    means = folds.groupBy(*TUNED_CANDIDATE).agg(*[F.avg(number(m)).alias(m) for m in metrics])
+    means = folds.groupBy(*keys).agg(*[F.avg(number(m)).alias(m) for m in metrics])
     if tuning is not None:
-        means = means.join(params_by_fold(tuning), list(TUNED_CANDIDATE), "left")
+        means = means.join(params_by_fold(tuning, group), keys, "left")
     else:
         means = means.withColumn("selected_model_params_by_outer_fold", F.lit(None).cast("string"))
     ordered = means.select(
         F.lit("mean_across_outer_folds").alias("summary"),
-        *TUNED_CANDIDATE,
+        *keys,
         *[col(m) for m in metrics],
         "selected_model_params_by_outer_fold",
     )

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from assaysift.functions.numeric import col
 from assaysift.functions.setindex import SetIndex
 from assaysift.operators.keys import require_columns
+from assaysift.session import local_table
 
 BROADCAST_SETS = 20_000
 BROADCAST_ELEMENTS = 8_000_000
@@ -172,6 +173,7 @@ def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]
         right = right.sort_values(order).reset_index(drop=True)
         return _nearest(left, right, SetIndex(_sets(right["set"])))
 
+    refs = refs.toDF(*refs.columns)  # both sides may come from the same table
     partial = rows.groupBy("chunk", "block").cogroup(refs.groupBy("chunk", "block")).applyInPandas(meet, schema)
     for c in ("sim_any", "sim_same"):
         partial = partial.withColumn(c, F.nanvl(col(c), F.lit(None)))
@@ -226,7 +228,7 @@ def distance_sums(
     # Clusters are cut into blocks of references and chunks of rows by their sizes (one row per cluster).
     sizes = {r["cluster"]: r["n"] for r in p.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(c, max(1, ceil(n / BLOCK_SETS)), max(1, ceil(n / CHUNK_ROWS))) for c, n in sizes.items()]
-    cuts = spark.createDataFrame(plan, "cluster int, blocks int, chunks int")
+    cuts = local_table(spark, plan, {"cluster": "int", "blocks": "int", "chunks": "int"})
     sized = p.join(F.broadcast(cuts), "cluster")
     digest = F.xxhash64("key")
     rows = sized.withColumn("chunk", F.pmod(digest, F.col("chunks")).cast("int")).withColumn(
@@ -235,6 +237,7 @@ def distance_sums(
     refs = sized.withColumn("block", F.pmod(digest, F.col("blocks")).cast("int")).withColumn(
         "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
     )
+    refs = refs.toDF(*refs.columns)  # both sides come from the same table
     keys = ["cluster", "chunk", "block"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

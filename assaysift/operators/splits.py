@@ -47,9 +47,9 @@ def fold_sizes(n: int, n_splits: int) -> list[int]:
     return [n // n_splits + (1 if i < n % n_splits else 0) for i in range(n_splits)]
 
 
-def _ship(df: DataFrame, table: pd.DataFrame) -> DataFrame:
+def _ship(df: DataFrame, table: pd.DataFrame, schema: str) -> DataFrame:
     """Join a driver-made (row_pos, ...) table, bounded by DRIVER_ROWS, to the rows."""
-    small = df.sparkSession.createDataFrame(table)
+    small = df.sparkSession.createDataFrame(table, schema)
     return df.join(F.broadcast(small), ROW)
 
 
@@ -90,7 +90,7 @@ def random_kfold(
         np.random.RandomState(random_state).shuffle(order)
     folds = np.empty(n, dtype=np.int32)
     folds[order] = np.repeat(np.arange(n_splits, dtype=np.int32), sizes)
-    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: folds}))
+    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: folds}), f"{ROW} long, `{out}` int")
 
 
 def greedy_groups(counts: Sequence[tuple[Any, int]], n_splits: int) -> dict[Any, int]:
@@ -136,7 +136,7 @@ def random_holdout(
         return placed.withColumn(out, F.col("__p") <= n_test).drop("__d", "__p")
     flags = np.zeros(n, dtype=bool)
     flags[np.random.RandomState(random_state).permutation(n)[:n_test]] = True
-    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: flags}))
+    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: flags}), f"{ROW} long, `{out}` boolean")
 
 
 def holdout_by_column(df: DataFrame, holdout_column: str, holdout_values: Sequence, out: str = "is_test") -> DataFrame:
@@ -196,8 +196,8 @@ def bootstrap_weights(df: DataFrame, n_bootstrap: int, random_state: int = 42, o
         return df.withColumn(out, poisson_weights([ROW], n_bootstrap, random_state))
     rng = np.random.default_rng(random_state)
     counts = [np.bincount(rng.choice(n, size=n, replace=True), minlength=n) for _ in range(n_bootstrap)]
-    table = pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: list(np.stack(counts, axis=1).astype(np.int32))})
-    return _ship(df, table)
+    table = pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: np.stack(counts, axis=1).tolist()})
+    return _ship(df, table, f"{ROW} long, `{out}` array<int>")
 
 
 def stratified_sample(

@@ -80,8 +80,10 @@ def bin_number_text(value: Column) -> Column:
     fixed = F.lit(None).cast("string")
     for d in range(0, 9):
         fixed = F.when(digits == d, F.format_string(f"%.{d}f", rounded)).otherwise(fixed)
-    trimmed = F.when(fixed.contains("."), F.regexp_replace(F.regexp_replace(fixed, "0+$", ""), r"\.$", "")).otherwise(fixed)
-    return F.when(near, F.format_string("%d", whole.cast("long"))).otherwise(F.coalesce(trimmed, value.cast("string")))
+    trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
+    scientific = F.regexp_replace(F.format_string("%.2e", value), r"\.?0+e", "e")
+    general = F.when((magnitude < -4) | (magnitude >= 3), scientific).otherwise(trimmed)
+    return F.when(near, F.format_string("%d", whole.cast("long"))).otherwise(general)
 
 
 def _exact_bins(rows: DataFrame, value: str) -> DataFrame:

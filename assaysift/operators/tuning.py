@@ -124,11 +124,11 @@ def score_ridge_trials(
         )
     scored = rows.where(col(fold).isNotNull()).select(
         col(fold).alias("__fold"),
-        col(label).alias("__label"),
+        col(label).alias("__y0"),
         *[col(k) for k in keep],
-        F.posexplode(branches).alias("__trial", "__pred"),
+        F.posexplode(branches).alias("__trial", "__p0"),
     )
-    folds = regression_metrics(scored, ["__trial", "__fold"], "__label", "__pred", tie_break=keep, **metric_options)
+    folds = regression_metrics(scored, ["__trial", "__fold"], "__y0", "__p0", tie_break=keep, **metric_options)
     means = {r["__trial"]: r["m"] for r in folds.groupBy("__trial").agg(F.avg(metric).alias("m")).collect()}
     return [means.get(i) for i in range(len(alphas))]
 
@@ -155,8 +155,8 @@ def score_params(
     for test in tests:
         held = col(fold).eqNullSafe(F.lit(test))
         model = models.fit(rows.where(~held), model_type, features, label, params, standardize)
-        scored = models.predict(model, rows.where(held), "__pred")
-        row = regression_metrics(scored, [], label, "__pred", tie_break=keep, **metric_options).first()
+        scored = models.predict(model, rows.where(held), "__p0")
+        row = regression_metrics(scored, [], label, "__p0", tie_break=keep, **metric_options).first()
         if row is not None and row[metric] is not None:
             scores.append(row[metric])
     return float(np.mean(scores)) if scores else None

@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import tempfile
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Inputs whose leaf relations together hold less than this are safe to sort inside one task per group.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
@@ -39,7 +42,7 @@ def input_bytes(df: DataFrame) -> int | None:
         leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
         total = 0
         for i in range(leaves.size()):
-            total += int(leaves.apply(i).stats().sizeInBytes().toString())
+            total += int(str(leaves.apply(i).stats().sizeInBytes()))
     except Exception:  # a remote (Connect) session exposes no JVM plan
         return None
     return None if total >= _UNKNOWN_BYTES else total
@@ -58,6 +61,16 @@ def slot_count(df: DataFrame) -> int:
     return 1 << max(4, min(15, (wanted - 1).bit_length()))
 
 
+def local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, str]) -> DataFrame:
+    """Return a small table of literals: JVM-side, of known size, without a job."""
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(t).alias(c) for c, t in columns.items()])
+    structs = [
+        F.struct(*[F.lit(v).cast(t).alias(c) for v, (c, t) in zip(row, columns.items(), strict=True)]) for row in rows
+    ]
+    return spark.range(1).select(F.inline(F.array(*structs)))
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` through shared storage, so that lost executors cost nothing."""
     spark = df.sparkSession

@@ -9,6 +9,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
+from assaysift.session import local_table
+
 # Target classes with display name, member targets and compound file. The first target is the reference.
 TARGET_CLASSES = {
     "furin": ("Furin", ("furin",), "compounds_furin_standardized.csv"),
@@ -135,4 +137,4 @@ def all_targets() -> list[Target]:
 def registry_table(spark: SparkSession) -> DataFrame:
     """Return the registry as a small table (target, target_class, strain)."""
     rows = [(t.name, t.target_class, t.strain) for t in all_targets()]
-    return spark.createDataFrame(rows, "target string, target_class string, strain string")
+    return local_table(spark, rows, {"target": "string", "target_class": "string", "strain": "string"})
