@@ -66,11 +66,15 @@ def row_mean(parts: Sequence[Column]) -> Column:
     return F.try_divide(_total([F.coalesce(p, F.lit(0.0)) for p in parts]), _present(parts))
 
 
-def row_sample_std(parts: Sequence[Column]) -> Column:
-    """Sample standard deviation over the non-null columns of a row; NULL below two values."""
-    mean = row_mean(parts)
+def row_sample_std(parts: Sequence[Column], mean: Column | None = None) -> Column:
+    """Sample standard deviation over the non-null columns of a row; NULL below two values.
+
+    Passing a computed ``mean`` column keeps the generated code small.
+    """
+    mean = row_mean(parts) if mean is None else mean
     squares = _total([F.coalesce((p - mean) * (p - mean), F.lit(0.0)) for p in parts])
-    return F.sqrt(F.try_divide(squares, F.nullif(_present(parts) - 1, F.lit(0)) * F.when(_present(parts) > 0, 1)))
+    present = _present(parts)
+    return F.when(present > 1, F.sqrt(F.try_divide(squares, present - 1)))
 
 
 def row_range(parts: Sequence[Column]) -> Column:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,33 +45,38 @@ def method_table(
     return wide.where(complete).drop(*[f"__has_{m}" for m in methods])
 
 
-def rank_summary_columns(
+def add_rank_summary(
+    ranks: DataFrame,
     weights: Mapping[str, float] = registry.METHOD_WEIGHTS,
     branches: Mapping[str, Sequence[str]] = registry.BRANCHES,
-) -> dict[str, Column]:
-    """Return branch means, weighted consensus and disagreement expressions over ``<method>_rank`` columns.
+) -> DataFrame:
+    """Add branch means, weighted consensus and disagreement columns to a table of ``<method>_rank`` columns.
 
-    Means, deviations and ranges skip missing ranks; the consensus is missing when any rank is.
+    Means, deviations and ranges skip missing ranks; the consensus is missing when any rank is. Means are columns of
+    their own before deviations use them, so that expressions stay small.
     """
+    require_columns(ranks, [f"{m}_rank" for m in weights], "method_ranks table")
     rank = {m: number(f"{m}_rank") for m in weights}
-    out = {f"{b}_rank_mean": row_mean([rank[m] for m in members]) for b, members in branches.items()}
-    weighted = None
-    for method, weight in weights.items():
-        term = rank[method] * F.lit(float(weight))
-        weighted = term if weighted is None else weighted + term
-    out["consensus_123_rank"] = weighted / F.lit(float(sum(weights.values())))
-    out["method_rank_sd"] = row_sample_std(list(rank.values()))
-    out["method_rank_range"] = row_range(list(rank.values()))
-    out["branch_rank_sd"] = row_sample_std([out[f"{b}_rank_mean"] for b in branches])
-    out["structure_minus_pose_rank"] = out["structure_rank_mean"] - out["pose_rank_mean"]
-    out["sequence_minus_structure_rank"] = out["sequence_rank_mean"] - out["structure_rank_mean"]
-    return out
-
-
-def add_rank_summary(ranks: DataFrame) -> DataFrame:
-    """Add the nine rank summary columns to a table of method ranks."""
-    require_columns(ranks, [f"{m}_rank" for m in registry.METHODS], "method_ranks table")
-    return ranks.select("*", *[c.alias(n) for n, c in rank_summary_columns().items()])
+    weighted = reduce(lambda a, b: a + b, [rank[m] * F.lit(float(w)) for m, w in weights.items()])
+    means = ranks.select(
+        "*",
+        *[row_mean([rank[m] for m in members]).alias(f"{b}_rank_mean") for b, members in branches.items()],
+        (weighted / F.lit(float(sum(weights.values())))).alias("consensus_123_rank"),
+        row_mean(list(rank.values())).alias("__mean"),
+    )
+    branch = [col(f"{b}_rank_mean") for b in branches]
+    spread = means.select(
+        "*",
+        row_sample_std(list(rank.values()), col("__mean")).alias("method_rank_sd"),
+        row_range(list(rank.values())).alias("method_rank_range"),
+        row_mean(branch).alias("__branch_mean"),
+    )
+    return spread.select(
+        *[col(c) for c in spread.columns if not c.startswith("__")],
+        row_sample_std(branch, col("__branch_mean")).alias("branch_rank_sd"),
+        (col("structure_rank_mean") - col("pose_rank_mean")).alias("structure_minus_pose_rank"),
+        (col("sequence_rank_mean") - col("structure_rank_mean")).alias("sequence_minus_structure_rank"),
+    )
 
 
 def rank_summary(ranks: DataFrame, keys: Sequence[str] = registry.KEYS) -> DataFrame:

@@ -119,7 +119,8 @@ def oof_rows(spark: SparkSession, sf: str) -> DataFrame:
 def final_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in final predictions for every complete key."""
     summary = features.rank_summary(features.method_table(predictions(spark, sf), scores=False))
-    flagged = keys.flag_overlap(summary, labels(spark, sf), ["id", "target"], registry.OVERLAP)
+    strong = labels(spark, sf).where("label_pkd >= 6")
+    flagged = keys.flag_overlap(summary, strong, ["id", "target"], registry.OVERLAP)
     return flagged.select(
         F.lit("na").alias("dataset_label"),
         "id",

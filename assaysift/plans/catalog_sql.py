@@ -80,7 +80,7 @@ oof AS (
 FINAL = f"""{SUMMARY}, {LABELS}, final AS (
   SELECT s.id, s.target, 1.0 + consensus_123_rank * 4.0 AS pred_mean,
          CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS in_experimental_data
-  FROM summary s LEFT JOIN labels_ l ON s.id = l.id AND s.target = l.target)"""
+  FROM summary s LEFT JOIN (SELECT * FROM labels_ WHERE label_pkd >= 6) l ON s.id = l.id AND s.target = l.target)"""
 
 
 def _fraction(column: str) -> str:
