@@ -77,11 +77,16 @@ def moments(
         number(label).alias("y"),
         (col(weights) if weights else F.array(F.lit(1))).cast("array<double>").alias("w"),
     )
-    means = rows.agg(*[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(features))], F.count(F.lit(1)).alias("n")).first()
-    shift = np.array([means[f"m{i}"] or 0.0 for i in range(len(features))])
-    present = " AND ".join(["y IS NOT NULL", *[f"x{i} IS NOT NULL" for i in range(len(features))]])
-    if rows.where(f"NOT ({present})").limit(1).collect():
+    complete = F.col("y").isNotNull()
+    for i in range(len(features)):
+        complete = complete & F.col(f"x{i}").isNotNull()
+    means = rows.agg(
+        *[F.avg(f"x{i}").alias(f"m{i}") for i in range(len(features))],
+        F.count(F.when(~complete, 1)).alias("incomplete"),
+    ).first()
+    if means["incomplete"]:
         raise ValueError("Linear models need complete rows: a feature or label is missing.")
+    shift = np.array([means[f"m{i}"] or 0.0 for i in range(len(features))])
     for i in range(len(features)):
         rows = rows.withColumn(f"x{i}", F.col(f"x{i}") - F.lit(float(shift[i])))
     size = len(features) + 2

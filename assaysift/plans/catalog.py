@@ -33,6 +33,7 @@ from assaysift.operators import (
 )
 from assaysift.operators.linear import moments, solve_ridge
 from assaysift.operators.tuning import score_ridge_trials
+from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
 
 TARGET_OF_FLAG = {"A": "na_ph1n1", "N": "na_h3n2", "R": "na_h5n1"}
@@ -672,7 +673,7 @@ def unassayed_profile(spark, sf, strategy="auto"):
 
 
 def pair_summary(spark, sf):
-    rows = oof_rows(spark, sf)
+    rows = reliable_checkpoint(oof_rows(spark, sf))
     out = pairs.pair_summary(
         rows, pairs.target_pairs(rows, _members()), pairs.oof_triplets(rows, _members()), final_triplets(spark, sf), _members()
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from collections.abc import Sequence
 
@@ -71,11 +72,36 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, s
     return spark.range(1).select(F.inline(F.array(*structs)))
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Return this session's folder below the shared checkpoint directory, a local one only where none is set."""
+    found = getattr(spark, "_assaysift_folder", None)
+    if found is None:
+        context = spark.sparkContext
+        root = context._jsc.sc().getCheckpointDir()
+        shared = root.get() if root.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
+        if shared is None:
+            shared = tempfile.mkdtemp(prefix="assaysift-checkpoint-")
+        found = f"{shared.rstrip('/')}/assaysift-{uuid.uuid4().hex}"
+        spark._assaysift_folder = found
+    return found
+
+
 def reliable_checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` through shared storage, so that lost executors cost nothing."""
+    """Cut the lineage of ``df`` by a table written to shared storage.
+
+    Lost executors only re-read files. Being a Parquet table, it is pruned by column on every re-read, and its size is
+    known to the choice between ordering plans.
+    """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="assaysift-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Delete the tables this session has written; frames defined on them become unreadable."""
+    folder = getattr(spark, "_assaysift_folder", None)
+    if folder is not None:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        spark._assaysift_folder = None
