@@ -330,6 +330,38 @@ def quantiles(
     return ends.select(*keys, *columns, *([F.col("__n").alias(count_column)] if count_column else []))
 
 
+def multi_quantiles(
+    df: DataFrame,
+    group: Sequence[str],
+    wanted: Mapping[str, Mapping[str, float]],
+    strategy: str = "auto",
+    count_column: str | None = None,
+) -> DataFrame:
+    """Return named quantiles of several columns per group, and the number of rows.
+
+    Small inputs need a single aggregation for all of them.
+    """
+    strategy = choose(df, strategy)
+    keys = [col(g) for g in group]
+    rows = df.select(*keys, *[F.nanvl(col(v).cast("double"), F.lit(None).cast("double")).alias(v) for v in wanted])
+    counted = [F.count(F.lit(1)).alias(count_column)] if count_column else []
+    if strategy == "window":
+        arrays = [
+            F.percentile(col(v), F.array(*[F.lit(float(p)) for p in named.values()])).alias(f"__q{i}")
+            for i, (v, named) in enumerate(wanted.items())
+        ]
+        picked = rows.groupBy(*keys).agg(*counted, *arrays)
+        columns = [
+            F.get(f"__q{i}", j).alias(name) for i, named in enumerate(wanted.values()) for j, name in enumerate(named)
+        ]
+        return picked.select(*keys, *([count_column] if count_column else []), *columns)
+    rows = reliable_checkpoint(rows)
+    out = rows.groupBy(*keys).agg(*(counted or [F.count(F.lit(1)).alias("__n")]))
+    for value, named in wanted.items():
+        out = null_safe_join(out, quantiles(rows, group, value, named, "split"), group, "left")
+    return out.select(*keys, *([count_column] if count_column else []), *[n for named in wanted.values() for n in named])
+
+
 def exact_quantile(df: DataFrame, value: str, probability: float, strategy: str = "auto") -> float | None:
     """Return one global quantile to the driver."""
     row = quantiles(df, [], value, {"q": probability}, strategy).first()

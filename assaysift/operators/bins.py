@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col, number
 from assaysift.functions.ordering import choose, null_safe_join, row_positions
+from assaysift.session import reliable_checkpoint
 
 
 def quantile_edges(bins: int) -> list[float]:
@@ -44,26 +45,44 @@ def quantile_bins(
     # The plan is chosen on the whole table: a filter hides its size from nobody.
     strategy = choose(df, strategy)
     rows = df.withColumn("__v", number(value))
-    known = row_positions(
-        rows.where("__v IS NOT NULL"), group, [("__v", True), *[(t, True) for t in tie_break]], "__pos", "__n", strategy
-    )
-    allowed = F.least(F.lit(max_bins).cast("long"), F.col("__n"))
+    names = [c for c in df.columns if c != out]
+    if strategy == "window":
+        # Missing values sort last and do not count, so one window pass over the rows suffices.
+        parts = [col(g) for g in group] or [F.lit(0)]
+        by_value = Window.partitionBy(*parts).orderBy(F.col("__v").asc_nulls_last())
+        by_row = Window.partitionBy(*parts).orderBy(F.col("__v").asc_nulls_last(), *[col(t) for t in tie_break])
+        whole = Window.partitionBy(*parts)
+        placed = rows.withColumn("__pos", F.row_number().over(by_row)).withColumn("__n", F.count("__v").over(whole))
+        if limit_to_distinct:
+            ranked = placed.withColumn("__dense", F.when(F.col("__v").isNotNull(), F.dense_rank().over(by_value)))
+            placed = ranked.withColumn("__distinct", F.max("__dense").over(whole))
+        binned = placed.withColumn(out, F.when(F.col("__v").isNotNull(), _chosen_bin(max_bins, limit_to_distinct)))
+        return binned.select(*[col(c) for c in names], out)
+    rows = reliable_checkpoint(rows)
+    order = [("__v", True), *[(t, True) for t in tie_break]]
+    known = row_positions(rows.where("__v IS NOT NULL"), group, order, "__pos", "__n", strategy)
     if limit_to_distinct:
         values = rows.where("__v IS NOT NULL").select(*[col(g) for g in group], "__v").distinct()
         counts = values.groupBy(*[col(g) for g in group]).agg(F.count(F.lit(1)).alias("__distinct"))
         if group:
             known = null_safe_join(known, counts, group)
         else:
-            known = known.withColumn("__all", F.lit(0)).join(
-                F.broadcast(counts.withColumn("__all", F.lit(0))), "__all"
-            ).drop("__all")
+            one = counts.withColumn("__all", F.lit(0))
+            known = known.withColumn("__all", F.lit(0)).join(F.broadcast(one), "__all").drop("__all")
+    binned = known.withColumn(out, _chosen_bin(max_bins, limit_to_distinct)).select(*[col(c) for c in names], out)
+    missing = rows.where("__v IS NULL").withColumn(out, F.lit(None).cast("int")).select(*binned.columns)
+    return binned.unionByName(missing)
+
+
+def _chosen_bin(max_bins: int, limit_to_distinct: bool) -> Column:
+    """Return the bin of ``__pos`` among ``__n`` rows, with as many bins as the group supports."""
+    allowed = F.least(F.lit(max_bins).cast("long"), F.col("__n"))
+    if limit_to_distinct:
         allowed = F.least(allowed, F.col("__distinct"))
     chosen = F.lit(1)
     for bins in range(2, max_bins + 1):
         chosen = F.when(allowed == bins, bin_of_position(F.col("__pos"), F.col("__n"), bins)).otherwise(chosen)
-    binned = known.withColumn(out, chosen.cast("int")).select(*[col(c) for c in df.columns if c != out], out)
-    missing = rows.where("__v IS NULL").withColumn(out, F.lit(None).cast("int")).select(*binned.columns)
-    return binned.unionByName(missing)
+    return chosen.cast("int")
 
 
 def width_bin(value: Column, lower: Column, upper: Column, bins: int) -> Column:

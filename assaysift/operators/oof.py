@@ -8,12 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.labels import class_label, target_label
-from assaysift.functions.numeric import coerce_number, col, number
-from assaysift.functions.ordering import choose, null_safe_join, quantiles
+from assaysift.functions.numeric import coerce_number, col, finite, number
+from assaysift.functions.ordering import average_rank, choose, multi_quantiles, null_safe_join, quantiles
 from assaysift.operators.bins import quantile_bins
 from assaysift.operators.conformal import covered, interval_columns
 from assaysift.operators.keys import require_columns
-from assaysift.operators.metrics import correlations
+from assaysift.operators.metrics import safe_corr
+from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
 
 # Evidence mark, required and optional numeric columns, column order.
@@ -184,17 +185,27 @@ def prediction_summary(oof: DataFrame, strategy: str = "auto") -> DataFrame:
         "covered",
     )
     keys = ["summary_level", "dataset_label", "target"]
-    sizes = rows.groupBy(*keys).agg(
+    both = finite("label_pkd").isNotNull() & finite("pred_mean").isNotNull()
+    paired = rows.withColumn("__x", F.when(both, col("label_pkd"))).withColumn("__y", F.when(both, col("pred_mean")))
+    if strategy == "split":
+        paired = reliable_checkpoint(paired)
+    ranked = average_rank(paired, keys, "__x", "__rx", strategy=strategy)
+    ranked = average_rank(ranked, keys, "__y", "__ry", strategy=strategy)
+    aggregates = [
         F.count(F.when(col("label_pkd").isNotNull() & col("pred_mean").isNotNull(), 1)).alias("n"),
+        safe_corr(F.col("__rx"), F.col("__ry")).alias("spearman"),
+        safe_corr(F.col("__x"), F.col("__y")).alias("pearson"),
         F.sqrt(F.avg(col("residual") * col("residual"))).alias("rmse"),
         F.avg("abs_error").alias("mae"),
         F.avg("residual").alias("mean_residual"),
         F.avg("covered").alias("coverage"),
-    )
-    scores = correlations(rows, keys, "label_pkd", "pred_mean", strategy).drop("n")
-    medians = quantiles(rows, keys, "abs_error", {"median_abs_error": 0.5}, strategy)
-    # One row per dataset and target on every side.
-    joined = null_safe_join(null_safe_join(sizes, scores, keys, "left"), medians, keys, "left")
+    ]
+    if strategy == "window":
+        joined = ranked.groupBy(*keys).agg(*aggregates, F.median("abs_error").alias("median_abs_error"))
+    else:
+        # One row per dataset and target on either side.
+        medians = quantiles(paired, keys, "abs_error", {"median_abs_error": 0.5}, strategy)
+        joined = null_safe_join(ranked.groupBy(*keys).agg(*aggregates), medians, keys, "left")
     whole = col("summary_level") == "dataset"
     return joined.select(
         "summary_level",
@@ -236,15 +247,14 @@ def disagreement_summary(
     keys = ["dataset_label", "disagreement_bin"]
     quarter = {"q25": 0.25, "median": 0.5, "q75": 0.75}
     ends = {"min": 0.0, **quarter, "max": 1.0}
-    out = binned.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    for stem, source, wanted in (
-        ("disagreement", "selected_disagreement", ends),
-        ("residual", "residual", quarter),
-        ("abs_error", "abs_error", quarter),
-    ):
-        typed = binned.withColumn(source, coerce_number(source))
-        table = quantiles(typed, keys, source, {f"{stem}_{n}": p for n, p in wanted.items()}, strategy)
-        out = null_safe_join(out, table, keys, "left")
+    stems = {
+        "selected_disagreement": ("disagreement", ends),
+        "residual": ("residual", quarter),
+        "abs_error": ("abs_error", quarter),
+    }
+    typed = binned.select(*keys, *[coerce_number(c).alias(c) for c in stems])
+    wanted = {c: {f"{stem}_{n}": p for n, p in named.items()} for c, (stem, named) in stems.items()}
+    out = multi_quantiles(typed, keys, wanted, strategy, "n")
     names = [f"disagreement_{n}" for n in ends] + [f"{s}_{n}" for s in ("residual", "abs_error") for n in quarter]
     return out.select(
         "dataset_label",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assaysift.functions.labels import dataset_label, feature_set_label
 from assaysift.functions.numeric import coerce_number, col, finite
-from assaysift.functions.ordering import quantiles
+from assaysift.functions.ordering import choose, quantiles
 from assaysift.functions.params import expand_params
 from assaysift.operators.bins import padded_limits, width_bin
 from assaysift.operators.keys import require_columns
@@ -74,53 +74,50 @@ def bin_number_text(value: Column) -> Column:
     """Render a number with three significant digits, whole numbers without decimals."""
     whole = F.rint(value)
     near = F.abs(value - whole) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(whole)
-    magnitude = F.when(value == 0, F.lit(0)).otherwise(F.floor(F.log10(F.abs(value))).cast("int"))
-    rounded = F.rint(value / F.pow(F.lit(10.0), magnitude - 2)) * F.pow(F.lit(10.0), magnitude - 2)
-    digits = F.greatest(F.lit(0), F.lit(2) - magnitude)
-    fixed = F.lit(None).cast("string")
-    for d in range(0, 9):
-        fixed = F.when(digits == d, F.format_string(f"%.{d}f", rounded)).otherwise(fixed)
-    trimmed = F.when(fixed.contains("."), F.regexp_replace(fixed, r"\.?0+$", "")).otherwise(fixed)
-    scientific = F.regexp_replace(F.format_string("%.2e", value), r"\.?0+e", "e")
-    general = F.when((magnitude < -4) | (magnitude >= 3), scientific).otherwise(trimmed)
-    return F.when(near, F.format_string("%d", whole.cast("long"))).otherwise(general)
-
-
-def _exact_bins(rows: DataFrame, value: str) -> DataFrame:
-    v = col(value)
-    return (
-        rows.withColumn("parameter_bin", bin_number_text(v))
-        .withColumn("parameter_bin_sort", v)
-        .withColumn("parameter_bin_lower", v)
-        .withColumn("parameter_bin_upper", v)
+    scientific = F.format_string("%.2e", value)
+    digits = scientific.cast("double")
+    plain = F.when(F.abs(digits) < 1e-3, F.regexp_replace(F.format_string("%.6f", digits), "0+$", "")).otherwise(
+        F.regexp_replace(digits.cast("string"), r"\.0$", "")
     )
+    extreme = (F.abs(digits) >= 1000) | (F.abs(digits) < 1e-4)
+    general = F.when(extreme, F.regexp_replace(scientific, r"\.?0+e", "e")).otherwise(plain)
+    return F.when(near, F.format_string("%d", whole.cast("long"))).otherwise(general)
 
 
-def _width_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
-    """Cut the range over all rows of the model into equal widths."""
-    limits = rows.agg(F.min(value).alias("lo"), F.max(value).alias("hi")).withColumn("__all", F.lit(0))
-    lower, upper = padded_limits(F.col("lo"), F.col("hi"))
-    limits = limits.select("__all", lower.alias("__lo"), upper.alias("__hi"))
-    # A single row of limits.
-    joined = rows.withColumn("__all", F.lit(0)).join(F.broadcast(limits), "__all").drop("__all")
-    step = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
-    at = width_bin(col(value), F.col("__lo"), F.col("__hi"), bins)
-    placed = joined.withColumn("__at", at)
-    low = F.col("__at") * step + F.col("__lo")
-    high = F.when(F.col("__at") == bins - 1, F.col("__hi")).otherwise((F.col("__at") + 1) * step + F.col("__lo"))
-    placed = placed.withColumn("parameter_bin_lower", low).withColumn("parameter_bin_upper", high)
-    return (
-        placed.withColumn("parameter_bin_sort", (col("parameter_bin_lower") + col("parameter_bin_upper")) / F.lit(2.0))
-        .withColumn(
-            "parameter_bin",
-            F.concat(bin_number_text(col("parameter_bin_lower")), F.lit(" to "), bin_number_text(col("parameter_bin_upper"))),
-        )
-        .drop("__lo", "__hi", "__at")
+def _parameter_rows(trials: DataFrame) -> DataFrame:
+    """Turn each trial into one row per parameter shown for its model family."""
+    specs = []
+    for model_type, parameters in LANDSCAPE.items():
+        for rank, (name, column, _, binning) in enumerate(parameters):
+            mine = (col("model_type") == model_type) if column in trials.columns else F.lit(False)
+            value = finite(column) if column in trials.columns else F.lit(None).cast("double")
+            specs.append(
+                F.struct(
+                    F.lit(rank + 10 * list(LANDSCAPE).index(model_type)).alias("rank"),
+                    F.lit(name).alias("parameter"),
+                    F.lit(binning == "continuous").alias("continuous"),
+                    F.when(mine, value).alias("value"),
+                )
+            )
+    rows = trials.select(
+        "dataset_label",
+        "target_class_label",
+        "model_type",
+        "comparison_name",
+        "feature_set_label",
+        "p",
+        "tuning_score",
+        F.explode(F.array(*specs)).alias("__s"),
     )
+    return rows.select("*", "__s.*").drop("__s").where("value IS NOT NULL AND tuning_score IS NOT NULL")
 
 
 def score_landscape(trials: DataFrame, bins: int = BIN_COUNT, strategy: str = "auto") -> DataFrame:
-    """Return median tuning score and trial count per candidate, model parameter and parameter bin."""
+    """Return median tuning score and trial count per candidate, model parameter and parameter bin.
+
+    Continuous parameters are cut into equal widths over all datasets of their model; others bin by value. Bin bounds
+    and texts are worked out on the aggregated rows.
+    """
     if bins < 1:
         raise ValueError("bin_count must be at least 1")
     require_columns(
@@ -128,48 +125,49 @@ def score_landscape(trials: DataFrame, bins: int = BIN_COUNT, strategy: str = "a
     )
     if "target_class_label" not in trials.columns:
         trials = trials.withColumn("target_class_label", dataset_label(col("dataset_label")))
-    trials = trials.withColumn("tuning_score", coerce_number("tuning_score"))
-    families = [r[0] for r in trials.select("model_type").distinct().limit(100).collect()]
-    parts = []
-    rank = 0
-    for model_type, parameters in LANDSCAPE.items():
-        for parameter, column, label, binning in parameters:
-            rank += 1
-            if model_type not in families:
-                continue
-            require_columns(trials, [column], f"trials of {model_type}")
-            rows = trials.where(col("model_type") == model_type).withColumn("__value", finite(column))
-            rows = rows.where("__value IS NOT NULL AND tuning_score IS NOT NULL")
-            binned = _exact_bins(rows, "__value") if binning == "exact" else _width_bins(rows, "__value", bins)
-            parts.append(
-                binned.select(
-                    "dataset_label",
-                    "target_class_label",
-                    "model_type",
-                    F.lit(parameter).alias("parameter"),
-                    F.lit(label).alias("parameter_label"),
-                    F.lit(rank).alias("__rank"),
-                    "comparison_name",
-                    "feature_set_label",
-                    "p",
-                    "parameter_bin",
-                    "parameter_bin_sort",
-                    "parameter_bin_lower",
-                    "parameter_bin_upper",
-                    "tuning_score",
-                )
-            )
-    if not parts:
+    families = {r[0] for r in trials.select("model_type").distinct().limit(100).collect()} & set(LANDSCAPE)
+    if not families:
         raise ValueError("No configured model-parameter inner-CV landscape rows found.")
-    stacked = parts[0]
-    for part in parts[1:]:
-        stacked = stacked.unionByName(part)
-    keys = [c for c in stacked.columns if c != "tuning_score"]
-    medians = quantiles(stacked, keys, "tuning_score", {"median_tuning_score": 0.5}, strategy, "trial_count")
-    return (
-        medians.orderBy("dataset_label", "model_type", "__rank", "p", "feature_set_label", "comparison_name", "parameter_bin_sort")
-        .drop("__rank")
+    for model_type in sorted(families):
+        require_columns(trials, [c for _, c, _, _ in LANDSCAPE[model_type]], f"trials of {model_type}")
+    strategy = choose(trials, strategy)
+    rows = _parameter_rows(trials.withColumn("tuning_score", coerce_number("tuning_score")))
+    # One row per parameter, five at most.
+    limits = rows.groupBy("rank").agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    lower, upper = padded_limits(F.col("lo"), F.col("hi"))
+    limits = F.broadcast(limits.select("rank", lower.alias("__lo"), upper.alias("__hi")))
+    placed = rows.join(limits, "rank")
+    at = width_bin(col("value"), F.col("__lo"), F.col("__hi"), bins)
+    placed = placed.withColumn("__bin", F.when(col("continuous"), at.cast("double")).otherwise(col("value")))
+    names = ["dataset_label", "target_class_label", "model_type", "comparison_name", "feature_set_label", "p"]
+    keys = [*names, "rank", "parameter", "continuous", "__lo", "__hi", "__bin"]
+    medians = quantiles(placed, keys, "tuning_score", {"median_tuning_score": 0.5}, strategy, "trial_count")
+    step = (F.col("__hi") - F.col("__lo")) / F.lit(float(bins))
+    low = F.col("__bin") * step + F.col("__lo")
+    high = F.when(F.col("__bin") == bins - 1, F.col("__hi")).otherwise((F.col("__bin") + 1) * step + F.col("__lo"))
+    bounded = medians.withColumn(
+        "parameter_bin_lower", F.when(col("continuous"), low).otherwise(F.col("__bin"))
+    ).withColumn("parameter_bin_upper", F.when(col("continuous"), high).otherwise(F.col("__bin")))
+    low, high = col("parameter_bin_lower"), col("parameter_bin_upper")
+    span = F.concat(bin_number_text(low), F.lit(" to "), bin_number_text(high))
+    shown = F.lit(None).cast("string")
+    for name, _, label, _ in [spec for specs in LANDSCAPE.values() for spec in specs]:
+        shown = F.when(col("parameter") == name, F.lit(label)).otherwise(shown)
+    out = bounded.select(
+        *names[:3],
+        "rank",
+        "parameter",
+        shown.alias("parameter_label"),
+        *names[3:],
+        F.when(col("continuous"), span).otherwise(bin_number_text(low)).alias("parameter_bin"),
+        F.when(col("continuous"), (low + high) / F.lit(2.0)).otherwise(low).alias("parameter_bin_sort"),
+        "parameter_bin_lower",
+        "parameter_bin_upper",
+        "median_tuning_score",
+        "trial_count",
     )
+    order = ["dataset_label", "model_type", "rank", "p", "feature_set_label", "comparison_name", "parameter_bin_sort"]
+    return out.orderBy(*order).drop("rank")
 
 
 def present_columns(df: DataFrame) -> DataFrame:
