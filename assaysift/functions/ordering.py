@@ -6,8 +6,9 @@ hopeless for large ones, so everything here knows two plans and picks by the siz
 ``window``  one shuffle by group, ordinary window functions.
 ``split``   the group is cut into slots of neighbouring values. Rows with equal values are first collapsed to one row
             by a map-side combined aggregation; a deterministic content-hash sample of the distinct values gives the
-            cut points; windows then run per (group, slot) and slot totals carry the offsets. No task ever holds
-            more than a slot, and a value shared by a third of all rows is one row after the first aggregation.
+            cut points, at most about MAX_SLOTS over all groups, so that they can be broadcast; windows then run per
+            (group, slot) and slot totals carry the offsets. No task ever holds more than a slot, and a value shared
+            by a third of all rows is one row after the first aggregation.
 
 Both give the same numbers. The split plan reads its input and the collapsed values more than once, so it writes them to
 the shared checkpoint folder first: a chain of orderings then costs a sum of passes, not a product, and lost executors
@@ -22,8 +23,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
-from assaysift.session import is_small, reliable_checkpoint, slot_count
+from assaysift.session import is_small, reliable_checkpoint
 
+# Values per slot, fewest slots of a split ordering, and most slots over all groups (which bounds the broadcast cuts).
+SLOT_ROWS = 1_000_000
+MIN_SLOTS = 64
+MAX_SLOTS = 65_536
 # A value held by more rows than this is replicated when its ranks go back to the rows.
 COPY_ROWS = 4_000_000
 
@@ -48,35 +53,37 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def _cut_points(base: DataFrame, group: Sequence[str], order: Sequence[str], slots: int) -> DataFrame:
-    """Return one sorted array of at most ``slots`` cut values per group, the same on every evaluation."""
+def _cut_points(stored: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Return a sorted array of cut values per group, the same on every evaluation.
+
+    A value is a cut when its digest falls into one of ``rate`` classes. Groups get cuts in proportion to their size,
+    small ones none, and all groups together about ``rows / rate``, which never exceeds MAX_SLOTS by much.
+    """
+    rows = stored.count()  # answered from the stored table's metadata
+    rate = max(1, min(SLOT_ROWS, rows // MIN_SLOTS), rows // MAX_SLOTS)
+    digest = F.xxhash64(F.xxhash64(*[col(c) for c in order]), F.lit(17))
+    drawn = stored.where(F.pmod(digest, F.lit(rate)) == 0)
     key = F.struct(*[col(c) for c in order])
-    digest = F.xxhash64(*[col(c) for c in order])
-    lottery = base.select(
-        *[col(g) for g in group],
-        F.pmod(digest, F.lit(slots)).alias("__ticket"),
-        F.struct(F.xxhash64(digest, F.lit(17)).alias("h"), key.alias("k")).alias("__draw"),
-    )
-    drawn = lottery.groupBy(*[col(g) for g in group], "__ticket").agg(F.min("__draw").getField("k").alias("__cut"))
-    return drawn.groupBy(*[col(g) for g in group]).agg(F.sort_array(F.collect_list("__cut")).alias("__cuts"))
+    return drawn.groupBy(*[col(g) for g in group]).agg(F.sort_array(F.collect_list(key)).alias("__cuts"))
 
 
-def _place(base: DataFrame, group: Sequence[str], order: Sequence[str], slots: int) -> DataFrame:
-    """Add ``__slot``: the number of cut values below the row's order key, by unrolled binary search."""
-    cuts = _cut_points(base, group, order, slots)
+def _place(stored: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Add ``__slot``: the number of cut values below the row's order key, by binary search."""
+    cuts = F.broadcast(_cut_points(stored, group, order))
     if group:
-        placed = null_safe_join(base, cuts, group)
+        placed = null_safe_join(stored, cuts, group, "left")
     else:
-        # One row of at most ``slots`` cut values.
-        one = cuts.withColumn("__all", F.lit(0))
-        placed = base.withColumn("__all", F.lit(0)).join(F.broadcast(one), "__all").drop("__all")
-    placed = placed.withColumn("__slot", F.lit(0))
+        placed = stored.withColumn("__all", F.lit(0)).join(cuts.withColumn("__all", F.lit(0)), "__all", "left").drop("__all")
     key = F.struct(*[col(c) for c in order])
-    step = slots
-    while step >= 1:
-        below = F.coalesce(F.get(F.col("__cuts"), F.col("__slot") + F.lit(step - 1)) < key, F.lit(False))
-        placed = placed.withColumn("__slot", F.col("__slot") + F.when(below, F.lit(step)).otherwise(F.lit(0)))
-        step //= 2
+    halvings = F.array(*[F.lit(1 << i) for i in reversed(range((2 * MAX_SLOTS).bit_length()))])
+    # A fold rather than a chain of columns: a chain doubles its expression at every step once it is collapsed.
+    slot = F.aggregate(
+        halvings,
+        F.lit(0),
+        lambda at, step: at
+        + F.when(F.coalesce(F.get(F.col("__cuts"), at + step - 1) < key, F.lit(False)), step).otherwise(F.lit(0)),
+    )
+    placed = placed.withColumn("__slot", slot)
     return placed.drop("__cuts")
 
 
@@ -84,7 +91,7 @@ def _slot_offsets(placed: DataFrame, group: Sequence[str], sums: Mapping[str, Co
     """Return per (group, slot) the totals of earlier slots and of the whole group."""
     keys = [col(g) for g in group]
     per_slot = placed.groupBy(*keys, "__slot").agg(*[e.alias(f"__s_{m}") for m, e in sums.items()])
-    # At most slots + 1 rows per group reach this window.
+    # At most one row per slot of a group reaches this window.
     order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot")
     earlier = order.rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*(keys or [F.lit(0)]))
@@ -102,7 +109,6 @@ def prefix_totals(
     order: Sequence[str],
     measures: Mapping[str, Column] | None = None,
     strategy: str = "auto",
-    slots: int | None = None,
 ) -> DataFrame:
     """Collapse rows to distinct (group, order) keys with running totals in ascending order of the key.
 
@@ -127,8 +133,7 @@ def prefix_totals(
             *[F.coalesce(F.sum(col(m)).over(running), F.lit(0)).alias(f"{m}_before") for m in names],
             *[F.sum(col(m)).over(whole).alias(f"{m}_total") for m in names],
         )
-    base = reliable_checkpoint(base)
-    placed = _place(base, group, order, slots or slot_count(df))
+    placed = _place(reliable_checkpoint(base), group, order)
     offsets = _slot_offsets(placed, group, {m: F.sum(col(m)) for m in names})
     joined = null_safe_join(placed, offsets, [*group, "__slot"])
     running = (
@@ -189,17 +194,16 @@ def average_rank(
         if total_column:
             ranked = ranked.withColumn(total_column, F.count("__v").over(Window.partitionBy(*parts)))
         return ranked.drop("__v")
-    slots = slot_count(df)
     rows = reliable_checkpoint(df.withColumn("__v", clean))
-    return _split_rank(rows, group, "__v", rank_column, total_column, slots).drop("__v")
+    return _split_rank(rows, group, "__v", rank_column, total_column).drop("__v")
 
 
 def _split_rank(
-    rows: DataFrame, group: Sequence[str], value: str, rank_column: str, total_column: str | None, slots: int
+    rows: DataFrame, group: Sequence[str], value: str, rank_column: str, total_column: str | None
 ) -> DataFrame:
     """Rank checkpointed rows: collapse values, place them, and hand the ranks back to the rows."""
     known = rows.where(col(value).isNotNull())
-    totals = prefix_totals(known, group, [value], strategy="split", slots=slots)
+    totals = prefix_totals(known, group, [value], strategy="split")
     lookup = reliable_checkpoint(
         totals.select(
             *[col(g) for g in group],
@@ -233,11 +237,10 @@ def pair_ranks(
         for value, rank in values.items():
             out = average_rank(out, group, value, rank, strategy=strategy)
         return out
-    slots = slot_count(df)
     rows = reliable_checkpoint(df)
     out = rows
     for value, rank in values.items():
-        totals = prefix_totals(rows, group, [value], strategy="split", slots=slots)
+        totals = prefix_totals(rows, group, [value], strategy="split")
         ranked = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
         lookup = reliable_checkpoint(totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked))
         out = attach_by_key(out, lookup, [*group, value], "__n").drop("__n")
@@ -280,7 +283,7 @@ def row_positions(
         if total_column:
             out = out.withColumn(total_column, F.count(F.lit(1)).over(Window.partitionBy(*parts)))
         return out.drop(*names)
-    placed = _place(reliable_checkpoint(keyed), group, names, slot_count(df))
+    placed = _place(reliable_checkpoint(keyed), group, names)
     offsets = _slot_offsets(placed, group, {"n": F.count(F.lit(1))})
     # Slots hold comparable row counts, so the few offset rows per group meet balanced partitions.
     joined = null_safe_join(placed, offsets, [*group, "__slot"])
@@ -291,6 +294,27 @@ def row_positions(
     return out.drop(*names, "__slot", "__before_n", "__total_n")
 
 
+def running_extreme(
+    df: DataFrame, group: Sequence[str], order: Sequence[str], value: str, out: str, maximise: bool = True, strategy: str = "auto"
+) -> DataFrame:
+    """Add the largest (or smallest) value up to and including each row, in ascending order of unique keys."""
+    strategy = choose(df, strategy)
+    extreme = F.max if maximise else F.min
+    best = F.greatest if maximise else F.least
+    keys = [col(g) for g in group]
+    ascending = [col(o) for o in order]
+    if strategy == "window":
+        so_far = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, 0)
+        return df.withColumn(out, extreme(col(value)).over(so_far))
+    placed = _place(reliable_checkpoint(df), group, order)
+    per_slot = placed.groupBy(*keys, "__slot").agg(extreme(col(value)).alias("__m"))
+    earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = per_slot.select(*keys, "__slot", extreme("__m").over(earlier).alias("__carried"))
+    joined = null_safe_join(placed, carried, [*group, "__slot"])
+    here = Window.partitionBy(*keys, F.col("__slot")).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, 0)
+    return joined.withColumn(out, best(F.col("__carried"), extreme(col(value)).over(here))).drop("__slot", "__carried")
+
+
 def quantiles(
     df: DataFrame,
     group: Sequence[str],
@@ -314,7 +338,7 @@ def quantiles(
         )
         columns = [F.get("__q", i).alias(name) for i, name in enumerate(probabilities)]
         return picked.select(*keys, *columns, *([F.col("__n").alias(count_column)] if count_column else []))
-    totals = prefix_totals(clean, group, ["__v"], strategy="split", slots=slot_count(df))
+    totals = prefix_totals(clean, group, ["__v"], strategy="split")
     picks = []
     for i, p in enumerate(probabilities.values()):
         at = (F.col("n_total") - 1) * F.lit(float(p))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.labels import dataset_label, feature_set_label
 from assaysift.functions.numeric import coerce_number, col, finite
-from assaysift.functions.ordering import choose, quantiles
+from assaysift.functions.ordering import choose, quantiles, running_extreme
 from assaysift.functions.params import expand_params
 from assaysift.operators.bins import padded_limits, width_bin
 from assaysift.operators.keys import require_columns
@@ -63,11 +63,11 @@ def labelled_trials(trials: DataFrame) -> DataFrame:
     )
 
 
-def running_best(trace: DataFrame, group: list[str], metric: str = "spearman") -> DataFrame:
-    """Add the best score up to each trial. A study's trials, a few hundred rows, share a window."""
-    order = Window.partitionBy(*group).orderBy("trial_number").rowsBetween(Window.unboundedPreceding, 0)
-    best = F.max("tuning_score") if higher_is_better(metric) else F.min("tuning_score")
-    return trace.withColumn("best_tuning_score_so_far", best.over(order))
+def running_best(trace: DataFrame, group: list[str], metric: str = "spearman", strategy: str = "auto") -> DataFrame:
+    """Add the best score up to each trial of a study."""
+    return running_extreme(
+        trace, group, ["trial_number"], "tuning_score", "best_tuning_score_so_far", higher_is_better(metric), strategy
+    )
 
 
 def bin_number_text(value: Column) -> Column:
@@ -75,7 +75,8 @@ def bin_number_text(value: Column) -> Column:
     whole = F.rint(value)
     near = F.abs(value - whole) <= F.lit(1e-9) + F.lit(1e-5) * F.abs(whole)
     scientific = F.format_string("%.2e", value)
-    digits = scientific.cast("double")
+    power = F.pow(F.lit(10.0), F.lit(2) - F.floor(F.log10(F.abs(value))))
+    digits = F.rint(value * power) / power
     plain = F.when(F.abs(digits) < 1e-3, F.regexp_replace(F.format_string("%.6f", digits), "0+$", "")).otherwise(
         F.regexp_replace(digits.cast("string"), r"\.0$", "")
     )

@@ -419,7 +419,7 @@ def inner_trials(spark, sf):
 
 
 def score_landscape(spark, sf, strategy="auto"):
-    rows = trials.labelled_trials(trials.outer_trials(trace_table(spark, sf), names=PARAMETERS))
+    rows = reliable_checkpoint(trials.labelled_trials(trials.outer_trials(trace_table(spark, sf), names=PARAMETERS)))
     out = trials.score_landscape(rows, strategy=strategy)
     bounds = ["parameter_bin_sort", "parameter_bin_lower", "parameter_bin_upper", "median_tuning_score"]
     return _rounded(out, bounds)
@@ -437,10 +437,10 @@ def outer_metric_trials(spark, sf):
     return selection.attach_outer_metric(candidates.join(best, ["dataset_label", "outer_fold"]), folds)
 
 
-def running_best(spark, sf):
+def running_best(spark, sf, strategy="auto"):
     group = ["dataset_label", "comparison_name", "model_type", "outer_fold"]
     rows = trace_table(spark, sf).where("outer_fold IS NOT NULL").select(*group, "trial_number", "tuning_score")
-    return trials.running_best(rows, group)
+    return trials.running_best(rows, group, strategy=strategy)
 
 
 def score_deciles(spark, sf, strategy="auto"):
@@ -674,9 +674,8 @@ def unassayed_profile(spark, sf, strategy="auto"):
 
 def pair_summary(spark, sf):
     rows = reliable_checkpoint(oof_rows(spark, sf))
-    out = pairs.pair_summary(
-        rows, pairs.target_pairs(rows, _members()), pairs.oof_triplets(rows, _members()), final_triplets(spark, sf), _members()
-    )
+    made = [pairs.target_pairs(rows, _members()), pairs.oof_triplets(rows, _members()), final_triplets(spark, sf)]
+    out = pairs.pair_summary(rows, *[reliable_checkpoint(m) for m in made], _members())
     return _rounded(out, ["spearman", "mae"])
 
 
@@ -865,6 +864,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         percentile_ranks,
         method_ranks,
         score_landscape,
+        running_best,
         score_deciles,
         disagreement_summary,
         prediction_summary,

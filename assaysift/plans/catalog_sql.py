@@ -649,6 +649,7 @@ SPLIT_TWINS = {
     "percentile_ranks",
     "method_ranks",
     "score_landscape",
+    "running_best",
     "score_deciles",
     "disagreement_summary",
     "prediction_summary",

@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 
 # Inputs whose leaf relations together hold less than this are safe to sort inside one task per group.
 SMALL_INPUT_BYTES = 128 * 1024 * 1024
-# Target size of one slot of a split ordering.
-SLOT_BYTES = 64 * 1024 * 1024
 # Catalyst reports this (or more) when it knows nothing about a relation.
 _UNKNOWN_BYTES = 1 << 60
 
@@ -27,6 +25,8 @@ def get_spark(app_name: str = "assaysift", **conf: str) -> SparkSession:
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        # Recording a Python call site per column expression doubles the time to define wide plans.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
@@ -55,13 +55,6 @@ def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
     return size is not None and size <= limit
 
 
-def slot_count(df: DataFrame) -> int:
-    """Return how many slots a split ordering needs, as a power of two."""
-    size = input_bytes(df)
-    wanted = 256 if size is None else max(1, size // SLOT_BYTES)
-    return 1 << max(4, min(15, (wanted - 1).bit_length()))
-
-
 def local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, str]) -> DataFrame:
     """Return a small table of literals: JVM-side, of known size, without a job."""
     if not rows:
