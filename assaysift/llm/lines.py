@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaysift.session import reliable_checkpoint
+
 _SPACE = b" \t\n\x0b\x0c\r"
 #: Lines that one Arrow batch of a task holds at most.
 _LINES = 100_000
@@ -64,8 +66,9 @@ def dropped_lines(texts: DataFrame, least: int, documents: int) -> DataFrame:
         .filter(F.col("documents") >= documents)
         .select("key", "keeper")
     )
-    # Plain key join: adaptive execution splits the partition that a very common line fills.
-    gone = lines.join(common, "key").filter("doc <> keeper")
+    # The few common keys are stored, so lines are dealt for this join alone and adaptive execution splits the partition
+    # that a very common line fills, or needs no shuffle at all where the table is small.
+    gone = lines.join(reliable_checkpoint(common), "key").filter("doc <> keeper")
     return gone.groupBy("doc").agg(F.collect_set("mark").alias("marks"))
 
 
