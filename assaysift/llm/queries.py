@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaysift.llm import lines, minhash
+from assaysift.llm import bpe, lines, minhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,17 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
+    """Encode whole texts and decode their ids."""
+    path = path or public_tokenizers.path("word_bpe_49k.json")
+    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path)
+    out = bpe.ids_digest(bpe.decode(spark, encoded, path))
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return one callable per operator of this package."""
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_bpe)}
 
 
 OP1_SQL = r"""
