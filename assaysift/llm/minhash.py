@@ -277,3 +277,12 @@ def near_duplicates(
         component.alias("component_id"),
         F.coalesce(F.col("doc") == component, F.lit(True)).alias("kept"),
     )
+
+
+def drop_near_duplicates(docs: DataFrame, num: int = 80, den: int = 100) -> DataFrame:
+    """Return the rows of ``docs`` (doc_id, text, ...) that are the smallest id of their group; rows without an id stay.
+
+    Rows that repeat an id are one document here: they stay or go together.
+    """
+    gone = reliable_checkpoint(near_duplicates(docs, num, den).filter("not kept").select(F.col("doc_id").alias("gone")).distinct())
+    return docs.join(gone.hint("shuffle_hash"), docs["doc_id"].cast("long") == gone["gone"], "left_anti")

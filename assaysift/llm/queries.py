@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaysift.llm import bpe, lines, minhash
+from assaysift.llm import bpe, decontaminate, html, licenses, lines, minhash, quality, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,9 +36,69 @@ def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFr
     return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Find licence phrases and, with edits, licence notices."""
+    return licenses.summary(licenses.scan(_table(spark, sf_dir, "documents")))
+
+
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """List documents that hold a benchmark item, as it is or edited."""
+    return decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search every twentieth vector among all vectors."""
+    vectors = _table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("id"), topk.integer_vector(F.col("embedding")).alias("v")
+    )
+    return topk.top_k(vectors.filter(F.col("id") % 20 == 0), vectors, 20)
+
+
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extract the article of every page."""
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judge every page's address."""
+    return urls.judge(_table(spark, sf_dir, "pages"), urls.train(urls.labelled_urls(spark)))
+
+
+def op9_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit an archive of all pages against a replica in which a few records are damaged or lost.
+
+    The replica is derived from the pages: records whose address has a digest beginning with 00 have their first character
+    replaced, those with 01 are lost.
+    """
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    start = F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 2)
+    damaged = F.when((start == "00") & (F.ascii("html") < 128), F.overlay("html", F.lit("#"), 1)).otherwise(F.col("html"))
+    lost = pages.filter(start == "01").select(F.col("page_id").alias("record")).distinct()
+    replica = warc.catalogue(pages, damaged).join(lost, "record", "left_anti")
+    out = warc.audit(warc.catalogue(pages), replica)
+    return out.select(F.col("record").alias("page_id"), F.col("file").alias("warc_file"), "offset", "length", "status")
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score the quality of every document."""
+    return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return one callable per operator of this package."""
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_line_dedup, op3_bpe)}
+    every = (
+        op1_minhash_near_dedup,
+        op2_line_dedup,
+        op3_bpe,
+        op4_license_scan,
+        op5_decontaminate,
+        op6_exact_top_k,
+        op7_main_text,
+        op8_url_filter,
+        op9_warc_fixity,
+        op10_quality,
+    )
+    return {f.__name__: f for f in every}
 
 
 OP1_SQL = r"""
@@ -91,6 +151,38 @@ FROM marked GROUP BY doc_id
 """
 
 
+OP6_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 64) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND vec_id IS NOT NULL
+    AND list_aggregate(list_transform(embedding, lambda x: CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END), 'sum') = 0),
+s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_inner_product(CAST(q.e AS DOUBLE[]), CAST(c.e AS DOUBLE[])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+OP9_SQL = r"""
+WITH p AS (
+  SELECT page_id, md5(coalesce(url, ''))[1:2] AS d, CAST(floor(page_id / 2048) AS BIGINT) AS warc_file, html,
+    octet_length(encode('WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) ||
+      'WARC-Record-ID: <urn:page:' || page_id || '>' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') ||
+      chr(13) || chr(10) || 'Content-Length: ' || octet_length(encode(coalesce(html, ''))) || chr(13) || chr(10) || chr(13) ||
+      chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10))) AS length
+  FROM pages),
+o AS (
+  SELECT *, CAST(sum(length) OVER (PARTITION BY warc_file ORDER BY page_id) - length AS BIGINT) AS "offset" FROM p)
+SELECT page_id, warc_file, "offset", length, CASE d WHEN '00' THEN 'changed' ELSE 'missing' END AS status
+FROM o WHERE d = '01' OR (d = '00' AND html IS NOT NULL AND html <> '' AND html[1:1] <> '#' AND ascii(html) < 128)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Return reference SQL where SQL can express a query."""
-    return {"op1_minhash_near_dedup": OP1_SQL, "op2_line_dedup": OP2_SQL}
+    return {
+        "op1_minhash_near_dedup": OP1_SQL,
+        "op2_line_dedup": OP2_SQL,
+        "op6_exact_top_k": OP6_SQL,
+        "op9_warc_fixity": OP9_SQL,
+    }
