@@ -29,8 +29,8 @@ from assaysift.session import reliable_checkpoint
 HEAD_WORDS = 1 << 19
 #: Longer words never enter that table.
 HEAD_CHARS = 64
-#: Distinct entries that a task's caches and counters hold before they are emptied.
-_CACHE = 400_000
+#: Distinct entries that a task's counter holds before it is emptied.
+_COUNTED = 300_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Beyond the old alphabets the character tables of libraries differ by edition; there the library's own are asked.
@@ -60,7 +60,7 @@ class Splitter:
         out, at = [], 0
         for found in self.special.finditer(text):
             out += self._chunks(text[at : found.start()])
-            out.append("\n" + found[0])  # a line feed occurs in no other chunk
+            out.append(" " + found[0])  # a blank occurs in no other chunk
             at = found.end()
         return out + self._chunks(text[at:])
 
@@ -71,27 +71,32 @@ class Splitter:
         return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
 
     def words(self, chunk: str) -> list[str]:
-        """Return the words of a chunk."""
-        if chunk[0] == "\n":
-            return [chunk[1:]]
+        """Return the words of a chunk; special strings keep their mark."""
+        if chunk[0] == " ":
+            return [chunk]
         if _NEWER.search(chunk):
             return [chunk[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
+        if chunk.isalpha():
+            return [chunk]
+        if chunk[:-1].isalpha():
+            return [chunk[:-1], chunk[-1]]
         return self.pattern.findall(chunk)
 
 
 def word_encoder(spec: str) -> Callable[[list[str]], list[np.ndarray]]:
     """Return a function from single words to their ids."""
     bare = json.loads(spec)
-    special = {x["content"]: x["id"] for x in bare["added_tokens"]}
+    special = {" " + x["content"]: x["id"] for x in bare["added_tokens"]}
     bare |= {"normalizer": None, "added_tokens": [], "truncation": None, "padding": None}
-    bare["pre_tokenizer"] = bare["pre_tokenizer"]["pretokenizers"][-1]
+    # Many words are encoded as one text, a line each.
+    lines = {"type": "Split", "pattern": {"String": "\n"}, "behavior": "Removed", "invert": False}
+    bare["pre_tokenizer"]["pretokenizers"] = [lines, bare["pre_tokenizer"]["pretokenizers"][-1]]
     model = Tokenizer.from_str(json.dumps(bare))
 
     def encode(words: list[str]) -> list[np.ndarray]:
-        found = model.encode_batch(words, add_special_tokens=False)
-        return [
-            np.array([special[w]] if w in special else x.ids, dtype="<i4") for w, x in zip(words, found, strict=True)
-        ]
+        found = model.encode("\n".join(words), add_special_tokens=False)
+        ids, at = np.array(found.ids, "<i4"), np.searchsorted(np.array(found.word_ids, np.int64), np.arange(len(words) + 1))
+        return [np.array([special[w]], "<i4") if w in special else ids[at[i] : at[i + 1]] for i, w in enumerate(words)]
 
     return encode
 
@@ -99,18 +104,18 @@ def word_encoder(spec: str) -> Callable[[list[str]], list[np.ndarray]]:
 _made: dict = {}
 
 
-def _once(key, make):
-    """Build per worker process what a broadcast describes."""
-    if key not in _made:
-        _made[key] = make()
-    return _made[key]
+def _once(kind: str, source, make):
+    """Build what a broadcast value describes once per worker process; only the latest of a kind is kept."""
+    if kind not in _made or _made[kind][0] is not source:
+        _made[kind] = (source, make(source))
+    return _made[kind][1]
 
 
 def count_words(texts: DataFrame, spec) -> DataFrame:
     """Return (word, n) with all distinct words of ``texts`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(spec.value)
+        splitter = _once("split", spec.value, Splitter)
         chunks: Counter = Counter()
 
         def flush():
@@ -124,24 +129,24 @@ def count_words(texts: DataFrame, spec) -> DataFrame:
             )
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
+            for text in (x for low in range(0, batch.num_rows, 1000) for x in batch.column(0).slice(low, 1000).to_pylist()):
                 chunks.update(splitter.chunks(text))
-                if len(chunks) > _CACHE:
+                if len(chunks) > _COUNTED:
                     yield flush()
         yield flush()
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def encode_words(words: DataFrame, spec) -> DataFrame:
-    """Return ``words`` (word, n) with ``ids``, the ids of each word as little-endian 32-bit integers."""
+def encode_words(words: DataFrame, spec, kind: str) -> DataFrame:
+    """Return ``words`` (word, n) with ``ids``, the ids of each word as little-endian integers of that kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = word_encoder(spec.value)
+        encode = _once("encode", spec.value, word_encoder)
         for batch in batches:
             for low in range(0, batch.num_rows, 2000):
                 part = batch.slice(low, 2000)
-                ids = [x.tobytes() for x in encode(part.column(0).to_pylist())]
+                ids = [x.astype(kind).tobytes() for x in encode(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
@@ -174,53 +179,58 @@ def _head_table(head: tuple[str, bytes, bytes]) -> dict[str, bytes]:
     return {w: ids[i:j] for w, i, j in zip(words.split("\n"), begins.tolist(), ends.tolist())} if words else {}
 
 
-def _chunk_ids(splitter: Splitter, table: dict[str, bytes], cache: dict[str, bytes | None], chunk: str) -> bytes | None:
-    """Return the ids of a chunk whose words are all in the table."""
-    if chunk not in cache:
-        if len(cache) > _CACHE:
-            cache.clear()
-        found = [table.get(w) for w in splitter.words(chunk)]
-        cache[chunk] = None if None in found else b"".join(found)
-    return cache[chunk]
+def _missing(splitter: Splitter, table: dict[str, bytes], text: str) -> list[str]:
+    """Return the distinct words of a text that the table lacks, in order of code points."""
+    other: set = set()
+    for chunk in set(splitter.chunks(text)):
+        # A chunk that is itself a word of the table consists of just that word.
+        if chunk not in table:
+            other.update(w for w in splitter.words(chunk) if w not in table)
+    return sorted(other)
 
 
 def _other_words(texts: DataFrame, spec, head) -> DataFrame:
-    """Return (key, word): the distinct words of each text that the broadcast table lacks."""
+    """Return (owner, key, place, word): the words of each text that the broadcast table lacks, numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, table = _once(("split", spec.value), lambda: Splitter(spec.value)), _once(id(head), lambda: _head_table(head.value))
-        cache: dict = {}
+        splitter, table = _once("split", spec.value, Splitter), _once("head", head.value, _head_table)
         for batch in batches:
-            rows, words = [], []
+            rows, places, words = [], [], []
 
             def flush(keys):
-                return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int32())), pa.array(words, pa.string())], ["key", "word"])
-
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                other: set = set()
-                for chunk in set(splitter.chunks(text)):
-                    if _chunk_ids(splitter, table, cache, chunk) is None:
-                        other.update(w for w in splitter.words(chunk) if w not in table)
+                take = pa.array(rows, pa.int32())
+                return pa.RecordBatch.from_arrays(
+                    [keys[0].take(take), keys[1].take(take), pa.array(places, pa.int32()), pa.array(words, pa.string())],
+                    ["owner", "key", "place", "word"],
+                )
+
+            for row in range(batch.num_rows):
+                text = batch.column(2)[row].as_py()
+                other = _missing(splitter, table, text)
                 rows += [row] * len(other)
+                places += range(len(other))
                 words += other
-                if len(rows) > _CACHE:
-                    yield flush(batch.column(0))
-                    rows, words = [], []
-            yield flush(batch.column(0))
+                if len(rows) > _COUNTED:
+                    yield flush(batch.columns)
+                    rows, places, words = [], [], []
+            yield flush(batch.columns)
 
-    return texts.select("key", "text").mapInArrow(run, "key long, word string")
+    return texts.select("owner", "key", "text").mapInArrow(run, "owner long, key long, place int, word string")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """Return (key, doc, packed) with compressed texts, which are what is shuffled."""
+    """Return (owner, key, doc, packed) with compressed texts, which are what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=3)
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
-            packed = [press.compress(x.encode("utf-8", "surrogatepass")) for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(packed, pa.binary())], ["key", "doc", "packed"])
+            for low in range(0, batch.num_rows, 1000):
+                part = batch.slice(low, 1000)
+                packed = [press.compress(x.encode("utf-8", "surrogatepass")) for x in part.column(3).to_pylist()]
+                columns = [*part.columns[:3], pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["owner", "key", "doc", "packed"])
 
-    return texts.select("key", "doc", "text").mapInArrow(run, "key long, doc long, packed binary")
+    return texts.select("owner", "key", "doc", "text").mapInArrow(run, "owner long, key long, doc long, packed binary")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -233,49 +243,53 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     with open(path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # The key only gathers a text's words; texts that happen to share one would share a dictionary, which is harmless.
-    texts = texts.withColumn("key", F.xxhash64("doc", "text"))
-    table = reliable_checkpoint(encode_words(count_words(texts, spec), spec))
+    # Id and digest gather a text's words. Rows that are alike in both share one and the same list.
+    texts = texts.withColumns({"owner": F.coalesce("doc", F.lit(-1)), "key": F.xxhash64("text")})
+    kind = "<u2" if len(piece_table(path)) <= 1 << 16 else "<i4"
+    table = reliable_checkpoint(encode_words(count_words(texts, spec), spec, kind))
     head = spark.sparkContext.broadcast(_head(table))
     other = (
         _other_words(texts, spec, head)
         .join(table.select("word", "ids"), "word")
-        .groupBy("key")
-        .agg(F.collect_set(F.struct("word", "ids")).alias("other"))
-        .select("key", F.col("other.word").alias("words"), F.col("other.ids").alias("ids"))
+        .groupBy("owner", "key")
+        .agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("other"))
+        .select("owner", "key", F.col("other.ids").alias("ids"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, known = _once(("split", spec.value), lambda: Splitter(spec.value)), _once(id(head), lambda: _head_table(head.value))
-        cache: dict = {}
+        splitter, known = _once("split", spec.value, Splitter), _once("head", head.value, _head_table)
         open_ = zstandard.ZstdDecompressor()
         for batch in batches:
             docs_, out, size = [], [], 0
 
             def flush():
                 lengths = np.zeros(len(out) + 1, np.int32)
-                np.cumsum([len(x) // 4 for x in out], out=lengths[1:])
-                ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.frombuffer(b"".join(out), "<i4")))
+                np.cumsum([len(x) for x in out], out=lengths[1:])
+                ids = pa.ListArray.from_arrays(pa.array(lengths), pa.array(np.concatenate(out).astype(np.int32)))
                 return pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), ids], ["doc_id", "ids"])
 
-            columns = [batch.column(i).to_pylist() for i in range(4)]
-            for doc, packed, words, ids in zip(*columns, strict=True):
-                own = dict(zip(words, map(bytes, ids), strict=True)) if words else {}
-                parts = []
-                for chunk in splitter.chunks(open_.decompress(packed).decode("utf-8", "surrogatepass")):
-                    found = _chunk_ids(splitter, known, cache, chunk)
-                    if found is None:
-                        found = b"".join([known[w] if w in known else own[w] for w in splitter.words(chunk)])
-                    parts.append(found)
-                docs_.append(doc)
-                out.append(b"".join(parts))
-                size += len(out[-1])
-                if size > 16 << 20:
-                    yield flush()
-                    docs_, out, size = [], [], 0
-            yield flush()
-
-    joined = _packed(texts).join(other, "key", "left").select("doc", "packed", "words", "ids")
+            for low in range(0, batch.num_rows, 1000):
+                columns = [batch.column(i).slice(low, 1000).to_pylist() for i in range(3)]
+                for doc, packed, ids in zip(*columns, strict=True):
+                    text = open_.decompress(packed).decode("utf-8", "surrogatepass")
+                    chunks = splitter.chunks(text)
+                    parts = list(map(known.get, chunks))
+                    if None in parts:
+                        own = dict(zip(_missing(splitter, known, text), ids, strict=True)) if ids else {}
+                        for i, found in enumerate(parts):
+                            if found is None:
+                                words = splitter.words(chunks[i])
+                                parts[i] = b"".join([known[w] if w in known else bytes(own[w]) for w in words])
+                    docs_.append(doc)
+                    out.append(np.frombuffer(b"".join(parts), kind))
+                    size += len(out[-1])
+                    if size > 2 << 20:
+                        yield flush()
+                        docs_, out, size = [], [], 0
+            if docs_:
+                yield flush()
+
+    joined = _packed(texts).join(other, ["owner", "key"], "left").select("doc", "packed", "ids")
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
 
@@ -302,8 +316,8 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
         for batch in batches:
             low = 0
             while low < batch.num_rows:
-                part = batch.slice(low, 500)
-                low += 500
+                part = batch.slice(low, 200)
+                low += 200
                 text = []
                 for ids in part.column(1):
                     ids = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
