@@ -10,6 +10,7 @@ words are then spelt in byte symbols, and which have no decoder, so pieces are j
 
 from __future__ import annotations
 
+import hashlib
 import json
 import unicodedata
 from collections import Counter
@@ -30,7 +31,7 @@ HEAD_WORDS = 1 << 19
 #: Longer words never enter that table.
 HEAD_CHARS = 64
 #: Distinct entries that a task's counter holds before it is emptied.
-_COUNTED = 300_000
+_COUNTED = 150_000
 _ODD_SPACE = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Beyond the old alphabets the character tables of libraries differ by edition; there the library's own are asked.
@@ -49,6 +50,7 @@ class Splitter:
         # White space of the pattern is the Unicode property, without the four separators that Python adds.
         self.pattern = regex.compile(steps[0]["pattern"]["Regex"].replace(r"\s", r"\p{White_Space}"))
         bare = spec | {"added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": steps[0]}
+        bare["model"] = spec["model"] | {"vocab": {}, "merges": []}  # only the rules of form and splitting are asked
         self.library = Tokenizer.from_str(json.dumps(bare))
         special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
@@ -173,6 +175,7 @@ def _head(table: DataFrame) -> tuple[str, bytes, bytes]:
 
 
 def _head_table(head: tuple[str, bytes, bytes]) -> dict[str, bytes]:
+    _made.pop("encode", None)  # the words have been encoded by now
     words, ids, lengths = head
     ends = np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.int64)
     begins = ends - np.frombuffer(lengths, "<u2")
@@ -304,6 +307,13 @@ def piece_table(path: str) -> list[str]:
     return out
 
 
+def _lookup(pieces: np.ndarray, ids: pa.ListScalar) -> tuple[np.ndarray, str]:
+    """Return the ids of a row and the pieces that they stand for, joined by blanks."""
+    ids = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
+    known = ids[(ids >= 0) & (ids < len(pieces))]
+    return ids, " ".join(filter(None, pieces[known].tolist()))
+
+
 def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
     """Return ``encoded`` (doc_id, ids) with ``decoded``: the pieces of its ids, special ones included, joined by blanks.
 
@@ -314,31 +324,36 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.array(pieces.value, dtype=object)
         for batch in batches:
-            low = 0
-            while low < batch.num_rows:
+            for low in range(0, batch.num_rows, 200):
                 part = batch.slice(low, 200)
-                low += 200
-                text = []
-                for ids in part.column(1):
-                    ids = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
-                    ids = ids[(ids >= 0) & (ids < len(table))]
-                    text.append(" ".join(filter(None, table[ids].tolist())))
+                text = [_lookup(table, x)[1] for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
 
 
-def ids_digest(encoded: DataFrame) -> DataFrame:
-    """Return ``encoded`` (doc_id, ids, decoded) as (doc_id, n_tokens, ids_sha256, decoded)."""
-    import hashlib
+def round_trip_digests(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
+    """Return (doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded`` (doc_id, ids) and what ``decode`` gives for it.
+
+    Digests are lower-case hexadecimal SHA-256: of the ids as little-endian unsigned 32-bit integers, and of the decoded
+    text in UTF-8.
+    """
+    pieces = spark.sparkContext.broadcast(piece_table(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.array(pieces.value, dtype=object)
         for batch in batches:
-            ids = [np.asarray(x.values, dtype="<i4") for x in batch.column(1)]
-            sha = [hashlib.sha256(x.astype("<u4").tobytes()).hexdigest() for x in ids]
+            sizes, one, two = [], [], []
+            for x in batch.column(1):
+                ids, text = _lookup(table, x)
+                sizes.append(len(ids))
+                one.append(hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest())
+                two.append(hashlib.sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), batch.column(2)],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
+                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
 
-    return encoded.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+    )

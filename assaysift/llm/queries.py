@@ -31,9 +31,7 @@ def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_bpe(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Encode whole texts and decode their ids."""
     path = path or public_tokenizers.path("word_bpe_49k.json")
-    encoded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    out = bpe.ids_digest(bpe.decode(spark, encoded, path))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip_digests(spark, bpe.encode(_table(spark, sf_dir, "documents"), path), path)
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from assaysift.llm import bpe, decontaminate, lines, minhash, quality
 from assaysift.session import reliable_checkpoint
@@ -38,8 +37,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Return doc_id, n_tokens and digests of the ids and of the text that they decode to."""
     path = public_tokenizers.path("word_bpe_49k.json")
-    out = bpe.ids_digest(bpe.decode(spark, bpe.encode(docs, path), path))
-    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.round_trip_digests(spark, bpe.encode(docs, path), path)
 
 
 STAGES = [
