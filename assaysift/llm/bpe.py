@@ -26,8 +26,8 @@ from tokenizers import Tokenizer
 
 from assaysift.session import reliable_checkpoint
 
-#: Words of the broadcast table at most; with their ids they take about 15 MB.
-HEAD_WORDS = 1 << 19
+#: Words of the broadcast table at most; with their ids they take about 8 MB.
+HEAD_WORDS = 1 << 18
 #: Longer words never enter that table.
 HEAD_CHARS = 64
 #: Distinct entries that a task's counter holds before it is emptied.
@@ -109,6 +109,7 @@ _made: dict = {}
 def _once(kind: str, source, make):
     """Build what a broadcast value describes once per worker process; only the latest of a kind is kept."""
     if kind not in _made or _made[kind][0] is not source:
+        _made.pop(kind, None)
         _made[kind] = (source, make(source))
     return _made[kind][1]
 
@@ -117,6 +118,7 @@ def count_words(texts: DataFrame, spec) -> DataFrame:
     """Return (word, n) with all distinct words of ``texts`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _made.pop("head", None)  # of an earlier run
         splitter = _once("split", spec.value, Splitter)
         chunks: Counter = Counter()
 
@@ -193,7 +195,7 @@ def _missing(splitter: Splitter, table: dict[str, bytes], text: str) -> list[str
 
 
 def _other_words(texts: DataFrame, spec, head) -> DataFrame:
-    """Return (owner, key, place, word): the words of each text that the broadcast table lacks, numbered."""
+    """Return (key, place, word): the words of each text that the broadcast table lacks, numbered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, table = _once("split", spec.value, Splitter), _once("head", head.value, _head_table)
@@ -201,39 +203,38 @@ def _other_words(texts: DataFrame, spec, head) -> DataFrame:
             rows, places, words = [], [], []
 
             def flush(keys):
-                take = pa.array(rows, pa.int32())
                 return pa.RecordBatch.from_arrays(
-                    [keys[0].take(take), keys[1].take(take), pa.array(places, pa.int32()), pa.array(words, pa.string())],
-                    ["owner", "key", "place", "word"],
+                    [keys.take(pa.array(rows, pa.int32())), pa.array(places, pa.int32()), pa.array(words, pa.string())],
+                    ["key", "place", "word"],
                 )
 
             for row in range(batch.num_rows):
-                text = batch.column(2)[row].as_py()
+                text = batch.column(1)[row].as_py()
                 other = _missing(splitter, table, text)
                 rows += [row] * len(other)
                 places += range(len(other))
                 words += other
                 if len(rows) > _COUNTED:
-                    yield flush(batch.columns)
+                    yield flush(batch.column(0))
                     rows, places, words = [], [], []
-            yield flush(batch.columns)
+            yield flush(batch.column(0))
 
-    return texts.select("owner", "key", "text").mapInArrow(run, "owner long, key long, place int, word string")
+    return texts.select("key", "text").mapInArrow(run, "key long, place int, word string")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
-    """Return (owner, key, doc, packed) with compressed texts, which are what is shuffled."""
+    """Return (key, doc, packed) with compressed texts, which are what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
                 part = batch.slice(low, 1000)
-                packed = [press.compress(x.encode("utf-8", "surrogatepass")) for x in part.column(3).to_pylist()]
-                columns = [*part.columns[:3], pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(columns, ["owner", "key", "doc", "packed"])
+                packed = [press.compress(x.encode("utf-8", "surrogatepass")) for x in part.column(2).to_pylist()]
+                columns = [*part.columns[:2], pa.array(packed, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "packed"])
 
-    return texts.select("owner", "key", "doc", "text").mapInArrow(run, "owner long, key long, doc long, packed binary")
+    return texts.select("key", "doc", "text").mapInArrow(run, "key long, doc long, packed binary")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,17 +247,18 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     with open(path, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    # Id and digest gather a text's words. Rows that are alike in both share one and the same list.
-    texts = texts.withColumns({"owner": F.coalesce("doc", F.lit(-1)), "key": F.xxhash64("text")})
+    # The key gathers a text's words; rows that are alike in id and text share one list. Should the keys of two others
+    # ever meet, their lists no longer fit and the words are encoded on the spot.
+    texts = texts.withColumn("key", F.xxhash64("doc", "text"))
     kind = "<u2" if len(piece_table(path)) <= 1 << 16 else "<i4"
     table = reliable_checkpoint(encode_words(count_words(texts, spec), spec, kind))
     head = spark.sparkContext.broadcast(_head(table))
     other = (
         _other_words(texts, spec, head)
         .join(table.select("word", "ids"), "word")
-        .groupBy("owner", "key")
+        .groupBy("key")
         .agg(F.array_sort(F.collect_set(F.struct("place", "ids"))).alias("other"))
-        .select("owner", "key", F.col("other.ids").alias("ids"))
+        .select("key", F.col("other.ids").alias("ids"))
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,7 +280,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     chunks = splitter.chunks(text)
                     parts = list(map(known.get, chunks))
                     if None in parts:
-                        own = dict(zip(_missing(splitter, known, text), ids, strict=True)) if ids else {}
+                        missing = _missing(splitter, known, text)
+                        if len(missing) != len(ids or ()):
+                            ids = [x.astype(kind).tobytes() for x in word_encoder(spec.value)(missing)]
+                        own = dict(zip(missing, ids or (), strict=True))
                         for i, found in enumerate(parts):
                             if found is None:
                                 words = splitter.words(chunks[i])
@@ -292,7 +297,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             if docs_:
                 yield flush()
 
-    joined = _packed(texts).join(other, ["owner", "key"], "left").select("doc", "packed", "ids")
+    joined = _packed(texts).join(other, "key", "left").select("doc", "packed", "ids")
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
 
 
