@@ -26,13 +26,13 @@ from tokenizers import Tokenizer
 
 from assaysift.session import reliable_checkpoint
 
-#: Words of the broadcast table at most; with their ids they take about 8 MB.
-HEAD_WORDS = 1 << 18
+#: Words of the broadcast table at most; with their ids they take about 12 MB.
+HEAD_WORDS = 3 << 17
 #: Longer words never enter that table.
 HEAD_CHARS = 64
 #: Distinct entries that a task's counter holds before it is emptied.
 _COUNTED = 150_000
-_ODD_SPACE = regex.compile("[\x1c-\x1f]")
+_ODD_SPACE = "\x1c\x1d\x1e\x1f"
 _SPACE = regex.compile(r"\p{White_Space}+")
 #: Beyond the old alphabets the character tables of libraries differ by edition; there the library's own are asked.
 _NEWER = regex.compile("[^\0-\u04ff]")
@@ -52,31 +52,35 @@ class Splitter:
         bare = spec | {"added_tokens": [], "truncation": None, "padding": None, "pre_tokenizer": steps[0]}
         bare["model"] = spec["model"] | {"vocab": {}, "merges": []}  # only the rules of form and splitting are asked
         self.library = Tokenizer.from_str(json.dumps(bare))
-        special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
-        self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self.special = sorted((x["content"] for x in spec["added_tokens"]), key=len, reverse=True)
+        self.split_special = regex.compile("|".join(map(regex.escape, self.special)) or "(?!)")
 
     def chunks(self, text: str) -> list[str]:
         """Return runs between white space, lower-cased; special strings stand alone."""
-        if self.special is None or not self.special.search(text):
+        if not any(x in text for x in self.special):
             return self._chunks(text)
         out, at = [], 0
-        for found in self.special.finditer(text):
+        for found in self.split_special.finditer(text):
             out += self._chunks(text[at : found.start()])
             out.append(" " + found[0])  # a blank occurs in no other chunk
             at = found.end()
         return out + self._chunks(text[at:])
 
     def _chunks(self, text: str) -> list[str]:
-        if _NEWER.search(text):
-            return [x for x in _SPACE.split(self.library.normalizer.normalize_str(text)) if x]
-        text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
-        return [x for x in _SPACE.split(text) if x] if _ODD_SPACE.search(text) else text.split()
+        try:
+            text.encode("latin-1")  # such texts are in composed form already
+        except UnicodeEncodeError:
+            if _NEWER.search(text):
+                return [x for x in _SPACE.split(self.library.normalizer.normalize_str(text)) if x]
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+        text = text.lower()
+        return [x for x in _SPACE.split(text) if x] if any(x in text for x in _ODD_SPACE) else text.split()
 
     def words(self, chunk: str) -> list[str]:
         """Return the words of a chunk; special strings keep their mark."""
         if chunk[0] == " ":
             return [chunk]
-        if _NEWER.search(chunk):
+        if not chunk.isascii() and _NEWER.search(chunk):
             return [chunk[i:j] for _, (i, j) in self.library.pre_tokenizer.pre_tokenize_str(chunk)]
         if chunk.isalpha():
             return [chunk]
@@ -280,14 +284,14 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                     chunks = splitter.chunks(text)
                     parts = list(map(known.get, chunks))
                     if None in parts:
-                        missing = _missing(splitter, known, text)
+                        open_chunks = {i: splitter.words(chunks[i]) for i, found in enumerate(parts) if found is None}
+                        # The same words in the same order as _missing gives them.
+                        missing = sorted({w for words in open_chunks.values() for w in words if w not in known})
                         if len(missing) != len(ids or ()):
                             ids = [x.astype(kind).tobytes() for x in word_encoder(spec.value)(missing)]
-                        own = dict(zip(missing, ids or (), strict=True))
-                        for i, found in enumerate(parts):
-                            if found is None:
-                                words = splitter.words(chunks[i])
-                                parts[i] = b"".join([known[w] if w in known else bytes(own[w]) for w in words])
+                        own = dict(zip(missing, map(bytes, ids or ()), strict=True))
+                        for i, words in open_chunks.items():
+                            parts[i] = b"".join([known[w] if w in known else own[w] for w in words])
                     docs_.append(doc)
                     out.append(np.frombuffer(b"".join(parts), kind))
                     size += len(out[-1])
@@ -296,6 +300,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         docs_, out, size = [], [], 0
             if docs_:
                 yield flush()
+        _made.pop("head", None)  # workers live on, perhaps for other work
 
     joined = _packed(texts).join(other, "key", "left").select("doc", "packed", "ids")
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
@@ -316,7 +321,7 @@ def _lookup(pieces: np.ndarray, ids: pa.ListScalar) -> tuple[np.ndarray, str]:
     """Return the ids of a row and the pieces that they stand for, joined by blanks."""
     ids = np.asarray(ids.values) if ids.is_valid else np.zeros(0, np.int32)
     known = ids[(ids >= 0) & (ids < len(pieces))]
-    return ids, " ".join(filter(None, pieces[known].tolist()))
+    return ids, " ".join([x for x in pieces[known].tolist() if x])
 
 
 def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:

@@ -1,6 +1,6 @@
 """Vectorised words and shingles of whole Arrow text columns.
 
-Texts are handled as UTF-8 bytes in pieces of a few megabytes, so the memory a task needs does not depend on the size of a
+Texts are handled as UTF-8 bytes in pieces of half a megabyte, so the memory a task needs does not depend on the size of a
 batch, only on the longest single text. Words are hashed to 64 bits by a rolling polynomial and mixed.
 """
 
@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text handled at once; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 19
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93
 _UNBASE = pow(_BASE, -1, 1 << 64)
