@@ -1,8 +1,9 @@
 """Training passages that copy, edit or paraphrase benchmark items.
 
-Seeds are word n-grams of the items: of each item the half that occurs in fewest training documents. A bitmap of fixed size,
-built from the seeds, travels to all tasks, which keep only the surroundings of its hits; an exact join by n-gram then pairs
-passages with items, and a local alignment of their words scores each pair.
+Seeds are rare word n-grams of the items. Rare means by chance: the frequencies of its words in the training texts make an
+n-gram unlikely there, however often the passage itself has been copied. A bitmap of fixed size, built from the seeds,
+travels to all tasks, which keep only the surroundings of its hits; an exact join by n-gram then pairs passages with items,
+and a local alignment of their words scores each pair.
 """
 
 from __future__ import annotations
@@ -21,6 +22,8 @@ from assaysift.session import reliable_checkpoint
 #: Bits of the bitmap that is sent to all tasks, whatever the number of items: 4 MB.
 BITMAP_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
+#: An n-gram is rare if chance puts it into fewer documents than one in a hundred.
+RARE = 0.01
 _MATCH, _MISS, _GAP = 2, -1, -1
 
 
@@ -40,7 +43,7 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def item_ngrams(items: DataFrame, n: int) -> DataFrame:
-    """Return distinct (item, gram) of ``items`` (item, words)."""
+    """Return distinct (item, gram, parts) of ``items`` (item, words): n-grams with the single-word n-grams they hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -48,12 +51,21 @@ def item_ngrams(items: DataFrame, n: int) -> DataFrame:
             words = np.asarray(lists.flatten()).view(np.uint64)
             first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
             grams, at = W.ngrams(words, first, n, False)
+            single, _ = W.ngrams(words, first, 1, False)
             rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
+            place = first[rows] + np.arange(len(rows)) - at[rows]
+            parts = single[place[:, None] + np.arange(n)].reshape(-1) if len(rows) else single[:0]
+            bounds = pa.array(np.arange(0, len(rows) * n + 1, n, dtype=np.int32))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(rows)), pa.array(grams.view(np.int64))], ["item", "gram"]
+                [
+                    batch.column(0).take(pa.array(rows)),
+                    pa.array(grams.view(np.int64)),
+                    pa.ListArray.from_arrays(bounds, pa.array(parts.view(np.int64))),
+                ],
+                ["item", "gram", "parts"],
             )
 
-    return items.mapInArrow(run, "item long, gram long").distinct()
+    return items.mapInArrow(run, "item long, gram long, parts array<long>").distinct()
 
 
 def _bitmap(grams: DataFrame) -> np.ndarray:
@@ -78,39 +90,47 @@ def _hits(bitmap: np.ndarray, grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero((bitmap[bit >> np.uint64(3)] >> (np.uint8(7) - (bit & np.uint64(7)).astype(np.uint8))) & np.uint8(1))
 
 
-def document_counts(texts: DataFrame, bitmap, n: int) -> DataFrame:
-    """Return (gram, documents) for the n-grams of ``texts`` that the bitmap holds: how many texts have each."""
+def word_counts(texts: DataFrame, bitmap) -> DataFrame:
+    """Return (word, n): how often ``texts`` hold each word that the bitmap has; at null the number of all words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
+        bits, total = bitmap.value, 0
         for batch in batches:
-            found = []
+            found = [np.zeros(0, np.uint64)]
             for _, data, offsets in W.pieces(batch.column(0)):
                 start, end, first = W.spans(data, offsets, W.ALNUM)
-                grams, at = W.ngrams(W.word_hashes(data, start, end), first, n, False)
-                hits = _hits(bits, grams)
-                rows = np.searchsorted(at, hits, "right")
-                pairs = np.unique(np.stack((rows.astype(np.uint64), grams[hits]), 1), axis=0)
-                found.append(pairs[:, 1])
-            grams, counts = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.uint64), np.zeros(0, int))
-            yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(counts, pa.int64())], ["gram", "n"])
+                words, _ = W.ngrams(W.word_hashes(data, start, end), first, 1, False)
+                total += len(words)
+                found.append(words[_hits(bits, words)])
+            words, counts = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])
 
-    return texts.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("documents"))
+    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def rare_seeds(grams: DataFrame, counts: DataFrame) -> DataFrame:
-    """Return (item, gram) with the rarer half of each item's n-grams, ties to the smaller hash.
+def rare_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
+    """Return (item, gram) of ``grams`` (item, gram, parts) with the n-grams that chance makes rare.
 
-    The cut is relative to the item, so a passage that very many documents copy keeps as many seeds as any other.
+    Of every item the quarter that is least likely by chance is taken in any case, ties to the smaller hash, so an item
+    made of common words alone has seeds as well.
     """
-    # An item's n-grams are as many as its own words, so they are ranked within its row.
-    ranked = (
-        grams.join(counts, "gram", "left")
-        .groupBy("item")
-        .agg(F.array_sort(F.collect_list(F.struct(F.coalesce("documents", F.lit(0)).alias("documents"), "gram"))).alias("grams"))
+    total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
+    known = counts.filter("word is not null").select("word", F.log(F.col("n") / F.lit(float(max(total, 1)))).alias("chance"))
+    # A word that no text holds makes its n-grams useless as seeds, so an inner count of words drops them.
+    likely = (
+        grams.select("item", "gram", F.size("parts").alias("size"), F.explode("parts").alias("word"))
+        .join(known, "word")
+        .groupBy("item", "gram", "size")
+        .agg(F.sum("chance").alias("chance"), F.count("*").alias("held"))
+        .filter("held = size")
+        .select("item", "gram", (F.exp("chance") * float(total) / float(max(documents, 1))).alias("chance"))
     )
-    half = F.slice("grams", 1, F.greatest(F.lit(1), F.ceil(F.size("grams") / 2)).cast("int"))
-    return ranked.select("item", F.explode(F.transform(half, lambda x: x["gram"])).alias("gram"))
+    # An item's n-grams are as many as its own words, so they are ranked within its row.
+    ranked = likely.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("chance", "gram"))).alias("grams"))
+    quarter = F.ceil(F.size("grams") / 4)
+    kept = F.filter("grams", lambda x, i: (x["chance"] <= RARE) | (i < quarter))
+    return ranked.select("item", F.explode(F.transform(kept, lambda x: x["gram"])).alias("gram"))
 
 
 def passages(texts: DataFrame, bitmap, n: int, reach: int) -> DataFrame:
@@ -227,8 +247,9 @@ def find_contamination(
         item_words(items, item_col, item_text_col).filter((F.col("item").isNotNull()) & (F.size("words") >= n)).distinct()
     )
     grams = reliable_checkpoint(item_ngrams(known, n))
-    counts = document_counts(texts, context.broadcast(_bitmap(grams.select("gram"))), n)
-    seeds = reliable_checkpoint(rare_seeds(grams, counts))
+    held = grams.select(F.explode("parts").alias("gram"))
+    counts = reliable_checkpoint(word_counts(texts, context.broadcast(_bitmap(held))))
+    seeds = reliable_checkpoint(rare_seeds(grams, counts, texts.count()))
     longest = known.agg(F.max(F.size("words"))).first()[0] or 0
     found = passages(texts, context.broadcast(_bitmap(seeds.select("gram"))), n, longest)
     found = reliable_checkpoint(found)
