@@ -21,8 +21,8 @@ def ensemble_columns(members: Column) -> tuple[Column, Column]:
 
 
 def safe_spread(spread: Column) -> Column:
-    """Keep the spread away from zero."""
-    return F.greatest(spread, F.lit(EPSILON))
+    """Keep a known spread away from zero; an unknown one stays unknown."""
+    return F.when(spread.isNotNull(), F.greatest(spread, F.lit(EPSILON)))
 
 
 def standardized_residual(label: Column, mean: Column, spread: Column) -> Column:

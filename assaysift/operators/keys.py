@@ -104,7 +104,9 @@ def merge_diagnostics(frames: Sequence[DataFrame], keys: Sequence[str], columns:
         if not new:
             continue
         seen.update(new)
-        parts.append(frame.select(*[col(k) for k in keys], *[col(c) for c in new]).dropDuplicates(list(keys)))
+        # Of rows that repeat a key the one with the largest values counts, so the choice does not depend on row order.
+        best = frame.groupBy(*[col(k) for k in keys]).agg(F.max(F.struct(*[col(c) for c in new])).alias("__best"))
+        parts.append(best.select(*[col(k) for k in keys], "__best.*"))
     if not parts:
         return None
     return reduce(lambda a, b: a.join(b, list(keys), "outer"), parts)

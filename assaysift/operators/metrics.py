@@ -27,8 +27,8 @@ def enrichment_name(fraction: float) -> str:
 
 
 def hit(label: Column, threshold: float) -> Column:
-    """Return 1 where a label reaches the threshold, else 0."""
-    return F.when(label >= F.lit(float(threshold)), 1).otherwise(0)
+    """Return 1 where a label reaches the threshold, else 0, also for a missing or NaN label."""
+    return F.when((label >= F.lit(float(threshold))) & ~F.isnan(label.cast("double")), 1).otherwise(0)
 
 
 def safe_corr(x: Column, y: Column) -> Column:

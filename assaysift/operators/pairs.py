@@ -47,11 +47,16 @@ def eligible_rows(df: DataFrame, members: Members) -> DataFrame:
 
 
 def wide_by_target(rows: DataFrame, size: int, values: Mapping[str, Column]) -> DataFrame:
-    """Return one row per (dataset, id) with ``<value>_<i>`` for the i-th member target."""
-    picks = [
-        F.max(F.when(col("__at") == i, value)).alias(f"{name}_{i}") for name, value in values.items() for i in range(size)
-    ]
-    return rows.groupBy("dataset_label", "id").agg(*picks)
+    """Return one row per (dataset, id) with ``<value>_<i>`` for the i-th member target.
+
+    Of rows that repeat a cell the one with the largest values counts as a whole: values of two rows are never mixed.
+    """
+    cell = F.struct(*[value.alias(name) for name, value in values.items()])
+    picks = [F.max(F.when(col("__at") == i, cell)).alias(f"__cell_{i}") for i in range(size)]
+    wide = rows.groupBy("dataset_label", "id").agg(*picks)
+    return wide.select(
+        "dataset_label", "id", *[F.col(f"__cell_{i}").getField(n).alias(f"{n}_{i}") for n in values for i in range(size)]
+    )
 
 
 def _per_dataset(members: Members, position: int, field: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from assaysift.functions.labels import candidate_key
 from assaysift.functions.numeric import col, number, round_floats
-from assaysift.operators.keys import require_columns, require_none
+from assaysift.operators.keys import require_columns, require_none, require_unique
 from assaysift.operators.metrics import higher_is_better
 from assaysift.operators.models import COMPLEXITY, UNKNOWN_COMPLEXITY
 
@@ -227,6 +227,7 @@ def attach_outer_metric(selected_trials: DataFrame, folds: DataFrame, metric: st
     right = folds.withColumn("outer_fold", col("outer_fold").cast("int")).select(
         *keys, number(metric).alias(f"outer_fold_{metric}")
     )
+    require_unique(right, keys, "fold metrics")
     joined = left.join(right, keys, "left")
     missing = joined.where(col(f"outer_fold_{metric}").isNull())
     require_none(

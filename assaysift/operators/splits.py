@@ -1,8 +1,7 @@
 """Folds, holdouts, bootstrap weights and stratified samples.
 
-Rows are addressed by ``row_pos``, a 0-based position in a stated order. Up to ``DRIVER_ROWS`` rows, seeded permutations
-are drawn on the driver and shipped as a broadcast table of 16 bytes per row. Beyond that, rows are permuted by a keyed
-digest: fold sizes are the same, the assignment is a different random one.
+Rows are addressed by ``row_pos``, a 0-based position in a stated order. All randomness comes from digests keyed by seed and
+position, by one rule at every size, so nothing is drawn on the driver.
 """
 
 from __future__ import annotations
@@ -11,7 +10,6 @@ from collections.abc import Sequence
 from typing import Any
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +17,6 @@ from assaysift.functions.numeric import col
 from assaysift.functions.ordering import row_positions
 from assaysift.operators.keys import require_columns
 
-DRIVER_ROWS = 1_000_000
 DRIVER_GROUPS = 1_000_000
 ROW = "row_pos"
 
@@ -47,12 +44,6 @@ def fold_sizes(n: int, n_splits: int) -> list[int]:
     return [n // n_splits + (1 if i < n % n_splits else 0) for i in range(n_splits)]
 
 
-def _ship(df: DataFrame, table: pd.DataFrame, schema: str) -> DataFrame:
-    """Join a driver-made (row_pos, ...) table, bounded by DRIVER_ROWS, to the rows."""
-    small = df.sparkSession.createDataFrame(table, schema)
-    return df.join(F.broadcast(small), ROW)
-
-
 def block_of(position: Column, total: Column, n_splits: int) -> Column:
     """Return the fold of a 0-based position when positions fill the folds block by block."""
     base = F.floor(total / F.lit(n_splits))
@@ -80,24 +71,17 @@ def random_kfold(
 ) -> DataFrame:
     """Assign random folds to rows addressed by ``row_pos``."""
     n = df.count()
-    sizes = fold_sizes(n, n_splits)
-    if n > DRIVER_ROWS:
-        if shuffle:
-            return digest_folds(df, [ROW], n_splits, random_state, out)
-        return df.withColumn(out, block_of(F.col(ROW), F.lit(n), n_splits))
-    order = np.arange(n)
+    fold_sizes(n, n_splits)
     if shuffle:
-        np.random.RandomState(random_state).shuffle(order)
-    folds = np.empty(n, dtype=np.int32)
-    folds[order] = np.repeat(np.arange(n_splits, dtype=np.int32), sizes)
-    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: folds}), f"{ROW} long, `{out}` int")
+        return digest_folds(df, [ROW], n_splits, random_state, out)
+    return df.withColumn(out, block_of(F.col(ROW), F.lit(n), n_splits))
 
 
 def greedy_groups(counts: Sequence[tuple[Any, int]], n_splits: int) -> dict[Any, int]:
     """Assign groups, largest first, each to the currently lightest fold."""
     loads = [0] * n_splits
     assigned = {}
-    for group, size in sorted(sorted(counts, key=lambda c: c[0], reverse=True), key=lambda c: -c[1]):
+    for group, size in sorted(sorted(counts, key=lambda c: (c[0] is not None, c[0] if c[0] is not None else 0), reverse=True), key=lambda c: -c[1]):
         lightest = loads.index(min(loads))
         assigned[group] = lightest
         loads[lightest] += size
@@ -117,8 +101,8 @@ def group_kfold(df: DataFrame, group_column: str, n_splits: int = 5, out: str =
         raise ValueError(f"Cannot have number of splits {n_splits} greater than the number of groups {len(largest)}")
     assigned = greedy_groups([(r["__g"], r["__n"]) for r in largest], n_splits)
     kind = dict(sizes.dtypes)["__g"]
-    table = df.sparkSession.createDataFrame(list(assigned.items()), f"`{group_column}` {kind}, `{out}` int")
-    joined = df.join(F.broadcast(table), group_column, "left")
+    table = df.sparkSession.createDataFrame(list(assigned.items()), f"__g {kind}, `{out}` int")
+    joined = df.join(F.broadcast(table), col(group_column).eqNullSafe(F.col("__g")), "left").drop("__g")
     dealt = F.pmod(F.xxhash64(col(group_column)), F.lit(n_splits)).cast("int")
     return joined.withColumn(out, F.coalesce(out, dealt))
 
@@ -131,12 +115,8 @@ def random_holdout(
         raise ValueError("validation_fraction must be between 0 and 1")
     n = df.count()
     n_test = int(np.ceil(n * validation_fraction))
-    if n > DRIVER_ROWS:
-        placed = row_positions(df.withColumn("__d", digest(random_state, ROW)), [], [("__d", True), (ROW, True)], "__p")
-        return placed.withColumn(out, F.col("__p") <= n_test).drop("__d", "__p")
-    flags = np.zeros(n, dtype=bool)
-    flags[np.random.RandomState(random_state).permutation(n)[:n_test]] = True
-    return _ship(df, pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: flags}), f"{ROW} long, `{out}` boolean")
+    placed = row_positions(df.withColumn("__d", digest(random_state, ROW)), [], [("__d", True), (ROW, True)], "__p")
+    return placed.withColumn(out, F.col("__p") <= n_test).drop("__d", "__p")
 
 
 def holdout_by_column(df: DataFrame, holdout_column: str, holdout_values: Sequence, out: str = "is_test") -> DataFrame:
@@ -192,12 +172,14 @@ def bootstrap_weights(df: DataFrame, n_bootstrap: int, random_state: int = 42, o
     n = df.count()
     if n == 0:
         raise ValueError("Cannot bootstrap an empty table")
-    if n * n_bootstrap > 10 * DRIVER_ROWS:
-        return df.withColumn(out, poisson_weights([ROW], n_bootstrap, random_state))
-    rng = np.random.default_rng(random_state)
-    counts = [np.bincount(rng.choice(n, size=n, replace=True), minlength=n) for _ in range(n_bootstrap)]
-    table = pd.DataFrame({ROW: np.arange(n, dtype=np.int64), out: np.stack(counts, axis=1).tolist()})
-    return _ship(df, table, f"{ROW} long, `{out}` array<int>")
+    # Every row casts one draw per resample: a resample of n rows is n draws of positions, counted where they fall.
+    drawn = df.select(ROW, F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("__b"))
+    text = F.md5(F.concat_ws(":", F.lit(str(random_state)), col("__b").cast("string"), col(ROW).cast("string")))
+    share = F.conv(F.substring(text, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+    hits = drawn.select(F.floor(share * n).cast("long").alias(ROW), "__b")
+    counts = hits.groupBy(ROW).agg(*[F.count(F.when(F.col("__b") == b, 1)).cast("int").alias(f"__w{b}") for b in range(n_bootstrap)])
+    table = counts.select(ROW, F.array(*[f"__w{b}" for b in range(n_bootstrap)]).alias(out))
+    return df.join(table, ROW, "left").withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0), n_bootstrap)))
 
 
 def stratified_sample(

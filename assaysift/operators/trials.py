@@ -126,7 +126,8 @@ def score_landscape(trials: DataFrame, bins: int = BIN_COUNT, strategy: str = "a
     )
     if "target_class_label" not in trials.columns:
         trials = trials.withColumn("target_class_label", dataset_label(col("dataset_label")))
-    families = {r[0] for r in trials.select("model_type").distinct().limit(100).collect()} & set(LANDSCAPE)
+    known = trials.where(col("model_type").isin(list(LANDSCAPE)))
+    families = {r[0] for r in known.select("model_type").distinct().collect()}
     if not families:
         raise ValueError("No configured model-parameter inner-CV landscape rows found.")
     for model_type in sorted(families):

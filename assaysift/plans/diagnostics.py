@@ -172,7 +172,7 @@ def extrapolation_diagnostics(
     paths, summaries = {}, []
     for label in labels:
         selected = results.final_inference(spark, results_dir, round_id, label)
-        targets = [r[0] for r in selected.select("target").distinct().limit(1000).collect()]
+        targets = [r[0] for r in selected.select("target").distinct().collect()]
         classes = sorted({registry.get_target(t).target_class for t in targets})
         stacked = {
             "library": [tables.load_library(spark, data_dir, c, with_source=True) for c in classes],

@@ -66,13 +66,18 @@ def local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, s
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """Return this session's folder below the shared checkpoint directory, a local one only where none is set."""
+    """Return this session's folder below the shared checkpoint directory.
+
+    Only a session whose driver and executors are one process may do without that setting; it gets a temporary folder.
+    """
     found = getattr(spark, "_assaysift_folder", None)
     if found is None:
         context = spark.sparkContext
         root = context._jsc.sc().getCheckpointDir()
         shared = root.get() if root.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
         if shared is None:
+            if not context.master.split("[")[0] == "local":
+                raise RuntimeError("spark.checkpoint.dir has to name a folder that all executors share")
             shared = tempfile.mkdtemp(prefix="assaysift-checkpoint-")
         found = f"{shared.rstrip('/')}/assaysift-{uuid.uuid4().hex}"
         spark._assaysift_folder = found

@@ -1,3 +1,5 @@
+import hashlib
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -65,34 +67,37 @@ def test_metric_names_and_directions():
         metrics.top_k(F.lit(1), 0.0)
 
 
-def test_random_folds_follow_the_seeded_permutation(spark):
+def _md5(*parts):
+    return hashlib.md5(":".join(map(str, parts)).encode()).hexdigest()
+
+
+def test_random_assignments_follow_the_keyed_digest(spark):
     n = 53
     df = splits.with_row_pos(spark.range(n).withColumnRenamed("id", "k"), ["k"])
     got = pdf(splits.random_kfold(df, 5, True, 42), "row_pos")
-    order = np.arange(n)
-    np.random.RandomState(42).shuffle(order)
-    start = 0
+    order, start = sorted(range(n), key=lambda i: _md5(42, i)), 0
     for fold, size in enumerate([11, 11, 11, 10, 10]):
         assert set(got.loc[got["fold"] == fold, "row_pos"]) == set(order[start : start + size])
         start += size
     held = pdf(splits.random_holdout(df, 0.2, 43), "row_pos")
-    assert set(held.loc[held["is_test"], "row_pos"]) == set(np.random.RandomState(43).permutation(n)[:11])
+    assert set(held.loc[held["is_test"], "row_pos"]) == set(sorted(range(n), key=lambda i: _md5(43, i))[:11])
     weights = pdf(splits.bootstrap_weights(df, 3, 7), "row_pos")
-    rng = np.random.default_rng(7)
     for b in range(3):
-        expected = np.bincount(rng.choice(n, size=n, replace=True), minlength=n)
-        assert [w[b] for w in weights["weights"]] == list(expected)
-
-
-def test_large_tables_fold_by_digest(spark, monkeypatch):
-    monkeypatch.setattr(splits, "DRIVER_ROWS", 10)
-    df = splits.with_row_pos(spark.range(53).withColumnRenamed("id", "k"), ["k"])
-    folds = pdf(splits.random_kfold(df, 5), "row_pos")
-    assert sorted(folds["fold"].value_counts()) == [10, 10, 11, 11, 11]
-    held = pdf(splits.random_holdout(df, 0.2))
-    assert held["is_test"].sum() == 11
-    drawn = pdf(splits.bootstrap_weights(df, 2, 7))
-    assert all(len(w) == 2 for w in drawn["weights"])
+        drawn = [int(_md5(7, b, i)[:13], 16) / 2**52 * n for i in range(n)]
+        assert [w[b] for w in weights["weights"]] == list(np.bincount(np.array(drawn, int), minlength=n))
+
+
+def test_missing_group_is_a_group_of_its_own(spark):
+    df = spark.createDataFrame([(g, i) for g in ("a", "b", None) for i in range(4)], "g string, i int")
+    got = pdf(splits.group_kfold(df, "g", 3))
+    assert sorted(got["fold"].value_counts()) == [4, 4, 4] and got.loc[got["g"].isna(), "fold"].nunique() == 1
+
+
+def test_unknown_spread_and_label_stay_unknown(spark):
+    row = spark.sql("SELECT CAST(NULL AS DOUBLE) s, 0D z, CAST('NaN' AS DOUBLE) l").select(
+        conformal.safe_spread(F.col("s")).alias("s"), conformal.safe_spread(F.col("z")).alias("z"), metrics.hit(F.col("l"), 5.0).alias("h")
+    ).first()
+    assert row["s"] is None and row["z"] == 1e-6 and row["h"] == 0
 
 
 def test_groups_are_never_split(spark):
