@@ -1,7 +1,8 @@
 """Every operator applied to the benchmark tables, as (session, directory) -> DataFrame callables.
 
-The star-schema tables stand in for screening data: parts are compounds, line numbers are scoring methods, return flags
-are targets, brands are scaffolds. All queries read the whole tables.
+The star-schema tables stand in for screening data: parts are compounds, line numbers (by remainder) are scoring methods,
+return flags are targets, brands with sizes are scaffolds, orders are assay labels with the customer's number for the
+compound. All queries read the whole tables.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
 
 TARGET_OF_FLAG = {"A": "na_ph1n1", "N": "na_h3n2", "R": "na_h5n1"}
+TARGET_OF_STATUS = {"F": "na_ph1n1", "O": "na_h3n2", "P": "na_h5n1"}
 
 
 def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -64,8 +66,8 @@ def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Long method predictions: one row per (method, id, target)."""
-    rows = _table(spark, sf, "lineitem").where("l_linenumber <= 6")
-    method = _choose(F.col("l_linenumber"), {i + 1: m for i, m in enumerate(registry.METHODS)})
+    rows = _table(spark, sf, "lineitem")
+    method = _choose((F.col("l_linenumber") - 1) % 6, dict(enumerate(registry.METHODS)))
     return rows.groupBy(
         method.alias("method"),
         F.col("l_partkey").cast("string").alias("id"),
@@ -75,12 +77,11 @@ def predictions(spark: SparkSession, sf: str) -> DataFrame:
 
 def assay_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Label rows, several per compound and target, with their round."""
-    rows = _table(spark, sf, "lineitem").where("l_linenumber = 7")
-    return rows.select(
-        F.col("l_partkey").cast("string").alias("id"),
-        _choose(F.col("l_returnflag"), TARGET_OF_FLAG).alias("target"),
-        F.concat(F.lit("round_"), (F.col("l_suppkey") % 3).cast("string")).alias("round_id"),
-        (F.col("l_quantity") / 8).alias("label_pkd"),
+    return _table(spark, sf, "orders").select(
+        F.col("o_custkey").cast("string").alias("id"),
+        _choose(F.col("o_orderstatus"), TARGET_OF_STATUS).alias("target"),
+        F.concat(F.lit("round_"), (F.col("o_orderkey") % 3).cast("string")).alias("round_id"),
+        ((F.floor("o_totalprice") % 50 + 1) / 8).alias("label_pkd"),
     )
 
 
@@ -92,12 +93,12 @@ def labels(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def compounds(spark: SparkSession, sf: str) -> DataFrame:
-    """The compound library, with a brand for a scaffold and a type for a target class."""
+    """The compound library, with a brand and size for a scaffold and a type for a target class."""
     return _table(spark, sf, "part").select(
         F.lower("p_type").alias("target_class"),
         F.col("p_partkey").cast("string").alias("id"),
         F.col("p_name").alias("smiles"),
-        F.col("p_brand").alias("murcko_scaffold"),
+        F.concat_ws("/", "p_brand", F.col("p_size").cast("string")).alias("murcko_scaffold"),
         F.when(F.col("p_size") % 5 == 0, "acyclic").otherwise("murcko").alias("scaffold_type"),
     )
 
@@ -120,8 +121,7 @@ def oof_rows(spark: SparkSession, sf: str) -> DataFrame:
 def final_rows(spark: SparkSession, sf: str) -> DataFrame:
     """Stand-in final predictions for every complete key."""
     summary = features.rank_summary(features.method_table(predictions(spark, sf), scores=False))
-    strong = labels(spark, sf).where("label_pkd >= 6")
-    flagged = keys.flag_overlap(summary, strong, ["id", "target"], registry.OVERLAP)
+    flagged = keys.flag_overlap(summary, labels(spark, sf), ["id", "target"], registry.OVERLAP)
     return flagged.select(
         F.lit("na").alias("dataset_label"),
         "id",
@@ -270,15 +270,15 @@ def pooled_targets(spark, sf):
 
 
 def row_universe(spark, sf):
-    orders = _table(spark, sf, "orders").select("o_orderkey", "o_custkey")
-    shipped = _table(spark, sf, "lineitem").where("l_linestatus = 'F'").select(F.col("l_orderkey").alias("o_orderkey"))
-    returned = _table(spark, sf, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("o_orderkey"))
-    return keys.row_universe([orders, shipped, returned], ["o_orderkey"])
+    customers = _table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
+    buyers = _table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    suppliers = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("c_custkey"))
+    return keys.row_universe([customers, buyers, suppliers], ["c_custkey"])
 
 
 def overlap_flag(spark, sf):
     customers = _table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    bought = _table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    bought = _table(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
     return keys.flag_overlap(customers, bought, ["c_custkey"], "in_orders")
 
 
@@ -293,7 +293,7 @@ def merged_predictions(spark, sf):
         values = [F.col("prediction").alias("pred_mean"), F.col("spread").alias("pred_err")] if error else ["prediction"]
         return rows.select("id", "target", registry.OVERLAP, *values)
 
-    tables = {"balm": one("balm", True), "mammal": one("mammal", False), "pignet2": one("pignet2", True)}
+    tables = {m: one(m, m in {"balm", "pignet2"}) for m in ("balm", *[m for m in registry.METHODS if m != "balm"])}
     return keys.merge_predictions(tables, ["id", "target"], registry.OVERLAP)
 
 
@@ -305,7 +305,7 @@ def candidate_diagnostics(spark, sf):
 
 
 def registry_join(spark, sf):
-    rows = predictions(spark, sf).where("method = 'balm'").select("id", "target", F.lit("stale").alias("strain"))
+    rows = predictions(spark, sf).select("method", "id", "target", F.lit("stale").alias("strain"))
     return keys.add_registry(rows, registry.registry_table(spark))
 
 
@@ -350,9 +350,8 @@ def class_summary(spark, sf):
 
 def scaffold_annotations(spark, sf):
     library = compounds(spark, sf)
-    few = assay_rows(spark, sf).where("target = 'na_h5n1' AND label_pkd > 3.75")
     scaffolds = library.select("id", "murcko_scaffold", "scaffold_type")
-    return coverage.scaffold_annotations(library, few, scaffolds)
+    return coverage.scaffold_annotations(library, assay_rows(spark, sf), scaffolds)
 
 
 def cv_summary(spark, sf):
@@ -429,7 +428,6 @@ def outer_metric_trials(spark, sf):
     folds = fold_table(spark, sf)
     best = (
         trace_table(spark, sf)
-        .where("outer_fold IS NOT NULL AND dataset_label <> 'furin'")
         .groupBy("dataset_label", "outer_fold")
         .agg(F.max("tuning_score").alias("tuning_score"))
     )
@@ -724,8 +722,8 @@ def k_medoids(spark, sf):
 
 def scaffold_novelty(spark, sf):
     library = compounds(spark, sf)
-    few = assay_rows(spark, sf).where("target = 'na_h5n1' AND label_pkd > 6").join(library.select("id", "target_class"), "id")
-    return extrapolation.scaffold_novelty(library.drop("smiles"), few)
+    labelled = assay_rows(spark, sf).join(library.select("id", "target_class"), "id")
+    return extrapolation.scaffold_novelty(library.drop("smiles"), labelled)
 
 
 def _extrapolation(spark, sf):

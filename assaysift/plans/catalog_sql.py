@@ -29,9 +29,9 @@ TARGET = _case("l_returnflag", {"A": "na_ph1n1", "N": "na_h3n2", "R": "na_h5n1"}
 STRAIN = _case("target", {"na_ph1n1": "ph1n1", "na_h3n2": "h3n2", "na_h5n1": "h5n1"})
 
 PRED = f"""pred AS (
-  SELECT {_case("l_linenumber", {i + 1: m for i, m in enumerate(M)})} AS method, CAST(l_partkey AS VARCHAR) AS id,
+  SELECT {_case("(l_linenumber - 1) % 6", dict(enumerate(M)))} AS method, CAST(l_partkey AS VARCHAR) AS id,
          {TARGET} AS target, max(floor(l_extendedprice / 500)) AS prediction, min(l_discount) AS spread
-  FROM lineitem WHERE l_linenumber <= 6 GROUP BY 1, 2, 3)"""
+  FROM lineitem GROUP BY 1, 2, 3)"""
 RANKED = f"""{PRED}, ranked AS (
   SELECT *, (rank() OVER (PARTITION BY method, target ORDER BY prediction)
              + (count(*) OVER (PARTITION BY method, target, prediction) - 1) / 2.0)
@@ -58,14 +58,14 @@ SUMMARY_COLUMNS = {
 SUMMARY = f"""{WIDE}, summary AS (
   SELECT *, {", ".join(f"{e} AS {n}" for n, e in SUMMARY_COLUMNS.items())} FROM wide)"""
 ASSAY = f"""assay AS (
-  SELECT CAST(l_partkey AS VARCHAR) AS id, {TARGET} AS target, 'round_' || CAST(l_suppkey % 3 AS VARCHAR) AS round_id,
-         l_quantity / 8 AS label_pkd
-  FROM lineitem WHERE l_linenumber = 7)"""
+  SELECT CAST(o_custkey AS VARCHAR) AS id, {_case("o_orderstatus", {"F": "na_ph1n1", "O": "na_h3n2", "P": "na_h5n1"})} AS target,
+         'round_' || CAST(o_orderkey % 3 AS VARCHAR) AS round_id, (CAST(floor(o_totalprice) AS BIGINT) % 50 + 1) / 8 AS label_pkd
+  FROM orders)"""
 LABELS = f"""{ASSAY}, labels_ AS (
   SELECT id, target, 'na' AS target_class, {STRAIN} AS strain, 'C' || id AS smiles, max(label_pkd) AS label_pkd
   FROM assay GROUP BY id, target)"""
 LIBRARY = """library AS (
-  SELECT lower(p_type) AS target_class, CAST(p_partkey AS VARCHAR) AS id, p_name AS smiles, p_brand AS murcko_scaffold,
+  SELECT lower(p_type) AS target_class, CAST(p_partkey AS VARCHAR) AS id, p_name AS smiles, p_brand || '/' || CAST(p_size AS VARCHAR) AS murcko_scaffold,
          CASE WHEN p_size % 5 = 0 THEN 'acyclic' ELSE 'murcko' END AS scaffold_type
   FROM part)"""
 OOF = f"""{SUMMARY}, {LABELS}, oof0 AS (
@@ -80,7 +80,7 @@ oof AS (
 FINAL = f"""{SUMMARY}, {LABELS}, final AS (
   SELECT s.id, s.target, 1.0 + consensus_123_rank * 4.0 AS pred_mean,
          CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS in_experimental_data
-  FROM summary s LEFT JOIN (SELECT * FROM labels_ WHERE label_pkd >= 6) l ON s.id = l.id AND s.target = l.target)"""
+  FROM summary s LEFT JOIN labels_ l ON s.id = l.id AND s.target = l.target)"""
 
 
 def _fraction(column: str) -> str:
@@ -511,22 +511,25 @@ def oracle_sql() -> dict[str, str]:
         "FROM wide w JOIN library l ON l.id = w.id",
         "pooled_targets": f"WITH {PRED}, {LABELS} SELECT l.id, l.target, target_class, strain, smiles, label_pkd, "
         f'spread AS "{registry.SPREAD_COLUMN}" FROM labels_ l JOIN {_SPREAD} g ON l.id = g.id AND l.target = g.target',
-        "row_universe": "SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem "
-        "WHERE l_linestatus = 'F' INTERSECT SELECT l_orderkey FROM lineitem WHERE l_returnflag = 'R')",
-        "overlap_flag": "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') "
+        "row_universe": "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders "
+        "INTERSECT SELECT s_suppkey FROM supplier)",
+        "overlap_flag": "SELECT c_custkey, CASE WHEN EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) "
         "THEN 1 ELSE 0 END AS in_orders, c_mktsegment FROM customer",
-        "merged_predictions": f"WITH {PRED}, {LABELS}, one AS (SELECT id, target, prediction, spread FROM pred WHERE method = 'balm') "
-        "SELECT one.id, one.target, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END AS in_experimental_data, "
-        "one.prediction AS pred_mean_balm, one.spread AS pred_err_balm, m.prediction AS pred_mammal, "
-        "p.prediction AS pred_mean_pignet2, p.spread AS pred_err_pignet2 FROM one "
-        "LEFT JOIN labels_ l ON l.id = one.id AND l.target = one.target "
-        "LEFT JOIN (SELECT * FROM pred WHERE method = 'mammal') m ON m.id = one.id AND m.target = one.target "
-        "LEFT JOIN (SELECT * FROM pred WHERE method = 'pignet2') p ON p.id = one.id AND p.target = one.target",
+        "merged_predictions": f"WITH {PRED}, {LABELS}, one AS (SELECT id, target, "
+        + ", ".join(
+            f"max(CASE WHEN method = '{m}' THEN {v} END) AS {_q(f'{n}_{m}')}"
+            for m in M
+            for n, v in (
+                (("pred_mean", "prediction"), ("pred_err", "spread")) if m in {"balm", "pignet2"} else (("pred", "prediction"),)
+            )
+        )
+        + " FROM pred GROUP BY 1, 2 HAVING bool_or(method = 'balm')) SELECT one.*, CASE WHEN l.id IS NULL THEN 0 ELSE 1 END "
+        "AS in_experimental_data FROM one LEFT JOIN labels_ l ON l.id = one.id AND l.target = one.target",
         "candidate_diagnostics": f"WITH {SUMMARY}, a AS (SELECT id, target, method_rank_sd FROM summary WHERE method_rank_sd > 0.25), "
         "b AS (SELECT id, target, branch_rank_sd FROM summary WHERE method_rank_sd < 0.3) "
         "SELECT coalesce(a.id, b.id) AS id, coalesce(a.target, b.target) AS target, method_rank_sd, branch_rank_sd "
         "FROM a FULL JOIN b ON a.id = b.id AND a.target = b.target",
-        "registry_join": f"WITH {PRED} SELECT id, target, 'na' AS target_class, {STRAIN} AS strain FROM pred WHERE method = 'balm'",
+        "registry_join": f"WITH {PRED} SELECT method, id, target, 'na' AS target_class, {STRAIN} AS strain FROM pred",
         "unlabelled_compounds": f"WITH {LIBRARY}, {ASSAY} SELECT id, target_class FROM library WHERE NOT EXISTS "
         "(SELECT 1 FROM assay WHERE assay.id = library.id)",
         "duplicate_keys": "SELECT l_orderkey, l_linenumber, count(*) AS n_rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
@@ -543,7 +546,7 @@ def oracle_sql() -> dict[str, str]:
         "b AS (SELECT target_class, count(*) AS scaffold_count, CAST(sum(CASE WHEN scaffold_assayed_count > 0 THEN 1 ELSE 0 END) AS BIGINT) AS assayed_scaffold_count FROM scaffolds GROUP BY 1) "
         "SELECT a.target_class, library_size, assayed_count, assayed_count::DOUBLE / library_size AS assay_fraction, scaffold_count, "
         "assayed_scaffold_count, assayed_scaffold_count::DOUBLE / scaffold_count AS scaffold_coverage_fraction FROM a JOIN b ON a.target_class = b.target_class",
-        "scaffold_annotations": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay WHERE target = 'na_h5n1' AND label_pkd > 3.75), "
+        "scaffold_annotations": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay), "
         "c AS (SELECT library.id, murcko_scaffold, scaffold_type, count(*) OVER (PARTITION BY murcko_scaffold) AS scaffold_library_count, "
         "CAST(sum(CASE WHEN k.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY murcko_scaffold) AS BIGINT) AS scaffold_assayed_count "
         "FROM library LEFT JOIN k ON k.id = library.id), f AS (SELECT *, scaffold_assayed_count::DOUBLE / scaffold_library_count AS scaffold_coverage_fraction FROM c) "
@@ -573,7 +576,7 @@ def oracle_sql() -> dict[str, str]:
         f"{_case('comparison_name', FEATURE_LABEL)} AS feature_set_label, {_case('dataset_label', CLASS_LABEL)} AS target_class_label FROM trace WHERE outer_fold IS NOT NULL",
         "score_landscape": LANDSCAPE,
         "outer_metric_trials": f"WITH {FOLDS}, {TRACE}, b AS (SELECT dataset_label, outer_fold, max(tuning_score) AS tuning_score FROM trace "
-        "WHERE outer_fold IS NOT NULL AND dataset_label <> 'furin' GROUP BY 1, 2) SELECT f.dataset_label, f.outer_fold, comparison_name, model_type, p, tuning_mode, "
+        "GROUP BY 1, 2) SELECT f.dataset_label, f.outer_fold, comparison_name, model_type, p, tuning_mode, "
         "b.tuning_score, spearman AS outer_fold_spearman FROM folds f JOIN b ON f.dataset_label = b.dataset_label AND f.outer_fold = b.outer_fold",
         "running_best": f"WITH {TRACE} SELECT dataset_label, comparison_name, model_type, outer_fold, trial_number, tuning_score, max(tuning_score) OVER "
         "(PARTITION BY dataset_label, comparison_name, model_type, outer_fold ORDER BY trial_number) AS best_tuning_score_so_far FROM trace WHERE outer_fold IS NOT NULL",
@@ -620,7 +623,7 @@ def oracle_sql() -> dict[str, str]:
         "nearest_labelled_blocks": NEAREST_SQL,
         "tanimoto_distance_sums": DISTANCES,
         "tanimoto_distance_sums_blocks": DISTANCES,
-        "scaffold_novelty": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay WHERE target = 'na_h5n1' AND label_pkd > 6), "
+        "scaffold_novelty": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay), "
         "c AS (SELECT library.id, target_class, murcko_scaffold, scaffold_type, count(*) OVER (PARTITION BY target_class, murcko_scaffold) AS scaffold_library_count, "
         "CAST(sum(CASE WHEN k.id IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY target_class, murcko_scaffold) AS BIGINT) AS scaffold_labeled_count "
         "FROM library LEFT JOIN k ON k.id = library.id) SELECT *, scaffold_labeled_count::DOUBLE / scaffold_library_count AS scaffold_labeled_fraction, "
