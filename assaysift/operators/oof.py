@@ -125,15 +125,13 @@ def prepare_oof(
     require_columns(oof, REQUIRED, "oof table")
     if disagreement not in oof.columns:
         raise ValueError(
-            f"Requested disagreement column '{disagreement}' is missing. "
-            f"Available disagreement column(s): {available_disagreement(oof)}"
+            f"no column {disagreement} to bin by; these could serve: {available_disagreement(oof)}"
         )
     strategy = choose(oof, strategy)
     typed = oof.select(*[coerce_number(c).alias(c) if c in NUMERIC else col(c) for c in oof.columns])
     if not typed.where(col(disagreement).isNotNull()).limit(1).collect():
         raise ValueError(
-            f"Requested disagreement column '{disagreement}' has no non-null values. "
-            f"Available disagreement column(s): {available_disagreement(typed)}"
+            f"column {disagreement} is null throughout; these could serve: {available_disagreement(typed)}"
         )
     residual = col("label_pkd") - col("pred_mean")
     out = (

@@ -23,8 +23,8 @@ KEYS = list(registry.KEYS)
 TUNING_NAMES = {None: "no_tuning", "holdout": "holdout_tuning", "nested": "nested_tuning"}
 OUTER = "outer_fold"
 CAVEAT = (
-    "Selected OOF diagnostics are held out by outer CV for the selected candidate after model selection. "
-    "A later assay round is stronger external validation."
+    "These rows were held out by the same outer folds that chose the candidate, so they flatter it; "
+    "only labels of a later round test it independently."
 )
 
 
@@ -109,7 +109,7 @@ def compose_candidates(spark: SparkSession, job: Mapping[str, Any]) -> list[Cand
     universe = reliable_checkpoint(keys.row_universe([i for _, i in built], KEYS).select(*KEYS))
     for name, frame in (("training", rows), ("inference", universe)):
         if frame.isEmpty():
-            raise ValueError(f"No shared complete-case {name} rows remain across comparisons.")
+            raise ValueError(f"the comparisons have no complete {name} row in common")
     candidates = []
     for comparison, (training, inference) in zip(job["comparisons"], built, strict=True):
         features = tuple(assemble.feature_columns(training))
@@ -134,7 +134,7 @@ def compose_candidates(spark: SparkSession, job: Mapping[str, Any]) -> list[Cand
 def check_alignment(candidates: Sequence[Candidate]) -> None:
     """Check that all candidates hold the same rows in the same positions."""
     if not candidates:
-        raise ValueError("candidates must contain at least one candidate")
+        raise ValueError("no candidate to compare")
     first = candidates[0].training.select(*KEYS, splits.ROW, registry.LABEL)
     seen = {id(candidates[0].training)}
     for candidate in candidates[1:]:
@@ -169,9 +169,9 @@ def fold_table(job: Mapping[str, Any], rows: DataFrame) -> tuple[DataFrame, list
     elif mode == "nested":
         kind, params = job["inner_split_type"], job["inner_split_params"]
         if kind is None or params is None:
-            raise ValueError("inner_split_type and inner_split_params are required for nested tuning")
+            raise ValueError("nested tuning needs an inner split with its parameters")
     else:
-        raise ValueError(f"Unsupported tuning_mode: {mode}")
+        raise ValueError(f"no such way of tuning: {mode}")
     for k in [*outer, None]:
         train = out if k is None else out.where(~col(OUTER).eqNullSafe(F.lit(k)))
         renumbered = splits.with_row_pos(train.select(*KEYS, col(splits.ROW).alias("__old")), ["__old"])
@@ -375,7 +375,7 @@ def candidate_inference(job: Mapping[str, Any], candidate: Candidate, params: Ma
         )
         values = ["pred_mean", "pred_err"]
     else:
-        raise ValueError(f"Unsupported inference_mode: {mode}")
+        raise ValueError(f"no such way of inference: {mode}")
     rounded = out.select(*KEYS, *[round_half_even(col(v)).alias(v) for v in values])
     return keys.flag_overlap(rounded, candidate.training, KEYS, registry.OVERLAP)
 
@@ -548,7 +548,7 @@ def write_selected(
         if (c.comparison_name, c.model_type, c.p) == (best.comparison_name, best.model_type, best.p)
     ]
     if len(matches) != 1:
-        raise ValueError(f"Expected exactly one selected candidate, found {len(matches)}")
+        raise ValueError(f"{len(matches)} candidates are marked as selected, one is needed")
     at = matches[0]
     # Saved parameters are the displayed ones, at three digits; the held-out refits use those.
     shown = parse_params(format_params(final_params[at]))

@@ -146,8 +146,8 @@ def resolve_rounds(spark: SparkSession, data_dir: str, round_ids: Sequence[str]
     """Return the requested rounds, or all of them, checking that their label folders exist."""
     rounds = discover_rounds(spark, data_dir) if round_ids is None else list(round_ids)
     if not rounds:
-        raise ValueError("No assay round ids were provided or discovered.")
+        raise ValueError("no assay round was named or found")
     missing = [r for r in rounds if not files.is_dir(spark, files.join(data_dir, r, "assay_data"))]
     if missing:
-        raise FileNotFoundError(f"Assay data folder not found for round id(s): {missing}")
+        raise FileNotFoundError(f"rounds without an assay folder: {missing}")
     return rounds
