@@ -1,18 +1,15 @@
 """Orderings that scale: ranks, positions, prefix sums and exact quantiles inside groups.
 
-A window partitioned by a low-cardinality group sorts the whole group in one task. That is fine for small inputs and
-hopeless for large ones, so everything here knows two plans and picks by the size of what is scanned:
-
-``window``  one shuffle by group, ordinary window functions.
-``split``   the group is cut into slots of neighbouring values. Rows with equal values are first collapsed to one row
-            by a map-side combined aggregation; a deterministic content-hash sample of the distinct values gives the
-            cut points, at most about MAX_SLOTS over all groups, so that they can be broadcast; windows then run per
-            (group, slot) and slot totals carry the offsets. No task ever holds more than a slot, and a value shared
-            by a third of all rows is one row after the first aggregation.
-
-Both give the same numbers. The split plan reads its input and the collapsed values more than once, so it writes them to
-the shared checkpoint folder first: a chain of orderings then costs a sum of passes, not a product, and lost executors
-only re-read files.
+A window partitioned by a low-cardinality group sorts the whole group in one task, so nothing here does that unless it is
+told to. By default (``split``, at every size) rows are dealt by ranges of (group, order) and stored with the number of
+their range as a slot; windows then run per (group, slot), and the few totals of earlier slots are added. Where only
+values matter, rows of equal value collapse to one row first (map-side combine), so a value shared by a third of all rows
+is one row. No task holds more than a slot.
+
+``window`` is the plain form, one shuffle by group, for callers who know that every group fits into a task.
+
+Both give the same numbers. Placed rows are written to the shared checkpoint folder, so ranges are drawn once: a chain of
+orderings costs a sum of passes, not a product, and lost executors only re-read files.
 """
 
 from __future__ import annotations
@@ -23,20 +20,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
-from assaysift.session import is_small, reliable_checkpoint
+from assaysift.session import reliable_checkpoint
 
-# Values per slot, fewest slots of a split ordering, and most slots over all groups (which bounds the broadcast cuts).
-SLOT_ROWS = 1_000_000
-MIN_SLOTS = 64
-MAX_SLOTS = 65_536
 # A value held by more rows than this is replicated when its ranks go back to the rows.
 COPY_ROWS = 4_000_000
 
 
 def choose(df: DataFrame, strategy: str) -> str:
-    """Resolve ``auto`` to ``window`` or ``split`` by input size."""
+    """Resolve ``auto`` to ``split``: one plan for every size."""
     if strategy == "auto":
-        return "window" if is_small(df) else "split"
+        return "split"
     if strategy not in {"window", "split"}:
         raise ValueError(f"Unknown ordering strategy: {strategy}")
     return strategy
@@ -53,38 +46,13 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return joined.drop(*[f"__r_{i}" for i in range(len(keys))])
 
 
-def _cut_points(stored: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Return a sorted array of cut values per group, the same on every evaluation.
+def _place(df: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """Deal rows by ranges of (group, order) and store them with the number of their range as ``__slot``.
 
-    A value is a cut when its digest falls into one of ``rate`` classes. Groups get cuts in proportion to their size,
-    small ones none, and all groups together about ``rows / rate``, which never exceeds MAX_SLOTS by much.
+    Equal keys share a range; a group may span several, in ascending order.
     """
-    rows = stored.count()  # answered from the stored table's metadata
-    rate = max(1, min(SLOT_ROWS, rows // MIN_SLOTS), rows // MAX_SLOTS)
-    digest = F.xxhash64(F.xxhash64(*[col(c) for c in order]), F.lit(17))
-    drawn = stored.where(F.pmod(digest, F.lit(rate)) == 0)
-    key = F.struct(*[col(c) for c in order])
-    return drawn.groupBy(*[col(g) for g in group]).agg(F.sort_array(F.collect_list(key)).alias("__cuts"))
-
-
-def _place(stored: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Add ``__slot``: the number of cut values below the row's order key, by binary search."""
-    cuts = F.broadcast(_cut_points(stored, group, order))
-    if group:
-        placed = null_safe_join(stored, cuts, group, "left")
-    else:
-        placed = stored.withColumn("__all", F.lit(0)).join(cuts.withColumn("__all", F.lit(0)), "__all", "left").drop("__all")
-    key = F.struct(*[col(c) for c in order])
-    halvings = F.array(*[F.lit(1 << i) for i in reversed(range((2 * MAX_SLOTS).bit_length()))])
-    # A fold rather than a chain of columns: a chain doubles its expression at every step once it is collapsed.
-    slot = F.aggregate(
-        halvings,
-        F.lit(0),
-        lambda at, step: at
-        + F.when(F.coalesce(F.get(F.col("__cuts"), at + step - 1) < key, F.lit(False)), step).otherwise(F.lit(0)),
-    )
-    placed = placed.withColumn("__slot", slot)
-    return placed.drop("__cuts")
+    ranged = df.repartitionByRange(*[col(c) for c in (*group, *order)])
+    return reliable_checkpoint(ranged.withColumn("__slot", F.spark_partition_id()))
 
 
 def _slot_offsets(placed: DataFrame, group: Sequence[str], sums: Mapping[str, Column]) -> DataFrame:
@@ -133,7 +101,7 @@ def prefix_totals(
             *[F.coalesce(F.sum(col(m)).over(running), F.lit(0)).alias(f"{m}_before") for m in names],
             *[F.sum(col(m)).over(whole).alias(f"{m}_total") for m in names],
         )
-    placed = _place(reliable_checkpoint(base), group, order)
+    placed = _place(base, group, order)
     offsets = _slot_offsets(placed, group, {m: F.sum(col(m)) for m in names})
     joined = null_safe_join(placed, offsets, [*group, "__slot"])
     running = (
@@ -153,13 +121,19 @@ def prefix_totals(
 
 
 def attach_by_key(
-    rows: DataFrame, lookup: DataFrame, keys: Sequence[str], size_column: str | None = None, how: str = "left"
+    rows: DataFrame,
+    lookup: DataFrame,
+    keys: Sequence[str],
+    size_column: str | None = None,
+    how: str = "left",
+    number: str | None = None,
 ) -> DataFrame:
     """Join one lookup row to every row with the same keys, replicating the lookup rows of heavily shared keys.
 
     ``size_column`` tells how many rows share a lookup row. A lookup row with s rows gets s // COPY_ROWS + 1 copies,
-    and the rows choose a copy by content hash, so no join task meets much more than COPY_ROWS rows of one key. There
-    are at most rows / COPY_ROWS such keys, which is what makes broadcasting their list safe.
+    and the rows choose a copy by the digest of ``number``, a stored row number, or of all their columns, which leaves
+    identical rows together. There are at most rows / COPY_ROWS such keys, which is what makes broadcasting their list
+    safe.
     """
     if size_column is None:
         return null_safe_join(rows, lookup, keys, how)
@@ -167,7 +141,7 @@ def attach_by_key(
     heavy = lookup.where(col(size_column) >= COPY_ROWS).select(*[col(k) for k in keys], copies.alias("__copies"))
     salted_rows = null_safe_join(rows, F.broadcast(heavy), keys, "left").withColumn(
         "__salt",
-        F.pmod(F.xxhash64(*[col(c) for c in rows.columns]), F.coalesce("__copies", F.lit(1))).cast("int"),
+        F.pmod(F.xxhash64(*[col(c) for c in ([number] if number else rows.columns)]), F.coalesce("__copies", F.lit(1))).cast("int"),
     ).drop("__copies")
     salted_lookup = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return null_safe_join(salted_rows, salted_lookup, [*keys, "__salt"], how).drop("__salt")
@@ -194,8 +168,13 @@ def average_rank(
         if total_column:
             ranked = ranked.withColumn(total_column, F.count("__v").over(Window.partitionBy(*parts)))
         return ranked.drop("__v")
-    rows = reliable_checkpoint(df.withColumn("__v", clean))
-    return _split_rank(rows, group, "__v", rank_column, total_column).drop("__v")
+    rows = _numbered(df.withColumn("__v", clean))
+    return _split_rank(rows, group, "__v", rank_column, total_column).drop("__v", "__row")
+
+
+def _numbered(df: DataFrame) -> DataFrame:
+    """Store rows with a number of their own, ``__row``, which later reads cannot change."""
+    return reliable_checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
 
 
 def _split_rank(
@@ -213,7 +192,7 @@ def _split_rank(
             *([F.col("n_total").alias(total_column)] if total_column else []),
         )
     )
-    ranked = attach_by_key(known, lookup, [*group, value], "__n").drop("__n")
+    ranked = attach_by_key(known, lookup, [*group, value], "__n", number="__row").drop("__n")
     missing = rows.where(col(value).isNull()).withColumn(rank_column, F.lit(None).cast("double"))
     if total_column:
         # One row per group.
@@ -237,14 +216,14 @@ def pair_ranks(
         for value, rank in values.items():
             out = average_rank(out, group, value, rank, strategy=strategy)
         return out
-    rows = reliable_checkpoint(df)
+    rows = _numbered(df)
     out = rows
     for value, rank in values.items():
         totals = prefix_totals(rows, group, [value], strategy="split")
         ranked = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
         lookup = reliable_checkpoint(totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked))
-        out = attach_by_key(out, lookup, [*group, value], "__n").drop("__n")
-    return out
+        out = attach_by_key(out, lookup, [*group, value], "__n", number="__row").drop("__n")
+    return out.drop("__row")
 
 
 def percent_rank_average(
@@ -283,7 +262,7 @@ def row_positions(
         if total_column:
             out = out.withColumn(total_column, F.count(F.lit(1)).over(Window.partitionBy(*parts)))
         return out.drop(*names)
-    placed = _place(reliable_checkpoint(keyed), group, names)
+    placed = _place(keyed, group, names)
     offsets = _slot_offsets(placed, group, {"n": F.count(F.lit(1))})
     # Slots hold comparable row counts, so the few offset rows per group meet balanced partitions.
     joined = null_safe_join(placed, offsets, [*group, "__slot"])
@@ -306,7 +285,7 @@ def running_extreme(
     if strategy == "window":
         so_far = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(*ascending).rowsBetween(Window.unboundedPreceding, 0)
         return df.withColumn(out, extreme(col(value)).over(so_far))
-    placed = _place(reliable_checkpoint(df), group, order)
+    placed = _place(df, group, order)
     per_slot = placed.groupBy(*keys, "__slot").agg(extreme(col(value)).alias("__m"))
     earlier = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot").rowsBetween(Window.unboundedPreceding, -1)
     carried = per_slot.select(*keys, "__slot", extreme("__m").over(earlier).alias("__carried"))
@@ -350,7 +329,9 @@ def quantiles(
     for i, (name, p) in enumerate(probabilities.items()):
         at = (F.col("__n") - 1) * F.lit(float(p))
         fraction = at - F.floor(at)
-        columns.append((F.col(f"__lo{i}") * (1 - fraction) + F.col(f"__hi{i}") * fraction).alias(name))
+        low, high = F.col(f"__lo{i}"), F.col(f"__hi{i}")
+        # Between equal values the quantile is that value itself, without rounding.
+        columns.append(F.when(low == high, low).otherwise(low * (1 - fraction) + high * fraction).alias(name))
     return ends.select(*keys, *columns, *([F.col("__n").alias(count_column)] if count_column else []))
 
 
@@ -363,7 +344,7 @@ def multi_quantiles(
 ) -> DataFrame:
     """Return named quantiles of several columns per group, and the number of rows.
 
-    Small inputs need a single aggregation for all of them.
+    The window strategy needs a single aggregation for all of them.
     """
     strategy = choose(df, strategy)
     keys = [col(g) for g in group]

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col, number
-from assaysift.functions.ordering import choose, null_safe_join, row_positions
+from assaysift.functions.ordering import choose, null_safe_join, quantiles, row_positions
 from assaysift.session import reliable_checkpoint
 
 
@@ -42,7 +42,6 @@ def quantile_bins(
     """
     if max_bins < 1:
         raise ValueError("max_bins must be at least 1")
-    # The plan is chosen on the whole table: a filter hides its size from nobody.
     strategy = choose(df, strategy)
     rows = df.withColumn("__v", number(value))
     names = [c for c in df.columns if c != out]
@@ -85,6 +84,23 @@ def _chosen_bin(max_bins: int, limit_to_distinct: bool) -> Column:
     return chosen.cast("int")
 
 
+def value_bins(df: DataFrame, value: str, out: str, max_bins: int = 10, strategy: str = "auto") -> DataFrame:
+    """Add the 0-based bin between the value's own quantiles: equal values share a bin, equal edges are one edge.
+
+    A bin holds its upper edge, the first one also the smallest value. Missing values bin to NULL.
+    """
+    if max_bins < 1:
+        raise ValueError("max_bins must be at least 1")
+    names = {f"__e{i}": p for i, p in enumerate(quantile_edges(max_bins))}
+    edges = quantiles(df.select(number(value).alias("__v")), [], "__v", names, strategy)
+    # One row.
+    edges = F.broadcast(edges.select(F.lit(0).alias("__all"), F.array_distinct(F.array(*names)).alias("__edges")))
+    below = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
+    placed = df.withColumn("__v", number(value)).withColumn("__all", F.lit(0)).join(edges, "__all", "left")
+    binned = placed.withColumn(out, F.when(F.col("__v").isNotNull(), F.greatest(F.lit(0), below - 1)).cast("int"))
+    return binned.drop("__v", "__all", "__edges")
+
+
 def width_bin(value: Column, lower: Column, upper: Column, bins: int) -> Column:
     """Return the 0-based equal-width bin; the upper edge belongs to the last bin."""
     return (F.least(F.width_bucket(value, lower, upper, F.lit(bins)), F.lit(bins)) - 1).cast("int")

@@ -7,17 +7,15 @@ position, by one rule at every size, so nothing is drawn on the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
-from assaysift.functions.ordering import row_positions
+from assaysift.functions.ordering import attach_by_key, null_safe_join, row_positions
 from assaysift.operators.keys import require_columns
 
-DRIVER_GROUPS = 1_000_000
 ROW = "row_pos"
 
 
@@ -77,34 +75,54 @@ def random_kfold(
     return df.withColumn(out, block_of(F.col(ROW), F.lit(n), n_splits))
 
 
-def greedy_groups(counts: Sequence[tuple[Any, int]], n_splits: int) -> dict[Any, int]:
-    """Assign groups, largest first, each to the currently lightest fold."""
+def greedy_runs(sizes: Sequence[tuple[int, int]], n_splits: int) -> list[tuple[int, int, int, list[int]]]:
+    """Return (size, start, end, folds) runs of greedy balancing over (group size, number of groups), largest size first.
+
+    Each group goes to the currently lightest fold, the lowest number of several. Of the groups of one size, those at
+    positions ``start`` to ``end - 1`` take ``folds`` in turn: while the loads of the lightest folds differ by less than
+    one group and no other fold is reached, these folds repeat in the same order. So a size takes a few runs per fold,
+    however many groups it has.
+    """
     loads = [0] * n_splits
-    assigned = {}
-    for group, size in sorted(sorted(counts, key=lambda c: (c[0] is not None, c[0] if c[0] is not None else 0), reverse=True), key=lambda c: -c[1]):
-        lightest = loads.index(min(loads))
-        assigned[group] = lightest
-        loads[lightest] += size
-    return assigned
+    runs = []
+    for size, count in sorted(sizes, reverse=True):
+        at = 0
+        while at < count:
+            order = sorted(range(n_splits), key=lambda f: (loads[f], f))
+            turn = [f for f in order if loads[f] - loads[order[0]] < size]
+            rounds = (count - at) // len(turn)
+            if len(turn) < n_splits:
+                rounds = min(rounds, (loads[order[len(turn)]] - max(loads[f] for f in turn)) // size)
+            if rounds == 0:
+                turn, rounds = turn[:1], 1
+            for f in turn:
+                loads[f] += size * rounds
+            runs.append((size, at, at + rounds * len(turn), turn))
+            at += rounds * len(turn)
+    return runs
 
 
 def group_kfold(df: DataFrame, group_column: str, n_splits: int = 5, out: str = "fold") -> DataFrame:
-    """Assign folds so that no group is split, balancing fold sizes greedily.
+    """Assign folds so that no group is split, balancing fold sizes greedily, largest groups first.
 
-    The greedy runs on group sizes, up to DRIVER_GROUPS of them. With more groups, the largest DRIVER_GROUPS are placed
-    greedily and the remaining, all smaller, are dealt out by digest; no group is split or dropped.
+    Groups of equal size go in descending order; missing keys are a group of their own, the last of its size. Only the
+    number of groups of each size reaches the driver: n rows have at most sqrt(2 n) sizes.
     """
     require_columns(df, [group_column], "split table")
     sizes = df.groupBy(col(group_column).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))
-    largest = sizes.orderBy(F.desc("__n"), F.desc("__g")).limit(DRIVER_GROUPS).collect()
-    if len(largest) < n_splits:
-        raise ValueError(f"Cannot have number of splits {n_splits} greater than the number of groups {len(largest)}")
-    assigned = greedy_groups([(r["__g"], r["__n"]) for r in largest], n_splits)
-    kind = dict(sizes.dtypes)["__g"]
-    table = df.sparkSession.createDataFrame(list(assigned.items()), f"__g {kind}, `{out}` int")
-    joined = df.join(F.broadcast(table), col(group_column).eqNullSafe(F.col("__g")), "left").drop("__g")
-    dealt = F.pmod(F.xxhash64(col(group_column)), F.lit(n_splits)).cast("int")
-    return joined.withColumn(out, F.coalesce(out, dealt))
+    counted = [(r[0], r[1]) for r in sizes.groupBy("__n").count().collect()]
+    n_groups = sum(c for _, c in counted)
+    if n_groups < n_splits:
+        raise ValueError(f"Cannot have number of splits {n_splits} greater than the number of groups {n_groups}")
+    # Positions count upwards, missing keys first; the greedy order is downwards.
+    placed = row_positions(sizes, ["__n"], [("__g", True)], "__p", "__m")
+    runs = df.sparkSession.createDataFrame(greedy_runs(counted, n_splits), "__n long, __from long, __to long, __turn array<int>")
+    turn = F.sort_array(F.collect_list(F.struct("__from", "__to", "__turn"))).alias("__runs")
+    at = F.col("__m") - F.col("__p")
+    run = F.filter("__runs", lambda r: (r["__from"] <= at) & (at < r["__to"]))[0]
+    fold = F.get(run["__turn"], ((at - run["__from"]) % F.size(run["__turn"])).cast("int"))
+    folds = placed.join(runs.groupBy("__n").agg(turn), "__n").select(col("__g").alias(group_column), "__n", fold.alias(out))
+    return attach_by_key(df, folds, [group_column], "__n").drop("__n")
 
 
 def random_holdout(
@@ -190,20 +208,21 @@ def stratified_sample(
     Strata in ascending order get ``n_rows // k`` rows, the first ``n_rows % k`` one more. Within a stratum rows enter
     in order of a keyed digest. The sample carries ``sample_pos``, a random order of its own.
     """
-    strata = sorted(r[0] for r in df.where(col(stratum).isNotNull()).select(col(stratum)).distinct().limit(1001).collect())
-    if not strata or len(strata) > 1000:
-        raise ValueError("stratified sampling needs between 1 and 1000 strata")
-    base, extra = divmod(n_rows, len(strata))
-    quota = F.lit(0)
-    for i, value in enumerate(strata):
-        quota = F.when(col(stratum) == F.lit(value), F.lit(base + (1 if i < extra else 0))).otherwise(quota)
+    strata = df.where(col(stratum).isNotNull()).select(col(stratum)).distinct()
+    strata = row_positions(strata, [], [(stratum, True)], "__i", "__k", strategy=strategy)
+    if strata.isEmpty():
+        raise ValueError("stratified sampling needs at least one stratum")
+    share = F.floor(F.lit(n_rows) / col("__k")) + F.when(col("__i") <= F.lit(n_rows) % col("__k"), 1).otherwise(0)
+    quotas = strata.select(col(stratum), share.alias("__quota"))
     ordered = row_positions(
         df.withColumn("__d", digest(seed, *keys)),
         [stratum],
         [("__d", True), *[(k, True) for k in keys]],
         "__p",
         strategy=strategy,
-    ).withColumn("__first", F.coalesce(F.col("__p") <= quota, F.lit(False)))
+    )
+    ordered = null_safe_join(ordered, quotas, [stratum], "left")
+    ordered = ordered.withColumn("__first", F.coalesce(F.col("__p") <= F.col("__quota"), F.lit(False)))
     # First the quotas, then everybody else in digest order, until n_rows are in.
     topped = row_positions(
         ordered.withColumn("__late", F.when(F.col("__first"), 0).otherwise(1)).withColumn("__d2", digest(seed + 1, *keys)),
@@ -212,7 +231,7 @@ def stratified_sample(
         "sample_pos",
         strategy=strategy,
     )
-    return topped.where(F.col("sample_pos") <= n_rows).drop("__d", "__d2", "__p", "__first", "__late")
+    return topped.where(F.col("sample_pos") <= n_rows).drop("__d", "__d2", "__p", "__quota", "__first", "__late")
 
 
 def map_by_rank(
@@ -225,7 +244,10 @@ def map_by_rank(
     out: str,
     strategy: str = "auto",
 ) -> DataFrame:
-    """Give the i-th smallest score the i-th smallest template value."""
+    """Give the i-th smallest score the i-th smallest template value; both tables must have the same number of rows."""
+    counts = scores.count(), templates.count()
+    if counts[0] != counts[1]:
+        raise ValueError(f"{counts[0]} scores cannot take the values of {counts[1]} templates")
     left = row_positions(scores, [], [(score, True), *[(k, True) for k in keys]], "__i", strategy=strategy)
     right = row_positions(
         templates, [], [(template_value, True), *[(k, True) for k in template_keys]], "__i", strategy=strategy

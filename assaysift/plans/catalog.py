@@ -18,6 +18,7 @@ from assaysift.functions.ordering import percent_rank_average, quantiles
 from assaysift.functions.params import expand_params
 from assaysift.operators import (
     assemble,
+    bins,
     conformal,
     coverage,
     extrapolation,
@@ -521,6 +522,31 @@ def random_kfold_sizes(spark, sf):
     return folds.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("c_custkey").alias("n_ids"))
 
 
+def random_kfold(spark, sf):
+    return splits.random_kfold(_numbered(spark, sf), 7).select("c_custkey", "row_pos", "fold")
+
+
+def random_holdout(spark, sf):
+    return splits.random_holdout(_numbered(spark, sf), 0.2).select("c_custkey", "is_test")
+
+
+def bootstrap_weights(spark, sf):
+    drawn = splits.bootstrap_weights(_numbered(spark, sf), 3)
+    return drawn.select("c_custkey", *[F.get("weights", b).alias(f"w{b}") for b in range(3)])
+
+
+def value_deciles(spark, sf, strategy="auto"):
+    rows = _table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_tax")
+    return bins.value_bins(rows, "l_tax", "tax_bin", 10, strategy)
+
+
+def group_kfold_missing(spark, sf):
+    """Groups of equal size and a missing one: every fifth nation has no number."""
+    nation = F.when(F.col("c_nationkey") % 5 > 0, F.col("c_nationkey"))
+    rows = _table(spark, sf, "customer").select("c_custkey", nation.alias("c_nationkey"))
+    return splits.group_kfold(rows, "c_nationkey", 3)
+
+
 def group_kfold(spark, sf):
     return splits.group_kfold(_table(spark, sf, "customer").select("c_custkey", "c_nationkey"), "c_nationkey", 5)
 
@@ -553,10 +579,9 @@ def stratified_sample(spark, sf, strategy="auto"):
 
 def rank_mapped_labels(spark, sf, strategy="auto"):
     scores = _table(spark, sf, "customer").select("c_custkey", "c_acctbal")
-    templates = _table(spark, sf, "supplier").select("s_suppkey", "s_acctbal")
-    return splits.map_by_rank(
-        scores, "c_acctbal", ["c_custkey"], templates, "s_acctbal", ["s_suppkey"], "label_pkd", strategy
-    )
+    spent = _table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.max("o_totalprice").alias("most"))
+    templates = scores.select("c_custkey").join(spent, "c_custkey", "left").na.fill(0.0, ["most"])
+    return splits.map_by_rank(scores, "c_acctbal", ["c_custkey"], templates, "most", ["c_custkey"], "label_pkd", strategy)
 
 
 _X = ["l_extendedprice", "l_discount"]
@@ -824,7 +849,12 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         binary_hits,
         rounded_metrics,
         digest_folds,
+        random_kfold,
         random_kfold_sizes,
+        random_holdout,
+        bootstrap_weights,
+        value_deciles,
+        group_kfold_missing,
         group_kfold,
         random_holdout_sizes,
         holdout_by_column,

@@ -282,6 +282,19 @@ DIGEST_FOLDS = """SELECT c_custkey, CAST(CASE WHEN p < head THEN p // (base + 1)
 FROM (SELECT *, larger * (base + 1) AS head FROM (
   SELECT c_custkey, row_number() OVER (ORDER BY md5('42:' || CAST(c_custkey AS VARCHAR)), c_custkey) - 1 AS p,
          count(*) OVER () // 5 AS base, count(*) OVER () % 5 AS larger FROM customer))"""
+NUMBERED = "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS row_pos, count(*) OVER () AS n FROM customer"
+RANDOM_KFOLD = f"""SELECT c_custkey, row_pos, CAST(CASE WHEN p < head THEN p // (base + 1) ELSE larger + (p - head) // base END AS INTEGER) AS fold
+FROM (SELECT *, n // 7 AS base, n % 7 AS larger, (n % 7) * (n // 7 + 1) AS head,
+        row_number() OVER (ORDER BY md5('42:' || CAST(row_pos AS VARCHAR)), row_pos) - 1 AS p FROM ({NUMBERED}))"""
+RANDOM_HOLDOUT = f"""SELECT c_custkey, row_number() OVER (ORDER BY md5('43:' || CAST(row_pos AS VARCHAR)), row_pos) <= ceil(n * 0.2::DOUBLE) AS is_test
+FROM ({NUMBERED})"""
+BOOTSTRAP = f"""WITH r AS ({NUMBERED}), d AS (SELECT b, CAST(floor(
+    CAST('0x' || substr(md5('42:' || CAST(b AS VARCHAR) || ':' || CAST(row_pos AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE * n) AS BIGINT) AS hit
+  FROM r, (SELECT unnest(range(3)) AS b))
+SELECT c_custkey, {", ".join(f"CAST(count(hit) FILTER (b = {b}) AS INTEGER) AS w{b}" for b in range(3))}
+FROM r LEFT JOIN d ON hit = row_pos GROUP BY c_custkey"""
+VALUE_DECILES = f"""WITH e AS (SELECT list_distinct(quantile_cont(l_tax, [{", ".join(str(i / 10) for i in range(11))}])) AS edges FROM lineitem)
+SELECT l_orderkey, l_linenumber, l_tax, CAST(greatest(0, len(list_filter(edges, lambda x: x < l_tax)) - 1) AS INTEGER) AS tax_bin FROM lineitem, e"""
 STRATIFIED = """WITH s AS (SELECT p_brand, row_number() OVER (ORDER BY p_brand) - 1 AS i, count(*) OVER () AS k
            FROM (SELECT DISTINCT p_brand FROM part)),
 q AS (SELECT p_brand, 101 // k + CASE WHEN i < 101 % k THEN 1 ELSE 0 END AS quota FROM s),
@@ -290,9 +303,10 @@ o AS (SELECT p_partkey, quota, row_number() OVER (PARTITION BY part.p_brand ORDE
 f AS (SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN r <= quota THEN 0 ELSE 1 END,
         md5('8:' || CAST(p_partkey AS VARCHAR)), p_partkey) AS sample_pos FROM o)
 SELECT p_partkey, sample_pos FROM f WHERE sample_pos <= 101"""
-RANK_MAPPED = """SELECT c_custkey, c_acctbal, s_acctbal AS label_pkd
+RANK_MAPPED = """WITH t AS (SELECT c_custkey AS k, coalesce(max(o_totalprice), 0) AS most FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1)
+SELECT c_custkey, c_acctbal, most AS label_pkd
 FROM (SELECT *, row_number() OVER (ORDER BY c_acctbal, c_custkey) AS i FROM customer) c
-JOIN (SELECT *, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS i FROM supplier) s ON c.i = s.i"""
+JOIN (SELECT *, row_number() OVER (ORDER BY most, k) AS i FROM t) s ON c.i = s.i"""
 CALIBRATION = """cal AS (SELECT event_id, event_type, event_id % 5 = 0 AS is_cal, value AS label,
   CAST(user_id % 50 AS DOUBLE) AS mean, (user_id % 4) / 2.0 AS spread FROM events),
 z AS (SELECT *, abs(label - mean) / greatest(spread, 1e-6::DOUBLE) AS z, abs(label - mean) AS a FROM cal)"""
@@ -464,18 +478,18 @@ _SCORES = ", ".join(_q(m + "_score") for m in M)
 _SPREAD = "(SELECT id, target, spread FROM pred WHERE method = 'glide-sp')"
 
 
-def _group_folds() -> str:
+def _group_folds(key: str = "c_nationkey", n_splits: int = 5) -> str:
     """Greedy balancing as a recursion over groups in descending size."""
     lightest = "list_position(loads, list_aggregate(loads, 'min'))"
-    return f"""WITH RECURSIVE g AS (SELECT c_nationkey, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey DESC) AS i
-  FROM customer GROUP BY c_nationkey),
+    return f"""WITH RECURSIVE c AS (SELECT c_custkey, {key} AS k FROM customer),
+g AS (SELECT k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, k DESC NULLS LAST) AS i FROM c GROUP BY k),
 r(i, key, fold, loads) AS (
-  SELECT CAST(0 AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), [0, 0, 0, 0, 0]::BIGINT[]
+  SELECT CAST(0 AS BIGINT), CAST(NULL AS INTEGER), CAST(NULL AS INTEGER), {[0] * n_splits}::BIGINT[]
   UNION ALL
-  SELECT g.i, g.c_nationkey, CAST({lightest} - 1 AS INTEGER),
+  SELECT g.i, g.k, CAST({lightest} - 1 AS INTEGER),
          list_transform(loads, lambda x, j: CASE WHEN j = {lightest} THEN x + g.n ELSE x END)
   FROM r JOIN g ON g.i = r.i + 1)
-SELECT c_custkey, c_nationkey, fold FROM customer JOIN r ON r.key = c_nationkey"""
+SELECT c_custkey, k AS c_nationkey, fold FROM c JOIN r ON r.key IS NOT DISTINCT FROM k WHERE i > 0"""
 
 
 def _poisson(b: int) -> str:
@@ -594,6 +608,11 @@ def oracle_sql() -> dict[str, str]:
         "digest_folds": DIGEST_FOLDS,
         "random_kfold_sizes": "WITH n AS (SELECT count(*) AS n FROM customer), f AS (SELECT CAST(unnest(range(7)) AS INTEGER) AS fold) "
         "SELECT fold, n // 7 + CASE WHEN fold < n % 7 THEN 1 ELSE 0 END AS n, n // 7 + CASE WHEN fold < n % 7 THEN 1 ELSE 0 END AS n_ids FROM f, n",
+        "random_kfold": RANDOM_KFOLD,
+        "random_holdout": RANDOM_HOLDOUT,
+        "bootstrap_weights": BOOTSTRAP,
+        "value_deciles": VALUE_DECILES,
+        "group_kfold_missing": _group_folds("CASE WHEN c_nationkey % 5 > 0 THEN c_nationkey END", 3),
         "group_kfold": _group_folds(),
         "random_holdout_sizes": "SELECT is_test, CASE WHEN is_test THEN CAST(ceil(n * 0.2::DOUBLE) AS BIGINT) ELSE n - CAST(ceil(n * 0.2::DOUBLE) AS BIGINT) END AS n "
         "FROM (SELECT count(*) AS n FROM customer), (SELECT unnest([true, false]) AS is_test)",

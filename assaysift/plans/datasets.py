@@ -85,7 +85,7 @@ def generate_assay(
     summary: DataFrame, library: DataFrame, templates: DataFrame, target: str, n_rows: int, seed: int
 ) -> DataFrame:
     """Sample compounds evenly over consensus deciles and give them the template labels in noisy consensus order."""
-    binned = bins.quantile_bins(summary, [], "consensus_123_rank", ["id"], "consensus_decile")
+    binned = bins.value_bins(summary, "consensus_123_rank", "consensus_decile", 10)
     sampled = splits.stratified_sample(binned, "consensus_decile", ["id"], n_rows, seed)
     noisy = sampled.withColumn("__score", col("consensus_123_rank") + hashed_normal(seed, "id") * F.lit(NOISE))
     labelled = splits.map_by_rank(noisy, "__score", ["id"], templates, "label_pkd", ["id"], "label_pkd")

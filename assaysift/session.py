@@ -1,4 +1,4 @@
-"""Session helpers: sensible defaults, size estimates and reliable checkpoints."""
+"""Session helpers: sensible defaults and reliable checkpoints."""
 
 from __future__ import annotations
 
@@ -10,11 +10,6 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Inputs whose leaf relations together hold less than this are safe to sort inside one task per group.
-SMALL_INPUT_BYTES = 128 * 1024 * 1024
-# Catalyst reports this (or more) when it knows nothing about a relation.
-_UNKNOWN_BYTES = 1 << 60
-
 
 def get_spark(app_name: str = "assaysift", **conf: str) -> SparkSession:
     """Return a session with adaptive execution, skew handling and UTC timestamps on."""
@@ -33,28 +28,6 @@ def get_spark(app_name: str = "assaysift", **conf: str) -> SparkSession:
     return builder.getOrCreate()
 
 
-def input_bytes(df: DataFrame) -> int | None:
-    """Return Catalyst's size of everything the plan scans, or None where it is unknown.
-
-    The sum runs over the leaves of the optimised plan, after pruning, and starts no job. Key lookups do not
-    multiply rows, so for the plans built here it bounds the volume reaching an ordering up to compression.
-    """
-    try:
-        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-        total = 0
-        for i in range(leaves.size()):
-            total += int(str(leaves.apply(i).stats().sizeInBytes()))
-    except Exception:  # a remote (Connect) session exposes no JVM plan
-        return None
-    return None if total >= _UNKNOWN_BYTES else total
-
-
-def is_small(df: DataFrame, limit: int = SMALL_INPUT_BYTES) -> bool:
-    """Return whether the scanned input is known to be below ``limit``."""
-    size = input_bytes(df)
-    return size is not None and size <= limit
-
-
 def local_table(spark: SparkSession, rows: Sequence[tuple], columns: dict[str, str]) -> DataFrame:
     """Return a small table of literals: JVM-side, of known size, without a job."""
     if not rows:
@@ -88,7 +61,7 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
     """Cut the lineage of ``df`` by a table written to shared storage.
 
     Lost executors only re-read files. Being a Parquet table, it is pruned by column on every re-read, and its size is
-    known to the choice between ordering plans.
+    known to the optimiser.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"

@@ -21,15 +21,15 @@ FILE_ORDER = "file_order"
 def read_table(spark: SparkSession, path: str, numeric: Iterable[str] = NUMERIC_COLUMNS) -> DataFrame:
     """Scan one CSV file or directory, or its Parquet twin, typing only the named columns.
 
-    ``x.parquet`` beside ``x.csv`` wins: it prunes columns and, when partitioned by target, whole partitions. Text is
-    never turned into NULL by vocabulary (``na`` is a target class); numbers that do not parse are NULL.
+    The named table is read where it exists. Only where it does not, ``x.parquet`` stands in for ``x.csv``: it prunes
+    columns and, when partitioned by target, whole partitions. Text is never turned into NULL by vocabulary (``na`` is a
+    target class); numbers that do not parse are NULL, in either form.
     """
     twin = path.removesuffix(".csv") + ".parquet"
-    if files.exists(spark, twin):
-        return spark.read.parquet(twin)
-    if not files.exists(spark, path):
-        raise FileNotFoundError(f"Table not found: {path}")
-    raw = spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
+    found = next((p for p in (path, twin) if files.exists(spark, p)), None)
+    if found is None:
+        raise FileNotFoundError(f"no table at {path}")
+    raw = spark.read.parquet(found) if found.endswith(".parquet") else spark.read.option("header", True).option("escape", '"').option("multiLine", False).csv(path)
     wanted = set(numeric)
     return raw.select(*[coerce_number(c).alias(c) if c in wanted else col(c) for c in raw.columns])
 
@@ -97,11 +97,19 @@ def load_target_library(spark: SparkSession, data_dir: str, target: str, validat
 def load_assay(
     spark: SparkSession, data_dir: str, round_id: str, target: str, columns: Sequence[str] | None = None
 ) -> DataFrame:
-    """Scan the labels of one target in one round, keeping the order of the file."""
+    """Scan the labels of one target in one round, keeping the order of the file.
+
+    The order is a struct of file, first byte of the block and row in the block, so it does not depend on how blocks are
+    packed into tasks.
+    """
     registry.get_target(target)
     path = files.join(data_dir, round_id, "assay_data", f"{target}.csv")
-    table = project(read_table(spark, path), registry.ASSAY_COLUMNS, columns, path)
-    return table.withColumn(FILE_ORDER, F.monotonically_increasing_id())
+    raw = read_table(spark, path)
+    table = project(raw, registry.ASSAY_COLUMNS, columns, path)
+    place = F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id().alias("row")
+    )
+    return raw.select(*[col(c) for c in table.columns], place.alias(FILE_ORDER))
 
 
 def load_class_assays(spark: SparkSession, data_dir: str, round_ids: Sequence[str], target_class: str) -> DataFrame:

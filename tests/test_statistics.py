@@ -100,6 +100,36 @@ def test_unknown_spread_and_label_stay_unknown(spark):
     assert row["s"] is None and row["z"] == 1e-6 and row["h"] == 0
 
 
+@pytest.mark.parametrize("k", [2, 3, 7])
+def test_runs_are_the_greedy_assignment(k):
+    """Runs of a size and group-by-group balancing agree, with hot groups and many equal ones."""
+    rng = np.random.default_rng(k)
+    for _ in range(60):
+        sizes = [(int(s), int(c)) for s, c in zip(rng.choice(200, 6, replace=False) + 1, rng.integers(1, 40, 6), strict=True)]
+        sizes += [(5000, 1), (1 + 300, 2)]
+        loads, expected = [0] * k, []
+        for size, count in sorted(sizes, reverse=True):
+            for at in range(count):
+                fold = loads.index(min(loads))
+                loads[fold] += size
+                expected.append((size, at, fold))
+        got = [
+            (size, at, turn[(at - start) % len(turn)])
+            for size, start, end, turn in splits.greedy_runs(sizes, k)
+            for at in range(start, end)
+        ]
+        assert got == expected
+
+
+def test_value_bins_follow_quantiles_of_values(spark):
+    """As pandas' qcut with duplicate edges dropped; missing values stay missing."""
+    values = [0.1] * 9 + [0.2, 0.3, 0.3, 0.7, 0.9, 1.4, 2.0, None, float("nan")]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double")
+    got = pdf(bins.value_bins(df, "v", "b", 10), "i")
+    expected = pd.qcut(pd.Series(values, dtype=float), 10, labels=False, duplicates="drop")
+    np.testing.assert_array_equal(got["b"].to_numpy(float), expected.to_numpy(float))
+
+
 def test_groups_are_never_split(spark):
     df = spark.createDataFrame([(g, i) for g, n in zip("abcdef", [9, 7, 5, 3, 2, 2], strict=True) for i in range(n)], "g string, i int")
     got = pdf(splits.group_kfold(df, "g", 3))
