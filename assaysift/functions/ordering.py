@@ -24,6 +24,7 @@ from assaysift.session import reliable_checkpoint
 
 # A value held by more rows than this is replicated when its ranks go back to the rows.
 COPY_ROWS = 4_000_000
+ROW_NUMBER = "__row"
 
 
 def choose(df: DataFrame, strategy: str) -> str:
@@ -168,13 +169,17 @@ def average_rank(
         if total_column:
             ranked = ranked.withColumn(total_column, F.count("__v").over(Window.partitionBy(*parts)))
         return ranked.drop("__v")
-    rows = _numbered(df.withColumn("__v", clean))
-    return _split_rank(rows, group, "__v", rank_column, total_column).drop("__v", "__row")
+    rows = df if ROW_NUMBER in df.columns else numbered(df)
+    ranked = _split_rank(rows.withColumn("__v", clean), group, "__v", rank_column, total_column)
+    return ranked.select(*df.columns, *[c for c in (rank_column, total_column) if c and c not in df.columns])
 
 
-def _numbered(df: DataFrame) -> DataFrame:
-    """Store rows with a number of their own, ``__row``, which later reads cannot change."""
-    return reliable_checkpoint(df.withColumn("__row", F.monotonically_increasing_id()))
+def numbered(df: DataFrame) -> DataFrame:
+    """Store rows with a number of their own, ``__row``, which later reads cannot change.
+
+    Rankings of a frame that carries it store it no second time.
+    """
+    return reliable_checkpoint(df.withColumn(ROW_NUMBER, F.monotonically_increasing_id()))
 
 
 def _split_rank(
@@ -183,16 +188,14 @@ def _split_rank(
     """Rank checkpointed rows: collapse values, place them, and hand the ranks back to the rows."""
     known = rows.where(col(value).isNotNull())
     totals = prefix_totals(known, group, [value], strategy="split")
-    lookup = reliable_checkpoint(
-        totals.select(
-            *[col(g) for g in group],
-            col(value),
-            F.col("n").alias("__n"),
-            (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank_column),
-            *([F.col("n_total").alias(total_column)] if total_column else []),
-        )
+    lookup = totals.select(
+        *[col(g) for g in group],
+        col(value),
+        F.col("n").alias("__n"),
+        (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank_column),
+        *([F.col("n_total").alias(total_column)] if total_column else []),
     )
-    ranked = attach_by_key(known, lookup, [*group, value], "__n", number="__row").drop("__n")
+    ranked = attach_by_key(known, lookup, [*group, value], "__n", number=ROW_NUMBER).drop("__n")
     missing = rows.where(col(value).isNull()).withColumn(rank_column, F.lit(None).cast("double"))
     if total_column:
         # One row per group.
@@ -216,14 +219,14 @@ def pair_ranks(
         for value, rank in values.items():
             out = average_rank(out, group, value, rank, strategy=strategy)
         return out
-    rows = _numbered(df)
+    rows = numbered(df)
     out = rows
     for value, rank in values.items():
         totals = prefix_totals(rows, group, [value], strategy="split")
         ranked = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
-        lookup = reliable_checkpoint(totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked))
-        out = attach_by_key(out, lookup, [*group, value], "__n", number="__row").drop("__n")
-    return out.drop("__row")
+        lookup = totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked)
+        out = attach_by_key(out, lookup, [*group, value], "__n", number=ROW_NUMBER).drop("__n")
+    return out.drop(ROW_NUMBER)
 
 
 def percent_rank_average(
@@ -360,10 +363,25 @@ def multi_quantiles(
             F.get(f"__q{i}", j).alias(name) for i, named in enumerate(wanted.values()) for j, name in enumerate(named)
         ]
         return picked.select(*keys, *([count_column] if count_column else []), *columns)
+    # All columns in one ordering: a value is placed within (group, column).
     rows = reliable_checkpoint(rows)
+    cells = F.array(*[F.struct(F.lit(i).alias("__c"), col(v).alias("__x")) for i, v in enumerate(wanted)])
+    melted = rows.select(*keys, F.explode(cells).alias("__cell")).select(*keys, "__cell.*")
+    shares = sorted({float(p) for named in wanted.values() for p in named.values()})
+    found = quantiles(melted, [*group, "__c"], "__x", {f"__q{i}": p for i, p in enumerate(shares)}, strategy)
+    picked = found.groupBy(*keys).agg(
+        *[
+            F.max(F.when(F.col("__c") == i, F.col(f"__q{shares.index(float(p))}"))).alias(name)
+            for i, named in enumerate(wanted.values())
+            for name, p in named.items()
+        ]
+    )
     out = rows.groupBy(*keys).agg(*(counted or [F.count(F.lit(1)).alias("__n")]))
-    for value, named in wanted.items():
-        out = null_safe_join(out, quantiles(rows, group, value, named, "split"), group, "left")
+    if group:
+        out = null_safe_join(out, picked, group, "left")
+    else:
+        one = picked.withColumn("__all", F.lit(0))
+        out = out.withColumn("__all", F.lit(0)).join(F.broadcast(one), "__all", "left").drop("__all")
     return out.select(*keys, *([count_column] if count_column else []), *[n for named in wanted.values() for n in named])
 
 

@@ -93,12 +93,12 @@ def value_bins(df: DataFrame, value: str, out: str, max_bins: int = 10, strategy
         raise ValueError("max_bins must be at least 1")
     names = {f"__e{i}": p for i, p in enumerate(quantile_edges(max_bins))}
     edges = quantiles(df.select(number(value).alias("__v")), [], "__v", names, strategy)
-    # One row.
-    edges = F.broadcast(edges.select(F.lit(0).alias("__all"), F.array_distinct(F.array(*names)).alias("__edges")))
+    # One row, or none where no value is known.
+    edges = edges.select(F.array_distinct(F.array(*names)).alias("__edges")).scalar()
+    placed = df.withColumn("__v", number(value)).withColumn("__edges", edges)
     below = F.size(F.filter("__edges", lambda e: e < F.col("__v")))
-    placed = df.withColumn("__v", number(value)).withColumn("__all", F.lit(0)).join(edges, "__all", "left")
     binned = placed.withColumn(out, F.when(F.col("__v").isNotNull(), F.greatest(F.lit(0), below - 1)).cast("int"))
-    return binned.drop("__v", "__all", "__edges")
+    return binned.drop("__v", "__edges")
 
 
 def width_bin(value: Column, lower: Column, upper: Column, bins: int) -> Column:

@@ -9,12 +9,11 @@ from pyspark.sql import functions as F
 
 from assaysift.functions.labels import class_label, target_label
 from assaysift.functions.numeric import coerce_number, col, finite, number
-from assaysift.functions.ordering import average_rank, choose, multi_quantiles, null_safe_join, quantiles
+from assaysift.functions.ordering import average_rank, choose, multi_quantiles, null_safe_join, numbered, quantiles
 from assaysift.operators.bins import quantile_bins
 from assaysift.operators.conformal import covered, interval_columns
 from assaysift.operators.keys import require_columns
 from assaysift.operators.metrics import safe_corr
-from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
 
 # Evidence mark, required and optional numeric columns, column order.
@@ -186,7 +185,7 @@ def prediction_summary(oof: DataFrame, strategy: str = "auto") -> DataFrame:
     both = finite("label_pkd").isNotNull() & finite("pred_mean").isNotNull()
     paired = rows.withColumn("__x", F.when(both, col("label_pkd"))).withColumn("__y", F.when(both, col("pred_mean")))
     if strategy == "split":
-        paired = reliable_checkpoint(paired)
+        paired = numbered(paired)
     ranked = average_rank(paired, keys, "__x", "__rx", strategy=strategy)
     ranked = average_rank(ranked, keys, "__y", "__ry", strategy=strategy)
     aggregates = [

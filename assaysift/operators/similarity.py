@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
+from assaysift.functions.ordering import null_safe_join
 from assaysift.functions.setindex import SetIndex
 from assaysift.operators.keys import require_columns
 from assaysift.session import local_table
@@ -55,6 +56,11 @@ def _sets(column: pd.Series) -> list[np.ndarray]:
     return [np.asarray(v, dtype=np.int64) for v in column]
 
 
+def _plain(column: pd.Series) -> np.ndarray:
+    """Return objects with None for every missing value, which equals itself."""
+    return np.array([None if pd.isna(v) else v for v in column] + [None], dtype=object)[:-1]
+
+
 def _nearest(rows: pd.DataFrame, refs: pd.DataFrame, index: SetIndex) -> pd.DataFrame:
     """Return, per row, the most similar reference of its group and of its group and target.
 
@@ -68,8 +74,8 @@ def _nearest(rows: pd.DataFrame, refs: pd.DataFrame, index: SetIndex) -> pd.Data
         "id_same": np.full(n, None, dtype=object),
         "sim_same": np.full(n, np.nan),
     }
-    ref_group, ref_target, ref_id = (refs[c].to_numpy(object) for c in ("group", "target", "id"))
-    groups, targets = rows["group"].to_numpy(object), rows["target"].to_numpy(object)
+    ref_group, ref_target, ref_id = (_plain(refs[c]) for c in ("group", "target", "id"))
+    groups, targets = _plain(rows["group"]), _plain(rows["target"])
     for at, similarity in index.tanimoto(_sets(rows["set"])):
         local = np.arange(at.start, min(at.stop, n))
         for group in dict.fromkeys(groups[local]):
@@ -108,14 +114,17 @@ def nearest_labelled(
     """Return the most similar labelled set per query, within its group and within its group and target.
 
     Ties go to the smallest (id, target). A query sharing no element with any labelled set still gets the first one,
-    with similarity 0; a query whose group has no labelled sets gets NULLs. (group, id, target) identifies a query.
+    with similarity 0; a query whose group has no labelled sets gets NULLs. A missing group or target is a value of its
+    own, equal to another missing one. (group, id, target) identifies a query; of labelled sets that repeat those, the
+    smallest counts.
     """
     for frame, name in ((queries, "query table"), (labelled, "labelled table")):
         require_columns(frame, [group, "id", "target", set_column], name)
     q = queries.select(col(group).alias("group"), "id", "target", col(set_column).cast("array<bigint>").alias("set"))
     r = labelled.select(
         col(group).alias("group"), "id", "target", col(set_column).cast("array<bigint>").alias("set")
-    ).dropDuplicates(["group", "id", "target"])
+    )
+    r = r.groupBy("group", "id", "target").agg(F.min("set").alias("set"))
     kinds = _id_kinds(q, ["group", "id", "target"])
     schema = (
         f"group {kinds['group']}, id {kinds['id']}, target {kinds['target']}, id_any {kinds['id']}, "
@@ -123,7 +132,7 @@ def nearest_labelled(
     )
     order = ["group", "id", "target"]
     if not force_blocks and _fits(r, "set"):
-        refs = r.toPandas().sort_values(order).reset_index(drop=True)
+        refs = r.toPandas().sort_values(order, na_position="first").reset_index(drop=True)
         if refs.empty:
             found = q.select("group", "id", "target").selectExpr(
                 "*",
@@ -170,7 +179,7 @@ def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         left = left.drop(columns=["block", "chunk"])
-        right = right.sort_values(order).reset_index(drop=True)
+        right = right.sort_values(order, na_position="first").reset_index(drop=True)
         return _nearest(left, right, SetIndex(_sets(right["set"])))
 
     refs = refs.toDF(*refs.columns)  # both sides may come from the same table
@@ -181,7 +190,7 @@ def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]
     best_any = F.min(F.when(col("sim_any").isNotNull(), F.struct(-col("sim_any"), "id_any", "target_any")))
     best_same = F.min(F.when(col("sim_same").isNotNull(), F.struct(-col("sim_same"), "id_same")))
     reduced = partial.groupBy("group", "id", "target").agg(best_any.alias("a"), best_same.alias("s"))
-    first = q.select("group", "id", "target").join(reduced, ["group", "id", "target"], "left")
+    first = null_safe_join(q.select("group", "id", "target"), reduced, ["group", "id", "target"], "left")
     return first.select(
         "group",
         "id",

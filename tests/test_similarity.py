@@ -47,6 +47,19 @@ def test_nearest_labelled(spark, sets, blocks, monkeypatch):
         assert row["nearest_labeled_same_target_id"] == best[0]
 
 
+def test_missing_groups_and_targets_match_themselves(spark):
+    schema = "target_class string, id string, target string, bits array<bigint>"
+    q = [(None, "a", "t", [1, 2]), ("x", "b", None, [3]), ("y", "c", "t", [1])]
+    labelled = [(None, "m", "t", [1]), (None, "m", "t", [1, 2, 3]), ("x", "n", None, [3]), ("x", "o", "t", [3])]
+    plans = [
+        pdf(similarity.nearest_labelled(spark.createDataFrame(q, schema), spark.createDataFrame(labelled, schema), "bits", force_blocks=f), "id")
+        for f in (False, True)
+    ]
+    pd.testing.assert_frame_equal(*plans)
+    assert list(plans[0]["nearest_labeled_id"].fillna("-")) == ["m", "n", "-"]
+    assert plans[0]["nearest_labeled_tanimoto"][0] == 0.5 and plans[0]["nearest_labeled_same_target_id"][1] == "n"
+
+
 def test_nothing_labelled(spark, sets):
     schema = "target_class string, id string, target string, bits array<bigint>"
     q = spark.createDataFrame([("x", "a", "t", [1])], schema)
