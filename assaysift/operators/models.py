@@ -42,6 +42,8 @@ SEARCH_SPACES: dict[str, dict[str, dict[str, Any]]] = {
         "subsample": {"type": "float", "low": 0.5, "high": 1.0},
     },
 }
+# Accepted in configurations at their default alone: the trees used here have no such penalty.
+WITHOUT_EFFECT = ("reg_alpha", "reg_lambda")
 COMPLEXITY = {"ridge": 0, "xgboost": 1}
 UNKNOWN_COMPLEXITY = 100
 ALIASES = {"gp": "gaussian_process", "xgb": "xgboost"}
@@ -145,6 +147,9 @@ def scaling_of(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float,
 def _fit_trees(
     df: DataFrame, features: Sequence[str], label: str, params: Mapping[str, Any], standardize: bool, weight: str | None
 ) -> TreeModel:
+    for name in WITHOUT_EFFECT:
+        if name in params and float(params[name]) != DEFAULT_PARAMS["xgboost"][name]:
+            raise ValueError(f"these trees cannot honour {name}={params[name]}; leave it at its default")
     scaling = scaling_of(df, features) if standardize else {}
     rows = _assemble(df, features, scaling).withColumn("__label", number(label))
     share = float(params.get("colsample_bytree", 1.0))

@@ -7,6 +7,8 @@ position, by one rule at every size, so nothing is drawn on the driver.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import accumulate
+from math import exp, factorial
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -35,6 +37,11 @@ def unit_interval(text: Column) -> Column:
     return F.conv(F.substring(text, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
+def wide_interval(text: Column) -> Column:
+    """Map the first 52 bits of a hex digest to [0, 1)."""
+    return F.conv(F.substring(text, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
+
+
 def fold_sizes(n: int, n_splits: int) -> list[int]:
     """Return fold sizes: the first ``n % n_splits`` folds are one row larger."""
     if not 2 <= n_splits <= n:
@@ -159,26 +166,16 @@ def make_folds(df: DataFrame, split_type: str, split_params: dict | None = None,
     return flagged.withColumn(out, F.when(F.col("__test"), F.lit(0))).drop("__test")
 
 
-# Distribution function of the unit Poisson law at 0, 1, 2, ...
-POISSON_CDF = (
-    0.36787944117144233,
-    0.7357588823428847,
-    0.9196986029286058,
-    0.9810118431238462,
-    0.9963401531726563,
-    0.9994058151824183,
-    0.9999167588507119,
-    0.9999897508033253,
-    0.999998874797402,
-    0.9999998885745217,
-)
+# Distribution function of the unit Poisson law at 0, 1, 2, ...: as far as 52 bits can tell it from 1.
+POISSON_CDF = tuple(accumulate(exp(-1) / factorial(k) for k in range(18)))
 
 
 def poisson_weights(keys: Sequence[str], n_bootstrap: int, seed: int) -> Column:
     """Return an array with the row's multiplicity in each of ``n_bootstrap`` Poisson resamples."""
     weights = []
     for b in range(n_bootstrap):
-        u = unit_interval(F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), *[col(k).cast("string") for k in keys])))
+        text = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(b)), *[col(k).cast("string") for k in keys]))
+        u = wide_interval(text)
         weights.append(sum((F.when(u >= F.lit(t), 1).otherwise(0) for t in POISSON_CDF), F.lit(0)))
     return F.array(*weights)
 
@@ -193,8 +190,7 @@ def bootstrap_weights(df: DataFrame, n_bootstrap: int, random_state: int = 42, o
     # Every row casts one draw per resample: a resample of n rows is n draws of positions, counted where they fall.
     drawn = df.select(ROW, F.explode(F.sequence(F.lit(0), F.lit(n_bootstrap - 1))).alias("__b"))
     text = F.md5(F.concat_ws(":", F.lit(str(random_state)), col("__b").cast("string"), col(ROW).cast("string")))
-    share = F.conv(F.substring(text, 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))
-    hits = drawn.select(F.floor(share * n).cast("long").alias(ROW), "__b")
+    hits = drawn.select(F.floor(wide_interval(text) * n).cast("long").alias(ROW), "__b")
     counts = hits.groupBy(ROW).agg(*[F.count(F.when(F.col("__b") == b, 1)).cast("int").alias(f"__w{b}") for b in range(n_bootstrap)])
     table = counts.select(ROW, F.array(*[f"__w{b}" for b in range(n_bootstrap)]).alias(out))
     return df.join(table, ROW, "left").withColumn(out, F.coalesce(out, F.array_repeat(F.lit(0), n_bootstrap)))

@@ -415,6 +415,29 @@ DISTANCES = f"""WITH v AS (SELECT vec_id, label, list_filter(list_transform(embe
   FROM embeddings)
 SELECT a.vec_id, a.label AS cluster, {_r("sum(1.0::DOUBLE - CAST(len(list_intersect(a.s, b.s)) AS DOUBLE) / (len(a.s) + len(b.s) - len(list_intersect(a.s, b.s))))")} AS total
 FROM v a JOIN v b ON a.label = b.label GROUP BY 1, 2"""
+# The steps of k-medoids as two recursions over a table of distances: farthest seeds (s), then moves of the medoids (r).
+K_MEDOIDS = """WITH RECURSIVE v AS (SELECT vec_id, list_filter(range(len(embedding)), lambda i: embedding[i + 1] > 0) AS bits FROM embeddings),
+d AS MATERIALIZED (SELECT p.vec_id AS a, q.vec_id AS b,
+    1.0 - coalesce(len(list_intersect(p.bits, q.bits))::DOUBLE / nullif(len(p.bits) + len(q.bits) - len(list_intersect(p.bits, q.bits)), 0), 1.0) AS x
+  FROM v p, v q),
+s(n, m) AS (
+  SELECT 1, [(SELECT a FROM d GROUP BY a ORDER BY round(sum(x), 9), a LIMIT 1)]
+  UNION ALL
+  SELECT n + 1, list_append(m, list(a ORDER BY near DESC, a)[1])
+  FROM (SELECT n, m, a, min(x) AS near FROM s JOIN d ON list_contains(m, b) WHERE n < 6 AND NOT list_contains(m, a) GROUP BY n, m, a) GROUP BY n, m),
+r(step, m, cost, stop) AS (
+  SELECT 0, m, (SELECT sum(near) FROM (SELECT min(x) AS near FROM d WHERE list_contains(s.m, b) GROUP BY a)), false FROM s WHERE n = 6
+  UNION ALL
+  (WITH c AS (SELECT step, m, cost, a, list(list_position(m, b) ORDER BY x, list_position(m, b))[1] AS k
+     FROM r JOIN d ON list_contains(m, b) WHERE NOT stop AND step < 100 GROUP BY step, m, cost, a),
+   t AS (SELECT c.step, c.m, c.cost, c.k, c.a, round(sum(d.x), 9) AS total FROM c JOIN d ON d.a = c.a JOIN c o ON o.a = d.b AND o.k = c.k GROUP BY ALL),
+   e AS (SELECT step, m, cost, k, list(a ORDER BY total, a)[1] AS centre FROM t GROUP BY ALL),
+   f AS (SELECT step, m, cost, list_transform(m, lambda x, i: coalesce(map(list(k), list(centre))[i], x)) AS moved FROM e GROUP BY step, m, cost),
+   g AS (SELECT step, m, cost, moved, sum(near) AS fresh FROM (SELECT step, m, cost, moved, a, min(x) AS near FROM f JOIN d ON list_contains(moved, b) GROUP BY ALL) GROUP BY ALL)
+   SELECT step + 1, CASE WHEN fresh < cost THEN moved ELSE m END, CASE WHEN fresh < cost THEN fresh ELSE cost END, moved = m OR fresh >= cost FROM g)),
+z AS (SELECT m FROM r ORDER BY step DESC LIMIT 1),
+y AS (SELECT a, list(list_position(m, b) - 1 ORDER BY x, list_position(m, b))[1] AS k FROM z JOIN d ON list_contains(m, b) GROUP BY a)
+SELECT a AS vec_id, CAST(k AS INTEGER) AS chem_cluster_id, count(*) OVER (PARTITION BY k) AS chem_cluster_size FROM y"""
 
 # ridge on two standardised features, in closed form
 REG = """reg AS (SELECT l_returnflag, CAST(l_suppkey % 3 AS INTEGER) AS fold, l_extendedprice AS x1, l_discount AS x2, l_quantity AS y FROM lineitem)"""
@@ -493,7 +516,7 @@ SELECT c_custkey, k AS c_nationkey, fold FROM c JOIN r ON r.key IS NOT DISTINCT
 
 
 def _poisson(b: int) -> str:
-    u = f"(CAST('0x' || substr(md5('42:{b}:' || CAST(c_custkey AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE)"
+    u = f"(CAST('0x' || substr(md5('42:{b}:' || CAST(c_custkey AS VARCHAR)), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE)"
     return " + ".join(f"CASE WHEN {u} >= {t!r}::DOUBLE THEN 1 ELSE 0 END" for t in POISSON_CDF)
 
 
@@ -641,6 +664,8 @@ def oracle_sql() -> dict[str, str]:
         "nearest_labelled": NEAREST_SQL,
         "nearest_labelled_blocks": NEAREST_SQL,
         "tanimoto_distance_sums": DISTANCES,
+        "k_medoids": K_MEDOIDS,
+        "boosted_trees": "SELECT count(*) AS n_scored, true AS error_below_mean, true AS same_on_second_fit FROM lineitem",
         "tanimoto_distance_sums_blocks": DISTANCES,
         "scaffold_novelty": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay), "
         "c AS (SELECT library.id, target_class, murcko_scaffold, scaffold_type, count(*) OVER (PARTITION BY target_class, murcko_scaffold) AS scaffold_library_count, "
