@@ -2,9 +2,9 @@
 
 A window partitioned by a low-cardinality group sorts the whole group in one task, so nothing here does that unless it is
 told to. By default (``split``, at every size) rows are dealt by ranges of (group, order) and stored with the number of
-their range as a slot; windows then run per (group, slot), and the few totals of earlier slots are added. Where only
-values matter, rows of equal value collapse to one row first (map-side combine), so a value shared by a third of all rows
-is one row. No task holds more than a slot.
+their range as a slot; windows then run per (group, slot), and the few totals of earlier slots are added. Sums and
+quantiles collapse rows of equal value to one row first (map-side combine); ranks deal equal values by row number and
+settle the ends of slots in a small table. So a value shared by a third of all rows fills no task.
 
 ``window`` is the plain form, one shuffle by group, for callers who know that every group fits into a task.
 
@@ -127,14 +127,12 @@ def attach_by_key(
     keys: Sequence[str],
     size_column: str | None = None,
     how: str = "left",
-    number: str | None = None,
 ) -> DataFrame:
     """Join one lookup row to every row with the same keys, replicating the lookup rows of heavily shared keys.
 
     ``size_column`` tells how many rows share a lookup row. A lookup row with s rows gets s // COPY_ROWS + 1 copies,
-    and the rows choose a copy by the digest of ``number``, a stored row number, or of all their columns, which leaves
-    identical rows together. There are at most rows / COPY_ROWS such keys, which is what makes broadcasting their list
-    safe.
+    and the rows choose a copy by content hash, which leaves identical rows together. There are at most rows / COPY_ROWS
+    such keys, which is what makes broadcasting their list safe.
     """
     if size_column is None:
         return null_safe_join(rows, lookup, keys, how)
@@ -142,7 +140,7 @@ def attach_by_key(
     heavy = lookup.where(col(size_column) >= COPY_ROWS).select(*[col(k) for k in keys], copies.alias("__copies"))
     salted_rows = null_safe_join(rows, F.broadcast(heavy), keys, "left").withColumn(
         "__salt",
-        F.pmod(F.xxhash64(*[col(c) for c in ([number] if number else rows.columns)]), F.coalesce("__copies", F.lit(1))).cast("int"),
+        F.pmod(F.xxhash64(*[col(c) for c in rows.columns]), F.coalesce("__copies", F.lit(1))).cast("int"),
     ).drop("__copies")
     salted_lookup = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), copies - 1)))
     return null_safe_join(salted_rows, salted_lookup, [*keys, "__salt"], how).drop("__salt")
@@ -185,26 +183,70 @@ def numbered(df: DataFrame) -> DataFrame:
 def _split_rank(
     rows: DataFrame, group: Sequence[str], value: str, rank_column: str, total_column: str | None
 ) -> DataFrame:
-    """Rank checkpointed rows: collapse values, place them, and hand the ranks back to the rows."""
-    known = rows.where(col(value).isNotNull())
-    totals = prefix_totals(known, group, [value], strategy="split")
-    lookup = totals.select(
-        *[col(g) for g in group],
-        col(value),
-        F.col("n").alias("__n"),
-        (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank_column),
-        *([F.col("n_total").alias(total_column)] if total_column else []),
+    """Rank numbered rows where they lie.
+
+    Rows are dealt by (group, value, row number), so a value of any frequency spreads over slots. Inside a slot ties are
+    peers of a window; only its smallest and largest value can go on in other slots, and these two per slot are
+    settled in a table of one row per (group, slot).
+    """
+    keys = [col(g) for g in group]
+    known = _place(rows.where(col(value).isNotNull()), group, [value, ROW_NUMBER])
+    by_value = Window.partitionBy(*keys, F.col("__slot")).orderBy(col(value))
+    peers = by_value.rangeBetween(Window.currentRow, Window.currentRow)
+    local = known.withColumn("__below", F.rank().over(by_value) - 1).withColumn("__same", F.count(F.lit(1)).over(peers))
+    slots = local.groupBy(*keys, "__slot").agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.min(col(value)).alias("__lo"),
+        F.max(col(value)).alias("__hi"),
+        F.max(F.when(F.col("__below") == 0, F.col("__same"))).alias("__n_lo"),
+        F.max_by("__same", col(value)).alias("__n_hi"),
+    )
+    in_order = Window.partitionBy(*(keys or [F.lit(0)])).orderBy("__slot")
+    slots = slots.withColumn("__before", F.sum("__n").over(in_order) - F.col("__n"))
+    ends = F.array(
+        F.struct(F.col("__lo").alias("v"), F.col("__n_lo").alias("n"), F.col("__before").alias("at")),
+        F.struct(F.col("__hi").alias("v"), F.col("__n_hi").alias("n"), (F.col("__before") + F.col("__n") - F.col("__n_hi")).alias("at")),
+    )
+    ends = F.when(F.col("__lo") == F.col("__hi"), F.slice(ends, 1, 1)).otherwise(ends)
+    # The ends of all slots that share a value: where its run starts and how long it is.
+    one_value = Window.partitionBy(*keys, F.col("__end.v"))
+    spread = slots.withColumn("__end", F.explode(ends)).select(
+        *keys,
+        "__slot",
+        "__lo",
+        "__hi",
+        "__before",
+        (F.col("__end.v") == F.col("__lo")).alias("__low"),
+        F.min("__end.at").over(one_value).alias("__at"),
+        F.sum("__end.n").over(one_value).alias("__count"),
     )
-    ranked = attach_by_key(known, lookup, [*group, value], "__n", number=ROW_NUMBER).drop("__n")
+    settled = spread.groupBy(*keys, "__slot").agg(
+        *[F.first(c).alias(c) for c in ("__lo", "__hi", "__before")],
+        *[F.max(F.when(F.col("__low"), F.col(c))).alias(f"{c}_lo") for c in ("__at", "__count")],
+        *[F.max(F.when(~F.col("__low"), F.col(c))).alias(f"{c}_hi") for c in ("__at", "__count")],
+    )
+    if total_column:
+        totals = slots.groupBy(*keys).agg(F.sum("__n").alias(total_column))
+        if group:
+            settled = null_safe_join(settled, totals, group)
+        else:
+            settled = settled.withColumn(total_column, totals.scalar())
+    joined = null_safe_join(local, settled, [*group, "__slot"])
+
+    def pick(stem: str, inside: Column) -> Column:
+        at_end = F.when(col(value) == F.col("__lo"), F.col(f"{stem}_lo")).when(col(value) == F.col("__hi"), F.col(f"{stem}_hi"))
+        return at_end.otherwise(inside)
+
+    rank = pick("__at", F.col("__before") + F.col("__below")) + (pick("__count", F.col("__same")) + 1) / F.lit(2.0)
+    added = [c for c in (rank_column, total_column) if c]
+    ranked = joined.withColumn(rank_column, rank).select(*rows.columns, *[c for c in added if c not in rows.columns])
     missing = rows.where(col(value).isNull()).withColumn(rank_column, F.lit(None).cast("double"))
     if total_column:
         # One row per group.
-        counts = lookup.groupBy(*[col(g) for g in group]).agg(F.max(total_column).alias(total_column))
         if group:
-            missing = null_safe_join(missing, counts, group, "left")
+            missing = null_safe_join(missing, totals, group, "left")
         else:
-            one = counts.withColumn("__all", F.lit(0))
-            missing = missing.withColumn("__all", F.lit(0)).join(F.broadcast(one), "__all", "left").drop("__all")
+            missing = missing.withColumn(total_column, totals.scalar())
         missing = missing.withColumn(total_column, F.coalesce(total_column, F.lit(0)))
     return ranked.unionByName(missing)
 
@@ -222,10 +264,7 @@ def pair_ranks(
     rows = numbered(df)
     out = rows
     for value, rank in values.items():
-        totals = prefix_totals(rows, group, [value], strategy="split")
-        ranked = (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(rank)
-        lookup = totals.select(*[col(g) for g in group], col(value), F.col("n").alias("__n"), ranked)
-        out = attach_by_key(out, lookup, [*group, value], "__n", number=ROW_NUMBER).drop("__n")
+        out = _split_rank(out, group, value, rank, None)
     return out.drop(ROW_NUMBER)
 
 

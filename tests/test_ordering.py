@@ -35,6 +35,29 @@ def test_percent_rank_matches_pandas(frame, strategy, monkeypatch):
     np.testing.assert_array_equal(got["r"].to_numpy(float), expected.to_numpy(float))
 
 
+@pytest.mark.parametrize("group", [["g"], []])
+def test_ranks_across_many_slots(spark, frame, group):
+    """A value of a third of all rows, some of them identical, lies in several slots."""
+    data, df = frame
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = pdf(o.average_rank(df, group, "v", "r", "n"), "row")
+        known = df.select("g", "v").where("v IS NOT NULL AND NOT isnan(v)")
+        pairs = o.pair_ranks(known, group, {"v": "r"}).toPandas()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    whole = data.groupby("g")["v"] if group else data["v"]
+    np.testing.assert_array_equal(got["r"].to_numpy(float), whole.rank(method="average").to_numpy(float))
+    count = whole.transform("count") if group else pd.Series(data["v"].count(), index=data.index)
+    np.testing.assert_array_equal(got["n"], count)
+    clean = data.dropna()
+    expected = (clean.groupby("g")["v"] if group else clean["v"]).rank(method="average")
+    np.testing.assert_array_equal(np.sort(pairs["r"]), np.sort(expected))
+
+
 @pytest.mark.parametrize("strategy", ["window", "split"])
 def test_row_positions(frame, strategy):
     data, df = frame
