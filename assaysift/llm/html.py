@@ -3,7 +3,8 @@
 Every node of a page's tree gets its characters per tag, adjusted for how much of it is link text; a node's density sum
 adds the densities of its children. The node with the largest sum is the core of the article, and the least density on its
 way up to the body is the threshold that neighbouring parts have to reach to be part of it as well. Menus, forms, notices
-and the like are left out of the tree before any density is computed.
+and the like are left out of the tree before any density is computed, unless the page's own text lies within them: a marked
+part that wraps the page stays, and marks count below it only.
 """
 
 from __future__ import annotations
@@ -32,7 +33,8 @@ _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("tabl
 _SCOPE |= {"th": ("tr", "table"), "option": ("select",)}
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements, roles and words of class and id that mark what is no part of an article.
-_NO_ARTICLE = frozenset("nav footer aside form button select svg canvas object audio video dialog menu search datalist".split())
+_NEVER = frozenset("button select svg canvas object audio video datalist".split())
+_NO_ARTICLE = frozenset("nav footer aside form dialog menu search".split())
 _NO_ROLE = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar".split())
 _COMMENTS = frozenset("comment comments commentlist reply replies respond disqus discussion responses".split())
 _NO_WORD = _COMMENTS | frozenset(
@@ -41,6 +43,9 @@ _NO_WORD = _COMMENTS | frozenset(
     " sidebars menu menus nav navbar navigation breadcrumb breadcrumbs masthead footer share sharing social related"
     " recommended recommendations widget widgets toolbar pagination pager login paywall skip".split()
 )
+# Marks of parts that list other articles, and words that make a class the state of a page ("has-sidebar").
+_TEASERS = frozenset("<nav> <footer> <aside> complementary related recommended recommendations promo promotion sponsor sponsored".split())
+_STATE = frozenset("has with no without is open opened closed on off enabled disabled visible collapsed expanded".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)[\"']*>?",
@@ -51,11 +56,15 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 
 
 class _Node:
-    __slots__ = ("tag", "up", "out", "main", "comment", "first", "last", "chars", "linked", "tags", "links", "density", "total", "children")
+    __slots__ = (
+        *("tag", "up", "out", "main", "comment", "marks", "named", "first", "last", "chars", "linked", "tags", "links"),
+        *("density", "total", "children"),
+    )
 
     def __init__(self, tag: str, up: _Node | None, first: int) -> None:
         self.tag, self.up, self.first, self.last = tag, up, first, -1
-        self.out = self.main = self.comment = False
+        self.out = self.main = self.comment = self.named = False
+        self.marks: set[str] = set()
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.total = 0.0
         self.children: list[_Node] = []
@@ -67,25 +76,35 @@ def _judge(node: _Node, text: str) -> None:
     if text and not text.isspace():
         for name, a, b, c in _ATTRIBUTE.findall(text):
             attributes.setdefault(name.lower(), entities.unescape(a or b or c))
-    names = {x.lower() for x in _WORD.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}")}
+    tokens = [{x.lower() for x in _WORD.findall(t)} for t in f"{attributes.get('class', '')} {attributes.get('id', '')}".split()]
+    names = set().union(*tokens)
+    own = set().union(*(t for t in tokens if not t & _STATE))
     role = attributes.get("role", "").strip().lower()
-    node.comment = bool(names & _COMMENTS)
+    node.comment = bool(own & _COMMENTS)
     node.main = (node.tag in ("article", "main") or role in ("main", "article")) and not node.comment
     hidden = "hidden" in attributes or re.search(r"display\s*:\s*none", attributes.get("style", "")) is not None
     if node.tag in ("html", "body") or node.main:
         node.out = hidden and node.tag not in ("html", "body")
-    else:
-        node.out = hidden or node.tag in _NO_ARTICLE or role in _NO_ROLE or bool(names & _NO_WORD)
-        if node.tag == "header" or (names & {"header"} and not names & {"article", "post", "entry", "story", "title"}):
-            # A heading line within the article is part of it; any other page header isn't.
-            up = node.up
-            while up is not None and not up.main:
-                up = up.up
-            node.out = node.out or up is None
+        return
+    node.out = hidden or node.tag in _NEVER
+    node.marks = names & _NO_WORD
+    node.named = bool(own & _NO_WORD)
+    if node.tag in _NO_ARTICLE:
+        node.marks.add(f"<{node.tag}>")
+    if role in _NO_ROLE:
+        node.marks.add(role)
+    if node.tag == "header" or (names & {"header"} and not names & {"article", "post", "entry", "story", "title"}):
+        # A heading line within the article is part of it; any other page header isn't.
+        up = node.up
+        while up is not None and not up.main:
+            up = up.up
+        if up is None:
+            node.marks.add("header")
+    node.named = node.named or bool(node.marks - names)
 
 
 def parse(page: str) -> tuple[list[_Node], list[str | None]]:
-    """Return the nodes of a page and its text in order; None stands for the bounds of blocks. Left-out parts have no text."""
+    """Return the nodes of a page and its text in order; None stands for the bounds of blocks. Hidden parts have no text."""
     root = _Node("html", None, 0)
     nodes, flow, stack = [root], [], [root]
     low = page.lower()
@@ -169,8 +188,8 @@ def parse(page: str) -> tuple[list[_Node], list[str | None]]:
     return nodes, flow
 
 
-def densities(nodes: list[_Node], flow: list[str | None]) -> None:
-    """Fill characters, tags, densities and density sums of all nodes."""
+def _measure(nodes: list[_Node], flow: list[str | None]) -> None:
+    """Fill characters and link characters of all nodes."""
     lengths = [0]
     for x in flow:
         lengths.append(lengths[-1] + (len("".join(x.split())) if x else 0))
@@ -178,6 +197,78 @@ def densities(nodes: list[_Node], flow: list[str | None]) -> None:
         node.chars = lengths[node.last] - lengths[node.first]
     for node in reversed(nodes):  # children come after their parents
         node.linked = node.chars if node.tag == "a" else sum(x.linked for x in node.children)
+
+
+def leave_out(nodes: list[_Node], flow: list[str | None]) -> list[_Node]:
+    """Return the nodes without marked parts, whose text is emptied in ``flow``.
+
+    A marked part stays if it wraps the page: if it has most of the unlinked text, or holds an article. Parts that list
+    other articles have to hold half of all article text. Discussions, and parts named by their mark that stand beside an
+    article, are often longer than it: they need nine tenths of the text, and a discussion beside an article never stays.
+    Marks that many parts share ("widget") are judged by what these parts have together.
+    """
+    if not any(x.marks for x in nodes):
+        return nodes
+    _measure(nodes, flow)
+    size = {id(x): x.chars - x.linked for x in nodes}
+    whole = size[id(nodes[0])]
+    held: dict[int, int] = {}  # unlinked text of the outermost articles within a node
+    around: set[int] = set()  # nodes below an article
+    plain = False  # an article that no mark is above of
+    below: set[int] = set()  # nodes at or below a mark
+    for node in nodes:
+        up = node.up
+        if up is not None and (up.main or id(up) in around):
+            around.add(id(node))
+        if node.marks or up is not None and id(up) in below:
+            below.add(id(node))
+        elif node.main and size[id(node)]:
+            plain = True
+    for node in reversed(nodes):
+        held[id(node)] = size[id(node)] if node.main else sum(held[id(x)] for x in node.children)
+    articles = held[id(nodes[0])]
+
+    def tenths(node: _Node) -> int:
+        beside = node.named and plain and id(node) not in around
+        return 10 if node.comment and beside else 9 if node.comment or beside else 5
+
+    def wraps(node: _Node) -> bool:
+        inside = sum(held[id(x)] for x in node.children)
+        if inside and (not node.marks & _TEASERS and not node.comment or 2 * inside >= articles):
+            return True
+        return 10 * size[id(node)] > tenths(node) * whole
+
+    marked = [x for x in nodes if x.marks and not wraps(x)]
+    shared: dict[str, list[int]] = {}
+    ends: dict[str, int] = {}
+    for node in marked:
+        for mark in node.marks:
+            if node.first >= ends.get(mark, 0):  # the outermost ones, in page order
+                ends[mark] = node.last
+                total = shared.setdefault(mark, [0, 0])
+                total[0] += size[id(node)]
+                total[1] = max(total[1], tenths(node))
+    void = {mark for mark, (total, least) in shared.items() if 10 * total > least * whole}
+    for node in marked:
+        node.out = bool(node.marks - void)
+    kept = []
+    for node in nodes:
+        if node.up is not None and node.up.out:
+            node.out = True
+        elif node.out:
+            for k in range(node.first, node.last):
+                if flow[k] is not None:
+                    flow[k] = ""
+        if not node.out:
+            node.children = [x for x in node.children if not x.out]
+            kept.append(node)
+    return kept
+
+
+def densities(nodes: list[_Node], flow: list[str | None]) -> None:
+    """Fill characters, tags, densities and density sums of all nodes."""
+    _measure(nodes, flow)
+    for node in reversed(nodes):
         node.tags = len(node.children) + sum(x.tags for x in node.children)
         node.links = sum((x.tag == "a") + x.links for x in node.children)
     body = nodes[0]
@@ -229,6 +320,7 @@ def main_text(page: str | None) -> str:
     if not page or not page.strip():
         return ""
     nodes, flow = parse(page)
+    nodes = leave_out(nodes, flow)
     densities(nodes, flow)
     lines = []
     for node in _content(nodes):

@@ -238,6 +238,40 @@ def test_main_text(spark):
     assert len(html.main_text("<article>" + "<p>word</p>" * 20_000)) == 5 * 20_000 - 1
 
 
+STORY = "<h1>Head</h1>" + "".join(f"<p>{f'Sentence {i} of the story goes on. ' * 4}</p>" for i in range(4))
+OTHER = "".join(f"<p>{f'Another part {i} goes on. ' * 6}</p>" for i in range(3))
+AROUND = '<nav><a href=x>Home</a></nav><div class="sidebar">Side text to leave out</div><form>Search here</form><footer>foot words</footer>'
+
+
+@pytest.mark.parametrize("tag", ["article", "main", "div"])
+@pytest.mark.parametrize(
+    "wrapper",
+    [
+        'div class="site has-sidebar"',
+        'div id="page" class="nav-open"',
+        'form action="./Default.aspx"',
+        'div class="sticky-header"',
+        'section class="post comments-open"',
+        'div role="dialog" class="widget"',
+    ],
+)
+def test_main_text_within_marked_wrappers(wrapper, tag):
+    """A wrapper whose class, role or tag reads like a menu keeps its article; marked parts within it are left out."""
+    page = f"<body><{wrapper}>{AROUND}<{tag}>{STORY}</{tag}>{AROUND}</{wrapper.split()[0]}>"
+    assert html.main_text(page) == html.main_text(f"<article>{STORY}</article>") and "Sentence 3" in html.main_text(page)
+
+
+def test_main_text_of_marks_shared_by_the_parts():
+    parts = "".join(f'<div class="x-widget"><div class="x-widget-box"><p>{f"Block {i} is here. " * 8}</p></div></div>' for i in range(6))
+    assert html.main_text(f"<body>{AROUND}<div>{parts}</div>") == "\n".join((f"Block {i} is here. " * 8).strip() for i in range(6))
+
+
+def test_main_text_leaves_teasers_and_long_discussions_out():
+    teasers = "<aside><article>Teaser one with words</article></aside><div class=related><article>Teaser two</article></div>"
+    page = f'<body><article>{STORY}</article>{teasers}<div class="comments">{OTHER * 9}</div>'
+    assert html.main_text(page) == html.main_text(f"<article>{STORY}</article>")
+
+
 def test_urls(spark):
     model = urls.train(urls.labelled_urls(spark))
     cases = {
