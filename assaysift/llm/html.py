@@ -4,7 +4,7 @@ Every node of a page's tree gets its characters per tag, adjusted for how much o
 adds the densities of its children. The node with the largest sum is the core of the article, and the least density on its
 way up to the body is the threshold that neighbouring parts have to reach to be part of it as well. Menus, forms, notices
 and the like are left out of the tree before any density is computed, unless the page's own text lies within them: a marked
-part that wraps the page stays, and marks count below it only.
+part that wraps the page stays, and marks count below it only. <article> and <main> widen the core, they never narrow it.
 """
 
 from __future__ import annotations
@@ -46,6 +46,7 @@ _NO_WORD = _COMMENTS | frozenset(
 # Marks of parts that list other articles, and words that make a class the state of a page ("has-sidebar").
 _TEASERS = frozenset("<nav> <footer> <aside> complementary related recommended recommendations promo promotion sponsor sponsored".split())
 _STATE = frozenset("has with no without is open opened closed on off enabled disabled visible collapsed expanded".split())
+_PARAGRAPH = _HEADING | frozenset("p blockquote pre".split())
 _TOKEN = re.compile(
     r"<!--.*?(?:--!?>|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?"
     r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)[\"']*>?",
@@ -286,7 +287,12 @@ def densities(nodes: list[_Node], flow: list[str | None]) -> None:
 
 
 def _content(nodes: list[_Node]) -> list[_Node]:
-    """Return the nodes that make up the article, in page order."""
+    """Return the nodes that make up the article, in page order.
+
+    The node of the largest density sum and the least density from it to the body decide. The nearest <article> or <main>
+    around that node comes along as a whole, and paragraphs beside it within an outer one; siblings that reach the
+    threshold stay whatever the tags are.
+    """
     best = max(nodes, key=lambda x: x.total)  # the first of equal ones
     if best.total <= 0:
         best = nodes[0]
@@ -294,24 +300,36 @@ def _content(nodes: list[_Node]) -> list[_Node]:
     while up is not None:
         path.append(up)
         up = up.up
-    article = next((x for x in path if x.main), None)
-    if article is None:
-        # The body or a wrapper was chosen, for example where the article is one block: an article within it is meant.
+    top = [x for x in path if x.tag != "html"] or path
+    threshold = min(x.density for x in top)
+    core = next((x for x in path if x.main), None)
+    within: set[int] = set()  # nodes whose unlinked children all stay
+    if core is None:
+        core = best
+        # The body or a wrapper was chosen, for example where the article is one block: lists of links beside it are no part.
         inside = [x for x in nodes if x.main and best.first <= x.first and x.last <= best.last and not (x.up and x.up.main)]
         largest = max(inside, key=lambda x: x.chars, default=None)
         if largest is not None and 2 * largest.chars >= best.chars:
-            article = largest
-    if article is not None:
-        return [article]
-    top = [x for x in path if x.tag != "html"] or path
-    threshold = min(x.density for x in top)
-    chosen = {id(best)}
-    for node in path[1:]:
+            core, up = largest, largest.up
+            while up is not None and up is not best.up:
+                within.add(id(up))
+                up = up.up
+    steps, up = [], core.up
+    while up is not None:
+        steps.append(up)
+        up = up.up
+    chosen, last = {id(core)}, core
+    outer = max((k for k, x in enumerate(steps) if x.main), default=-1)
+    for k, node in enumerate(steps):
         for child in node.children:
-            if child not in path and (
-                child.tag in _HEADING and child.first < best.first or child.density >= threshold and 2 * child.linked < child.chars
+            if child is last or not child.chars:
+                continue
+            unlinked = 2 * child.linked < child.chars
+            if child.tag in _HEADING and child.first < core.first or unlinked and (
+                child.density >= threshold or id(node) in within or k <= outer and child.tag in _PARAGRAPH
             ):
                 chosen.add(id(child))
+        last = node
     return [x for x in nodes if id(x) in chosen]
 
 

@@ -272,6 +272,16 @@ def test_main_text_leaves_teasers_and_long_discussions_out():
     assert html.main_text(page) == html.main_text(f"<article>{STORY}</article>")
 
 
+@pytest.mark.parametrize("wrapper", ["main", "div"])
+def test_main_text_of_several_articles(wrapper):
+    """Articles beside the densest one stay by threshold, as they do with <div>."""
+    page = f"<body>{AROUND}<{wrapper}><article>{STORY}</article><article>{OTHER}</article></{wrapper}>"
+    assert html.main_text(page) == html.main_text(page.replace("article>", "div>"))
+    assert "Head\nSentence 0" in html.main_text(page) and html.main_text(page).endswith("Another part 2 goes on.")
+    assert html.main_text(page.replace("<main>", "<main><p>Intro.</p>")).startswith("Intro." if wrapper == "main" else "Head")
+    assert html.main_text("<main><p>intro</p><article>part 1</article><article>part 2</article></main>") == "intro\npart 1\npart 2"
+
+
 def test_urls(spark):
     model = urls.train(urls.labelled_urls(spark))
     cases = {
