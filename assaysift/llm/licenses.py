@@ -7,6 +7,8 @@ Every text is handled whole and on its own, so nothing is shuffled.
 
 from __future__ import annotations
 
+import bisect
+import heapq
 import re
 from collections.abc import Iterator
 
@@ -65,29 +67,43 @@ class Searcher:
         self.automaton.make_automaton()
 
     def search(self, text: str) -> list[tuple[str, int, int, int]]:
-        """Return (label, start, end, edits) of every notice in ``text``, in order."""
-        windows: dict[int, list[list[int]]] = {}
+        """Return (label, start, end, edits) of every notice in ``text``, in order.
+
+        Every place that a piece points to is searched in a window of its own, which has room for one notice only: a better
+        one nearby does not hide it. Notices resemble one another: of overlapping places the best stands, and what it leaves
+        of the others' windows is searched again.
+        """
+        windows: set[tuple[int, int, int]] = set()
         for last, (size, places) in self.automaton.iter(text):
             for which, at in places:
                 notice, _, k = self.notices[which]
-                low = max(0, last + 1 - size - at - k - 1)
-                high = last + 1 - size - at + len(notice) + k + 1
-                runs = windows.setdefault(which, [])
-                if runs and low <= runs[-1][1]:
-                    runs[-1][1] = max(runs[-1][1], high)
-                else:
-                    runs.append([low, high])
-        out = []
-        for which, runs in windows.items():
-            for low, high in runs:
-                for found in self.patterns[which].finditer(text, low, min(high, len(text))):
-                    out.append((self.notices[which][1], found.start(), found.end(), sum(found.fuzzy_counts)))
-        # Notices resemble one another: of overlapping places only the one with fewest edits stands.
-        kept: list[tuple[str, int, int, int]] = []
-        for hit in sorted(out, key=lambda x: (x[3], x[1] - x[2], x[1], x[0])):
-            if all(hit[2] <= x[1] or hit[1] >= x[2] for x in kept):
-                kept.append(hit)
-        return sorted(kept, key=lambda x: x[1])
+                start = last + 1 - size - at
+                windows.add((which, max(0, start - k - 1), min(start + len(notice) + k + 1, len(text))))
+        hits: list[tuple[int, int, int, str, int, int, int]] = []
+
+        def find(which: int, low: int, high: int) -> None:
+            notice, label, k = self.notices[which]
+            if high - low < len(notice) - k + 2:
+                return
+            if found := self.patterns[which].search(text, low, high):
+                i, j = found.span()
+                heapq.heappush(hits, (sum(found.fuzzy_counts), i - j, i, label, which, low, high))
+
+        for window in windows:
+            find(*window)
+        kept: list[tuple[int, int, str, int]] = []  # ordered by place, without overlaps
+        while hits:
+            edits, size, i, label, which, low, high = heapq.heappop(hits)
+            j = i - size
+            k = bisect.bisect_left(kept, j, key=lambda x: x[0])  # those before k start before the hit ends
+            if k and kept[k - 1][1] > i:
+                other = kept[k - 1]
+                if other[:2] != (i, j) or other[2] != label:
+                    find(which, low, min(high, other[0]))
+                    find(which, max(low, other[1]), high)
+                continue
+            kept.insert(k, (i, j, label, edits))
+        return [(label, i, j, edits) for i, j, label, edits in kept]
 
 
 def normalised(text: str) -> str:

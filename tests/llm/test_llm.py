@@ -164,6 +164,26 @@ def test_every_notice_within_its_edits_is_found():
             assert search.search(f" before {''.join(text)} after ")
 
 
+def test_adjacent_notices_of_unequal_edits_are_all_found(spark):
+    """A better notice behind an edited one, of the same or a similar kind, does not hide it."""
+    search = licenses.Searcher(licenses.NOTICES).search
+    two, three = (f"licensed under the gnu general public license version {i}" for i in (2, 3))
+    edited = two.replace("licensed", "lisenced")
+    assert [(x[0], x[3]) for x in search(f" {edited} {three} x ")] == [("gpl-2.0", 2), ("gpl-3.0", 0)]
+    assert [(x[0], x[3]) for x in search(f" {edited} {edited} {two} {edited} ")] == [("gpl-2.0", n) for n in (2, 2, 0, 2)]
+    rng = np.random.default_rng(6)
+    for notice, label in licenses.NOTICES.items():
+        text, k = "", licenses.edits_allowed(notice)
+        for n in range(k, -1, -1):  # each better than the one before
+            chars = list(notice)
+            for i in rng.choice([i for i in range(1, len(chars) - 1) if chars[i] != " "], n, replace=False):
+                chars[i] = "q"
+            text += " " + "".join(chars)
+        assert [x[0] for x in search(f"{text} ")] == [label] * (k + 1), notice
+    table = spark.createDataFrame([(1, f"{edited} {three}.")], "doc_id long, text string")
+    assert licenses.summary(licenses.scan(table)).first()["labels"] == "gpl,gpl-2.0,gpl-3.0"
+
+
 def test_contamination(spark):
     rng = np.random.default_rng(3)
     word = lambda n: " ".join(rng.choice(VOCABULARY, n))
