@@ -206,7 +206,10 @@ def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]
 def distance_sums(
     points: DataFrame, key: str, set_column: str, cluster: str | None = None, force_blocks: bool = False
 ) -> DataFrame:
-    """Return, per point, the sum of its Tanimoto distances to all points (of its cluster)."""
+    """Return, per point, the sum of its Tanimoto distances to all points (of its cluster).
+
+    A missing cluster is a value of its own, equal to another missing one.
+    """
     spark = points.sparkSession
     p = points.select(
         col(key).alias("key"),
@@ -216,17 +219,21 @@ def distance_sums(
     kind = dict(p.dtypes)["key"]
     schema = f"key {kind}, cluster int, total double"
 
+    def codes(clusters: pd.Series) -> np.ndarray:
+        """Return clusters as numbers; a missing one lies outside of int."""
+        return clusters.astype("Int64").fillna(1 << 32).to_numpy(dtype=np.int64)
+
     def add(rows: pd.DataFrame, clusters: np.ndarray, index: SetIndex) -> pd.DataFrame:
         total = np.zeros(len(rows))
-        mine = rows["cluster"].to_numpy()
+        mine = codes(rows["cluster"])
         for at, similarity in index.tanimoto(_sets(rows["set"])):
             inside = mine[at][:, None] == clusters[None, :]
             total[at] = ((1.0 - similarity) * inside).sum(axis=1)
-        return pd.DataFrame({"key": rows["key"], "cluster": mine, "total": total})
+        return pd.DataFrame({"key": rows["key"], "cluster": rows["cluster"].astype("Int32"), "total": total})
 
     if not force_blocks and _fits(p, "set"):
         refs = p.select("cluster", "set").toPandas()
-        shared = spark.sparkContext.broadcast((refs["cluster"].to_numpy(), SetIndex(_sets(refs["set"]))))
+        shared = spark.sparkContext.broadcast((codes(refs["cluster"]), SetIndex(_sets(refs["set"]))))
 
         def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             clusters, index = shared.value
@@ -238,7 +245,7 @@ def distance_sums(
     sizes = {r["cluster"]: r["n"] for r in p.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
     plan = [(c, max(1, ceil(n / BLOCK_SETS)), max(1, ceil(n / CHUNK_ROWS))) for c, n in sizes.items()]
     cuts = local_table(spark, plan, {"cluster": "int", "blocks": "int", "chunks": "int"})
-    sized = p.join(F.broadcast(cuts), "cluster")
+    sized = null_safe_join(p, F.broadcast(cuts), ["cluster"])
     digest = F.xxhash64("key")
     rows = sized.withColumn("chunk", F.pmod(digest, F.col("chunks")).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -250,7 +257,7 @@ def distance_sums(
     keys = ["cluster", "chunk", "block"]
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return add(left.reset_index(drop=True), right["cluster"].to_numpy(), SetIndex(_sets(right["set"])))
+        return add(left.reset_index(drop=True), codes(right["cluster"]), SetIndex(_sets(right["set"])))
 
     partial = rows.groupBy(*keys).cogroup(refs.groupBy(*keys)).applyInPandas(meet, schema)
     return partial.groupBy(col("key").alias(key), "cluster").agg(F.sum("total").alias("total"))

@@ -104,6 +104,21 @@ def test_k_medoids_matches_dense_matrix(spark, sets, blocks, monkeypatch):
         similarity.k_medoids(df, "id", "bits", 41)
 
 
+@pytest.mark.parametrize("some", [True, False])
+def test_distance_sums_of_missing_clusters(spark, sets, some, monkeypatch):
+    """A missing cluster is one value in both plans, also where no cluster is known."""
+    monkeypatch.setattr(similarity, "BLOCK_SETS", 4)
+    monkeypatch.setattr(similarity, "CHUNK_ROWS", 5)
+    rows = [(n, i % 3 if some and i % 3 else None, sets[n]) for i, n in enumerate(sets)]
+    df = spark.createDataFrame(rows, "id string, label int, bits array<bigint>")
+    want = {n: (c, sum(1 - similarity_of(b, x) for _, d, x in rows if c == d)) for n, c, b in rows}
+    for blocks in (False, True):
+        got = similarity.distance_sums(df, "id", "bits", "label", force_blocks=blocks).collect()
+        assert len(got) == len(rows)
+        for r in got:
+            assert (r["cluster"], r["total"]) == (want[r["id"]][0], pytest.approx(want[r["id"]][1]))
+
+
 def test_flags_and_reasons(spark):
     rows = [("x", "a", 1, 0.2), ("x", "b", 0, 0.4), ("x", "c", 1, 0.9), ("y", "d", 1, None)]
     df = spark.createDataFrame(rows, "target_class string, id string, unseen_scaffold_flag int, nearest_labeled_tanimoto double")
