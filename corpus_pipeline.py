@@ -48,7 +48,8 @@ STAGES = [
     ("encoding", encoding_stage),
 ]
 
-#: The classifier is fitted, which SQL cannot express; tests hold every later stage against brute force.
+#: The classifier is fitted, which SQL cannot express. Tests hold the rows and texts of every later stage against brute force
+#: on a fixture, and those of the first against the classifier's own verdicts.
 ORACLE_SQL = None
 
 

@@ -385,3 +385,82 @@ def test_pipeline(spark):
     assert got.keys() == texts.keys()
     for i, text in texts.items():
         assert got[i]["n_tokens"] == len(tokenizer.encode(text or "", add_special_tokens=False).ids)
+
+
+def test_pipeline_stages_against_brute_force(spark, rows, tmp_path):
+    """Rows and texts that each stage keeps, one stage after the other."""
+    import corpus_pipeline
+
+    stages = dict(corpus_pipeline.STAGES)
+    rng = np.random.default_rng(9)
+    bench = [(i, " ".join(rng.choice(VOCABULARY, 20))) for i in range(6)]
+    spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    near = [(i, t) for i, t in rows if len(t or "") < 10_000]
+    for i, (_, item) in enumerate(bench[:4]):  # whole, and with up to three words replaced
+        words = item.split()
+        for k in range(i):
+            words[6 * k + 5] = "changed"
+        near.append((500 + i, " ".join([*rng.choice(VOCABULARY, 60), *words, *rng.choice(VOCABULARY, 60)])))
+    near.append((510, " ".join([*rng.choice(VOCABULARY, 60), *bench[5][1].split()[:8], *rng.choice(VOCABULARY, 60)])))
+    schema = "doc_id long, text string, doc string"
+
+    def run(name, texts):
+        out = stages[name](spark, spark.createDataFrame([(i, t, "own") for i, t in texts], schema), str(tmp_path))
+        assert out.columns == ["doc_id", "text", "doc"]
+        return Counter((r["doc_id"], r["text"] or "", r["doc"]) for r in out.collect())
+
+    counted = lambda texts: Counter((i, t or "", "own") for i, t in texts)
+
+    key = lambda line: _lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for i, t in near:
+        for line in (t or "").split("\n"):
+            if i is not None and len(key(line)) >= 40:
+                holders[key(line)].add(i)
+    kept = []
+    for i, t in near:
+        lines_ = (t or "").split("\n")
+        kept.append((i, "\n".join(x for x in lines_ if i is None or len(holders[key(x)]) < 5 or i == max(holders[key(x)]))))
+    assert counted(kept) != counted(near) and run("line_dedup", near) == counted(kept)
+
+    sets, up = {i: _shingles(t) for i, t in kept if i is not None}, {}
+    for a in sorted(sets):
+        up.setdefault(a, a)
+        for b in sorted(sets):
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                x, y = up[a], up.setdefault(b, b)
+                up = {i: min(x, y) if c in (x, y) else c for i, c in up.items()}
+    single = [(i, t) for i, t in kept if i is None or up[i] == i]
+    assert len(single) < len(kept) and run("near_duplicates", kept) == counted(single)
+
+    split = lambda t: re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+", _lower(t))
+    number = defaultdict(lambda: len(number))
+    items = [np.array([number[w] for w in split(t)]) for _, t in bench]
+    clean = []
+    for i, t in single:
+        words = np.array([number[w] for w in split(t)], int)
+        if i is None or all(_align(item, words) < len(item) for item in items):
+            clean.append((i, t))
+    assert {i for i, _ in single} - {i for i, _ in clean} == {500, 501, 502, 503}
+    assert run("decontamination", single) == counted(clean)
+
+    tokenizer = Tokenizer.from_file(PATH)
+    digest = lambda b: hashlib.sha256(b).hexdigest()
+    want = Counter()
+    for i, t in clean:
+        ids = tokenizer.encode(t, add_special_tokens=False).ids
+        want[i, len(ids), digest(np.array(ids, "<u4").tobytes()), digest(tokenizer.decode(ids, skip_special_tokens=False).encode())] += 1
+    out = stages["encoding"](spark, spark.createDataFrame([(i, t, "own") for i, t in clean], schema), str(tmp_path))
+    assert Counter(tuple(r) for r in out.collect()) == want
+
+
+def test_pipeline_quality_stage_keeps_what_the_classifier_accepts(spark):
+    import corpus_pipeline
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    scores = quality.classify(docs, spark.read.parquet(f"{sf}/labels.parquet")).filter("predicted = 1").select("doc_id")
+    want = {r[0] for r in scores.collect()}
+    got = corpus_pipeline.STAGES[0][1](spark, docs, sf).collect()
+    assert Counter(tuple(r) for r in got) == Counter(tuple(r) for r in docs.collect() if r["doc_id"] in want)
+    assert 0 < len(got) < docs.count()
