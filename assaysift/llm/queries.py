@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaysift.llm import bpe, decontaminate, html, licenses, lines, minhash, quality, topk, urls, warc
+from assaysift.llm import ann, bpe, decontaminate, html, licenses, lines, minhash, quality, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op12_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search every twentieth vector among all vectors, by an index."""
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return ann.search(ann.build_index(vectors, 20), vectors.filter(F.col("id") % 20 == 0))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return one callable per operator of this package."""
     every = (
@@ -95,6 +101,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_filter,
         op9_warc_fixity,
         op10_quality,
+        op12_stable_projection_ann,
     )
     return {f.__name__: f for f in every}
 
