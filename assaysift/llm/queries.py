@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaysift.llm import ann, bpe, decontaminate, html, licenses, lines, minhash, quality, topk, urls, warc
+from assaysift.llm import ann, bpe, decontaminate, fim, html, licenses, lines, minhash, quality, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -82,6 +82,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rearrange whole texts for filling in the middle, and restore them."""
+    return fim.restore(fim.transform(_table(spark, sf_dir, "documents")), keep_text=False)
+
+
 def op12_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Search every twentieth vector among all vectors, by an index."""
     vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
@@ -101,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_url_filter,
         op9_warc_fixity,
         op10_quality,
+        op11_fill_in_middle,
         op12_stable_projection_ann,
     )
     return {f.__name__: f for f in every}
@@ -183,6 +189,27 @@ FROM o WHERE d = '01' OR (d = '00' AND html IS NOT NULL AND html <> '' AND html[
 """
 
 
+OP11_SQL = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS x, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (
+  SELECT doc_id, x, regexp_extract_all(x, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS t,
+    list_transform([1, 9, 17, 25], lambda i: CAST('0x' || substr(h, i, 8) AS BIGINT)) AS g FROM d),
+p AS (
+  SELECT doc_id, x, t, len(t) AS n, g[1] % (len(t) + 1) AS a, g[2] % (len(t) + 1) AS b,
+    CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR g[3] % 100 >= 50 THEN 'plain'
+      WHEN g[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM u),
+c AS (
+  SELECT doc_id, x, n, form, array_to_string(t[1:least(a, b)], '') AS pre, array_to_string(t[least(a, b) + 1:greatest(a, b)], '') AS mid,
+    array_to_string(t[greatest(a, b) + 1:], '') AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+    ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(x) AS restored_sha256
+FROM c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Return reference SQL where SQL can express a query."""
     return {
@@ -190,4 +217,5 @@ def oracle_sql() -> dict[str, str]:
         "op2_line_dedup": OP2_SQL,
         "op6_exact_top_k": OP6_SQL,
         "op9_warc_fixity": OP9_SQL,
+        "op11_fill_in_middle": OP11_SQL,
     }
