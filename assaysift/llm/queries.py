@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assaysift.llm import ann, bpe, decontaminate, fim, html, licenses, lines, minhash, quality, topk, urls, warc
+from assaysift.llm import ann, bpe, decontaminate, fim, html, licenses, lines, minhash, quality, resample, topk, urls, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -93,6 +93,11 @@ def op12_stable_projection_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(ann.build_index(vectors, 20), vectors.filter(F.col("id") % 20 == 0))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draw documents towards the word runs of the benchmark."""
+    return resample.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return one callable per operator of this package."""
     every = (
@@ -108,6 +113,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op10_quality,
         op11_fill_in_middle,
         op12_stable_projection_ann,
+        op13_importance_resampling,
     )
     return {f.__name__: f for f in every}
 
