@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
+from assaysift.llm.memory import release
 from assaysift.session import reliable_checkpoint
 
 #: Words of the broadcast table at most; with their ids they take about 12 MB.
@@ -142,6 +143,7 @@ def count_words(texts: DataFrame, spec) -> DataFrame:
                 if len(chunks) > _COUNTED:
                     yield flush()
         yield flush()
+        release()
 
     return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -156,6 +158,7 @@ def encode_words(words: DataFrame, spec, kind: str) -> DataFrame:
                 part = batch.slice(low, 2000)
                 ids = [x.astype(kind).tobytes() for x in encode(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
+        release()
 
     return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
 
@@ -222,6 +225,7 @@ def _other_words(texts: DataFrame, spec, head) -> DataFrame:
                     yield flush(batch.column(0))
                     rows, places, words = [], [], []
             yield flush(batch.column(0))
+        release()
 
     return texts.select("key", "text").mapInArrow(run, "key long, place int, word string")
 
@@ -300,7 +304,9 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         docs_, out, size = [], [], 0
             if docs_:
                 yield flush()
-        _made.pop("head", None)  # workers live on, perhaps for other work
+        del known
+        _made.clear()  # workers live on, perhaps for other work
+        release()
 
     joined = _packed(texts).join(other, "key", "left").select("doc", "packed", "ids")
     return joined.mapInArrow(run, "doc_id long, ids array<int>")
@@ -363,6 +369,7 @@ def round_trip_digests(spark: SparkSession, encoded: DataFrame, path: str) -> Da
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
+        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(
         run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"

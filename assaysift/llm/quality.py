@@ -11,13 +11,13 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaysift.llm import words as W
+from assaysift.llm.memory import release
 from assaysift.session import reliable_checkpoint
 
 _CLASSES = ["lower", "upper", "digit", "blank", "line", "stop", "shout", "quote", "symbol", "bar", "control", "wide"]
@@ -81,16 +81,18 @@ def text_features(column: pa.Array) -> np.ndarray:
     return np.concatenate((out, np.sqrt(out)), axis=1)
 
 
+def _feature_lists(column: pa.Array) -> pa.Array:
+    x = text_features(column).astype(np.float32)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1)))
+
+
 def feature_table(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Return (doc, x): raw features of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = text_features(batch.column(1)).astype(np.float32)
-            lists = pa.ListArray.from_arrays(
-                pa.array(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32)), pa.array(x.reshape(-1))
-            )
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists], ["doc", "x"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), _feature_lists(batch.column(1))], ["doc", "x"])
+        release()
 
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
     return texts.mapInArrow(run, "doc long, x array<float>")
@@ -239,15 +241,27 @@ def train(features: DataFrame, labels: DataFrame) -> dict:
     return fit(reliable_checkpoint(table.select("x", F.coalesce("positive", F.lit(False)).alias("positive"))))
 
 
-def model_score(model: dict, text: Column) -> Column:
-    """Return the score of a text column under a fitted model."""
+def _features_of(text: Column) -> Column:
+    """Return the raw features of a text column, taken from Arrow data a piece at a time."""
+
+    @F.arrow_udf(T.ArrayType(T.FloatType()))
+    def features(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield _feature_lists(column)
+        release()
+
+    return features(text)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(texts: pd.Series) -> pd.Series:
-        x = text_features(pa.array(texts, pa.string(), from_pandas=True))
-        return pd.Series(_sigmoid(_scaled(x, model) @ model["w"]))
 
-    return score(text)
+def _score_of(model: dict, x: Column) -> Column:
+    """Return the score of raw features under a fitted model."""
+
+    @F.arrow_udf(T.DoubleType())
+    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for column in columns:
+            yield pa.array(_sigmoid(_scaled(_matrix(column, 2 * _RAW), model) @ model["w"]))
+
+    return score(x)
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -258,12 +272,7 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     features = reliable_checkpoint(feature_table(docs, id_col, text_col))
     model = train(features, labels)
 
-    @F.pandas_udf(T.DoubleType())
-    def score(x: pd.Series) -> pd.Series:
-        x = np.stack(x.to_list()).astype(np.float64) if len(x) else np.zeros((0, 2 * _RAW))
-        return pd.Series(_sigmoid(_scaled(x, model) @ model["w"]))
-
-    scored = features.select("doc", score("x").alias("score"))
+    scored = features.select("doc", _score_of(model, F.col("x")).alias("score"))
     return scored.select(
         F.col("doc").alias("doc_id"), _held_out(F.col("doc")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
@@ -271,5 +280,10 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame, least: float = 0.5) -> DataFrame:
     """Return the rows of ``docs`` (doc_id, text, ...) whose score is ``least`` or more, unchanged."""
-    model = train(reliable_checkpoint(feature_table(docs, "doc_id", "text")), labels)
-    return docs.filter(model_score(model, F.col("text").cast("string")) >= least)
+    x = "__x"
+    while x in docs.columns:
+        x += "_"
+    # Rows are stored with their features, so every text is read by Python once.
+    stored = reliable_checkpoint(docs.withColumn(x, _features_of(F.col("text").cast("string"))))
+    model = train(stored.select(F.col("doc_id").cast("long").alias("doc"), F.col(x).alias("x")), labels)
+    return stored.filter(_score_of(model, F.col(x)) >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
