@@ -23,11 +23,12 @@ SQL_FEATURES = 8
 
 @dataclass(frozen=True)
 class Moments:
-    """Weighted second moments of z = (1, x - shift, y)."""
+    """Weighted second moments of z = (1, x - shift, y), with the range of y where it is known."""
 
     matrix: np.ndarray
     shift: np.ndarray
     n_rows: int
+    y_range: tuple[float, float] | None = None
 
     @property
     def weight(self) -> float:
@@ -100,7 +101,9 @@ def moments(
         matrix = np.zeros((size, size))
         for (i, j), value in zip(_upper(size), row["values"], strict=True):
             matrix[i, j] = matrix[j, i] = value
-        out.setdefault(key, [None] * n_weights)[row["replicate"]] = Moments(matrix, shift, int(row["n_rows"]))
+        out.setdefault(key, [None] * n_weights)[row["replicate"]] = Moments(
+            matrix, shift, int(row["n_rows"]), (row["y_low"], row["y_high"])
+        )
     return out
 
 
@@ -111,7 +114,14 @@ def _sql_moments(rows: DataFrame, keys: Sequence[Column], size: int, n_weights:
         *rows.columns, F.lit(0).alias("replicate"), F.get("w", 0).alias("wt")
     )
     sums = [F.sum(F.col("wt") * z[i] * z[j]) for i, j in _upper(size)]
-    return long.groupBy(*keys, "replicate").agg(F.array(*sums).alias("values"), F.count(F.lit(1)).alias("n_rows"))
+    # The range of labels is that of rows that count.
+    counted = F.when(F.col("wt") > 0, F.col("y"))
+    return long.groupBy(*keys, "replicate").agg(
+        F.array(*sums).alias("values"),
+        F.count(F.lit(1)).alias("n_rows"),
+        F.min(counted).alias("y_low"),
+        F.max(counted).alias("y_high"),
+    )
 
 
 def _block_moments(rows: DataFrame, group: Sequence[str], size: int, n_weights: int) -> DataFrame:
@@ -130,23 +140,28 @@ def _block_moments(rows: DataFrame, group: Sequence[str], size: int, n_weights:
                 w = np.stack(piece["w"].to_numpy()).astype(float)
                 key = key if isinstance(key, tuple) else (key,)
                 for b in range(n_weights):
-                    entry = sums.setdefault((key, b), [np.zeros((size, size)), 0])
+                    entry = sums.setdefault((key, b), [np.zeros((size, size)), 0, np.inf, -np.inf])
                     entry[0] += (z * w[:, b : b + 1]).T @ z
                     entry[1] += len(piece)
-        for (key, b), (matrix, count) in sums.items():
+                    counted = z[w[:, b] > 0, -1]
+                    entry[2], entry[3] = counted.min(initial=entry[2]), counted.max(initial=entry[3])
+        for (key, b), (matrix, count, low, high) in sums.items():
             record = {g: [v] for g, v in zip(group, key, strict=True)}
-            yield pd.DataFrame({**record, "replicate": [b], "n_rows": [count], "values": [matrix[first, second]]})
+            ends = {"y_low": [low], "y_high": [high]}
+            yield pd.DataFrame({**record, "replicate": [b], "n_rows": [count], **ends, "values": [matrix[first, second]]})
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], "replicate int, n_rows long, values array<double>"])
+    schema = ", ".join([*[f"`{g}` {kinds[g]}" for g in group], "replicate int, n_rows long, y_low double, y_high double, values array<double>"])
     keys = [col(g) for g in group]
     parts = rows.mapInPandas(partial, schema)
-    elements = parts.select(*keys, "replicate", "n_rows", F.posexplode("values").alias("at", "value"))
+    elements = parts.select(*keys, "replicate", "n_rows", "y_low", "y_high", F.posexplode("values").alias("at", "value"))
     summed = elements.groupBy(*keys, "replicate", "at").agg(
-        F.sum("value").alias("value"), F.sum("n_rows").alias("n_rows")
+        F.sum("value").alias("value"), F.sum("n_rows").alias("n_rows"), F.min("y_low").alias("y_low"), F.max("y_high").alias("y_high")
     )
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "value"))), lambda e: e["value"])
-    return summed.groupBy(*keys, "replicate").agg(ordered.alias("values"), F.max("n_rows").alias("n_rows"))
+    return summed.groupBy(*keys, "replicate").agg(
+        ordered.alias("values"), *[F.max(c).alias(c) for c in ("n_rows", "y_low", "y_high")]
+    )
 
 
 def solve_ridge(
@@ -175,6 +190,48 @@ def solve_ridge(
     return models
 
 
-def ensemble_column(models: Sequence[RidgeModel]) -> Column:
-    """Return an array with each member's prediction."""
-    return F.array(*[m.column() for m in models])
+def error_scores(model: RidgeModel, stats: Moments) -> tuple[float | None, float | None]:
+    """Return rmse and r2 of a model on the rows behind ``stats``, from their moments alone.
+
+    The squared error is a quadratic form: with z = (1, x - shift, y) the error of a row is u'z, so its sum is u'Mu.
+    Fewer than two rows have no r2; labels without spread give 1 where nothing is wrong, else 0.
+    """
+    n = stats.weight
+    if n <= 0:
+        return None, None
+    at_shift = model.intercept + float(model.coefficients @ stats.shift)
+    u = np.concatenate(([-at_shift], -model.coefficients, [1.0]))
+    error = max(float(u @ stats.matrix @ u), 0.0)
+    spread = float(stats.matrix[-1, -1] - stats.matrix[0, -1] ** 2 / n)
+    rmse = float(np.sqrt(error / n))
+    if n < 2:
+        return rmse, None
+    if stats.y_range is not None and stats.y_range[0] == stats.y_range[1] or spread <= 0:
+        return rmse, 1.0 if error == 0 else 0.0
+    return rmse, 1 - error / spread
+
+
+def add_moments(parts: Sequence[Moments]) -> Moments:
+    """Return the moments of all rows of parts with one shifts."""
+    return Moments(sum(p.matrix for p in parts), parts[0].shift, sum(p.n_rows for p in parts))
+
+
+def fold_scores(
+    stats: dict[tuple, list[Moments]], features: Sequence[str], alphas: Sequence[float], standardize: bool = False
+) -> list[tuple]:
+    """Return (fold, replicate, number of the strength, rmse, r2) of every strength, fold and replicate.
+
+    ``stats`` are moments by fold. Each fold is scored by a model of all other rows, those without a fold among them,
+    with the weights of the same replicate. No row is read again.
+    """
+    out = []
+    for replicate in range(len(next(iter(stats.values()), []))):
+        own = {key[0]: s[replicate] for key, s in stats.items() if s[replicate] is not None}
+        whole = add_moments(list(own.values()))
+        for fold, held in own.items():
+            train = whole - held
+            if fold is None or held.weight <= 0 or train.weight <= 0:
+                continue
+            for i, model in enumerate(solve_ridge(train, features, alphas, standardize)):
+                out.append((fold, replicate, i, *error_scores(model, held)))
+    return out

@@ -12,6 +12,8 @@ from assaysift.functions.numeric import col, finite, number
 from assaysift.functions.ordering import choose, pair_ranks, row_positions
 
 MAXIMISED = ("spearman", "r2")
+#: Metrics of errors and ranks alone, which need no order of predictions.
+BY_ERROR = ("rmse", "mae", "r2", "spearman")
 
 
 def higher_is_better(metric: str) -> bool:
@@ -74,16 +76,22 @@ def regression_metrics(
     top_counts: Sequence[int] = (),
     tie_break: Sequence[str] = (),
     strategy: str = "auto",
+    only: str | None = None,
 ) -> DataFrame:
     """Return rmse, mae, r2, spearman and, with a hit threshold, enrichment and precision metrics per group.
 
-    Rows tied on the prediction enter the top of the ranking in order of ``tie_break``.
+    Rows tied on the prediction enter the top of the ranking in order of ``tie_break``. With ``only``, the name of one
+    metric, no ordering is made that this metric does not need, and the others that would need it are missing.
     """
     if any(n <= 0 for n in top_counts):
         raise ValueError("n must be positive")
     strategy = choose(df, strategy)
     keys = [col(g) for g in group]
-    ranked = with_pair_ranks(df, group, label, prediction, "__ry", "__rp", strategy)
+    wants_ranks = only in (None, "spearman")
+    if wants_ranks:
+        ranked = with_pair_ranks(df, group, label, prediction, "__ry", "__rp", strategy)
+    else:
+        ranked = df.withColumn("__x", finite(label)).withColumn("__y", finite(prediction)).where("__x IS NOT NULL AND __y IS NOT NULL")
     ranked = ranked.withColumnRenamed("__x", "__label").withColumnRenamed("__y", "__pred")
     error = F.col("__label") - F.col("__pred")
     aggregates = [
@@ -93,9 +101,9 @@ def regression_metrics(
         F.sum(error * error).alias("__sse"),
         F.var_pop(F.col("__label")).alias("__var"),
         (F.min("__label") == F.max("__label")).alias("__flat"),
-        safe_corr(F.col("__ry"), F.col("__rp")).alias("spearman"),
+        (safe_corr(F.col("__ry"), F.col("__rp")) if wants_ranks else F.lit(None).cast("double")).alias("spearman"),
     ]
-    wants_hits = hit_threshold is not None and (top_fractions or top_counts)
+    wants_hits = hit_threshold is not None and (top_fractions or top_counts) and only not in BY_ERROR
     if wants_hits:
         ranked = row_positions(
             ranked.withColumn("__hit", hit(F.col("__label"), hit_threshold)),

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from assaysift.functions.numeric import col
 from assaysift.functions.params import format_params
 from assaysift.operators import models
-from assaysift.operators.linear import Moments, moments, solve_ridge
+from assaysift.operators.linear import Moments, add_moments, fold_scores, moments, solve_ridge
 from assaysift.operators.metrics import higher_is_better, python_round, regression_metrics
 
 # Columns of the trial trace.
@@ -111,9 +111,16 @@ def score_ridge_trials(
     stats: dict[tuple, list[Moments]] | None = None,
     keep: Sequence[str] = (),
 ) -> list[float | None]:
-    """Score all strengths on all folds: one pass for the moments, one for the predictions."""
+    """Score all strengths on all folds: one pass for the moments, and one for predictions only if the metric needs them."""
     stats = moments(rows, features, label, [fold]) if stats is None else stats
-    whole = _sum([s[0] for s in stats.values()])
+    if metric in ("rmse", "r2"):
+        found: dict[int, list[float]] = {}
+        for _, _, trial, rmse, r2 in fold_scores(stats, features, alphas, standardize):
+            value = rmse if metric == "rmse" else r2
+            if value is not None:
+                found.setdefault(trial, []).append(value)
+        return [float(np.mean(found[i])) if i in found else None for i in range(len(alphas))]
+    whole = add_moments([s[0] for s in stats.values()])
     tests = [k for k in stats if k[0] is not None]
     branches = None
     for key in tests:
@@ -128,15 +135,11 @@ def score_ridge_trials(
         *[col(k) for k in keep],
         F.posexplode(branches).alias("__trial", "__p0"),
     )
-    folds = regression_metrics(scored, ["__trial", "__fold"], "__y0", "__p0", tie_break=keep, **metric_options)
+    folds = regression_metrics(scored, ["__trial", "__fold"], "__y0", "__p0", tie_break=keep, only=metric, **metric_options)
     means = {r["__trial"]: r["m"] for r in folds.groupBy("__trial").agg(F.avg(metric).alias("m")).collect()}
     return [means.get(i) for i in range(len(alphas))]
 
 
-def _sum(parts: Sequence[Moments]) -> Moments:
-    return Moments(sum(p.matrix for p in parts), parts[0].shift, sum(p.n_rows for p in parts))
-
-
 def score_params(
     rows: DataFrame,
     fold: str,

@@ -33,7 +33,7 @@ from assaysift.operators import (
     splits,
     trials,
 )
-from assaysift.operators.linear import moments, solve_ridge
+from assaysift.operators.linear import fold_scores, moments, solve_ridge
 from assaysift.operators.tuning import score_ridge_trials
 from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
@@ -625,6 +625,20 @@ def ridge_trial_scores(spark, sf):
     return spark.createDataFrame([(a, round(s, 6)) for a, s in zip(alphas, found, strict=True)], "alpha double, rmse double")
 
 
+def ridge_fold_scores(spark, sf):
+    """Error and explained share of every strength, fold and resample, from held-out moments."""
+    alphas = [0.01, 1.0, 1e5]
+    rows = _regression_rows(spark, sf).withColumn(
+        "w", F.array(F.lit(1), (F.col("l_returnflag") == "N").cast("int"), F.when(F.col("l_returnflag") == "A", 2).otherwise(1))
+    )
+    stats = moments(rows, _X, "l_quantity", ["fold"], "w", 3)
+    found = [
+        (fold, replicate, alphas[i], round(rmse, 6), round(r2, 6))
+        for fold, replicate, i, rmse, r2 in fold_scores(stats, _X, alphas, True)
+    ]
+    return spark.createDataFrame(found, "fold int, replicate int, alpha double, rmse double, r2 double")
+
+
 def ensemble_intervals(spark, sf):
     rows = _regression_rows(spark, sf).withColumn("w", F.array((F.col("fold") == 0).cast("int"), (F.col("fold") == 1).cast("int"), (F.col("fold") == 2).cast("int")))
     members = models.fit_ensemble(rows, "ridge", _X, "l_quantity", {"alpha": 1.0}, False, "w", 3)
@@ -874,6 +888,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         ridge_coefficients,
         ridge_predictions,
         ridge_trial_scores,
+        ridge_fold_scores,
         ensemble_intervals,
         conformal_intervals,
         calibration_errors,

@@ -464,6 +464,20 @@ def _trial(alpha: float) -> str:
     return f"SELECT CAST({alpha} AS DOUBLE) AS alpha, {_r('avg(e)')} AS rmse FROM ({folds})"
 
 
+# resamples of the held-out scores: all rows, those of one flag, and all rows with those of another flag twice
+RESAMPLES = ("reg", "(SELECT * FROM reg WHERE l_returnflag = 'N')", "(SELECT * FROM reg UNION ALL SELECT * FROM reg WHERE l_returnflag = 'A')")
+
+
+def _fold_score(alpha: float, fold: int, replicate: int) -> str:
+    source = RESAMPLES[replicate]
+    error = "(y - b0 - b1 * x1 - b2 * x2) * (y - b0 - b1 * x1 - b2 * x2)"
+    return (
+        f"SELECT CAST({fold} AS INTEGER) AS fold, CAST({replicate} AS INTEGER) AS replicate, CAST({alpha} AS DOUBLE) AS alpha, "
+        f"{_r(f'sqrt(avg({error}))')} AS rmse, {_r(f'1 - sum({error}) / (count(*) * var_pop(y))')} AS r2 FROM {source} s, "
+        f"{_ridge('', str(alpha), source=f'(SELECT * FROM {source} WHERE fold <> {fold})')} WHERE fold = {fold}"
+    )
+
+
 ENSEMBLE = f"""WITH {REG}, p AS (SELECT l_returnflag, {", ".join(f"m{k}.b0 + m{k}.b1 * x1 + m{k}.b2 * x2 AS p{k}" for k in range(3))}
   FROM reg, {", ".join(f"{_ridge('', '1.0', False, f'(SELECT * FROM reg WHERE fold = {k})')} m{k}" for k in range(3))}),
 s AS (SELECT *, (p0 + p1 + p2) / 3.0 AS c FROM p),
@@ -651,6 +665,8 @@ def oracle_sql() -> dict[str, str]:
         "ridge_predictions": f"WITH {REG} SELECT l_returnflag, {_r('avg(b0 + b1 * x1 + b2 * x2)')} AS mean_pred, {_r('max(b0 + b1 * x1 + b2 * x2)')} AS max_pred "
         f"FROM reg, {_ridge('', '3.0')} GROUP BY 1",
         "ridge_trial_scores": f"WITH {REG} " + " UNION ALL ".join(_trial(a) for a in (0.01, 1.0, 100000.0)),
+        "ridge_fold_scores": f"WITH {REG} "
+        + " UNION ALL ".join(_fold_score(a, k, b) for a in (0.01, 1.0, 100000.0) for k in range(3) for b in range(3)),
         "ensemble_intervals": ENSEMBLE,
         "conformal_intervals": CONFORMAL,
         "calibration_errors": f"WITH {CALIBRATION} SELECT {_r('median(a)', 3)} AS raw_abs_err_median, {_r('quantile_cont(a, 0.9)', 3)} AS raw_abs_err_q, "

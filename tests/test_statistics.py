@@ -273,3 +273,52 @@ def test_triplets_and_pairs(spark, strategy):
     assert list(profile["id"]) == ["c2", "c1"]
     summary = pdf(pairs.pair_summary(df, pairs.target_pairs(df), pairs.oof_triplets(df), final))
     assert summary["oof_compounds"][0] == 3 and summary["complete_oof_triplets"][0] == 2
+
+
+@pytest.mark.parametrize("p", [3, 12])
+def test_closed_form_fold_scores_equal_scored_rows(spark, p):
+    """Against predictions of every row, with resampling weights, constant labels, a fold of one row and rows without a fold."""
+    rng = np.random.default_rng(p)
+    n = 240
+    x = rng.normal(size=(n, p)) * rng.uniform(0.1, 50, p) + 7
+    y = x @ rng.normal(size=p) + rng.normal(size=n)
+    fold = np.where(np.arange(n) < 20, 9.0, np.arange(n) % 3)
+    fold[-1], fold[-5:-2] = 8.0, np.nan
+    y[fold == 9.0] = 4.0
+    weights = rng.integers(0, 3, size=(n, 2))
+    names = [f"f{i}" for i in range(p)]
+    frame = pd.DataFrame(x, columns=names).assign(y=y, w=weights.tolist(), fold=fold)
+    df = spark.createDataFrame(frame).withColumn("fold", F.when(~F.isnan("fold"), F.col("fold").cast("int")))
+    found = {(f, b, i): (rmse, r2) for f, b, i, rmse, r2 in linear.fold_scores(linear.moments(df, names, "y", ["fold"], "w", 2), names, [0.5, 30.0], True)}
+    for b in range(2):
+        w = weights[:, b].astype(float)
+        for k in (0, 1, 2, 8, 9):
+            train, held = fold != k, fold == k
+            if not w[held].sum():
+                assert (k, b, 0) not in found
+                continue
+            mean = np.average(x[train], axis=0, weights=w[train])
+            scale = np.sqrt(np.average((x[train] - mean) ** 2, axis=0, weights=w[train]))
+            z, y_mean = (x - mean) / scale, np.average(y[train], weights=w[train])
+            for i, alpha in enumerate((0.5, 30.0)):
+                a = (z[train] * w[train, None]).T @ z[train] + alpha * np.eye(p)
+                beta = np.linalg.solve(a, (z[train] * w[train, None]).T @ (y[train] - y_mean))
+                error = (w * (y - y_mean - z @ beta) ** 2)[held].sum()
+                rmse, r2 = found[(k, b, i)]
+                assert rmse == pytest.approx(np.sqrt(error / w[held].sum()), rel=1e-7)
+                if w[held].sum() < 2:
+                    assert r2 is None
+                elif np.ptp(y[held & (w > 0)]) == 0:
+                    assert r2 == 0.0
+                else:
+                    spread = (w * (y - np.average(y[held], weights=w[held])) ** 2)[held].sum()
+                    assert r2 == pytest.approx(1 - error / spread, rel=1e-6, abs=1e-6)
+
+
+def test_only_one_metric_makes_no_other_ordering(spark):
+    data = pd.DataFrame({"fold": [0] * 5 + [1] * 5, "y": np.arange(10.0) ** 2, "p": [1, 0, 3, 2, 4, 9, 8, 5, 6, 7], "id": range(10)})
+    df = spark.createDataFrame(data)
+    full = pdf(metrics.regression_metrics(df, ["fold"], "y", "p", 6.0, [0.2], [2], ["id"]), "fold")
+    for name in ("rmse", "mae", "r2", "spearman", "ef_20pct", "precision_at_2"):
+        one = pdf(metrics.regression_metrics(df, ["fold"], "y", "p", 6.0, [0.2], [2], ["id"], only=name), "fold")
+        np.testing.assert_allclose(one[name], full[name])
