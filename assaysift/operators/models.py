@@ -8,12 +8,11 @@ from typing import Any
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col, number
+from assaysift.operators.boosting import TreeFit, TreeModel, fit_many, predictions
 from assaysift.operators.conformal import ensemble_columns
 from assaysift.operators.linear import RidgeModel, moments, solve_ridge
 
@@ -42,8 +41,6 @@ SEARCH_SPACES: dict[str, dict[str, dict[str, Any]]] = {
         "subsample": {"type": "float", "low": 0.5, "high": 1.0},
     },
 }
-# Accepted in configurations at their default alone: the trees used here have no such penalty.
-WITHOUT_EFFECT = ("reg_alpha", "reg_lambda")
 COMPLEXITY = {"ridge": 0, "xgboost": 1}
 UNKNOWN_COMPLEXITY = 100
 ALIASES = {"gp": "gaussian_process", "xgb": "xgboost"}
@@ -69,19 +66,6 @@ def search_space(model_type: str) -> dict[str, dict[str, Any]]:
     return SEARCH_SPACES.get(ALIASES.get(model_type, model_type), {})
 
 
-@dataclass
-class TreeModel:
-    """Boosted trees fitted by Spark ML, on raw or standardised features."""
-
-    features: tuple[str, ...]
-    fitted: Any
-    scaling: dict[str, tuple[float, float]] = field(default_factory=dict)
-
-    def transform(self, df: DataFrame, out: str) -> DataFrame:
-        vectors = _assemble(df, self.features, self.scaling)
-        return self.fitted.setPredictionCol(out).transform(vectors).drop("__features")
-
-
 @dataclass
 class GaussianProcessModel:
     """Dense Gaussian process with a unit radial kernel; predicts mean and deviation in Arrow batches."""
@@ -126,15 +110,6 @@ def _scaled(feature: str, scaling: Mapping[str, tuple[float, float]]):
     return (value - F.lit(mean)) / F.lit(deviation)
 
 
-def _assemble(df: DataFrame, features: Sequence[str], scaling: Mapping[str, tuple[float, float]]) -> DataFrame:
-    names = [f"__f{i}" for i in range(len(features))]
-    # Missing values reach the trees as NaN.
-    inputs = [F.coalesce(_scaled(f, scaling), F.lit(float("nan"))).alias(n) for f, n in zip(features, names, strict=True)]
-    wide = df.select("*", *inputs)
-    assembler = VectorAssembler(inputCols=names, outputCol="__features", handleInvalid="keep")
-    return assembler.transform(wide).drop(*names)
-
-
 def scaling_of(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float, float]]:
     """Return mean and population deviation per feature; a column without spread gets scale 1."""
     aggregates = []
@@ -144,30 +119,10 @@ def scaling_of(df: DataFrame, features: Sequence[str]) -> dict[str, tuple[float,
     return {f: (float(row[f"m{i}"] or 0.0), float(row[f"s{i}"] or 0.0) or 1.0) for i, f in enumerate(features)}
 
 
-def _fit_trees(
-    df: DataFrame, features: Sequence[str], label: str, params: Mapping[str, Any], standardize: bool, weight: str | None
-) -> TreeModel:
-    for name in WITHOUT_EFFECT:
-        if name in params and float(params[name]) != DEFAULT_PARAMS["xgboost"][name]:
-            raise ValueError(f"these trees cannot honour {name}={params[name]}; leave it at its default")
-    scaling = scaling_of(df, features) if standardize else {}
-    rows = _assemble(df, features, scaling).withColumn("__label", number(label))
-    share = float(params.get("colsample_bytree", 1.0))
-    trees = GBTRegressor(
-        featuresCol="__features",
-        labelCol="__label",
-        maxIter=int(params["n_estimators"]),
-        maxDepth=int(params["max_depth"]),
-        stepSize=float(params["learning_rate"]),
-        subsamplingRate=float(params["subsample"]),
-        featureSubsetStrategy="all" if share >= 1.0 else str(share),
-        seed=int(params["random_state"]),
-        cacheNodeIds=False,
-    )
-    if weight:
-        rows = rows.where(col(weight) > 0)
-        trees = trees.setWeightCol(weight)
-    return TreeModel(tuple(features), trees.fit(rows), scaling)
+def _tree_fit(params: Mapping[str, Any], **scope: Any) -> TreeFit:
+    if params.get("objective", "reg:squarederror") != "reg:squarederror":
+        raise ValueError(f"trees minimise the squared error, not {params['objective']}")
+    return TreeFit(params, **scope)
 
 
 def _fit_gp(df: DataFrame, features: Sequence[str], label: str, params: Mapping[str, Any], standardize: bool):
@@ -202,7 +157,10 @@ def fit(
         stats = moments(rows, features, label, weights="__w" if weight else None)[()][0]
         return solve_ridge(stats, features, [resolved["alpha"]], standardize)[0]
     if family == "xgboost":
-        return _fit_trees(df, features, label, resolved, standardize, weight)
+        # Splits follow the order of values alone, so trees need no standardised features.
+        rows = df.withColumn("__w", F.array(col(weight))) if weight else df
+        fits = [_tree_fit(resolved, replicate=0 if weight else None)]
+        return fit_many(rows, features, label, fits, weights="__w" if weight else None)[0]
     if weight:
         raise ValueError("gaussian_process does not take bootstrap weights")
     return _fit_gp(df, features, label, resolved, standardize)
@@ -218,22 +176,22 @@ def fit_ensemble(
     weights: str,
     n_bootstrap: int,
 ) -> list:
-    """Fit one model per resample. Ridge needs a single pass for all resamples."""
+    """Fit one model per resample. Ridge needs a single pass for all of them, trees one per level."""
     family = resolve_model(model_type)
     if family == "ridge":
         stats = moments(df, features, label, weights=weights, n_weights=n_bootstrap)[()]
         alpha = resolve_params(family, params)["alpha"]
         return [solve_ridge(s, features, [alpha], standardize)[0] for s in stats]
+    if family == "xgboost":
+        resolved = resolve_params(family, params)
+        return fit_many(df, features, label, [_tree_fit(resolved, replicate=b) for b in range(n_bootstrap)], weights=weights)
     members = []
     for b in range(n_bootstrap):
         weighted = df.withColumn("__weight", F.get(col(weights), b).cast("double"))
-        if family == "gaussian_process":
-            # Repeated rows are kept as repeated rows, as the kernel system sees them.
-            copies = F.sequence(F.lit(1), F.col("__weight").cast("int"))
-            drawn = weighted.where("__weight > 0").withColumn("__copy", F.explode(copies))
-            members.append(fit(drawn, family, features, label, params, standardize))
-        else:
-            members.append(fit(weighted, family, features, label, params, standardize, "__weight"))
+        # Repeated rows are kept as repeated rows, as the kernel system sees them.
+        copies = F.sequence(F.lit(1), F.col("__weight").cast("int"))
+        drawn = weighted.where("__weight > 0").withColumn("__copy", F.explode(copies))
+        members.append(fit(drawn, family, features, label, params, standardize))
     return members
 
 
@@ -252,6 +210,8 @@ def predict_ensemble(members: Sequence[Any], df: DataFrame, mean: str, spread: s
         raise ValueError("models must contain at least one fitted ensemble member")
     if all(isinstance(m, RidgeModel) for m in members):
         scored = df.withColumn("__members", F.array(*[m.column() for m in members]))
+    elif all(isinstance(m, TreeModel) for m in members):
+        scored = df.withColumn("__members", predictions(members))
     else:
         scored = df
         for b, member in enumerate(members):

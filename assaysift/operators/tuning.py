@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col
 from assaysift.functions.params import format_params
-from assaysift.operators import models
+from assaysift.operators import boosting, models
 from assaysift.operators.linear import Moments, add_moments, fold_scores, moments, solve_ridge
 from assaysift.operators.metrics import higher_is_better, python_round, regression_metrics
 
@@ -140,6 +140,37 @@ def score_ridge_trials(
     return [means.get(i) for i in range(len(alphas))]
 
 
+def score_tree_trials(
+    rows: DataFrame,
+    fold: str,
+    features: Sequence[str],
+    label: str,
+    trials: Sequence[Mapping[str, Any]],
+    metric: str,
+    metric_options: Mapping[str, Any],
+    keep: Sequence[str] = (),
+) -> list[float | None]:
+    """Score all parameter sets on all folds: their trees grow together, one job per level, and one pass scores them."""
+    tests = sorted(r[0] for r in rows.where(col(fold).isNotNull()).select(col(fold)).distinct().collect())
+    if not tests:
+        return [None] * len(trials)
+    fits = [boosting.TreeFit(models.resolve_params("xgboost", p), test) for p in trials for test in tests]
+    fitted = boosting.fit_many(rows, features, label, fits, fold)
+    at = F.lit(None).cast("int")
+    for i, test in enumerate(tests):
+        at = F.when(col(fold) == F.lit(test), i).otherwise(at)
+    # Of every trial a row takes the prediction of the model that left its fold out.
+    own = F.array(*[F.get("__all", F.lit(t * len(tests)) + F.col("__fold_at")) for t in range(len(trials))])
+    scored = (
+        rows.where(col(fold).isNotNull())
+        .select(col(label).alias("__y0"), *[col(k) for k in keep], at.alias("__fold_at"), boosting.predictions(fitted).alias("__all"))
+        .select("__y0", *[col(k) for k in keep], "__fold_at", F.posexplode(own).alias("__trial", "__p0"))
+    )
+    folds = regression_metrics(scored, ["__trial", "__fold_at"], "__y0", "__p0", tie_break=keep, only=metric, **metric_options)
+    means = {r["__trial"]: r["m"] for r in folds.groupBy("__trial").agg(F.avg(metric).alias("m")).collect()}
+    return [means.get(i) for i in range(len(trials))]
+
+
 def score_params(
     rows: DataFrame,
     fold: str,
@@ -206,6 +237,8 @@ def tune(
             scores = score_ridge_trials(
                 rows, fold, features, label, [p["alpha"] for p in merged], standardize, metric, metric_options, stats, keep
             )
+        elif model_type == "xgboost":
+            scores = score_tree_trials(rows, fold, features, label, merged, metric, metric_options, keep)
         else:
             scores = [
                 score_params(rows, fold, features, label, model_type, p, standardize, metric, metric_options, keep)

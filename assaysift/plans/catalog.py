@@ -19,6 +19,7 @@ from assaysift.functions.params import expand_params
 from assaysift.operators import (
     assemble,
     bins,
+    boosting,
     conformal,
     coverage,
     extrapolation,
@@ -34,7 +35,7 @@ from assaysift.operators import (
     trials,
 )
 from assaysift.operators.linear import fold_scores, moments, solve_ridge
-from assaysift.operators.tuning import score_ridge_trials
+from assaysift.operators.tuning import score_ridge_trials, score_tree_trials
 from assaysift.session import reliable_checkpoint
 from assaysift.sources import registry
 
@@ -817,6 +818,49 @@ def boosted_trees(spark, sf):
     )
 
 
+def _tree_rows(spark, sf):
+    """Lines with three features of few values each, one of them often missing."""
+    return _table(spark, sf, "lineitem").select(
+        F.col("l_discount").alias("discount"),
+        F.nullif(F.col("l_linenumber").cast("double"), F.lit(3.0)).alias("line"),
+        F.col("l_tax").alias("tax"),
+        F.col("l_quantity").alias("y"),
+        (F.col("l_suppkey") % 3).cast("int").alias("fold"),
+    )
+
+
+_TREE_FEATURES = ["discount", "line", "tax"]
+_TREE_TRIALS = [
+    {"reg_lambda": 1.0, "reg_alpha": 0.0, "learning_rate": 0.5},
+    {"reg_lambda": 50.0, "reg_alpha": 20.0, "learning_rate": 1.0},
+]
+_ONE_SPLIT = {"n_estimators": 1, "max_depth": 1, "subsample": 1.0, "colsample_bytree": 1.0}
+
+
+def boosted_splits(spark, sf):
+    """First split and leaves of six fits that grow together: two sets of penalties, each without one of three folds."""
+    rows = _tree_rows(spark, sf)
+    scopes = [(trial, k) for trial in range(len(_TREE_TRIALS)) for k in range(3)]
+    fits = [boosting.TreeFit({**_TREE_TRIALS[t], **_ONE_SPLIT}, k) for t, k in scopes]
+    found = []
+    for (trial, k), model in zip(scopes, boosting.fit_many(rows, _TREE_FEATURES, "y", fits, "fold"), strict=True):
+        tree, rate = model.trees[0], _TREE_TRIALS[trial]["learning_rate"]
+        feature = int(tree.feature[0])
+        split = (None, None, None) if feature < 0 else (_TREE_FEATURES[feature], float(model.cuts[feature][tree.bin[0]]), bool(tree.missing_left[0]))
+        values = (None, None, None) if feature < 0 else tuple(round(float(v), 6) for v in (tree.gain[0], *(tree.value[1:3] / rate)))
+        found.append((trial, k, round(model.base, 6), *split, *values))
+    return spark.createDataFrame(
+        found, "trial int, fold int, base double, feature string, cut double, missing_left boolean, gain double, left_value double, right_value double"
+    )
+
+
+def tree_trial_scores(spark, sf):
+    """Error of every tree trial, averaged over held-out folds."""
+    trials = [{**t, **_ONE_SPLIT} for t in _TREE_TRIALS]
+    scores = score_tree_trials(_tree_rows(spark, sf), "fold", _TREE_FEATURES, "y", trials, "rmse", {})
+    return spark.createDataFrame([(i, round(s, 6)) for i, s in enumerate(scores)], "trial int, rmse double")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Return all queries by name. ``*_split`` and ``*_blocks`` force the plan that large inputs take."""
     plain = [
@@ -909,6 +953,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         display_labels,
         target_set_labels,
         boosted_trees,
+        boosted_splits,
+        tree_trial_scores,
     ]
     out = {f.__name__: f for f in plain}
     for f in (

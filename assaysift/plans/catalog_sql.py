@@ -478,6 +478,31 @@ def _fold_score(alpha: float, fold: int, replicate: int) -> str:
     )
 
 
+def _square(g: str, h: str) -> str:
+    return f"power(greatest(abs({g}) - alp, 0), 2) / ({h} + lam)"
+
+
+def _leaf(g: str, h: str) -> str:
+    return f"-sign({g}) * greatest(abs({g}) - alp, 0) / ({h} + lam)"
+
+
+# the best first split of trees with penalties, without one fold each
+SPLITS = f"""tr AS (SELECT CAST(l_suppkey % 3 AS INTEGER) AS fold, l_quantity AS y,
+    [l_discount, nullif(CAST(l_linenumber AS DOUBLE), 3.0), l_tax] AS xs FROM lineitem),
+u AS (SELECT fold, y, unnest([1, 2, 3]) AS f, unnest(xs) AS x FROM tr),
+base AS (SELECT k, avg(y) AS m FROM (VALUES (0), (1), (2)) v(k) JOIN tr ON fold <> k GROUP BY k),
+cell AS (SELECT k, f, x, sum(m - y) AS g, CAST(count(*) AS DOUBLE) AS h FROM base JOIN u ON fold <> k GROUP BY k, f, x),
+pre AS (SELECT k, f, x, sum(g) OVER w AS ga, sum(h) OVER w AS ha, sum(CASE WHEN x IS NULL THEN g ELSE 0 END) OVER w AS gm,
+    sum(CASE WHEN x IS NULL THEN h ELSE 0 END) OVER w AS hm, sum(CASE WHEN x IS NULL THEN 0 ELSE g END) OVER o AS gk,
+    sum(CASE WHEN x IS NULL THEN 0 ELSE h END) OVER o AS hk FROM cell
+    WINDOW w AS (PARTITION BY k, f), o AS (PARTITION BY k, f ORDER BY x NULLS FIRST)),
+side AS (SELECT k, f, x, trial, lam, alp, rate, ml, ga, ha, gk + ml * gm AS gl, hk + ml * hm AS hl FROM pre,
+    (VALUES (0, 1.0, 0.0, 0.5), (1, 50.0, 20.0, 1.0)) p(trial, lam, alp, rate), (VALUES (0), (1)) s(ml) WHERE x IS NOT NULL),
+rated AS (SELECT *, {_square("gl", "hl")} + {_square("(ga - gl)", "(ha - hl)")} - {_square("ga", "ha")} AS gain FROM side WHERE hl >= 1 AND ha - hl >= 1),
+best AS (SELECT *, {_leaf("gl", "hl")} AS lv, {_leaf("(ga - gl)", "(ha - hl)")} AS rv FROM rated
+    QUALIFY row_number() OVER (PARTITION BY trial, k ORDER BY gain DESC, f, x, ml) = 1)"""
+
+
 ENSEMBLE = f"""WITH {REG}, p AS (SELECT l_returnflag, {", ".join(f"m{k}.b0 + m{k}.b1 * x1 + m{k}.b2 * x2 AS p{k}" for k in range(3))}
   FROM reg, {", ".join(f"{_ridge('', '1.0', False, f'(SELECT * FROM reg WHERE fold = {k})')} m{k}" for k in range(3))}),
 s AS (SELECT *, (p0 + p1 + p2) / 3.0 AS c FROM p),
@@ -682,6 +707,14 @@ def oracle_sql() -> dict[str, str]:
         "tanimoto_distance_sums": DISTANCES,
         "k_medoids": K_MEDOIDS,
         "boosted_trees": "SELECT count(*) AS n_scored, true AS error_below_mean, true AS same_on_second_fit FROM lineitem",
+        "boosted_splits": f"WITH {SPLITS} SELECT CAST(trial AS INTEGER) AS trial, CAST(best.k AS INTEGER) AS fold, {_r('m')} AS base, "
+        "CASE WHEN gain > 1e-6 THEN ['discount', 'line', 'tax'][f] END AS feature, CASE WHEN gain > 1e-6 THEN x END AS cut, "
+        "CASE WHEN gain > 1e-6 THEN ml = 1 END AS missing_left, "
+        + ", ".join(f"CASE WHEN gain > 1e-6 THEN {_r(e)} END AS {n}" for e, n in (("gain", "gain"), ("lv", "left_value"), ("rv", "right_value")))
+        + " FROM best JOIN base ON base.k = best.k",
+        "tree_trial_scores": f"WITH {SPLITS}, e AS (SELECT trial, fold, sqrt(avg(power(y - m - CASE WHEN gain <= 1e-6 THEN 0 "
+        "WHEN coalesce(xs[f] <= x, ml = 1) THEN rate * lv ELSE rate * rv END, 2))) AS e FROM tr JOIN best ON best.k = fold JOIN base ON base.k = fold "
+        f"GROUP BY trial, fold) SELECT CAST(trial AS INTEGER) AS trial, {_r('avg(e)')} AS rmse FROM e GROUP BY trial",
         "tanimoto_distance_sums_blocks": DISTANCES,
         "scaffold_novelty": f"WITH {LIBRARY}, {ASSAY}, k AS (SELECT DISTINCT id FROM assay), "
         "c AS (SELECT library.id, target_class, murcko_scaffold, scaffold_type, count(*) OVER (PARTITION BY target_class, murcko_scaffold) AS scaffold_library_count, "

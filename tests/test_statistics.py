@@ -130,12 +130,6 @@ def test_value_bins_follow_quantiles_of_values(spark):
     np.testing.assert_array_equal(got["b"].to_numpy(float), expected.to_numpy(float))
 
 
-def test_tree_penalties_are_refused(spark):
-    df = spark.createDataFrame([(1.0, 2.0), (2.0, 3.0)], "x double, y double")
-    with pytest.raises(ValueError, match="reg_lambda"):
-        models.fit(df, "xgboost", ["x"], "y", {"reg_lambda": 1000.0})
-
-
 def test_groups_are_never_split(spark):
     df = spark.createDataFrame([(g, i) for g, n in zip("abcdef", [9, 7, 5, 3, 2, 2], strict=True) for i in range(n)], "g string, i int")
     got = pdf(splits.group_kfold(df, "g", 3))
