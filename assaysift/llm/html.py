@@ -31,6 +31,7 @@ _ALIKE = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr",),
 _ALIKE |= {"option": ("option",)}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table")}
 _SCOPE |= {"th": ("tr", "table"), "option": ("select",)}
+_P_SCOPE = ("button", "td", "th", "caption", "object")
 _HEADING = frozenset("h1 h2 h3 h4 h5 h6".split())
 # Elements, roles and words of class and id that mark what is no part of an article.
 _NEVER = frozenset("button select svg canvas object audio video datalist".split())
@@ -59,12 +60,12 @@ _WORD = re.compile(r"[A-Z]?[a-z0-9]+|[A-Z]+")
 class _Node:
     __slots__ = (
         *("tag", "up", "out", "main", "comment", "marks", "named", "first", "last", "chars", "linked", "tags", "links"),
-        *("density", "total", "children"),
+        *("density", "total", "children", "within"),
     )
 
     def __init__(self, tag: str, up: _Node | None, first: int) -> None:
         self.tag, self.up, self.first, self.last = tag, up, first, -1
-        self.out = self.main = self.comment = self.named = False
+        self.out = self.main = self.comment = self.named = self.within = False
         self.marks: set[str] = set()
         self.chars = self.linked = self.tags = self.links = 0
         self.density = self.total = 0.0
@@ -96,10 +97,7 @@ def _judge(node: _Node, text: str) -> None:
         node.marks.add(role)
     if node.tag == "header" or (names & {"header"} and not names & {"article", "post", "entry", "story", "title"}):
         # A heading line within the article is part of it; any other page header isn't.
-        up = node.up
-        while up is not None and not up.main:
-            up = up.up
-        if up is None:
+        if not node.within:
             node.marks.add("header")
     node.named = node.named or bool(node.marks - names)
 
@@ -108,18 +106,26 @@ def parse(page: str) -> tuple[list[_Node], list[str | None]]:
     """Return the nodes of a page and its text in order; None stands for the bounds of blocks. Hidden parts have no text."""
     root = _Node("html", None, 0)
     nodes, flow, stack = [root], [], [root]
-    low = page.lower()
+    # Places in the stack of the open nodes per tag, so that no tag has to walk the stack.
+    places: dict[str, list[int]] = {}
 
     def text(raw: str) -> None:
         if raw and not stack[-1].out:
             flow.append(entities.unescape(raw) if "&" in raw else raw)
 
+    def innermost(tag: str) -> int:
+        """Return the place of the innermost open node of a tag, 0 if there is none."""
+        found = places.get(tag)
+        return found[-1] if found else 0
+
     def close(k: int) -> None:
         """End the nodes of the stack from index ``k`` on."""
         for node in reversed(stack[k:]):
             if node.tag in _BLOCK:
                 flow.append(None)
             node.last = len(flow)
+            if node is not root:
+                places[node.tag].pop()
         del stack[k:]
 
     at = 0
@@ -131,42 +137,29 @@ def parse(page: str) -> tuple[list[_Node], list[str | None]]:
         if not tag:
             continue
         if found[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if tag not in ("html", "body"):
-                        close(k)
-                    break
+            if tag not in ("html", "body") and (k := innermost(tag)):
+                close(k)
             continue
-        if tag == "html" or (tag == "body" and any(x.tag == "body" for x in stack)):
+        if tag == "html" or tag == "body" and innermost("body"):
             continue
         if tag in _RAW:
-            end = re.compile(rf"</{tag}(?=[\s/>])").search(low, at)
+            # In the page as it is: other cases of a letter may differ from it in length.
+            end = re.compile(rf"</{tag}(?=[\s/>])", re.IGNORECASE | re.ASCII).search(page, at)
             at = len(page) if end is None else end.end()
             at = len(page) if end is None or (gt := page.find(">", at)) < 0 else gt + 1
             continue
         if tag == "br":
             text(" ")
             continue
-        if tag in _CLOSES_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    close(k)
-                    break
-                if stack[k].tag in ("button", "td", "th", "caption", "object"):
-                    break
+        if tag in _CLOSES_P and (k := innermost("p")) > max(map(innermost, _P_SCOPE)):
+            close(k)
         for other in _ALIKE.get(tag, ()):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == other:
-                    close(k)
-                    break
-                if stack[k].tag in _SCOPE[tag]:
-                    break
-        if tag == "body":
-            for k in range(1, len(stack)):
-                if stack[k].tag == "head":
-                    close(k)
-                    break
+            if (k := innermost(other)) > max(map(innermost, _SCOPE[tag])):
+                close(k)
+        if tag == "body" and places.get("head"):
+            close(places["head"][0])
         node = _Node(tag, stack[-1], len(flow))
+        node.within = node.up.within or node.up.main
         if tag in _BLOCK:
             flow.append(None)
             node.first = len(flow)
@@ -182,6 +175,7 @@ def parse(page: str) -> tuple[list[_Node], list[str | None]]:
         if tag in _VOID or found[3].endswith("/") and tag not in _BLOCK:
             node.last = len(flow)
         else:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
     text(page[at:])
     close(0)

@@ -61,16 +61,23 @@ def matching_rule(host: Column, path: Column, rules: dict[str, str]) -> Column:
     return reduce(lambda found, rule: F.when(fits(rule), F.lit(rule)).otherwise(found), reversed(order), F.lit(None).cast("string"))
 
 
-def _ngrams(text: Column, mark: str, n: int) -> Column:
-    places = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.concat(F.lit(mark), F.substring(text, i, F.lit(n))))
+def _ngrams(characters: Column, mark: str, n: int) -> Column:
+    """Return the n-grams of a list of characters, which is indexed, so a long address takes time in proportion."""
+    size = F.size(characters)
+    places = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.concat(F.lit(mark), *[F.element_at(characters, i + k) for k in range(n)]))
 
 
 def _with_terms(urls: DataFrame, url: Column) -> DataFrame:
     host, path = host_and_path(url)
-    # Marks at both ends let n-grams tell where a name begins and ends.
-    host, path = F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("^"), path, F.lit("$"))
-    return urls.withColumn("_terms", F.concat(*[_ngrams(host, "h", n) for n in (3, 4, 5)], *[_ngrams(path, "p", n) for n in (3, 4)]))
+
+    def characters(text: Column) -> Column:
+        # Marks at both ends let n-grams tell where a name begins and ends.
+        return F.split(F.concat(F.lit("^"), text, F.lit("$")), "")
+
+    listed = urls.withColumn("_host", characters(host)).withColumn("_path", characters(path))
+    terms = [*[_ngrams(F.col("_host"), "h", n) for n in (3, 4, 5)], *[_ngrams(F.col("_path"), "p", n) for n in (3, 4)]]
+    return listed.withColumn("_terms", F.concat(*terms)).drop("_host", "_path")
 
 
 def train(labelled: DataFrame, features: int = 1 << 14) -> PipelineModel:
