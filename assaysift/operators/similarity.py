@@ -1,9 +1,10 @@
 """Tanimoto similarity between sets of integers: nearest labelled neighbour, distance sums, k-medoids.
 
-No pair table is ever materialised. A task holds a bounded block of reference sets and reduces each of its rows against
-it at once, so a bit set in a third of all fingerprints costs no more than any other. Up to ``BROADCAST_ELEMENTS``
-reference elements are broadcast; beyond that the references are cut into blocks that meet the rows in a keyed
-co-group, and one partial result per row and block is reduced.
+No pair table is ever materialised. For the nearest neighbour, a task holds a bounded block of reference sets and reduces
+each of its rows against it at once, so a bit set in a third of all fingerprints costs no more than any other; up to
+``BROADCAST_ELEMENTS`` reference elements are broadcast, beyond that blocks meet the rows in a keyed co-group. Sums of
+distances work on pairs of packed blocks of the upper triangle, at every size. Medoids are compared with each point's
+nearest one so far, as far as the triangle inequality does not rule them out.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from math import ceil
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,7 +22,7 @@ from assaysift.functions.numeric import col
 from assaysift.functions.ordering import null_safe_join
 from assaysift.functions.setindex import SetIndex
 from assaysift.operators.keys import require_columns
-from assaysift.session import local_table
+from assaysift.session import reliable_checkpoint
 
 BROADCAST_SETS = 20_000
 BROADCAST_ELEMENTS = 8_000_000
@@ -203,82 +205,102 @@ def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]
     )
 
 
+def _as_sets(values: pa.Array) -> list[np.ndarray]:
+    """Return the rows of a list column as arrays."""
+    at = np.asarray(values.offsets)
+    flat = np.asarray(values.flatten(), dtype=np.int64)
+    return [flat[a:b] for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
+
+
 def distance_sums(
-    points: DataFrame, key: str, set_column: str, cluster: str | None = None, force_blocks: bool = False
+    points: DataFrame, key: str, set_column: str, cluster: str | None = None, block_sets: int | None = None
 ) -> DataFrame:
     """Return, per point, the sum of its Tanimoto distances to all points (of its cluster).
 
-    A missing cluster is a value of its own, equal to another missing one.
+    The points of a cluster are dealt into blocks of about ``block_sets`` and every block is packed into one stored row. A
+    unit of work is a pair of blocks of the upper triangle: it counts each pair of points once and adds its distance to both
+    sides. One plan serves every size; only units, blocks and one sum per point and unit are shuffled. A missing cluster is a
+    value of its own, equal to another missing one; rows that repeat a key within a cluster add up to one row.
     """
-    spark = points.sparkSession
+    size = float(block_sets or BLOCK_SETS)
     p = points.select(
         col(key).alias("key"),
-        col(set_column).cast("array<bigint>").alias("set"),
+        F.coalesce(col(set_column).cast("array<bigint>"), F.array().cast("array<bigint>")).alias("set"),
         (col(cluster) if cluster else F.lit(0)).cast("int").alias("cluster"),
     )
     kind = dict(p.dtypes)["key"]
-    schema = f"key {kind}, cluster int, total double"
-
-    def codes(clusters: pd.Series) -> np.ndarray:
-        """Return clusters as numbers; a missing one lies outside of int."""
-        return clusters.astype("Int64").fillna(1 << 32).to_numpy(dtype=np.int64)
-
-    def add(rows: pd.DataFrame, clusters: np.ndarray, index: SetIndex) -> pd.DataFrame:
-        total = np.zeros(len(rows))
-        mine = codes(rows["cluster"])
-        for at, similarity in index.tanimoto(_sets(rows["set"])):
-            inside = mine[at][:, None] == clusters[None, :]
-            total[at] = ((1.0 - similarity) * inside).sum(axis=1)
-        return pd.DataFrame({"key": rows["key"], "cluster": rows["cluster"].astype("Int32"), "total": total})
-
-    if not force_blocks and _fits(p, "set"):
-        refs = p.select("cluster", "set").toPandas()
-        shared = spark.sparkContext.broadcast((codes(refs["cluster"]), SetIndex(_sets(refs["set"]))))
-
-        def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            clusters, index = shared.value
-            for batch in batches:
-                yield add(batch, clusters, index)
-
-        return p.mapInPandas(scan, schema).select(col("key").alias(key), "cluster", "total")
-    # Clusters are cut into blocks of references and chunks of rows by their sizes (one row per cluster).
-    sizes = {r["cluster"]: r["n"] for r in p.groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan = [(c, max(1, ceil(n / BLOCK_SETS)), max(1, ceil(n / CHUNK_ROWS))) for c, n in sizes.items()]
-    cuts = local_table(spark, plan, {"cluster": "int", "blocks": "int", "chunks": "int"})
-    sized = null_safe_join(p, F.broadcast(cuts), ["cluster"])
-    digest = F.xxhash64("key")
-    rows = sized.withColumn("chunk", F.pmod(digest, F.col("chunks")).cast("int")).withColumn(
-        "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    )
-    refs = sized.withColumn("block", F.pmod(digest, F.col("blocks")).cast("int")).withColumn(
-        "chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))
+    code = F.coalesce(F.col("cluster").cast("long"), F.lit(1 << 32)).alias("code")  # a missing one lies outside of int
+    counts = p.groupBy(code).agg(F.count(F.lit(1)).alias("n")).select("code", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
+    digest = F.xxhash64("key", "set")
+    dealt = p.select("key", "set", code).join(counts, "code").withColumn("block", F.pmod(digest, F.col("blocks")).cast("int"))
+    packed = reliable_checkpoint(
+        dealt.groupBy("code", "block").agg(
+            F.first("blocks").alias("blocks"), F.collect_list(F.struct("key", "set")).alias("rows")
+        )
     )
-    refs = refs.toDF(*refs.columns)  # both sides come from the same table
-    keys = ["cluster", "chunk", "block"]
+    # Each block meets itself and the blocks behind it.
+    left = packed.select("code", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b"), "rows")
+    right = packed.select("code", F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), "rows")
+    met = left.toDF("code", "a", "b", "left").join(right.toDF("code", "b", "a", "right"), ["code", "a", "b"])
+
+    def unit(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        code, a, b = (table.column(x)[0].as_py() for x in ("code", "a", "b"))
+        left, right = (table.column(x).chunk(0).flatten() for x in ("left", "right"))
+        ours, theirs = _as_sets(left.field("set")), _as_sets(right.field("set"))
+        one, two = np.zeros(len(ours)), np.zeros(len(theirs))
+        for at, similarity in SetIndex(theirs).tanimoto(ours):
+            gap = 1.0 - similarity
+            one[at] = gap.sum(axis=1)
+            two += gap.sum(axis=0)
+        keys, total = [left.field("key")], [one]
+        if a != b:
+            keys.append(right.field("key"))
+            total.append(two)
+        total = np.concatenate(total)
+        return pa.table({"code": pa.array(np.full(len(total), code)), "key": pa.concat_arrays(keys), "total": pa.array(total)})
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        return add(left.reset_index(drop=True), codes(right["cluster"]), SetIndex(_sets(right["set"])))
+    parts = met.groupBy("code", "a", "b").applyInArrow(unit, f"code long, key {kind}, total double")
+    back = F.when(F.col("code") < (1 << 32), F.col("code")).cast("int").alias("cluster")
+    return parts.groupBy("code", "key").agg(F.sum("total").alias("total")).select(col("key").alias(key), back, "total")
 
-    partial = rows.groupBy(*keys).cogroup(refs.groupBy(*keys)).applyInPandas(meet, schema)
-    return partial.groupBy(col("key").alias(key), "cluster").agg(F.sum("total").alias("total"))
 
+def _distance(elements: Column, other: Sequence[int]) -> Column:
+    """Return the Tanimoto distance of a set column to one set."""
+    return 1.0 - tanimoto(elements, F.array(*[F.lit(int(x)) for x in other]).cast("array<bigint>"))
 
-def assign_to_medoids(points: DataFrame, key: str, set_column: str, medoids: Sequence[tuple]) -> DataFrame:
-    """Add ``cluster`` and ``distance``: the nearest of a few (key, set) medoids, the earlier one on ties."""
-    index = SetIndex([np.asarray(s, dtype=np.int64) for _, s in medoids])
 
-    @F.pandas_udf("cluster int, distance double")
-    def nearest(block: pd.Series) -> pd.DataFrame:
-        cluster = np.zeros(len(block), dtype=np.int32)
-        distance = np.zeros(len(block))
-        for at, similarity in index.tanimoto(_sets(block)):
-            gap = 1.0 - similarity
-            cluster[at], distance[at] = gap.argmin(axis=1), gap.min(axis=1)
-        return pd.DataFrame({"cluster": cluster, "distance": distance})
+def _gap(a: Sequence[int], b: Sequence[int]) -> float:
+    common = len(set(a) & set(b))
+    union = len(set(a)) + len(set(b)) - common
+    return 1.0 - (common / union if union else 1.0)
 
-    found = points.withColumn("__near", nearest(col(set_column).cast("array<bigint>")))
-    return found.withColumn("cluster", F.col("__near.cluster")).withColumn("distance", F.col("__near.distance")).drop(
-        "__near"
+
+def assign_to_medoids(
+    points: DataFrame, key: str, set_column: str, medoids: Sequence[tuple], former: Sequence[tuple] | None = None
+) -> DataFrame:
+    """Add ``cluster`` and ``distance``: the nearest of a few (key, set) medoids, the earlier one on ties.
+
+    With ``former``, the medoids that the columns ``cluster`` and ``distance`` of ``points`` tell of, only what changed is
+    scored: a point whose medoid stays is compared with medoids that are new, and with those alone that the triangle
+    inequality of the distance lets come as near, which is when the two medoids are at most twice as far apart.
+    """
+    sets = col(set_column).cast("array<bigint>")
+    every = [F.struct(_distance(sets, s).alias("distance"), F.lit(i).alias("cluster")) for i, (_, s) in enumerate(medoids)]
+    best = F.array_min(F.array(*every))
+    if former is not None:
+        kept = [i for i, m in enumerate(former) if i < len(medoids) and medoids[i][0] == m[0]]
+        fresh = [i for i in range(len(medoids)) if i not in kept]
+        options = [F.struct(F.col("distance"), F.col("cluster"))]
+        for i in fresh:
+            # Rounding aside, no nearer than that: the slack keeps ties exact.
+            apart = F.get(F.array(*[F.lit(_gap(m[1], medoids[i][1])) for m in former]), F.col("cluster"))
+            options.append(F.when(apart <= 2 * F.col("distance") + F.lit(1e-9), every[i]))
+        nearer = F.array_min(F.array(*options))
+        best = F.when(F.col("cluster").isin(kept), nearer).otherwise(best) if kept else best
+    found = points.withColumn("__near", best)
+    return (
+        found.withColumn("cluster", F.col("__near.cluster").cast("int")).withColumn("distance", F.col("__near.distance")).drop("__near")
     )
 
 
@@ -288,54 +310,52 @@ def k_medoids(
     set_column: str,
     n_clusters: int,
     max_iter: int = 100,
-    force_blocks: bool = False,
+    block_sets: int | None = None,
 ) -> DataFrame:
     """Cluster sets around medoids under Tanimoto distance; returns key, cluster id and cluster size.
 
     The first medoid has the smallest total distance, each next one lies farthest from those chosen. Then clusters move
-    to their best member until nothing changes or the cost stops falling. Only medoids reach the driver, and every step
-    starts from the stored points, so nothing accumulates from step to step.
+    to their best member until nothing changes or the cost stops falling. Every step stores each point's nearest medoid
+    and its distance, and the next one scores new medoids only. Only medoids reach the driver.
     """
     if max_iter <= 0:
         raise ValueError("max_iter must be positive")
-    p = points.select(col(key).alias("key"), col(set_column).cast("array<bigint>").alias("set")).persist()
-    try:
-        n = p.count()
-        if not 1 <= n_clusters <= n:
-            raise ValueError("n_clusters must be between 1 and the number of points")
-
-        def with_set(row) -> tuple:
-            return row["key"], row["set"]
-
-        totals = distance_sums(p, "key", "set", force_blocks=force_blocks)
-        first = totals.agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
-        medoids = [with_set(p.join(F.broadcast(first), "key").first())]
-        while len(medoids) < n_clusters:
-            chosen = [k for k, _ in medoids]
-            far = assign_to_medoids(p, "key", "set", medoids).where(~col("key").isin(chosen))
-            best = far.agg(F.min_by(F.struct("key", "set"), F.struct(-col("distance"), "key")).alias("m")).first()["m"]
-            medoids.append(with_set(best))
-        cost = assign_to_medoids(p, "key", "set", medoids).agg(F.sum("distance")).first()[0]
-        for _ in range(max_iter):
-            assigned = assign_to_medoids(p, "key", "set", medoids)
-            inner = distance_sums(assigned, "key", "set", "cluster", force_blocks)
-            centres = inner.groupBy("cluster").agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
-            moved = {r["cluster"]: with_set(r) for r in p.join(F.broadcast(centres), "key").collect()}
-            # A cluster that lost all members keeps its medoid.
-            candidate = [moved.get(i, m) for i, m in enumerate(medoids)]
-            if [k for k, _ in candidate] == [k for k, _ in medoids]:
-                break
-            new_cost = assign_to_medoids(p, "key", "set", candidate).agg(F.sum("distance")).first()[0]
-            if new_cost >= cost:
-                break
-            medoids, cost = candidate, new_cost
-    finally:
-        p.unpersist()
-    source = points.select(col(key).alias("key"), col(set_column).cast("array<bigint>").alias("set"))
-    assigned = assign_to_medoids(source, "key", "set", medoids).select("key", "cluster")
+    sets = F.coalesce(col(set_column).cast("array<bigint>"), F.array().cast("array<bigint>"))
+    p = reliable_checkpoint(points.select(col(key).alias("key"), sets.alias("set")))
+    n = p.count()
+    if not 1 <= n_clusters <= n:
+        raise ValueError("n_clusters must be between 1 and the number of points")
+
+    def with_set(row) -> tuple:
+        return row["key"], row["set"]
+
+    totals = distance_sums(p, "key", "set", block_sets=block_sets)
+    first = totals.agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
+    medoids = [with_set(p.join(F.broadcast(first), "key").first())]
+    near = reliable_checkpoint(assign_to_medoids(p, "key", "set", medoids))
+    while len(medoids) < n_clusters:
+        chosen = [k for k, _ in medoids]
+        far = near.where(~col("key").isin(chosen))
+        best = far.agg(F.min_by(F.struct("key", "set"), F.struct(-col("distance"), "key")).alias("m")).first()["m"]
+        former, medoids = medoids, [*medoids, with_set(best)]
+        near = reliable_checkpoint(assign_to_medoids(near, "key", "set", medoids, former))
+    cost = near.agg(F.sum("distance")).first()[0]
+    for _ in range(max_iter):
+        inner = distance_sums(near, "key", "set", "cluster", block_sets)
+        centres = inner.groupBy("cluster").agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
+        moved = {r["to"]: with_set(r) for r in p.join(F.broadcast(centres.withColumnRenamed("cluster", "to")), "key").collect()}
+        # A cluster that lost all members keeps its medoid.
+        candidate = [moved.get(i, m) for i, m in enumerate(medoids)]
+        if [k for k, _ in candidate] == [k for k, _ in medoids]:
+            break
+        closer = reliable_checkpoint(assign_to_medoids(near, "key", "set", candidate, medoids))
+        new_cost = closer.agg(F.sum("distance")).first()[0]
+        if new_cost >= cost:
+            break
+        medoids, cost, near = candidate, new_cost, closer
     # One row per cluster.
-    sizes = assigned.groupBy("cluster").agg(F.count(F.lit(1)).alias("chem_cluster_size"))
-    out = assigned.join(F.broadcast(sizes), "cluster")
+    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("chem_cluster_size"))
+    out = near.join(F.broadcast(sizes), "cluster")
     return out.select(
         col("key").alias(key), col("cluster").alias("chem_cluster_id"), "chem_cluster_size"
     ).orderBy("chem_cluster_id", key)

@@ -752,7 +752,7 @@ def tanimoto_distance_sums(spark, sf):
 
 
 def tanimoto_distance_sums_blocks(spark, sf):
-    out = similarity.distance_sums(_vectors(spark, sf), "vec_id", "bits", "label", force_blocks=True)
+    out = similarity.distance_sums(_vectors(spark, sf), "vec_id", "bits", "label", block_sets=64)
     return _rounded(out.select("vec_id", "cluster", "total"), ["total"])
 
 

@@ -94,9 +94,9 @@ def test_k_medoids_matches_dense_matrix(spark, sets, blocks, monkeypatch):
     names = list(sets)
     d = np.array([[1 - similarity_of(sets[a], sets[b]) for b in names] for a in names])
     df = spark.createDataFrame([(n, sets[n]) for n in names], "id string, bits array<bigint>")
-    sums = pdf(similarity.distance_sums(df, "id", "bits", force_blocks=blocks), "id")
+    sums = pdf(similarity.distance_sums(df, "id", "bits", block_sets=9 if blocks else None), "id")
     np.testing.assert_allclose(sums["total"], d.sum(1), rtol=1e-12)
-    got = pdf(similarity.k_medoids(df, "id", "bits", 4, force_blocks=blocks), "id")
+    got = pdf(similarity.k_medoids(df, "id", "bits", 4, block_sets=9 if blocks else None), "id")
     expected = brute_k_medoids(d, 4)
     np.testing.assert_array_equal(got["chem_cluster_id"], expected)
     np.testing.assert_array_equal(got["chem_cluster_size"], np.bincount(expected)[expected])
@@ -113,7 +113,7 @@ def test_distance_sums_of_missing_clusters(spark, sets, some, monkeypatch):
     df = spark.createDataFrame(rows, "id string, label int, bits array<bigint>")
     want = {n: (c, sum(1 - similarity_of(b, x) for _, d, x in rows if c == d)) for n, c, b in rows}
     for blocks in (False, True):
-        got = similarity.distance_sums(df, "id", "bits", "label", force_blocks=blocks).collect()
+        got = similarity.distance_sums(df, "id", "bits", "label", block_sets=4 if blocks else None).collect()
         assert len(got) == len(rows)
         for r in got:
             assert (r["cluster"], r["total"]) == (want[r["id"]][0], pytest.approx(want[r["id"]][1]))
