@@ -1,9 +1,10 @@
 """Training passages that copy, edit or paraphrase benchmark items.
 
-Seeds are rare word n-grams of the items. Rare means by chance: the frequencies of its words in the training texts make an
-n-gram unlikely there, however often the passage itself has been copied. A bitmap of fixed size, built from the seeds,
-travels to all tasks, which keep only the surroundings of its hits; an exact join by n-gram then pairs passages with items,
-and a local alignment of their words scores each pair.
+Seeds are rare word n-grams of the items: three words out of at most four consecutive ones, so wherever a copy keeps three
+of four words there is a seed. Rare means by chance: the frequencies of its words in the training texts make an n-gram
+unlikely there, however often the passage itself has been copied. Bitmaps of fixed size, built from the seeds, travel to
+all tasks, which keep only the surroundings of their hits; an exact join by n-gram then pairs passages with items, and a
+local alignment of their words scores each pair.
 """
 
 from __future__ import annotations
@@ -24,6 +25,12 @@ BITMAP_BITS = 1 << 25
 _BLOCK_BITS = 1 << 15
 #: An n-gram is rare if chance puts it into fewer documents than one in a hundred.
 RARE = 0.01
+#: Places of a seed's words from its first one on. Every choice of three out of four consecutive words is one of these.
+SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
+#: The one seed of an item of two words.
+SHORT = (0, 1)
+#: Items from this many words on are aligned where two of their seeds meet; shorter ones where one does.
+LONG_ITEM = 20
 _MATCH, _MISS, _GAP = 2, -1, -1
 
 
@@ -42,28 +49,43 @@ def item_words(items: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return texts.mapInArrow(run, "item long, words array<long>")
 
 
-def item_ngrams(items: DataFrame, n: int) -> DataFrame:
-    """Return distinct (item, gram, parts) of ``items`` (item, words): n-grams with the single-word n-grams they hold."""
+def shaped(words: np.ndarray, shape: tuple[int, ...]) -> np.ndarray:
+    """Return hashes of the words at ``shape`` from every place on; rows are not told apart."""
+    room = max(len(words) - shape[-1], 0)
+    grams = np.full(room, len(shape) * 1000 + shape[-1] * 10 + shape[1], np.uint64)
+    for i in shape:
+        grams += words[i : i + room] * (W.mix(np.array([i + 1], np.uint64))[0] | np.uint64(1))
+    return W.mix(grams)
+
+
+def item_ngrams(items: DataFrame) -> DataFrame:
+    """Return distinct (item, gram, parts) of ``items`` (item, words): n-grams with the single-word n-grams they hold.
+
+    Items of two words have their whole sequence, all others every shape of three words that they have room for.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(1)
             words = np.asarray(lists.flatten()).view(np.uint64)
             first = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-            grams, at = W.ngrams(words, first, n, False)
             single, _ = W.ngrams(words, first, 1, False)
-            rows = np.repeat(np.arange(len(at) - 1, dtype=np.int32), np.diff(at))
-            place = first[rows] + np.arange(len(rows)) - at[rows]
-            parts = single[place[:, None] + np.arange(n)].reshape(-1) if len(rows) else single[:0]
-            bounds = pa.array(np.arange(0, len(rows) * n + 1, n, dtype=np.int32))
-            yield pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).take(pa.array(rows)),
-                    pa.array(grams.view(np.int64)),
-                    pa.ListArray.from_arrays(bounds, pa.array(parts.view(np.int64))),
-                ],
-                ["item", "gram", "parts"],
-            )
+            for shape in (*SHAPES, SHORT):
+                grams = shaped(words, shape)
+                place = np.arange(len(grams))
+                rows = np.searchsorted(first, place, "right") - 1
+                fits = place + shape[-1] < first[rows + 1]
+                fits &= (first[rows + 1] - first[rows] == 2) == (shape == SHORT)
+                place, rows, n = place[fits], rows[fits], len(shape)
+                parts = single[place[:, None] + np.array(shape)].reshape(-1)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0).take(pa.array(rows)),
+                        pa.array(grams[fits].view(np.int64)),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(parts) + 1, n, dtype=np.int32)), pa.array(parts.view(np.int64))),
+                    ],
+                    ["item", "gram", "parts"],
+                )
 
     return items.mapInArrow(run, "item long, gram long, parts array<long>").distinct()
 
@@ -113,7 +135,7 @@ def rare_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame
     """Return (item, gram) of ``grams`` (item, gram, parts) with the n-grams that chance makes rare.
 
     Of every item the quarter that is least likely by chance is taken in any case, ties to the smaller hash, so an item
-    made of common words alone has seeds as well.
+    made of common words alone has seeds as well. The pair of an item of two words has to be rare.
     """
     total = counts.filter("word is null").agg(F.sum("n")).first()[0] or 0
     known = counts.filter("word is not null").select("word", F.log(F.col("n") / F.lit(float(max(total, 1)))).alias("chance"))
@@ -124,56 +146,69 @@ def rare_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame
         .groupBy("item", "gram", "size")
         .agg(F.sum("chance").alias("chance"), F.count("*").alias("held"))
         .filter("held = size")
-        .select("item", "gram", (F.exp("chance") * float(total) / float(max(documents, 1))).alias("chance"))
+        .select("item", "gram", "size", (F.exp("chance") * float(total) / float(max(documents, 1))).alias("chance"))
     )
     # An item's n-grams are as many as its own words, so they are ranked within its row.
-    ranked = likely.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("chance", "gram"))).alias("grams"))
+    ranked = likely.groupBy("item", "size").agg(F.array_sort(F.collect_list(F.struct("chance", "gram"))).alias("grams"))
     quarter = F.ceil(F.size("grams") / 4)
-    kept = F.filter("grams", lambda x, i: (x["chance"] <= RARE) | (i < quarter))
+    kept = F.filter("grams", lambda x, i: (x["chance"] <= RARE) | ((i < quarter) & (F.col("size") > 2)))
     return ranked.select("item", F.explode(F.transform(kept, lambda x: x["gram"])).alias("gram"))
 
 
-def passages(texts: DataFrame, bitmap, n: int, reach: int) -> DataFrame:
-    """Return (doc, passage, first, words, grams): runs of words within ``reach`` of hits, with the hits' n-grams."""
+def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, object]], shapes: tuple[tuple[int, ...], ...]) -> DataFrame:
+    """Return (doc, digest, class, first, words, grams): runs of words around hits, with the hits' n-grams.
+
+    ``classes`` lists (class, reach, bitmap); the run around a hit of a class takes its reach on both sides. ``anywhere``
+    is the bitmap of all classes.
+    """
+
+    def cut(batch: pa.RecordBatch, row: int, words: np.ndarray, first: np.ndarray, place: np.ndarray, grams: np.ndarray, kind: int, reach: int) -> pa.RecordBatch:
+        rows = np.searchsorted(first, place, "right") - 1
+        low = np.maximum(place - reach, first[rows])
+        high = np.minimum(place + 4 + reach, first[rows + 1])
+        new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (low[1:] > high[:-1]))))
+        last = np.concatenate((new[1:], [len(place)])) - 1
+        begin, stop = low[new], high[last]
+        sizes = stop - begin
+        bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
+        at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
+        taken = words[np.repeat(begin, sizes) + at]
+        # A passage is known by what it holds and where: rows that are alike in all that are one passage.
+        digest = W.mix(np.add.reduceat(taken * (at.astype(np.uint64) | np.uint64(1)), bounds[:-1]))
+        return pa.RecordBatch.from_arrays(
+            [
+                batch.column(0).take(pa.array(row + rows[new])),
+                pa.array(digest.view(np.int64)),
+                pa.array(np.full(len(new), kind, np.int32)),
+                pa.array(begin - first[rows[new]], pa.int64()),
+                pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(taken.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(place)])).astype(np.int32)), pa.array(grams.view(np.int64))),
+            ],
+            ["doc", "digest", "class", "first", "words", "grams"],
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = bitmap.value
         for batch in batches:
             for row, data, offsets in W.pieces(batch.column(1)):
                 start, end, first = W.spans(data, offsets, W.ALNUM)
                 words = W.word_hashes(data, start, end)
-                grams, at = W.ngrams(words, first, n, False)
-                hits = _hits(bits, grams)
-                if not len(hits):
-                    continue
-                rows = np.searchsorted(at, hits, "right") - 1
-                place = hits - at[rows] + first[rows]  # index among the words of the piece
-                low = np.maximum(place - reach, first[rows])
-                high = np.minimum(place + n + reach, first[rows + 1])
-                new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (low[1:] > high[:-1]))))
-                last = np.concatenate((new[1:], [len(hits)])) - 1
-                begin, stop = low[new], high[last]
-                sizes = stop - begin
-                bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
-                taken = words[np.repeat(begin - bounds[:-1], sizes) + np.arange(bounds[-1])]
-                where = begin - first[rows[new]]
-                # A passage is known by what it holds and where: rows that are alike in all that are one passage.
-                digest = W.mix(np.add.reduceat(taken * (np.arange(len(taken), dtype=np.uint64) - np.repeat(bounds[:-1].astype(np.uint64), sizes) | np.uint64(1)), bounds[:-1]))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).take(pa.array(row + rows[new])),
-                        pa.array(digest.view(np.int64)),
-                        pa.array(where, pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(taken.view(np.int64))),
-                        pa.ListArray.from_arrays(
-                            pa.array(np.concatenate((new, [len(hits)])).astype(np.int32)), pa.array(grams[hits].view(np.int64))
-                        ),
-                    ],
-                    ["doc", "digest", "first", "words", "grams"],
-                )
+                places, found = [], []
+                for shape in shapes:
+                    grams = shaped(words, shape)
+                    hits = _hits(anywhere.value, grams)
+                    hits = hits[hits + shape[-1] < first[np.searchsorted(first, hits, "right")]]
+                    places.append(hits)
+                    found.append(grams[hits])
+                place, grams = np.concatenate(places), np.concatenate(found)
+                order = np.argsort(place, kind="stable")
+                place, grams = place[order], grams[order]
+                for kind, reach, bitmap in classes:
+                    hits = _hits(bitmap.value, grams)
+                    if len(hits):
+                        yield cut(batch, row, words, first, place[hits], grams[hits], kind, reach)
 
     return texts.select("doc", "text").mapInArrow(
-        run, "doc long, digest long, first long, words array<long>, grams array<long>"
+        run, "doc long, digest long, class int, first long, words array<long>, grams array<long>"
     )
 
 
@@ -227,7 +262,6 @@ def find_contamination(
     docs: DataFrame,
     items: DataFrame,
     least: float = 0.5,
-    n: int = 4,
     id_col: str = "doc_id",
     text_col: str = "text",
     item_col: str = "item_id",
@@ -237,27 +271,49 @@ def find_contamination(
 
     Words are runs of ASCII letters and digits and everything beyond ASCII, A-Z lower-cased. The score is that of the best
     local alignment (2 for a match, -1 for a replaced, inserted or missing word) of an item with the document, as a share
-    of a full match; the span of the document's words is that of the best passage, the first of equal ones. Items of fewer
-    than ``n`` words, empty and null ones are too short to tell and match nothing. Rows without an id are left out on both
-    sides; rows that repeat an id count together. Further columns are ignored.
+    of a full match; the span of the document's words is that of the best passage, the first of equal ones. Items of two
+    words count where chance makes the pair rare. Items of one word, empty and null ones are too short to tell and match
+    nothing. Rows without an id are left out on both sides; rows that repeat an id count together. Further columns are
+    ignored.
     """
     context = docs.sparkSession.sparkContext
     texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).filter("doc is not null")
+    # Items of like length, by powers of two, share a reach: the longest of them.
     known = reliable_checkpoint(
-        item_words(items, item_col, item_text_col).filter((F.col("item").isNotNull()) & (F.size("words") >= n)).distinct()
+        item_words(items, item_col, item_text_col)
+        .filter((F.col("item").isNotNull()) & (F.size("words") >= 2))
+        .distinct()
+        .withColumn("class", F.ceil(F.log2(F.size("words"))).cast("int"))
     )
-    grams = reliable_checkpoint(item_ngrams(known, n))
+    grams = reliable_checkpoint(item_ngrams(known.select("item", "words")))
     held = grams.select(F.explode("parts").alias("gram"))
     counts = reliable_checkpoint(word_counts(texts, context.broadcast(_bitmap(held))))
-    seeds = reliable_checkpoint(rare_seeds(grams, counts, texts.count()))
-    longest = known.agg(F.max(F.size("words"))).first()[0] or 0
-    found = passages(texts, context.broadcast(_bitmap(seeds.select("gram"))), n, longest)
-    found = reliable_checkpoint(found)
-    key = ["doc", "digest", "first"]
-    pairs = found.select(*key, F.explode(F.array_distinct("grams")).alias("gram")).join(seeds, "gram").select(*key, "item").distinct()
-    joined = pairs.join(found.select(*key, "words").dropDuplicates(key), key).join(
-        known.withColumnRenamed("words", "item_words"), "item"
+    seeds = rare_seeds(grams, counts, texts.count()).join(known.groupBy("item").agg(F.collect_set("class").alias("class")), "item")
+    # One id may stand at several items; each of their lengths is looked for.
+    seeds = reliable_checkpoint(seeds.select("item", "gram", F.explode("class").alias("class")))
+    # One row per power of two.
+    sizes = known.groupBy("class").agg(F.max(F.size("words")).alias("reach")).orderBy("class").collect()
+    shapes = (*SHAPES, SHORT) if sizes and sizes[0]["class"] == 1 else SHAPES
+    classes = [
+        (r["class"], r["reach"], context.broadcast(_bitmap(seeds.filter(F.col("class") == r["class"]).select("gram")))) for r in sizes
+    ]
+    everywhere = np.zeros(BITMAP_BITS // 8, np.uint8)
+    for _, _, bits in classes:
+        everywhere |= bits.value
+    found = reliable_checkpoint(passages(texts, context.broadcast(everywhere), classes, shapes))
+    key = ["doc", "digest", "class", "first"]
+    met = (
+        found.select(*key, F.explode(F.array_distinct("grams")).alias("gram"))
+        .join(seeds, ["gram", "class"])
+        .groupBy(*key, "item")
+        .agg(F.countDistinct("gram").alias("met"))
+    )
+    pairs = (
+        met.join(known.withColumnRenamed("words", "item_words"), ["item", "class"])
+        .join(seeds.groupBy("item").agg(F.countDistinct("gram").alias("seeds")), "item")
+        .filter((F.col("met") >= 2) | (F.size("item_words") < LONG_ITEM) | (F.col("seeds") < 2))
     )
+    joined = pairs.join(found.select(*key, "words").dropDuplicates(key), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,8 +27,9 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hooks every node below a smaller neighbour, collapses the trees by pointer jumping and contracts the
     edges, so even a path of any length takes a few rounds. A node with very many edges only ever meets a map-side
     combined minimum or a join side that adaptive execution splits. Null ends, loops and repeated edges are ignored,
-    except that both ends of a loop are still listed.
+    except that both ends of a loop are still listed. Edges are stored first, so what leads to them runs once.
     """
+    edges = reliable_checkpoint(edges.select("a", "b"))
     ends = edges.select(F.explode(F.array("a", "b")).alias("node")).filter("node is not null").distinct()
     current = reliable_checkpoint(
         edges.filter("a <> b").select(F.greatest("a", "b").alias("node"), F.least("a", "b").alias("low")).distinct()

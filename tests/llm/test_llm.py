@@ -204,6 +204,66 @@ def test_contamination(spark):
     assert kept.columns == table.columns and kept.count() == len(rows) - 5
 
 
+def _damaged(rng, words, kind):
+    """Return a copy of ``words`` with edits of a kind."""
+    out = list(words)
+    if kind in ("every third", "every fourth"):
+        step = 3 if kind == "every third" else 4
+        for i in range(step - 1, len(out), step):
+            out[i] = f"other{rng.integers(1000)}"
+        return out
+    for _ in range(int(kind)):
+        at = int(rng.integers(len(out)))
+        out[at : at + 1] = [[], [f"other{rng.integers(1000)}"], [out[at], f"more{rng.integers(1000)}"]][rng.integers(3)]
+    return out
+
+
+def test_contamination_against_all_alignments(spark):
+    """Every pair that reaches the score in a plain comparison of all documents with all items is found, and no other."""
+    rng = np.random.default_rng(11)
+    items = [list(rng.choice(VOCABULARY, n)) for n in (2, 3, 4, 6, 9, 12, 15, 20, 20, 30, 40, 70, 140) for _ in range(2)]
+    rows, at = [], {}
+    for kind in ("every third", "every fourth", "0", "1", "2", "4", "6"):
+        for i, item in enumerate(items):
+            if kind == "0" or len(item) >= 12:
+                copy = _damaged(rng, item, kind)
+                at.setdefault(kind, []).append((len(rows), i))
+                rows.append([*rng.choice(VOCABULARY, 60), *copy, *rng.choice(VOCABULARY, 60)])
+    table = spark.createDataFrame([(i, " ".join(r)) for i, r in enumerate(rows)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(x)) for i, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["score"] for r in decontaminate.find_contamination(table, bench).collect()}
+    pairs = [(d, i) for d in range(len(rows)) for i in range(len(items))]
+    scores = decontaminate.alignments([np.unique(items[i] + rows[d], return_inverse=True)[1][: len(items[i])] for d, i in pairs],
+                                      [np.unique(items[i] + rows[d], return_inverse=True)[1][len(items[i]) :] for d, i in pairs])
+    wanted = {p: s[0] for p, s in zip(pairs, scores) if s[0] >= 0.5}
+    assert all(wanted[p] == pytest.approx(s) for p, s in got.items())
+    # Of items of up to four words two or three words that happen to meet are half of a match; seeds do not look for these.
+    missed = {p for p in wanted if p not in got and len(items[p[1]]) > 4}
+    assert not missed & {p for planted in at.values() for p in planted}
+    assert len(missed) <= 0.01 * len(wanted)
+    for kind, planted in at.items():
+        reached = [p for p in planted if p in wanted]
+        assert sum(p in got for p in reached) >= 0.95 * len(reached), kind
+    assert all(p in got for p in at["0"] if len(items[p[1]]) > 2)
+
+
+def test_contamination_by_odd_benchmarks(spark):
+    """No benchmark finds nothing; a very long item does not lengthen the passages of short ones; ids may stand at several."""
+    rng = np.random.default_rng(12)
+    short, long = list(rng.choice(VOCABULARY, 20)), list(rng.choice(VOCABULARY, 3000))
+    docs = spark.createDataFrame(
+        [(1, " ".join([*rng.choice(VOCABULARY, 500), *short])), (2, " ".join(long)), (3, " ".join(long[:1000])), (4, " ".join(long[:1600]))],
+        "doc_id long, text string",
+    )
+    bench = spark.createDataFrame([(7, " ".join(short)), (8, " ".join(long)), (7, "one")], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): round(r["score"], 2) for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert got == {(1, 7): 1.0, (2, 8): 1.0, (4, 8): 0.53}
+    assert decontaminate.find_contamination(docs, bench.limit(0)).count() == 0
+    assert decontaminate.drop_contaminated(docs, bench.limit(0)).count() == 4
+    both = spark.createDataFrame([(7, " ".join(short)), (7, " ".join(long))], "item_id long, text string")
+    assert {r["doc_id"] for r in decontaminate.find_contamination(docs, both).collect()} == {1, 2, 4}
+
+
 def _align(a, b):
     h, best = np.zeros((len(a) + 1, len(b) + 1), int), 0
     for i, x in enumerate(a, 1):
