@@ -29,8 +29,9 @@ RARE = 0.01
 SHAPES = ((0, 1, 2), (0, 1, 3), (0, 2, 3))
 #: The one seed of an item of two words.
 SHORT = (0, 1)
-#: Items from this many words on are aligned where two of their seeds meet; shorter ones where one does.
-LONG_ITEM = 20
+#: An item is aligned where one of so many of its seeds meets, at least one. With a third of its words replaced, an item of
+#: n words keeps three of four words at n / 3 - 3 places or more, out of 3 n - 8 seeds.
+SEEDS_PER_MEETING = 20
 _MATCH, _MISS, _GAP = 2, -1, -1
 
 
@@ -90,20 +91,22 @@ def item_ngrams(items: DataFrame) -> DataFrame:
     return items.mapInArrow(run, "item long, gram long, parts array<long>").distinct()
 
 
-def _bitmap(grams: DataFrame) -> np.ndarray:
-    """Return the bitmap of a column of n-grams, put together from blocks that Spark fills."""
+def _bitmaps(grams: DataFrame) -> dict[int, np.ndarray]:
+    """Return a bitmap of the n-grams of each class of ``grams`` (gram, class), put together from blocks that Spark fills."""
 
     def block(rows: pd.DataFrame) -> pd.DataFrame:
         bits = np.zeros(_BLOCK_BITS, np.uint8)
         bits[rows["bit"].to_numpy() % _BLOCK_BITS] = 1
-        return pd.DataFrame({"block": [int(rows["bit"].iloc[0]) // _BLOCK_BITS], "bits": [np.packbits(bits).tobytes()]})
+        head = {"class": [rows["class"].iloc[0]], "block": [int(rows["bit"].iloc[0]) // _BLOCK_BITS]}
+        return pd.DataFrame({**head, "bits": [np.packbits(bits).tobytes()]})
 
     bit = F.shiftrightunsigned(F.col("gram"), 64 - (BITMAP_BITS.bit_length() - 1)).alias("bit")
-    bits = grams.select(bit).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS))
-    out = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for row in bits.groupBy("block").applyInPandas(block, "block long, bits binary").collect():
+    bits = grams.select("class", bit).distinct().withColumn("block", F.floor(F.col("bit") / _BLOCK_BITS))
+    out: dict[int, np.ndarray] = {}
+    for row in bits.groupBy("class", "block").applyInPandas(block, "class int, block long, bits binary").collect():
         low = row["block"] * _BLOCK_BITS // 8
-        out[low : low + _BLOCK_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
+        bitmap = out.setdefault(row["class"], np.zeros(BITMAP_BITS // 8, np.uint8))
+        bitmap[low : low + _BLOCK_BITS // 8] = np.frombuffer(bytes(row["bits"]), np.uint8)
     return out
 
 
@@ -155,26 +158,30 @@ def rare_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame
     return ranked.select("item", F.explode(F.transform(kept, lambda x: x["gram"])).alias("gram"))
 
 
-def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, object]], shapes: tuple[tuple[int, ...], ...]) -> DataFrame:
+def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, int, object]], shapes: tuple[tuple[int, ...], ...]) -> DataFrame:
     """Return (doc, digest, class, first, words, grams): runs of words around hits, with the hits' n-grams.
 
-    ``classes`` lists (class, reach, bitmap); the run around a hit of a class takes its reach on both sides. ``anywhere``
-    is the bitmap of all classes.
+    ``classes`` lists (class, reach, least, bitmap); the run around a hit of a class takes its reach on both sides, and runs
+    of fewer than ``least`` hits are left out. ``anywhere`` is the bitmap of all classes.
     """
 
-    def cut(batch: pa.RecordBatch, row: int, words: np.ndarray, first: np.ndarray, place: np.ndarray, grams: np.ndarray, kind: int, reach: int) -> pa.RecordBatch:
+    def cut(batch: pa.RecordBatch, row: int, words: np.ndarray, first: np.ndarray, place: np.ndarray, grams: np.ndarray, kind: int, reach: int, least: int) -> pa.RecordBatch:
         rows = np.searchsorted(first, place, "right") - 1
         low = np.maximum(place - reach, first[rows])
         high = np.minimum(place + 4 + reach, first[rows + 1])
         new = np.flatnonzero(np.concatenate(([True], (rows[1:] != rows[:-1]) | (low[1:] > high[:-1]))))
         last = np.concatenate((new[1:], [len(place)])) - 1
+        enough = last - new + 1 >= least
+        grams = grams[np.repeat(enough, last - new + 1)]
+        new, last = new[enough], last[enough]
+        held = np.concatenate(([0], np.cumsum(last - new + 1)))
         begin, stop = low[new], high[last]
         sizes = stop - begin
         bounds = np.concatenate(([0], np.cumsum(sizes))).astype(np.int64)
         at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], sizes)
         taken = words[np.repeat(begin, sizes) + at]
         # A passage is known by what it holds and where: rows that are alike in all that are one passage.
-        digest = W.mix(np.add.reduceat(taken * (at.astype(np.uint64) | np.uint64(1)), bounds[:-1]))
+        digest = W.mix(np.add.reduceat(taken * (at.astype(np.uint64) | np.uint64(1)), bounds[:-1])) if len(new) else taken
         return pa.RecordBatch.from_arrays(
             [
                 batch.column(0).take(pa.array(row + rows[new])),
@@ -182,7 +189,7 @@ def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, object]],
                 pa.array(np.full(len(new), kind, np.int32)),
                 pa.array(begin - first[rows[new]], pa.int64()),
                 pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(taken.view(np.int64))),
-                pa.ListArray.from_arrays(pa.array(np.concatenate((new, [len(place)])).astype(np.int32)), pa.array(grams.view(np.int64))),
+                pa.ListArray.from_arrays(pa.array(held.astype(np.int32)), pa.array(grams.view(np.int64))),
             ],
             ["doc", "digest", "class", "first", "words", "grams"],
         )
@@ -202,10 +209,10 @@ def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, object]],
                 place, grams = np.concatenate(places), np.concatenate(found)
                 order = np.argsort(place, kind="stable")
                 place, grams = place[order], grams[order]
-                for kind, reach, bitmap in classes:
+                for kind, reach, least, bitmap in classes:
                     hits = _hits(bitmap.value, grams)
                     if len(hits):
-                        yield cut(batch, row, words, first, place[hits], grams[hits], kind, reach)
+                        yield cut(batch, row, words, first, place[hits], grams[hits], kind, reach, least)
 
     return texts.select("doc", "text").mapInArrow(
         run, "doc long, digest long, class int, first long, words array<long>, grams array<long>"
@@ -286,20 +293,24 @@ def find_contamination(
         .withColumn("class", F.ceil(F.log2(F.size("words"))).cast("int"))
     )
     grams = reliable_checkpoint(item_ngrams(known.select("item", "words")))
-    held = grams.select(F.explode("parts").alias("gram"))
-    counts = reliable_checkpoint(word_counts(texts, context.broadcast(_bitmap(held))))
+    none = np.zeros(BITMAP_BITS // 8, np.uint8)
+    held = _bitmaps(grams.select(F.explode("parts").alias("gram"), F.lit(0).alias("class"))).get(0, none)
+    counts = reliable_checkpoint(word_counts(texts, context.broadcast(held)))
     seeds = rare_seeds(grams, counts, texts.count()).join(known.groupBy("item").agg(F.collect_set("class").alias("class")), "item")
     # One id may stand at several items; each of their lengths is looked for.
     seeds = reliable_checkpoint(seeds.select("item", "gram", F.explode("class").alias("class")))
+    # What one id holds beyond an item's own n-grams raises nothing for it.
+    held = seeds.groupBy("item").agg(F.countDistinct("gram").alias("seeds"))
+    own = F.least(F.col("seeds"), 3 * F.size("words") - 8)
+    known = known.join(held, "item").withColumn("need", F.greatest(F.floor(own / SEEDS_PER_MEETING), F.lit(1)))
+    known = reliable_checkpoint(known.select("item", "class", "words", "need"))
     # One row per power of two.
-    sizes = known.groupBy("class").agg(F.max(F.size("words")).alias("reach")).orderBy("class").collect()
+    sizes = known.groupBy("class").agg(F.max(F.size("words")).alias("reach"), F.min("need").alias("least"))
+    sizes = sizes.orderBy("class").collect()
     shapes = (*SHAPES, SHORT) if sizes and sizes[0]["class"] == 1 else SHAPES
-    classes = [
-        (r["class"], r["reach"], context.broadcast(_bitmap(seeds.filter(F.col("class") == r["class"]).select("gram")))) for r in sizes
-    ]
-    everywhere = np.zeros(BITMAP_BITS // 8, np.uint8)
-    for _, _, bits in classes:
-        everywhere |= bits.value
+    bitmaps = _bitmaps(seeds)
+    classes = [(r["class"], r["reach"], r["least"], context.broadcast(bitmaps[r["class"]])) for r in sizes]
+    everywhere = np.bitwise_or.reduce([none, *bitmaps.values()])
     found = reliable_checkpoint(passages(texts, context.broadcast(everywhere), classes, shapes))
     key = ["doc", "digest", "class", "first"]
     met = (
@@ -308,11 +319,7 @@ def find_contamination(
         .groupBy(*key, "item")
         .agg(F.countDistinct("gram").alias("met"))
     )
-    pairs = (
-        met.join(known.withColumnRenamed("words", "item_words"), ["item", "class"])
-        .join(seeds.groupBy("item").agg(F.countDistinct("gram").alias("seeds")), "item")
-        .filter((F.col("met") >= 2) | (F.size("item_words") < LONG_ITEM) | (F.col("seeds") < 2))
-    )
+    pairs = met.join(known.withColumnRenamed("words", "item_words"), ["item", "class"]).filter("met >= need")
     joined = pairs.join(found.select(*key, "words").dropDuplicates(key), key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
