@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.llm import words as W
+from assaysift.llm.memory import giving_back
 from assaysift.session import reliable_checkpoint
 
 #: Bits of the bitmap that is sent to all tasks, whatever the number of items: 4 MB.
@@ -131,7 +132,7 @@ def word_counts(texts: DataFrame, bitmap) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(counts, pa.int64())], ["word", "n"])
         yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total], pa.int64())], ["word", "n"])
 
-    return texts.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(giving_back(run), "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def rare_seeds(grams: DataFrame, counts: DataFrame, documents: int) -> DataFrame:
@@ -215,7 +216,7 @@ def passages(texts: DataFrame, anywhere, classes: list[tuple[int, int, int, obje
                         yield cut(batch, row, words, first, place[hits], grams[hits], kind, reach, least)
 
     return texts.select("doc", "text").mapInArrow(
-        run, "doc long, digest long, class int, first long, words array<long>, grams array<long>"
+        giving_back(run), "doc long, digest long, class int, first long, words array<long>, grams array<long>"
     )
 
 
@@ -342,7 +343,7 @@ def find_contamination(
                 )
 
     scored = joined.select("doc", "item", "first", "words", "item_words").mapInArrow(
-        run, "doc_id long, item_id long, score double, first_word long, n_words long"
+        giving_back(run), "doc_id long, item_id long, score double, first_word long, n_words long"
     )
     rank = F.struct("score", -F.col("first_word"), "n_words")
     best = scored.filter(F.col("score") >= least).groupBy("doc_id", "item_id").agg(F.max(rank).alias("best"))

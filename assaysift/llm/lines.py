@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assaysift.llm.memory import giving_back, release
 from assaysift.session import reliable_checkpoint
 
 _SPACE = b" \t\n\x0b\x0c\r"
@@ -53,7 +54,7 @@ def line_marks(texts: DataFrame, least: int) -> DataFrame:
                     rows, marks = [], []
             yield flush(batch.column(0))
 
-    return texts.mapInArrow(run, "doc long, mark binary")
+    return texts.mapInArrow(giving_back(run), "doc long, mark binary")
 
 
 def dropped_lines(texts: DataFrame, least: int, documents: int) -> DataFrame:
@@ -77,21 +78,25 @@ _LINES_TYPE = T.StructType(
 )
 
 
+def _kept_lines(text: str | None, marks) -> tuple[int, int, str]:
+    lines = (text or "").split("\n")
+    total = len(lines)
+    drop = {bytes(x) for x in marks} if marks is not None else set()
+    for position in sorted((struct.unpack_from("<i", x)[0] for x in drop), reverse=True):
+        # Rows that repeat an id may hold other lines at this position, so the line itself has to match as well.
+        if position < len(lines):
+            key = lines[position].encode("utf-8", "surrogatepass").strip(_SPACE).lower()
+            if _mark(position, key) in drop:
+                del lines[position]
+    return total, total - len(lines), "\n".join(lines)
+
+
 @F.pandas_udf(_LINES_TYPE)
-def _reassemble(text: pd.Series, marks: pd.Series) -> pd.DataFrame:
-    out = []
-    for whole, gone in zip(text, marks, strict=True):
-        lines = (whole or "").split("\n")
-        total = len(lines)
-        drop = {bytes(x) for x in gone} if gone is not None else set()
-        for position in sorted((struct.unpack_from("<i", x)[0] for x in drop), reverse=True):
-            # Rows that repeat an id may hold other lines at this position, so the line itself has to match as well.
-            if position < len(lines):
-                key = lines[position].encode("utf-8", "surrogatepass").strip(_SPACE).lower()
-                if _mark(position, key) in drop:
-                    del lines[position]
-        out.append((total, total - len(lines), "\n".join(lines)))
-    return pd.DataFrame(out, columns=["n_lines", "n_dropped", "kept"])
+def _reassemble(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+    for text, marks in batches:
+        yield pd.DataFrame([_kept_lines(*x) for x in zip(text, marks, strict=True)], columns=["n_lines", "n_dropped", "kept"])
+        del text, marks
+        release()
 
 
 def dedup_lines(

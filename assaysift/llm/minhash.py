@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from assaysift.llm import words as W
 from assaysift.llm.graph import components
+from assaysift.llm.memory import giving_back
 from assaysift.session import reliable_checkpoint
 
 #: Documents and shingles that one side of a block holds at most on average.
@@ -104,7 +105,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, n: int, bands: int, rows
             )
 
     return docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text")).mapInArrow(
-        run, "doc long, n_shingles long, s1 long, s2 long, bands array<long>"
+        giving_back(run), "doc long, n_shingles long, s1 long, s2 long, bands array<long>"
     )
 
 
@@ -117,7 +118,7 @@ def shingle_sets(docs: DataFrame, n: int) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(at.astype(np.int32)), pa.array(grams.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, len(at) - 1), lists], ["doc", "shingles"])
 
-    return docs.select("doc", "text").mapInArrow(run, "doc long, shingles array<long>")
+    return docs.select("doc", "text").mapInArrow(giving_back(run), "doc long, shingles array<long>")
 
 
 def _forest(unit: pd.DataFrame, num: int, den: int) -> pd.DataFrame:
