@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from assaysift.llm.memory import release
+from assaysift.llm.memory import giving_back, release
 from assaysift.session import reliable_checkpoint
 
 #: Words of the broadcast table at most; with their ids they take about 12 MB.
@@ -143,9 +143,8 @@ def count_words(texts: DataFrame, spec) -> DataFrame:
                 if len(chunks) > _COUNTED:
                     yield flush()
         yield flush()
-        release()
 
-    return texts.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(giving_back(run), "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def encode_words(words: DataFrame, spec, kind: str) -> DataFrame:
@@ -158,9 +157,8 @@ def encode_words(words: DataFrame, spec, kind: str) -> DataFrame:
                 part = batch.slice(low, 2000)
                 ids = [x.astype(kind).tobytes() for x in encode(part.column(0).to_pylist())]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(ids, pa.binary())], ["word", "n", "ids"])
-        release()
 
-    return words.select("word", "n").mapInArrow(run, "word string, n long, ids binary")
+    return words.select("word", "n").mapInArrow(giving_back(run), "word string, n long, ids binary")
 
 
 def _head(table: DataFrame) -> tuple[str, bytes, bytes]:
@@ -183,12 +181,22 @@ def _head(table: DataFrame) -> tuple[str, bytes, bytes]:
     return "\n".join(rows.column("word").to_pylist()), b"".join(ids), np.array([len(x) for x in ids], "<u2").tobytes()
 
 
+def _forget_encoder() -> None:
+    """Free the vocabulary that a worker holds for encoding words, once these have been encoded."""
+    if _made.pop("encode", None) is not None:
+        release()
+
+
 def _head_table(head: tuple[str, bytes, bytes]) -> dict[str, bytes]:
-    _made.pop("encode", None)  # the words have been encoded by now
+    _forget_encoder()
     words, ids, lengths = head
-    ends = np.cumsum(np.frombuffer(lengths, "<u2"), dtype=np.int64)
-    begins = ends - np.frombuffer(lengths, "<u2")
-    return {w: ids[i:j] for w, i, j in zip(words.split("\n"), begins.tolist(), ends.tolist())} if words else {}
+    out: dict[str, bytes] = {}
+    if words:
+        at = 0
+        for word, n in zip(words.split("\n"), memoryview(lengths).cast("H"), strict=True):
+            out[word] = ids[at : at + n]
+            at += n
+    return out
 
 
 def _missing(splitter: Splitter, table: dict[str, bytes], text: str) -> list[str]:
@@ -225,15 +233,15 @@ def _other_words(texts: DataFrame, spec, head) -> DataFrame:
                     yield flush(batch.column(0))
                     rows, places, words = [], [], []
             yield flush(batch.column(0))
-        release()
 
-    return texts.select("key", "text").mapInArrow(run, "key long, place int, word string")
+    return texts.select("key", "text").mapInArrow(giving_back(run), "key long, place int, word string")
 
 
 def _packed(texts: DataFrame) -> DataFrame:
     """Return (key, doc, packed) with compressed texts, which are what is shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _forget_encoder()
         press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             for low in range(0, batch.num_rows, 1000):
@@ -242,7 +250,7 @@ def _packed(texts: DataFrame) -> DataFrame:
                 columns = [*part.columns[:2], pa.array(packed, pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "packed"])
 
-    return texts.select("key", "doc", "text").mapInArrow(run, "key long, doc long, packed binary")
+    return texts.select("key", "doc", "text").mapInArrow(giving_back(run), "key long, doc long, packed binary")
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -304,12 +312,10 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                         docs_, out, size = [], [], 0
             if docs_:
                 yield flush()
-        del known
         _made.clear()  # workers live on, perhaps for other work
-        release()
 
     joined = _packed(texts).join(other, "key", "left").select("doc", "packed", "ids")
-    return joined.mapInArrow(run, "doc_id long, ids array<int>")
+    return joined.mapInArrow(giving_back(run), "doc_id long, ids array<int>")
 
 
 def piece_table(path: str) -> list[str]:
@@ -345,7 +351,7 @@ def decode(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
                 text = [_lookup(table, x)[1] for x in part.column(1)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(text, pa.string())], ["doc_id", "ids", "decoded"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return encoded.select("doc_id", "ids").mapInArrow(giving_back(run), "doc_id long, ids array<int>, decoded string")
 
 
 def round_trip_digests(spark: SparkSession, encoded: DataFrame, path: str) -> DataFrame:
@@ -369,8 +375,7 @@ def round_trip_digests(spark: SparkSession, encoded: DataFrame, path: str) -> Da
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(one, pa.string()), pa.array(two, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
             )
-        release()
 
     return encoded.select("doc_id", "ids").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
+        giving_back(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     )
