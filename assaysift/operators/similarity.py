@@ -28,6 +28,9 @@ BROADCAST_SETS = 20_000
 BROADCAST_ELEMENTS = 8_000_000
 BLOCK_SETS = 4_096
 CHUNK_ROWS = 20_000
+#: Blocks per cluster that distance sums go up to before blocks grow, and the elements of a block at most.
+MOST_BLOCKS = 32
+BLOCK_ELEMENTS = 1_000_000
 
 
 def word_set(text: Column) -> Column:
@@ -212,57 +215,87 @@ def _as_sets(values: pa.Array) -> list[np.ndarray]:
     return [flat[a:b] for a, b in zip((at[:-1] - at[0]).tolist(), (at[1:] - at[0]).tolist(), strict=True)]
 
 
+def _block_counts(sets: DataFrame, block_sets: int | None = None) -> DataFrame:
+    """Return into how many blocks the sets of every code are dealt.
+
+    Blocks hold ``block_sets`` sets at least, and more rather than that there are over MOST_BLOCKS of them, so what their pairs
+    shuffle follows the input. Only at BLOCK_SETS * 4 sets, or BLOCK_ELEMENTS elements, a block is full.
+    """
+    least, most = float(block_sets or BLOCK_SETS), float(max(4 * BLOCK_SETS, block_sets or 0))
+    each = F.least(F.lit(most), F.greatest(F.lit(least), F.col("sets") / MOST_BLOCKS))
+    blocks = F.greatest(F.ceil(F.col("sets") / each), F.ceil(F.col("elements") / BLOCK_ELEMENTS)).cast("int")
+    counts = sets.groupBy("code").agg(F.count(F.lit(1)).alias("sets"), F.sum(F.size("set").cast("long")).alias("elements"))
+    return counts.select("code", blocks.alias("blocks"))
+
+
+def _sum_units(sets: DataFrame, block_sets: int | None = None) -> DataFrame:
+    """Return, per row of stored (code, sid, set, n), the sum of its distances to the n points of every set of its code.
+
+    The sets of a code are dealt into blocks, and every block is packed into one stored row. A unit of work is a pair of
+    blocks of the upper triangle: it counts each pair of sets once and adds its distance to both sides.
+    """
+    dealt = sets.join(_block_counts(sets, block_sets), "code").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")).cast("int"))
+    rows = dealt.groupBy("code", "block").agg(F.first("blocks").alias("blocks"), F.collect_list(F.struct("sid", "n", "set")).alias("r"))
+    packed = reliable_checkpoint(
+        rows.select("code", "block", "blocks", "r.sid", "r.n", F.transform("r", lambda x: x["set"]).alias("sets"))
+    )
+    # Each block meets itself and the blocks behind it; a block of its own stands for both sides.
+    columns = ["sid", "n", "sets"]
+    left = packed.select("code", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b"), F.lit(0).alias("side"), *columns)
+    right = packed.where("block > 0").select("code", F.explode(F.sequence(F.lit(0), F.col("block") - 1)).alias("a"), F.col("block").alias("b"), F.lit(1).alias("side"), *columns)
+    total = packed.agg(F.sum(F.col("blocks") - F.col("block"))).first()[0] or 1
+    # A number of tasks of its own: units take long for their bytes.
+    tasks = int(max(1, min(total, 8 * sets.sparkSession.sparkContext.defaultParallelism)))
+
+    def unit(table: pa.Table) -> pa.Table:
+        table = table.sort_by("side").combine_chunks()
+        keys, weights, members = [], [], []
+        for row in range(table.num_rows):
+            keys.append(table.column("sid").chunk(0)[row].values.to_numpy())
+            weights.append(table.column("n").chunk(0)[row].values.to_numpy().astype(np.float64))
+            members.append(_as_sets(table.column("sets").chunk(0)[row].values))
+        ours, theirs = members[0], members[-1]
+        one, two = np.zeros(len(ours)), np.zeros(len(theirs))
+        for at, similarity in SetIndex(theirs).tanimoto(ours):
+            gap = np.subtract(1.0, similarity, out=similarity)
+            one[at] = gap @ weights[-1]
+            if len(members) > 1:
+                two += weights[0][at] @ gap
+        sums = [one, two][: len(members)]
+        return pa.table({"sid": pa.array(np.concatenate(keys)), "total": pa.array(np.concatenate(sums))})
+
+    met = left.unionByName(right).repartition(tasks, "code", "a", "b")
+    parts = met.groupBy("code", "a", "b").applyInArrow(unit, "sid long, total double")
+    return parts.groupBy("sid").agg(F.sum("total").alias("total"))
+
+
+def _elements(set_column: str) -> Column:
+    """Return sets in one order, so that equal ones are equal as values; a missing one is empty."""
+    return F.array_sort(F.coalesce(col(set_column).cast("array<bigint>"), F.array().cast("array<bigint>")))
+
+
 def distance_sums(
     points: DataFrame, key: str, set_column: str, cluster: str | None = None, block_sets: int | None = None
 ) -> DataFrame:
     """Return, per point, the sum of its Tanimoto distances to all points (of its cluster).
 
-    The points of a cluster are dealt into blocks of about ``block_sets`` and every block is packed into one stored row. A
-    unit of work is a pair of blocks of the upper triangle: it counts each pair of points once and adds its distance to both
-    sides. One plan serves every size; only units, blocks and one sum per point and unit are shuffled. A missing cluster is a
-    value of its own, equal to another missing one; rows that repeat a key within a cluster add up to one row.
+    Equal sets of a cluster are compared once and count as often as they occur. One plan serves every size; only units, blocks
+    and one sum per set and unit are shuffled. A missing cluster is a value of its own, equal to another missing one; rows that
+    repeat a key within a cluster add up to one row.
     """
-    size = float(block_sets or BLOCK_SETS)
     p = points.select(
         col(key).alias("key"),
-        F.coalesce(col(set_column).cast("array<bigint>"), F.array().cast("array<bigint>")).alias("set"),
+        _elements(set_column).alias("set"),
         (col(cluster) if cluster else F.lit(0)).cast("int").alias("cluster"),
     )
-    kind = dict(p.dtypes)["key"]
     code = F.coalesce(F.col("cluster").cast("long"), F.lit(1 << 32)).alias("code")  # a missing one lies outside of int
-    counts = p.groupBy(code).agg(F.count(F.lit(1)).alias("n")).select("code", F.ceil(F.col("n") / size).cast("int").alias("blocks"))
-    digest = F.xxhash64("key", "set")
-    dealt = p.select("key", "set", code).join(counts, "code").withColumn("block", F.pmod(digest, F.col("blocks")).cast("int"))
-    packed = reliable_checkpoint(
-        dealt.groupBy("code", "block").agg(
-            F.first("blocks").alias("blocks"), F.collect_list(F.struct("key", "set")).alias("rows")
-        )
-    )
-    # Each block meets itself and the blocks behind it.
-    left = packed.select("code", F.col("block").alias("a"), F.explode(F.sequence(F.col("block"), F.col("blocks") - 1)).alias("b"), "rows")
-    right = packed.select("code", F.col("block").alias("b"), F.explode(F.sequence(F.lit(0), F.col("block"))).alias("a"), "rows")
-    met = left.toDF("code", "a", "b", "left").join(right.toDF("code", "b", "a", "right"), ["code", "a", "b"])
-
-    def unit(table: pa.Table) -> pa.Table:
-        table = table.combine_chunks()
-        code, a, b = (table.column(x)[0].as_py() for x in ("code", "a", "b"))
-        left, right = (table.column(x).chunk(0).flatten() for x in ("left", "right"))
-        ours, theirs = _as_sets(left.field("set")), _as_sets(right.field("set"))
-        one, two = np.zeros(len(ours)), np.zeros(len(theirs))
-        for at, similarity in SetIndex(theirs).tanimoto(ours):
-            gap = 1.0 - similarity
-            one[at] = gap.sum(axis=1)
-            two += gap.sum(axis=0)
-        keys, total = [left.field("key")], [one]
-        if a != b:
-            keys.append(right.field("key"))
-            total.append(two)
-        total = np.concatenate(total)
-        return pa.table({"code": pa.array(np.full(len(total), code)), "key": pa.concat_arrays(keys), "total": pa.array(total)})
-
-    parts = met.groupBy("code", "a", "b").applyInArrow(unit, f"code long, key {kind}, total double")
+    p = p.select("key", "set", code)
+    distinct = p.groupBy("code", "set").agg(F.count(F.lit(1)).alias("n"))
+    distinct = reliable_checkpoint(distinct.withColumn("sid", F.monotonically_increasing_id()))
+    sums = distinct.join(_sum_units(distinct, block_sets), "sid").select("code", "set", "total")
     back = F.when(F.col("code") < (1 << 32), F.col("code")).cast("int").alias("cluster")
-    return parts.groupBy("code", "key").agg(F.sum("total").alias("total")).select(col("key").alias(key), back, "total")
+    found = p.join(sums, ["code", "set"]).groupBy("code", "key").agg(F.sum("total").alias("total"))
+    return found.select(col("key").alias(key), back, "total")
 
 
 def _distance(elements: Column, other: Sequence[int]) -> Column:

@@ -119,6 +119,34 @@ def test_distance_sums_of_missing_clusters(spark, sets, some, monkeypatch):
             assert (r["cluster"], r["total"]) == (want[r["id"]][0], pytest.approx(want[r["id"]][1]))
 
 
+def test_small_blocks_of_many_sets_grow(spark):
+    """Blocks of two sets would need 245,350 pairs of blocks for 1,400 sets; a few hundred do."""
+    rng = np.random.default_rng(3)
+    sets = [sorted(rng.choice(40, 9, replace=False).tolist()) for _ in range(1_400)]
+    df = spark.createDataFrame(list(enumerate(sets)), "id long, bits array<bigint>")
+    stored = df.selectExpr("0L code", "id sid", "bits set", "1L n")
+    assert [r["blocks"] for r in similarity._block_counts(stored, 2).collect()] == [similarity.MOST_BLOCKS]
+    got = pdf(similarity.distance_sums(df, "id", "bits", block_sets=2), "id")
+    held = np.zeros((len(sets), 40))
+    for i, s in enumerate(sets):
+        held[i, s] = 1
+    common = held @ held.T
+    np.testing.assert_allclose(got["total"], (1 - common / (18 - common)).sum(1), rtol=1e-12)
+
+
+def test_full_blocks_are_cut(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "BLOCK_ELEMENTS", 50)
+    stored = spark.range(40).selectExpr("id % 2 code", "id sid", "array(id, id + 1, id + 2, id + 3, id + 4) set", "1L n")
+    assert [r["blocks"] for r in similarity._block_counts(stored).collect()] == [2, 2]
+
+
+def test_equal_sets_count_as_often_as_they_occur(spark):
+    rows = [(i, [3, 1] if i % 2 else [1, 3], i % 3) for i in range(30)] + [(30, [1], 0), (31, None, 0), (32, [], 0)]
+    got = pdf(similarity.distance_sums(spark.createDataFrame(rows, "id long, bits array<bigint>, label int"), "id", "bits", "label"), "id")
+    want = [0.5 + 2.0 if i % 3 == 0 else 0.0 for i in range(30)] + [5.0 + 2.0, 11.0, 11.0]
+    np.testing.assert_allclose(got["total"], want, rtol=1e-12)
+
+
 def test_flags_and_reasons(spark):
     rows = [("x", "a", 1, 0.2), ("x", "b", 0, 0.4), ("x", "c", 1, 0.9), ("y", "d", 1, None)]
     df = spark.createDataFrame(rows, "target_class string, id string, unseen_scaffold_flag int, nearest_labeled_tanimoto double")
