@@ -349,46 +349,53 @@ def k_medoids(
 
     The first medoid has the smallest total distance, each next one lies farthest from those chosen. Then clusters move
     to their best member until nothing changes or the cost stops falling. Every step stores each point's nearest medoid
-    and its distance, and the next one scores new medoids only. Only medoids reach the driver.
+    and its distance, and the next one scores new medoids only. Equal sets are one row until the end. Only medoids reach
+    the driver.
     """
     if max_iter <= 0:
         raise ValueError("max_iter must be positive")
-    sets = F.coalesce(col(set_column).cast("array<bigint>"), F.array().cast("array<bigint>"))
-    p = reliable_checkpoint(points.select(col(key).alias("key"), sets.alias("set")))
+    p = reliable_checkpoint(points.select(col(key).alias("key"), _elements(set_column).alias("set")))
     n = p.count()
     if not 1 <= n_clusters <= n:
         raise ValueError("n_clusters must be between 1 and the number of points")
-
-    def with_set(row) -> tuple:
-        return row["key"], row["set"]
-
-    totals = distance_sums(p, "key", "set", block_sets=block_sets)
-    first = totals.agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
-    medoids = [with_set(p.join(F.broadcast(first), "key").first())]
-    near = reliable_checkpoint(assign_to_medoids(p, "key", "set", medoids))
+    number = F.monotonically_increasing_id().alias("sid")
+    # Equal sets move together, led by their smallest key, unless a medoid has to be a copy of another one.
+    near = reliable_checkpoint(p.groupBy("set").agg(F.min("key").alias("key"), F.count(F.lit(1)).alias("n")).select("*", number))
+    together = near.count() >= n_clusters
+    if not together:
+        near = reliable_checkpoint(p.select("set", "key", F.lit(1).cast("long").alias("n"), number))
+
+    def centres(rows: DataFrame, cluster: Column) -> dict[int, tuple]:
+        """Return per cluster the set with the smallest total distance to its members."""
+        totals = _sum_units(rows.select(cluster.cast("long").alias("code"), "sid", "set", "n"), block_sets)
+        first = F.struct(F.round("total", 9), "key")
+        found = rows.withColumn("__cluster", cluster).join(totals, "sid").groupBy("__cluster").agg(F.min_by(F.struct("key", "set"), first).alias("m"))
+        return {r["__cluster"]: (r["m"]["key"], r["m"]["set"]) for r in found.collect()}
+
+    medoids = [centres(near, F.lit(0))[0]]
+    near = reliable_checkpoint(assign_to_medoids(near, "key", "set", medoids))
     while len(medoids) < n_clusters:
         chosen = [k for k, _ in medoids]
         far = near.where(~col("key").isin(chosen))
         best = far.agg(F.min_by(F.struct("key", "set"), F.struct(-col("distance"), "key")).alias("m")).first()["m"]
-        former, medoids = medoids, [*medoids, with_set(best)]
+        former, medoids = medoids, [*medoids, (best["key"], best["set"])]
         near = reliable_checkpoint(assign_to_medoids(near, "key", "set", medoids, former))
-    cost = near.agg(F.sum("distance")).first()[0]
+    cost = near.agg(F.sum(F.col("distance") * F.col("n"))).first()[0]
     for _ in range(max_iter):
-        inner = distance_sums(near, "key", "set", "cluster", block_sets)
-        centres = inner.groupBy("cluster").agg(F.min_by("key", F.struct(F.round("total", 9), "key")).alias("key"))
-        moved = {r["to"]: with_set(r) for r in p.join(F.broadcast(centres.withColumnRenamed("cluster", "to")), "key").collect()}
+        moved = centres(near, F.col("cluster"))
         # A cluster that lost all members keeps its medoid.
         candidate = [moved.get(i, m) for i, m in enumerate(medoids)]
         if [k for k, _ in candidate] == [k for k, _ in medoids]:
             break
         closer = reliable_checkpoint(assign_to_medoids(near, "key", "set", candidate, medoids))
-        new_cost = closer.agg(F.sum("distance")).first()[0]
+        new_cost = closer.agg(F.sum(F.col("distance") * F.col("n"))).first()[0]
         if new_cost >= cost:
             break
         medoids, cost, near = candidate, new_cost, closer
     # One row per cluster.
-    sizes = near.groupBy("cluster").agg(F.count(F.lit(1)).alias("chem_cluster_size"))
-    out = near.join(F.broadcast(sizes), "cluster")
+    sizes = near.groupBy("cluster").agg(F.sum("n").alias("chem_cluster_size"))
+    members = p.join(near.select("set", "cluster"), "set") if together else near
+    out = members.join(F.broadcast(sizes), "cluster")
     return out.select(
         col("key").alias(key), col("cluster").alias("chem_cluster_id"), "chem_cluster_size"
     ).orderBy("chem_cluster_id", key)

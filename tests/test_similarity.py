@@ -104,6 +104,23 @@ def test_k_medoids_matches_dense_matrix(spark, sets, blocks, monkeypatch):
         similarity.k_medoids(df, "id", "bits", 41)
 
 
+@pytest.mark.parametrize("copies", [4, 1])
+def test_k_medoids_of_copies(spark, copies, monkeypatch):
+    """Copies are compared once; only where clusters outnumber the sets they are points of their own."""
+    units, seen = similarity._sum_units, []
+    monkeypatch.setattr(similarity, "_sum_units", lambda rows, *a: seen.append(rows.count()) or units(rows, *a))
+    rng = np.random.default_rng(12)
+    own = [sorted(rng.choice(25, 7, replace=False).tolist()) for _ in range(15)] if copies == 4 else [[1, 2], [2, 3]]
+    sets = [list(reversed(own[i % len(own)])) if i % 2 else own[i % len(own)] for i in range(4 * len(own))]
+    d = np.array([[1 - similarity_of(a, b) for b in sets] for a in sets])
+    k = 4 if copies == 4 else 3
+    got = pdf(similarity.k_medoids(spark.createDataFrame(list(enumerate(sets)), "id long, bits array<bigint>"), "id", "bits", k), "id")
+    expected = brute_k_medoids(d, k)
+    np.testing.assert_array_equal(got["chem_cluster_id"], expected)
+    np.testing.assert_array_equal(got["chem_cluster_size"], np.bincount(expected)[expected])
+    assert set(seen) == {15 if copies == 4 else 8}
+
+
 @pytest.mark.parametrize("some", [True, False])
 def test_distance_sums_of_missing_clusters(spark, sets, some, monkeypatch):
     """A missing cluster is one value in both plans, also where no cluster is known."""
