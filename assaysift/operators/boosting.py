@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaysift.functions.numeric import col, number
+from assaysift.functions.ordering import prefix_totals
 from assaysift.session import reliable_checkpoint
 
 #: Bins per feature at most, without the one of missing values.
@@ -142,8 +143,8 @@ def predictions(models: Sequence[TreeModel]) -> Column:
 def feature_cuts(rows: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -> list[np.ndarray]:
     """Return the upper ends of each feature's bins.
 
-    A feature of up to ``max_bins`` distinct values has one bin per value; others are cut along quantiles, whose ranks are
-    off by a ten-thousandth of the rows at most.
+    A feature of up to ``max_bins`` distinct values has one bin per value; others are cut along exact quantiles, so equal
+    rows give equal cuts in whatever order tasks end.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,10 +170,17 @@ def feature_cuts(rows: DataFrame, features: Sequence[str], max_bins: int = MAX_B
         found[r["feature"]].append(r["value"])
     large = [i for i in range(len(features)) if i not in small]
     if large:
-        shares = [(k + 1) / max_bins for k in range(max_bins)]
-        row = rows.agg(*[F.percentile_approx(number(features[i]), shares, 10_000).alias(f"q{i}") for i in large]).first()
-        for i in large:
-            found[i] = row[f"q{i}"]
+        cells = F.array(*[F.struct(F.lit(i).alias("feature"), number(features[i]).alias("value")) for i in large])
+        values = rows.select(F.inline(cells)).where("value IS NOT NULL AND NOT isnan(value)")
+        totals = prefix_totals(values, ["feature"], ["value"])
+
+        def passed(n: Column) -> Column:
+            return F.floor(n * F.lit(max_bins) / F.col("n_total"))
+
+        # A value is a cut where a multiple of 1 / max_bins of the rows ends at it: at most max_bins values per feature.
+        ends = totals.where(passed(F.col("n_before") + F.col("n")) > passed(F.col("n_before")))
+        for r in ends.select("feature", "value").collect():
+            found[r["feature"]].append(r["value"])
     return [np.unique(np.array(found[i], dtype=float)) for i in range(len(features))]
 
 

@@ -144,3 +144,15 @@ def test_tree_trials_score_as_single_fits(spark, metric):
     found = tuning.score_tree_trials(df, "fold", NAMES, "y", trials, metric, {})
     single = [tuning.score_params(df, "fold", NAMES, "y", "xgboost", p, False, metric, {}) for p in trials]
     np.testing.assert_allclose(found, single, rtol=1e-9)
+
+
+def test_cuts_do_not_depend_on_how_rows_lie(spark):
+    """Bins of a feature of many values end at exact quantiles, however rows are dealt to tasks."""
+    n, bins = 60_000, 256
+    x = np.random.default_rng(4).normal(size=n).round(5)
+    df = spark.createDataFrame(pd.DataFrame({"x": np.append(x, np.nan), "few": np.arange(n + 1) % 7}))
+    want = np.unique(np.sort(x)[[-(-k * n // bins) - 1 for k in range(1, bins + 1)]])
+    for rows in (df, df.repartition(13, "x"), df.orderBy("x"), df.orderBy(F.hash("x")).coalesce(3)):
+        cuts = boosting.feature_cuts(rows, ["x", "few"], bins)
+        np.testing.assert_array_equal(cuts[0], want)
+        np.testing.assert_array_equal(cuts[1], np.arange(7.0))
