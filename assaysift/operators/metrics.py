@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assaysift.functions.numeric import col, finite, number
-from assaysift.functions.ordering import choose, pair_ranks, row_positions
+from assaysift.functions.ordering import attach_by_key, choose, pair_ranks, prefix_totals, row_positions
+from assaysift.session import reliable_checkpoint
 
 MAXIMISED = ("spearman", "r2")
 #: Metrics of errors and ranks alone, which need no order of predictions.
@@ -50,12 +51,45 @@ def with_pair_ranks(
 
 
 def correlations(df: DataFrame, group: Sequence[str], x: str, y: str, strategy: str = "auto") -> DataFrame:
-    """Return n, spearman and pearson per group over pairwise complete rows."""
-    ranked = with_pair_ranks(df, group, x, y, "__rx", "__ry", strategy)
-    return ranked.groupBy(*[col(g) for g in group]).agg(
-        F.count(F.lit(1)).alias("n"),
-        safe_corr(F.col("__rx"), F.col("__ry")).alias("spearman"),
-        safe_corr(F.col("__x"), F.col("__y")).alias("pearson"),
+    """Return n, spearman and pearson per group over pairwise complete rows.
+
+    Equal pairs collapse to one row with their number before anything is ordered, and ranks belong to values: those of a side
+    are found on its distinct values alone, then meet the distinct pairs.
+    """
+    if choose(df, strategy) == "window":
+        ranked = with_pair_ranks(df, group, x, y, "__rx", "__ry", strategy)
+        return ranked.groupBy(*[col(g) for g in group]).agg(
+            F.count(F.lit(1)).alias("n"),
+            safe_corr(F.col("__rx"), F.col("__ry")).alias("spearman"),
+            safe_corr(F.col("__x"), F.col("__y")).alias("pearson"),
+        )
+    keys = [col(g) for g in group]
+    sides = {"__x": "__rx", "__y": "__ry"}
+    complete = df.select(*keys, finite(x).alias("__x"), finite(y).alias("__y")).where("__x IS NOT NULL AND __y IS NOT NULL")
+    pairs = reliable_checkpoint(complete.groupBy(*keys, "__x", "__y").agg(F.count(F.lit(1)).alias("__n")))
+    ranked = pairs
+    for side, rank in sides.items():
+        values = pairs.groupBy(*keys, side).agg(F.sum("__n").alias("__w"), F.count(F.lit(1)).alias("__pairs"))
+        totals = prefix_totals(values, group, [side], {"__w": F.col("__w"), "__sum": F.col("__w") * F.col(side), "__pairs": F.col("__pairs")})
+        # Both centred: ranks run from half the group's rows below zero to half above it.
+        centred = [
+            (F.col("__w_before") + (F.col("__w") - F.col("__w_total")) / F.lit(2.0)).alias(rank),
+            (F.col(side) - F.col("__sum_total") / F.col("__w_total")).alias(f"{side}_off"),
+        ]
+        lookup = reliable_checkpoint(totals.select(*keys, side, *centred, "__pairs"))
+        ranked = attach_by_key(ranked, lookup, [*group, side], "__pairs").drop("__pairs")
+    pair_sum = {
+        f"{a}{b}": F.sum(F.col(a) * F.col(b) * F.col("__n"))
+        for a, b in (("__rx", "__rx"), ("__ry", "__ry"), ("__rx", "__ry"), ("__x_off", "__x_off"), ("__y_off", "__y_off"), ("__x_off", "__y_off"))
+    }
+    varied = (pair_sum["__rx__rx"] > 0) & (pair_sum["__ry__ry"] > 0)
+
+    def correlation(a: str, b: str) -> Column:
+        spread = F.sqrt(pair_sum[a + a]) * F.sqrt(pair_sum[b + b])
+        return F.when(varied, F.try_divide(pair_sum[a + b], spread))
+
+    return ranked.groupBy(*keys).agg(
+        F.sum("__n").alias("n"), correlation("__rx", "__ry").alias("spearman"), correlation("__x_off", "__y_off").alias("pearson")
     )
 
 
