@@ -110,9 +110,13 @@ def store(spark: SparkSession, sf: str) -> features.FeatureStore:
     return features.FeatureStore(predictions(spark, sf), "na", registry.class_targets("na"))
 
 
-def oof_rows(spark: SparkSession, sf: str) -> DataFrame:
+def _rank_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return features.rank_summary(features.method_table(predictions(spark, sf), scores=False))
+
+
+def oof_rows(spark: SparkSession, sf: str, summary: DataFrame | None = None) -> DataFrame:
     """Stand-in held-out predictions: labels against a line in the consensus rank."""
-    summary = features.rank_summary(features.method_table(predictions(spark, sf), scores=False))
+    summary = _rank_summary(spark, sf) if summary is None else summary
     rows = labels(spark, sf).select("id", "target", "label_pkd").join(summary, ["id", "target"])
     rows = rows.withColumn("pred_mean", F.lit(1.0) + F.col("consensus_123_rank") * F.lit(4.0))
     rows = rows.withColumn("pred_err", F.col("method_rank_range") * F.lit(2.0))
@@ -120,9 +124,9 @@ def oof_rows(spark: SparkSession, sf: str) -> DataFrame:
     return oof.add_prediction_columns(rows)
 
 
-def final_rows(spark: SparkSession, sf: str) -> DataFrame:
+def final_rows(spark: SparkSession, sf: str, summary: DataFrame | None = None) -> DataFrame:
     """Stand-in final predictions for every complete key."""
-    summary = features.rank_summary(features.method_table(predictions(spark, sf), scores=False))
+    summary = _rank_summary(spark, sf) if summary is None else summary
     flagged = keys.flag_overlap(summary, labels(spark, sf), ["id", "target"], registry.OVERLAP)
     return flagged.select(
         F.lit("na").alias("dataset_label"),
@@ -701,8 +705,8 @@ def oof_triplets(spark, sf, strategy="auto"):
     return pairs.oof_triplets(oof_rows(spark, sf), _members(), strategy)
 
 
-def final_triplets(spark, sf):
-    return pairs.final_triplets(final_rows(spark, sf), _members())
+def final_triplets(spark, sf, summary=None):
+    return pairs.final_triplets(final_rows(spark, sf, summary), _members())
 
 
 def unassayed_profile(spark, sf, strategy="auto"):
@@ -711,8 +715,10 @@ def unassayed_profile(spark, sf, strategy="auto"):
 
 
 def pair_summary(spark, sf):
-    rows = reliable_checkpoint(oof_rows(spark, sf))
-    made = [pairs.target_pairs(rows, _members()), pairs.oof_triplets(rows, _members()), final_triplets(spark, sf)]
+    # Held-out and final rows read the same ranks of all predictions.
+    summary = reliable_checkpoint(_rank_summary(spark, sf))
+    rows = reliable_checkpoint(oof_rows(spark, sf, summary))
+    made = [pairs.target_pairs(rows, _members()), pairs.oof_triplets(rows, _members()), final_triplets(spark, sf, summary)]
     out = pairs.pair_summary(rows, *[reliable_checkpoint(m) for m in made], _members())
     return _rounded(out, ["spearman", "mae"])
 

@@ -1,9 +1,11 @@
 import numpy as np
 import pandas as pd
 import pytest
+from conftest import SF
 
 from assaysift.functions import ordering
-from assaysift.operators import metrics
+from assaysift.operators import features, metrics
+from assaysift.plans import catalog
 
 
 def _expected(frame):
@@ -46,3 +48,9 @@ def test_correlations_order_distinct_values_alone(spark, grouped, copy_rows, mon
         for name, value in zip(("spearman", "pearson"), both, strict=True):
             assert row[name] == (None if value is None else pytest.approx(value, abs=1e-9)), (row, name)
     assert placed and max(placed) <= 60
+
+
+def test_pair_summary_ranks_predictions_once(spark, monkeypatch):
+    made, ranked = features.rank_summary, []
+    monkeypatch.setattr(features, "rank_summary", lambda *a, **k: ranked.append(1) or made(*a, **k))
+    assert catalog.pair_summary(spark, SF).count() and len(ranked) == 1
