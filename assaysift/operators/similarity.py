@@ -170,10 +170,15 @@ def nearest_labelled(
     )
 
 
+def _parts(sets: DataFrame, rows: int) -> int:
+    """Return into how many parts sets are cut, so that neither their rows nor their elements outgrow a task."""
+    size = sets.agg(F.count(F.lit(1)).alias("n"), F.sum(F.greatest(F.size("set"), F.lit(0)).cast("long")).alias("e")).first()
+    return max(1, ceil(size["n"] / rows), ceil((size["e"] or 0) / BLOCK_ELEMENTS))
+
+
 def _nearest_by_blocks(q: DataFrame, r: DataFrame, schema: str, order: list[str]) -> DataFrame:
     """Meet every query chunk with every block of references once and keep the best partial result per query."""
-    blocks = max(1, ceil(r.count() / BLOCK_SETS))
-    chunks = max(1, ceil(q.count() / CHUNK_ROWS))
+    blocks, chunks = _parts(r, BLOCK_SETS), _parts(q, CHUNK_ROWS)
     digest = F.xxhash64("group", "id", "target")
     rows = q.withColumn("chunk", F.pmod(digest, F.lit(chunks)).cast("int")).withColumn(
         "block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))

@@ -47,6 +47,17 @@ def test_nearest_labelled(spark, sets, blocks, monkeypatch):
         assert row["nearest_labeled_same_target_id"] == best[0]
 
 
+def test_long_sets_are_cut_by_elements(spark, monkeypatch):
+    """A task's rows are bounded by their elements, not by their number alone."""
+    sizes, nearest = spark.sparkContext.accumulator(0), similarity._nearest
+    monkeypatch.setattr(similarity, "BLOCK_ELEMENTS", 300)
+    monkeypatch.setattr(similarity, "_nearest", lambda rows, refs, index: sizes.add(1) or nearest(rows, refs, index))
+    rows = spark.range(40).selectExpr("'x' target_class", "id", "'t' target", "sequence(id, id + 49) bits")
+    found = similarity.nearest_labelled(rows, rows.where("id % 20 = 0"), "bits", force_blocks=True)
+    assert [r["nearest_labeled_id"] for r in found.orderBy("id").collect()] == [0] * 11 + [20] * 29
+    assert sizes.value >= 4
+
+
 def test_missing_groups_and_targets_match_themselves(spark):
     schema = "target_class string, id string, target string, bits array<bigint>"
     q = [(None, "a", "t", [1, 2]), ("x", "b", None, [3]), ("y", "c", "t", [1])]
