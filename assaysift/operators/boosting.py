@@ -1,6 +1,7 @@
 """Second-order boosted trees by histograms, many fits per pass.
 
-Features are cut into bins once and the binned rows are stored. Every level of every tree of a batch of fits is then one
+Features are cut into bins once and the binned rows are stored in blocks: one record holds some thousand rows as packed
+arrays, so a pass over them costs Spark next to nothing per row. Every level of every tree of a batch of fits is then one
 job: tasks add gradients and curvatures per (fit, node, feature, bin), Spark combines these sums and finds the best split of
 each node by prefix sums over its bins, and only one row per node reaches the driver. Fits differ by parameters, by the fold
 that they leave out and by the resample whose weights they use, so trials, folds and ensemble members grow together.
@@ -21,8 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assaysift.functions.numeric import col, number
-from assaysift.functions.ordering import prefix_totals
-from assaysift.session import reliable_checkpoint
+from assaysift.session import drop_checkpoint, reliable_checkpoint
 
 #: Bins per feature at most, without the one of missing values.
 MAX_BINS = 256
@@ -32,7 +32,12 @@ KEEP_TREES = 32
 MAX_CELLS = 1 << 22
 #: Gains below it count as none.
 LEAST_GAIN = 1e-6
-_MISSING = -1
+#: Rows and bytes of a stored block at most.
+BLOCK_ROWS, BLOCK_BYTES = 1 << 14, 1 << 20
+#: Counters that one pass of the search for quantiles may bring to the driver, and rows of which it lists values instead.
+MAX_COUNTERS, LISTED_ROWS = 1 << 20, 1 << 17
+#: Of the stored blocks, so that neither writers nor readers hold more than a few of them at once.
+_WRITING = {"parquet.block.size": 1 << 24, "parquet.block.size.row.check.min": 10, "parquet.page.size.row.check.min": 10}
 _DEFAULTS = {
     "n_estimators": 100,
     "max_depth": 6,
@@ -73,15 +78,40 @@ class Tree:
         n = 2 ** (depth + 1) - 1
         return cls(np.full(n, -1), np.zeros(n, np.int64), np.zeros(n, bool), np.zeros(n), np.zeros(n))
 
-    def nodes(self, bins: np.ndarray) -> np.ndarray:
-        """Return the node that every row of a matrix of bins ends in."""
-        node, rows = np.zeros(len(bins), np.int64), np.arange(len(bins))
-        for _ in range(len(self.feature).bit_length() - 1):
-            feature = self.feature[node]
-            found = bins[rows, np.maximum(feature, 0)]
-            left = np.where(found == _MISSING, self.missing_left[node], found <= self.bin[node])
-            node = np.where(feature < 0, node, 2 * node + 2 - left)
-        return node
+
+class _Walk:
+    """A tree's levels, prepared to be walked by many rows at once; a leaf above the last level ends in both its places there."""
+
+    def __init__(self, tree: Tree) -> None:
+        self.steps, self.values, self.alive = [], tree.value[:1], np.ones(1, bool)
+        for level in range(len(tree.feature).bit_length() - 1):
+            own, below = slice(2**level - 1, 2 ** (level + 1) - 1), slice(2 ** (level + 1) - 1, 2 ** (level + 2) - 1)
+            feature = tree.feature[own]
+            if (feature < 0).all():
+                break
+            self.steps.append((np.maximum(feature, 0).astype(np.intp), (tree.bin[own] + 1).astype(np.uint16), tree.missing_left[own]))
+            self.alive = np.repeat(feature >= 0, 2)
+            self.values = np.where(self.alive, tree.value[below], np.repeat(self.values, 2))
+
+    def places(self, codes: np.ndarray, missing: bool) -> np.ndarray:
+        """Return the place on the last level that every row ends in; ``missing`` tells whether any code is 0."""
+        rows = codes.shape[1]
+        place, at, flat = np.zeros(rows, np.intp), None, codes.reshape(-1)
+        for level, (feature, limit, left) in enumerate(self.steps):
+            if (feature == feature[0]).all():
+                code = codes[feature[0]]
+            else:
+                at = np.arange(rows) if at is None else at
+                code = flat.take((feature * rows).take(place) + at)
+            right = code > (limit.take(place) if level else limit[0])
+            if missing:
+                right |= (code == 0) & ~(left.take(place) if level else left[0])
+            place *= 2
+            place += right
+        return place
+
+    def add_to(self, margin: np.ndarray, codes: np.ndarray, missing: bool) -> None:
+        margin += self.values.take(self.places(codes, missing)) if self.steps else self.values[0]
 
 
 @dataclass
@@ -93,19 +123,28 @@ class TreeModel:
     base: float
     trees: list[Tree] = field(default_factory=list)
 
-    def score(self, bins: np.ndarray) -> np.ndarray:
-        out = np.full(len(bins), self.base)
-        for tree in self.trees:
-            out += tree.value[tree.nodes(bins)]
-        return out
+    def scorer(self):
+        """Return a function from codes, and whether any is 0, to predictions."""
+        base, walks = self.base, [_Walk(t) for t in self.trees]
+
+        def score(codes: np.ndarray, missing: bool) -> np.ndarray:
+            out = np.full(codes.shape[1], base)
+            for walk in walks:
+                walk.add_to(out, codes, missing)
+            return out
+
+        return score
 
     def transform(self, df: DataFrame, out: str) -> DataFrame:
-        return df.withColumn(out, F.get(predictions([self]), 0))
+        cuts, score = self.cuts, self.scorer()
 
+        @F.arrow_udf(T.DoubleType())
+        def scored(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+            for own in columns:
+                codes = coded([np.asarray(c) for c in own[1:]], cuts, len(own[0]))
+                yield pa.array(score(codes, not codes.all()))
 
-def _matrix(column: pa.Array, width: int) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return np.asarray(column.flatten(), dtype=np.float64).reshape(-1, width)
+        return df.withColumn(out, scored(F.lit(0.0), *_inputs(self.features)))
 
 
 def _lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
@@ -114,30 +153,174 @@ def _lists(matrix: np.ndarray, kind: pa.DataType) -> pa.Array:
     return pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(matrix).reshape(-1), kind))
 
 
-def _inputs(features: Sequence[str]) -> Column:
-    """Return the features as an array of doubles with NaN for missing values."""
-    return F.array(*[F.coalesce(number(f), F.lit(float("nan"))) for f in features])
+def _inputs(features: Sequence[str]) -> list[Column]:
+    """Return the features as doubles with NaN for missing values."""
+    return [F.coalesce(number(f), F.lit(float("nan"))) for f in features]
 
 
-def binned(values: np.ndarray, cuts: Sequence[np.ndarray]) -> np.ndarray:
-    """Return the bin of every value: the number of cuts below it, or that of missing values."""
-    out = np.empty(values.shape, np.int16)
-    for i, own in enumerate(cuts):
-        out[:, i] = np.where(np.isnan(values[:, i]), _MISSING, np.searchsorted(own, values[:, i], "left"))
+def coded(values: Sequence[np.ndarray], cuts: Sequence[np.ndarray], rows: int) -> np.ndarray:
+    """Return a row per feature: one more than the number of cuts below each value, 0 for missing values."""
+    out = np.zeros((len(cuts), rows), np.uint16)
+    for own, ends, column in zip(out, cuts, values, strict=True):
+        own[:] = np.searchsorted(ends, column, "left") + 1
+        own[np.isnan(column)] = 0
     return out
 
 
 def predictions(models: Sequence[TreeModel]) -> Column:
     """Return the predictions of models with the same features and cuts, as an array."""
-    features, cuts = models[0].features, models[0].cuts
+    cuts, scores = models[0].cuts, [m.scorer() for m in models]
 
     @F.arrow_udf(T.ArrayType(T.DoubleType()))
-    def score(columns: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for column in columns:
-            bins = binned(_matrix(column, len(features)), cuts)
-            yield _lists(np.stack([m.score(bins) for m in models], axis=1), pa.float64())
+    def score(columns: Iterator[tuple[pa.Array, ...]]) -> Iterator[pa.Array]:
+        for own in columns:
+            codes = coded([np.asarray(c) for c in own[1:]], cuts, len(own[0]))
+            missing = not codes.all()
+            yield _lists(np.stack([f(codes, missing) for f in scores], axis=1), pa.float64())
+
+    # The constant tells the number of rows where there are no features.
+    return score(F.lit(0.0), *_inputs(models[0].features))
+
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """Return unsigned numbers in the order of the values, NaN last; both zeros are one."""
+    bits = np.add(values, 0.0).view(np.int64)
+    bits ^= (bits >> 63) & np.int64((1 << 63) - 1)
+    return bits.view(np.uint64) ^ np.uint64(1 << 63)
+
+
+def _from_ordered(keys: np.ndarray) -> np.ndarray:
+    """Return the values of ``_ordered`` numbers."""
+    bits = (np.asarray(keys, np.uint64) ^ np.uint64(1 << 63)).view(np.int64)
+    return (bits ^ ((bits >> 63) & np.int64((1 << 63) - 1))).view(np.float64)
+
+
+class _Cells:
+    """A feature's quantiles, searched by cutting the cells that hold them into ever smaller ones.
+
+    Cells are ranges of 2 ** ``shift`` ordered numbers from ``starts`` on, with ``before`` rows below each; all lie in the
+    cells of the first pass marked in ``hit``.
+    """
+
+    def __init__(self, low: float, high: float, bits: int, max_bins: int) -> None:
+        self.low, high = (int(x) for x in _ordered(np.array([low, high])))
+        self.max_bins, self.fine = max_bins, max(1, bits - max(max_bins - 1, 1).bit_length())
+        self.span = high - self.low
+        self.first = self.shift = max(0, self.span.bit_length() - bits)
+        self.hit = np.append(np.ones((self.span >> self.shift) + 1, bool), False)
+        self.starts = self.before = self.total = None
+        self.listing = self.done = False
+        self.values = np.zeros(0)
+
+    def counters(self) -> int:
+        return len(self.hit) if self.starts is None else len(self.starts) << min(self.fine, self.shift)
+
+    def step(self) -> int:
+        """Return the shift of the cells that are counted next."""
+        return self.shift if self.starts is None else max(0, self.shift - self.fine)
+
+    def numbers(self, keys: np.ndarray) -> np.ndarray:
+        """Return the counters that ordered numbers add to, or the numbers in question if they are listed."""
+        off = keys - np.uint64(self.low)
+        # Only missing values lie above the largest one.
+        coarse = np.where(off <= np.uint64(self.span), off >> np.uint64(self.first), np.uint64(len(self.hit) - 1)).astype(np.intp)
+        if self.starts is None:
+            return coarse[coarse < len(self.hit) - 1]
+        keys = keys[self.hit.take(coarse)]
+        cell = np.searchsorted(self.starts, keys, "right") - 1
+        off = keys - self.starts.take(np.maximum(cell, 0))
+        inside = (cell >= 0) & (off >> np.uint64(self.shift) == 0)
+        if self.listing:
+            return keys[inside]
+        wide = self.shift - self.step()
+        return (cell[inside] << wide) | (off[inside] >> np.uint64(self.step())).astype(np.intp)
+
+    def take(self, number: np.ndarray, n: np.ndarray) -> None:
+        """Go on to the cells that hold quantiles, given the counters that are not 0, in order."""
+        if self.listing:
+            starts = number.view(np.uint64)
+            step, cell = 0, np.searchsorted(self.starts, starts, "right") - 1
+        elif self.starts is None:
+            step, cell, self.total = self.shift, np.zeros(len(number), np.intp), int(n.sum())
+            starts = (number.astype(np.uint64) << np.uint64(step)) + np.uint64(self.low)
+        else:
+            step = self.step()
+            wide = self.shift - step
+            cell = number >> wide
+            starts = self.starts[cell] + ((number - (cell << wide)).astype(np.uint64) << np.uint64(step))
+        up_to = np.cumsum(n)
+        before = up_to - n
+        if self.before is not None:
+            # Counts start anew in every cell of the pass before.
+            before = before - before[np.searchsorted(cell, cell, "left")] + self.before[cell]
+        # A quantile lies where a multiple of 1 / max_bins of the rows ends: in at most max_bins cells.
+        held = (before + n) * self.max_bins // self.total > before * self.max_bins // self.total
+        self.starts, self.before, self.shift = starts[held], before[held], step
+        if self.shift == 0:
+            self.done, self.values = True, _from_ordered(self.starts)
+            return
+        self.hit[:] = False
+        self.hit[((self.starts - np.uint64(self.low)) >> np.uint64(self.first)).astype(np.intp)] = True
+        self.listing = int(n[held].sum()) <= LISTED_ROWS
+
+
+def _quantiles(values: DataFrame, ends: Mapping[int, tuple[float, float]], max_bins: int) -> dict[int, np.ndarray]:
+    """Return the exact quantiles of the columns of ``values``, given the smallest and largest of each."""
+    order = list(ends)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * len(order))))
+        for batch in batches:
+            for at in range(0, batch.num_rows, size):
+                keys = np.stack([_ordered(np.asarray(c)) for c in batch.slice(at, size).columns])
+                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], ["keys"])
+
+    stored = reliable_checkpoint(values.mapInArrow(pack, "keys binary"), **_WRITING)
+    bits = max(10, min(16, (MAX_COUNTERS // len(order)).bit_length() - 1))
+    cells = {f: _Cells(low, high, bits, max_bins) for f, (low, high) in ends.items()}
+    while open_ := {f: c for f, c in cells.items() if not c.done}:
+
+        def count(batches: Iterator[pa.RecordBatch], open_=open_) -> Iterator[pa.RecordBatch]:
+            sums = {f: np.zeros(0 if c.listing else c.counters(), np.int64) for f, c in open_.items()}
+            waiting: dict[int, list[np.ndarray]] = {f: [] for f in open_}
+            listed: dict[int, list[np.ndarray]] = {f: [] for f in open_}
+
+            def add(f: int) -> None:
+                found = np.concatenate(waiting[f])
+                if open_[f].listing:
+                    listed[f].append(found)
+                else:
+                    sums[f] += np.bincount(found, minlength=len(sums[f]))
+                waiting[f] = []
 
-    return score(_inputs(features))
+            for batch in batches:
+                for record in batch.column(0):
+                    block = np.frombuffer(record.as_buffer(), np.uint64).reshape(len(order), -1)
+                    for f, c in open_.items():
+                        waiting[f].append(c.numbers(block[order.index(f)]))
+                        if sum(map(len, waiting[f])) > len(sums[f]) or len(waiting[f]) > 99:
+                            add(f)
+            for f, c in open_.items():
+                if waiting[f]:
+                    add(f)
+                if c.listing:
+                    number_of, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *listed[f]]), return_counts=True)
+                else:
+                    number_of = np.flatnonzero(sums[f])
+                    n = sums[f][number_of]
+                columns = [np.full(len(n), f, np.int32), number_of.view(np.int64), n.astype(np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "number", "n"])
+
+        # At most MAX_COUNTERS counters, or 1,024 a feature, and LISTED_ROWS values a feature reach the driver.
+        parts = stored.mapInArrow(count, "feature int, number long, n long")
+        found = parts.groupBy("feature", "number").agg(F.sum("n").alias("n")).toArrow()
+        feature, number_of, n = (np.asarray(found.column(c)) for c in ("feature", "number", "n"))
+        for f, c in open_.items():
+            own = np.flatnonzero(feature == f)
+            own = own[np.argsort(number_of[own].view(np.uint64), kind="stable")]
+            c.take(number_of[own], n[own])
+    drop_checkpoint(stored)
+    return {f: c.values for f, c in cells.items()}
 
 
 def feature_cuts(rows: DataFrame, features: Sequence[str], max_bins: int = MAX_BINS) -> list[np.ndarray]:
@@ -148,47 +331,47 @@ def feature_cuts(rows: DataFrame, features: Sequence[str], max_bins: int = MAX_B
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = [np.zeros(0) for _ in features]
+        seen, ends = [np.zeros(0) for _ in features], [np.zeros(0) for _ in features]
         for batch in batches:
-            values = _matrix(batch.column(0), len(features))
-            for i, own in enumerate(seen):
-                if len(own) <= max_bins:
-                    column = values[:, i]
-                    seen[i] = np.unique(np.concatenate((own, column[~np.isnan(column)])))[: max_bins + 1]
-        at = np.repeat(np.arange(len(seen)), [len(x) for x in seen])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(np.concatenate(seen), pa.float64())], ["feature", "value"])
+            for i, values in enumerate(batch.columns):
+                column = np.asarray(values) + 0.0
+                column = column[~np.isnan(column)]
+                if not len(column):
+                    continue
+                ends[i] = np.array([min([column.min(), *ends[i]]), max([column.max(), *ends[i]])])
+                if len(seen[i]) <= max_bins:
+                    at = np.searchsorted(seen[i], column)
+                    known = seen[i].take(at, mode="clip") == column if len(seen[i]) else np.zeros(len(column), bool)
+                    if not known.all():
+                        seen[i] = np.unique(np.concatenate((seen[i], column[~known])))[: max_bins + 1]
+        for of_ends, found in ((False, seen), (True, ends)):
+            at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(found)), pa.array(np.full(len(at), of_ends))], ["feature", "value", "of_ends"])
 
     if not features:
         return []
-    # At most max_bins + 1 values per feature and task arrive here.
-    distinct = rows.select(_inputs(features).alias("x")).mapInArrow(run, "feature int, value double").distinct()
-    few = distinct.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.min("value").alias("low"))
-    counts = {r["feature"]: r["n"] for r in few.collect()}
-    small = [i for i in range(len(features)) if counts.get(i, 0) <= max_bins]
+    named = [x.alias(f"x{i}") for i, x in enumerate(_inputs(features))]
+    # At most max_bins + 3 values per feature and task arrive here.
+    distinct = reliable_checkpoint(rows.select(*named).mapInArrow(run, "feature int, value double, of_ends boolean").distinct())
+    few = distinct.groupBy("feature").agg(F.count_if(~F.col("of_ends")).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
+    ends = {r["feature"]: (r["low"], r["high"]) for r in few.where(F.col("n") > max_bins).collect()}
+    small = distinct.where(~F.col("of_ends") & ~F.col("feature").isin(list(ends)))
     found: dict[int, list[float]] = {i: [] for i in range(len(features))}
-    for r in distinct.filter(F.col("feature").isin(small)).collect() if small else []:
+    for r in small.collect():
         found[r["feature"]].append(r["value"])
-    large = [i for i in range(len(features)) if i not in small]
-    if large:
-        cells = F.array(*[F.struct(F.lit(i).alias("feature"), number(features[i]).alias("value")) for i in large])
-        values = rows.select(F.inline(cells)).where("value IS NOT NULL AND NOT isnan(value)")
-        totals = prefix_totals(values, ["feature"], ["value"])
-
-        def passed(n: Column) -> Column:
-            return F.floor(n * F.lit(max_bins) / F.col("n_total"))
-
-        # A value is a cut where a multiple of 1 / max_bins of the rows ends at it: at most max_bins values per feature.
-        ends = totals.where(passed(F.col("n_before") + F.col("n")) > passed(F.col("n_before")))
-        for r in ends.select("feature", "value").collect():
-            found[r["feature"]].append(r["value"])
-    return [np.unique(np.array(found[i], dtype=float)) for i in range(len(features))]
+    drop_checkpoint(distinct)
+    large = _quantiles(rows.select(*[named[i] for i in sorted(ends)]), {i: ends[i] for i in sorted(ends)}, max_bins) if ends else {}
+    return [large[i] if i in large else np.unique(np.array(found[i], dtype=float)) for i in range(len(features))]
 
 
 def _uniform(rows: np.ndarray, seed: int, tree: int) -> np.ndarray:
     """Return a number from [0, 1) per row that depends on its number, the seed and the tree alone."""
-    x = rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64((seed * 1_000_003 + tree * 7_919 + 1) % (1 << 64))
+    x = rows.astype(np.uint64)
+    x *= np.uint64(0x9E3779B97F4A7C15)
+    x += np.uint64((seed * 1_000_003 + tree * 7_919 + 1) % (1 << 64))
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+        x ^= x >> np.uint64(shift)
+        x *= np.uint64(factor)
     return ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
 
 
@@ -204,6 +387,40 @@ def _chosen_features(fit: TreeFit, tree: int, n: int) -> list[int]:
 _HISTOGRAM = "fit int, node int, feature int, bin int, g double, h double"
 
 
+#: Columns of a stored block besides its number of rows; those that no fit needs are empty.
+_PACKED = (("row", np.int64), ("codes", np.uint16), ("y", np.float64), ("code", np.int32), ("w", np.float64), ("pred", np.float64))
+_STORED = "n int, " + ", ".join(f"{name} binary" for name, _ in _PACKED)
+
+
+@dataclass
+class _Block:
+    """Some stored rows, as arrays."""
+
+    codes: np.ndarray
+    missing: bool
+    y: np.ndarray
+    row: np.ndarray
+    code: np.ndarray
+    w: np.ndarray
+    pred: np.ndarray
+
+
+def _blocks(batch: pa.RecordBatch, n_features: int) -> Iterator[_Block]:
+    """Read the records of a stored table."""
+    for k in range(batch.num_rows):
+        n = batch.column(0)[k].as_py()
+        row, codes, y, code, w, pred = (np.frombuffer(c[k].as_buffer() or b"", kind) for c, (_, kind) in zip(batch.columns[1:], _PACKED, strict=True))
+        # Row numbers without gaps are stored by the first.
+        row = row[0] + np.arange(n) if len(row) == 1 else row
+        codes = codes.reshape(n_features, n)
+        yield _Block(codes, not codes.all(), y, row, code, w.reshape(-1, n), pred.reshape(-1, n))
+
+
+def _record(n: int, arrays: Sequence[np.ndarray]) -> pa.RecordBatch:
+    packed = [pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary()) for x, (_, kind) in zip(arrays, _PACKED, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *packed], ["n", *[name for name, _ in _PACKED]])
+
+
 class _Batch:
     """The fits that grow together and the stored rows that they read."""
 
@@ -214,102 +431,133 @@ class _Batch:
         code = F.lit(-1)
         for i, value in enumerate(self.folds):
             code = F.when(col(fold).eqNullSafe(F.lit(value)), i).otherwise(code)
+        self.replicates = sorted({f.replicate for f in fits if f.replicate is not None})
+        n_fits, folds, n_weights, n_features = len(self.fits), bool(self.folds), len(self.replicates), len(cuts)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            nothing = np.zeros(0)
             for batch in batches:
-                bins = _lists(binned(_matrix(batch.column(1), len(cuts)), cuts), pa.int16())
-                yield pa.RecordBatch.from_arrays([batch.column(0), bins, *batch.columns[2:]], ["row", "bins", "y", "code", "w"])
-
-        weight = col(weights).cast("array<double>") if weights else F.array().cast("array<double>")
+                if not batch.num_rows:
+                    continue
+                row, y, code, *more = (np.asarray(c) for c in batch.columns)
+                w, values = more[:n_weights], more[n_weights:]
+                codes = coded(values, cuts, len(y))
+                size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (2 * n_features + 8 * (3 + n_weights + n_fits))))
+                for at in range(0, len(y), size):
+                    to = slice(at, at + size)
+                    own = row[to]
+                    gaps = own[-1] - own[0] != len(own) - 1
+                    yield _record(len(own), [own if gaps else own[:1], codes[:, to], y[to], code[to] if folds else nothing, [x[to] for x in w], nothing])
+
+        # Columns of plain numbers, as arrays are slow to hand over. A row without a weight counts for nothing.
+        named = [F.coalesce(F.get(col(weights).cast("array<double>"), r), F.lit(0.0)).alias(f"w{r}") for r in self.replicates]
+        named += [x.alias(f"x{i}") for i, x in enumerate(_inputs(features))]
         plain = rows.select(
-            F.monotonically_increasing_id().alias("row"), _inputs(features).alias("x"), number(label).alias("y"), code.cast("int").alias("code"), weight.alias("w")
+            F.monotonically_increasing_id().alias("row"), number(label).alias("y"), code.cast("int").alias("code"), *named
         ).filter("y is not null")
-        stored = plain.mapInArrow(run, "row long, bins array<smallint>, y double, code int, w array<double>")
-        self.table = reliable_checkpoint(stored.withColumn("pred", F.array().cast("array<double>")))
+        self.table = reliable_checkpoint(plain.mapInArrow(run, _STORED), **_WRITING)
         self.models = [TreeModel(self.features, cuts, 0.0) for _ in fits]
         self._set_bases()
         self.kept = 0
 
     def _set_bases(self) -> None:
-        replicates = sorted({f.replicate for f in self.fits if f.replicate is not None})
-        sums = [F.sum("y").alias("y"), F.count("y").alias("n")]
-        for r in replicates:
-            w = F.get("w", r)
-            sums += [F.sum(w * F.col("y")).alias(f"y{r}"), F.sum(w).alias(f"n{r}")]
-        per_fold = {r["code"]: r for r in self.table.groupBy("code").agg(*sums).collect()}
+        n_features, n_codes, replicates = len(self.features), len(self.folds) + 1, [-1, *self.replicates]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            sums = np.zeros((2, len(replicates), n_codes))
+            for batch in batches:
+                for block in _blocks(batch, n_features):
+                    code = block.code.astype(np.intp) + 1 if n_codes > 1 else np.zeros(len(block.y), np.intp)
+                    for k, w in enumerate((np.ones(len(block.y)), *block.w)):
+                        sums[0, k] += np.bincount(code, w * block.y, n_codes)
+                        sums[1, k] += np.bincount(code, w, n_codes)
+            replicate, code = (x.reshape(-1).astype(np.int32) for x in np.meshgrid(replicates, np.arange(n_codes) - 1, indexing="ij"))
+            columns = [replicate, code, sums[0].reshape(-1), sums[1].reshape(-1)]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["replicate", "code", "y", "n"])
+
+        parts = self.table.mapInArrow(run, "replicate int, code int, y double, n double")
+        totals = parts.groupBy("replicate", "code").agg(F.sum("y").alias("y"), F.sum("n").alias("n")).collect()
         for fit, model in zip(self.fits, self.models, strict=True):
-            tail = "" if fit.replicate is None else str(fit.replicate)
-            used = [r for code, r in per_fold.items() if fit.held_out is None or code != self.folds.index(fit.held_out)]
-            n = sum(r[f"n{tail}"] or 0 for r in used)
-            model.base = sum(r[f"y{tail}"] or 0.0 for r in used) / n if n else 0.0
-
-    def _reader(self):
-        """Return a function from a record batch to its bins, labels, row numbers, and per fit weights and margins."""
-        fits, folds, models, kept = self.fits, self.folds, self.models, self.kept
-        bases, pending = [m.base for m in models], [m.trees[kept:] for m in models]
-
-        def read(batch: pa.RecordBatch):
-            bins = np.asarray(batch.column(1).flatten(), dtype=np.int64).reshape(batch.num_rows, -1)
-            code, y, row = np.asarray(batch.column(3)), np.asarray(batch.column(2)), np.asarray(batch.column(0))
-            weighted = any(f.replicate is not None for f in fits)
-            weights = np.asarray(batch.column(4).flatten()).reshape(batch.num_rows, -1) if weighted else None
-            stored = np.asarray(batch.column(5).flatten()).reshape(batch.num_rows, -1) if kept and batch.num_rows else None
-
-            def of(i: int) -> tuple[np.ndarray, np.ndarray]:
-                weight = np.ones(len(y)) if fits[i].replicate is None else weights[:, fits[i].replicate].copy()
-                if fits[i].held_out is not None:
-                    weight[code == folds.index(fits[i].held_out)] = 0
-                margin = np.full(len(y), bases[i]) if stored is None else stored[:, i].copy()
-                for tree in pending[i]:
-                    margin += tree.value[tree.nodes(bins)]
-                return weight, margin
-
-            return bins, y, row, of
-
-        return read
+            own = [r for r in totals if r["replicate"] == (-1 if fit.replicate is None else fit.replicate)]
+            used = sorted((r["code"], r) for r in own if fit.held_out is None or r["code"] != self.folds.index(fit.held_out))
+            n = sum(r["n"] for _, r in used)
+            model.base = sum(r["y"] for _, r in used) / n if n else 0.0
+
+    def _margins(self, chosen: Sequence[int]):
+        """Return a function from a block and one of the chosen fits to its margins."""
+        bases = {i: self.models[i].base for i in chosen}
+        walks = {i: [_Walk(t) for t in self.models[i].trees[self.kept :]] for i in chosen}
+
+        def margin(block: _Block, i: int) -> np.ndarray:
+            out = block.pred[i].copy() if len(block.pred) else np.full(len(block.y), bases[i])
+            for walk in walks[i]:
+                walk.add_to(out, block.codes, block.missing)
+            return out
+
+        return margin
 
     def keep(self) -> None:
         """Store the predictions so far with the rows."""
-        read, n = self._reader(), len(self.fits)
+        n, n_features = len(self.fits), len(self.features)
+        margin = self._margins(range(n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                of = read(batch)[3]
-                pred = np.stack([of(i)[1] for i in range(n)], axis=1)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:5], _lists(pred, pa.float64())], batch.schema.names)
-
-        columns = self.table.select("row", "bins", "y", "code", "w", "pred")
-        self.table = reliable_checkpoint(columns.mapInArrow(run, "row long, bins array<smallint>, y double, code int, w array<double>, pred array<double>"))
+                for k, block in enumerate(_blocks(batch, n_features)):
+                    pred = np.stack([margin(block, i) for i in range(n)])
+                    own = batch.slice(k, 1)
+                    yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array([pred.tobytes()], pa.binary())], own.schema.names)
+
+        old = self.table
+        self.table = reliable_checkpoint(old.mapInArrow(run, _STORED), **_WRITING)
+        drop_checkpoint(old)
         self.kept = max(len(m.trees) for m in self.models)
 
     def splits(self, growing: dict[int, Tree], level: int, number_of: int) -> list:
         """Return the best split of every node of a level: one row per (fit, node) with its sums and gain."""
-        read, fits = self._reader(), self.fits
+        fits, margin = self.fits, self._margins(list(growing))
         n, width = len(self.features), max((len(c) for c in self.cuts), default=0) + 2
         first, count = 2**level - 1, 2**level
         allowed = {i: _chosen_features(fits[i], number_of, n) for i in growing}
+        walks = {i: _Walk(t) for i, t in growing.items()}
+        weight_of = {i: None if fits[i].replicate is None else self.replicates.index(fits[i].replicate) for i in growing}
+        left_out = {i: None if fits[i].held_out is None else self.folds.index(fits[i].held_out) for i in growing}
+        # Rows that are not used, or in a leaf above, go to a node of their own.
+        nodes = {i: np.where(w.alive, np.arange(count), count) for i, w in walks.items()}
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = {i: np.zeros((2, len(allowed[i]), count * width)) for i in growing}
+
+            def used(block: _Block, i: int, drawn: dict) -> tuple[np.ndarray | None, np.ndarray | None]:
+                """Return which rows count and their weights, None for all and for ones."""
+                weight = None if weight_of[i] is None else block.w[weight_of[i]]
+                by = [] if weight is None else [weight > 0]
+                if left_out[i] is not None:
+                    by.append(block.code != left_out[i])
+                share, seed = fits[i].get("subsample"), int(fits[i].get("random_state"))
+                if share < 1:
+                    if seed not in drawn:
+                        drawn[seed] = _uniform(block.row, seed, number_of)
+                    by.append(drawn[seed] < share)
+                return (np.logical_and.reduce(by) if by else None), weight
+
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                bins, y, row, of = read(batch)
-                for i, tree in growing.items():
-                    weight, margin = of(i)
-                    share = fits[i].get("subsample")
-                    if share < 1:
-                        weight[_uniform(row, int(fits[i].get("random_state")), number_of) >= share] = 0
-                    node = tree.nodes(bins) - first
-                    used = np.flatnonzero((weight > 0) & (node >= 0))
-                    h = weight[used]
-                    g = h * (margin[used] - y[used])
-                    for place, f in enumerate(allowed[i]):
-                        cell = node[used] * width + bins[used, f] + 1
-                        sums[i][0, place] += np.bincount(cell, g, count * width)
-                        sums[i][1, place] += np.bincount(cell, h, count * width)
+                for block in _blocks(batch, n):
+                    drawn: dict[int, np.ndarray] = {}
+                    for i in growing:
+                        counted, weight = used(block, i, drawn)
+                        g = margin(block, i)
+                        g -= block.y
+                        if weight is not None:
+                            g *= weight
+                        node = nodes[i].take(walks[i].places(block.codes, block.missing))
+                        if counted is not None:
+                            node[~counted] = count
+                        node *= width
+                        for place, f in enumerate(allowed[i]):
+                            cell = node + block.codes[f]
+                            for k, x in enumerate((g, weight)):
+                                sums[i][k, place] += np.bincount(cell, x, (count + 1) * width)[: count * width]
             for i, (g, h) in sums.items():
                 place, cell = np.nonzero(h)
                 columns = [np.full(len(place), i), cell // width + first, np.array(allowed[i], np.int64)[place], cell % width - 1]
@@ -318,9 +566,8 @@ class _Batch:
                     ["fit", "node", "feature", "bin", "g", "h"],
                 )
 
-        columns = self.table.select("row", "bins", "y", "code", "w", "pred")
         # Tasks have combined their own rows; one exchange by (fit, node, feature) serves the sums and the prefix sums.
-        parts = columns.mapInArrow(run, _HISTOGRAM).repartition("fit", "node", "feature")
+        parts = self.table.mapInArrow(run, _HISTOGRAM).repartition("fit", "node", "feature")
         cells = parts.groupBy("fit", "node", "feature", "bin").agg(F.sum("g").alias("g"), F.sum("h").alias("h"))
         return best_splits(cells, self.fits).collect()
 
@@ -353,6 +600,7 @@ class _Batch:
                     # Fits that are done wait with trees of nothing, so all have the same number.
                     self.models[i].trees += [Tree.empty(0)] * (number_of + 1 - len(self.models[i].trees))
                 self.keep()
+        drop_checkpoint(self.table)
         return self.models
 
 

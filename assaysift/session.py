@@ -57,16 +57,24 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return found
 
 
-def reliable_checkpoint(df: DataFrame) -> DataFrame:
+def reliable_checkpoint(df: DataFrame, **options: object) -> DataFrame:
     """Cut the lineage of ``df`` by a table written to shared storage.
 
     Lost executors only re-read files. Being a Parquet table, it is pruned by column on every re-read, and its size is
-    known to the optimiser.
+    known to the optimiser. ``options`` go to the writer.
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.options(**options).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found._assaysift_path = path
+    return found
+
+
+def drop_checkpoint(df: DataFrame) -> None:
+    """Delete the table that ``reliable_checkpoint`` wrote for ``df``; frames defined on it become unreadable."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._assaysift_path)
+    path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def drop_checkpoints(spark: SparkSession) -> None:

@@ -156,3 +156,55 @@ def test_cuts_do_not_depend_on_how_rows_lie(spark):
         cuts = boosting.feature_cuts(rows, ["x", "few"], bins)
         np.testing.assert_array_equal(cuts[0], want)
         np.testing.assert_array_equal(cuts[1], np.arange(7.0))
+
+
+def test_passes_read_blocks_and_leave_nothing_behind(spark, monkeypatch):
+    """A pass over the rows hands Spark a record per thousands of rows; what a fit has stored goes with it."""
+    n, stored, keep = 20_000, [], boosting.reliable_checkpoint
+
+    def counted(df, **options):
+        stored.append(keep(df, **options))
+        sizes.append(stored[-1].count())
+        return stored[-1]
+
+    sizes: list[int] = []
+    monkeypatch.setattr(boosting, "reliable_checkpoint", counted)
+    monkeypatch.setattr(boosting, "KEEP_TREES", 1)
+    rng = np.random.default_rng(6)
+    x, w = rng.integers(0, 900, n).astype(float), rng.integers(0, 3, n).astype(float)
+    y = np.where(x < 300, 1.0, 5.0) + rng.normal(size=n)
+    frame = pd.DataFrame({"x": x, "y": y, "w": [[None if k % 7 == 0 else v, None] for k, v in enumerate(w)]})
+    df = spark.createDataFrame(frame, "x double, y double, w array<double>").repartition(3)
+    params = {"n_estimators": 2, "max_depth": 1, "learning_rate": 1.0, "reg_lambda": 0.0}
+    plain, weighted = boosting.fit_many(df, ["x"], "y", [boosting.TreeFit(params), boosting.TreeFit(params, None, 0)], None, "w", 30)
+    assert sizes and max(sizes) < n / 50
+    for weight, model in ((np.ones(n), plain), (np.where(np.arange(n) % 7 == 0, 0.0, w), weighted)):
+        tree, cut = model.trees[0], model.cuts[0][model.trees[0].bin[0]]
+        base = (weight * y).sum() / weight.sum()
+        assert abs(cut - 300) < 31 and abs(model.base - base) < 1e-9
+        left = (weight * y)[x <= cut].sum() / weight[x <= cut].sum()
+        assert abs(base + tree.value[1] - left) < 1e-9
+    for table in stored:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table._assaysift_path)
+        assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
+@pytest.mark.parametrize("listed", [0, 200])
+def test_quantiles_of_odd_values_are_exact(spark, monkeypatch, listed):
+    """Cells are cut down to single values, or to few rows that are listed, whatever the values' range and repeats."""
+    monkeypatch.setattr(boosting, "LISTED_ROWS", listed)
+    monkeypatch.setattr(boosting, "MAX_COUNTERS", 1 << 10)
+    rng, bins = np.random.default_rng(9), 16
+    wide = rng.normal(size=3000) * 10.0 ** rng.integers(-300, 300, 3000)
+    odd = [np.inf, -np.inf, -0.0, 0.0, 5e-324, -5e-324, 1.7976931348623157e308, np.nan, np.nan]
+    columns = {
+        "wide": np.r_[wide, np.full(900, 7.25), odd, np.zeros(1091)],
+        "near": 1.0 + np.arange(5000) * 2.0**-52,
+        "most": np.where(rng.random(5000) < 0.9, -0.0, rng.normal(size=5000)),
+        "few": np.arange(5000) % 16 - 0.5,
+    }
+    df = spark.createDataFrame(pd.DataFrame(columns)).repartition(4)
+    for name, cuts in zip(columns, boosting.feature_cuts(df, list(columns), bins), strict=True):
+        known = np.sort(columns[name][~np.isnan(columns[name])])
+        ends = known[[-(-k * len(known) // bins) - 1 for k in range(1, bins + 1)]]
+        np.testing.assert_array_equal(cuts, np.unique(known if name == "few" else ends))
