@@ -1,10 +1,11 @@
 """Second-order boosted trees by histograms, many fits per pass.
 
-Features are cut into bins once and the binned rows are stored in blocks: one record holds some thousand rows as packed
-arrays, so a pass over them costs Spark next to nothing per row. Every level of every tree of a batch of fits is then one
-job: tasks add gradients and curvatures per (fit, node, feature, bin), Spark combines these sums and finds the best split of
-each node by prefix sums over its bins, and only one row per node reaches the driver. Fits differ by parameters, by the fold
-that they leave out and by the resample whose weights they use, so trials, folds and ensemble members grow together.
+Rows are read once and stored in blocks: one record holds some thousand rows as packed arrays, so a pass over them costs
+Spark next to nothing per row. Features are cut into bins once and the binned rows are stored alike. Every level of every
+tree of a batch of fits is then one job: tasks add gradients and curvatures per (fit, node, feature, bin), Spark combines
+these sums and finds the best split of each node by prefix sums over its bins, and only one row per node reaches the driver.
+Fits differ by parameters, by the fold that they leave out and by the resample whose weights they use, so trials, folds and
+ensemble members grow together.
 
 The loss is the squared error. Leaves and gains take L1 and L2 penalties; missing values go to the side where they gain more.
 """
@@ -17,6 +18,7 @@ from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -264,19 +266,56 @@ class _Cells:
         self.listing = int(n[held].sum()) <= LISTED_ROWS
 
 
-def _quantiles(values: DataFrame, ends: Mapping[int, tuple[float, float]], max_bins: int) -> dict[int, np.ndarray]:
-    """Return the exact quantiles of the columns of ``values``, given the smallest and largest of each."""
-    order = list(ends)
+#: Arrays of a block, of a number per row or several; those that no fit needs are empty, as are predictions before the first.
+_KINDS = {"row": np.int64, "x": np.float64, "codes": np.uint16, "y": np.float64, "code": np.int32, "w": np.float64, "pred": np.float64}
+_RAW, _BINNED = ("row", "x", "y", "code", "w"), ("row", "codes", "y", "code", "w", "pred")
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * len(order))))
+
+def _schema(names: Sequence[str]) -> str:
+    return "n int, " + ", ".join(f"{name} binary" for name in names)
+
+
+def _record(names: Sequence[str], n: int, arrays: Sequence[Any]) -> pa.RecordBatch:
+    packed = [pa.array([np.ascontiguousarray(x, _KINDS[name]).tobytes()], pa.binary()) for name, x in zip(names, arrays, strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *packed], ["n", *names])
+
+
+def _arrays(batch: pa.RecordBatch, names: Sequence[str]) -> Iterator[dict[str, np.ndarray]]:
+    """Read the records of a stored table; arrays of several numbers per row have a row for each."""
+    for k in range(batch.num_rows):
+        n = batch.column(0)[k].as_py()
+        found = {name: np.frombuffer(c[k].as_buffer() or b"", _KINDS[name]) for name, c in zip(names, batch.columns[1:], strict=True)}
+        if len(found["row"]) == 1:
+            # Row numbers without gaps are stored by the first.
+            found["row"] = found["row"][0] + np.arange(n)
+        yield found | {name: x.reshape(-1, n) for name, x in found.items() if name in ("x", "codes", "w", "pred")}
+
+
+def _raw_blocks(rows: DataFrame, features: Sequence[str], more: Sequence[Column] = (), folds: bool = False) -> DataFrame:
+    """Store the features, and more columns: the label, the code of the fold if there are folds, and weights."""
+    n_features, n_more = len(features), len(more)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (8 * (n_features + n_more + 1))))
+        nothing = np.zeros(0)
+        # The numbers that monotonically_increasing_id would give.
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
             for at in range(0, batch.num_rows, size):
-                keys = np.stack([_ordered(np.asarray(c)) for c in batch.slice(at, size).columns])
-                yield pa.RecordBatch.from_arrays([pa.array([keys.tobytes()], pa.binary())], ["keys"])
+                part = batch.slice(at, size)
+                columns = [np.asarray(c) for c in part.columns]
+                x, (y, *w) = columns[:n_features], columns[n_features:] or [nothing]
+                code = w.pop(0) if folds else nothing
+                yield _record(_RAW, len(columns[0]), [[row], x, y, code, w])
+                row += len(columns[0])
 
-    stored = reliable_checkpoint(values.mapInArrow(pack, "keys binary"), **_WRITING)
-    bits = max(10, min(16, (MAX_COUNTERS // len(order)).bit_length() - 1))
+    named = [x.alias(f"c{i}") for i, x in enumerate([*_inputs(features), *more])]
+    return reliable_checkpoint(rows.select(*named).mapInArrow(run, _schema(_RAW)), **_WRITING)
+
+
+def _quantiles(raw: DataFrame, ends: Mapping[int, tuple[float, float]], max_bins: int) -> dict[int, np.ndarray]:
+    """Return the exact quantiles of the features numbered in ``ends``, given the smallest and largest value of each."""
+    bits = max(10, min(16, (MAX_COUNTERS // len(ends)).bit_length() - 1))
     cells = {f: _Cells(low, high, bits, max_bins) for f, (low, high) in ends.items()}
     while open_ := {f: c for f, c in cells.items() if not c.done}:
 
@@ -294,10 +333,9 @@ def _quantiles(values: DataFrame, ends: Mapping[int, tuple[float, float]], max_b
                 waiting[f] = []
 
             for batch in batches:
-                for record in batch.column(0):
-                    block = np.frombuffer(record.as_buffer(), np.uint64).reshape(len(order), -1)
+                for block in _arrays(batch, _RAW):
                     for f, c in open_.items():
-                        waiting[f].append(c.numbers(block[order.index(f)]))
+                        waiting[f].append(c.numbers(_ordered(block["x"][f])))
                         if sum(map(len, waiting[f])) > len(sums[f]) or len(waiting[f]) > 99:
                             add(f)
             for f, c in open_.items():
@@ -312,14 +350,13 @@ def _quantiles(values: DataFrame, ends: Mapping[int, tuple[float, float]], max_b
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], ["feature", "number", "n"])
 
         # At most MAX_COUNTERS counters, or 1,024 a feature, and LISTED_ROWS values a feature reach the driver.
-        parts = stored.mapInArrow(count, "feature int, number long, n long")
+        parts = raw.mapInArrow(count, "feature int, number long, n long")
         found = parts.groupBy("feature", "number").agg(F.sum("n").alias("n")).toArrow()
         feature, number_of, n = (np.asarray(found.column(c)) for c in ("feature", "number", "n"))
         for f, c in open_.items():
             own = np.flatnonzero(feature == f)
             own = own[np.argsort(number_of[own].view(np.uint64), kind="stable")]
             c.take(number_of[own], n[own])
-    drop_checkpoint(stored)
     return {f: c.values for f, c in cells.items()}
 
 
@@ -329,39 +366,45 @@ def feature_cuts(rows: DataFrame, features: Sequence[str], max_bins: int = MAX_B
     A feature of up to ``max_bins`` distinct values has one bin per value; others are cut along exact quantiles, so equal
     rows give equal cuts in whatever order tasks end.
     """
+    if not features:
+        return []
+    raw = _raw_blocks(rows, features)
+    cuts = _cuts(raw, len(features), max_bins)
+    drop_checkpoint(raw)
+    return cuts
+
 
+def _cuts(raw: DataFrame, n_features: int, max_bins: int) -> list[np.ndarray]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen, ends = [np.zeros(0) for _ in features], [np.zeros(0) for _ in features]
-        for batch in batches:
-            for i, values in enumerate(batch.columns):
-                column = np.asarray(values) + 0.0
-                column = column[~np.isnan(column)]
-                if not len(column):
-                    continue
-                ends[i] = np.array([min([column.min(), *ends[i]]), max([column.max(), *ends[i]])])
-                if len(seen[i]) <= max_bins:
-                    at = np.searchsorted(seen[i], column)
-                    known = seen[i].take(at, mode="clip") == column if len(seen[i]) else np.zeros(len(column), bool)
-                    if not known.all():
-                        seen[i] = np.unique(np.concatenate((seen[i], column[~known])))[: max_bins + 1]
+        seen, ends = [np.zeros(0)] * n_features, [np.zeros(0)] * n_features
+        for i, values in ((i, x) for batch in batches for block in _arrays(batch, _RAW) for i, x in enumerate(block["x"])):
+            column = values + 0.0
+            column = column[~np.isnan(column)]
+            if not len(column):
+                continue
+            ends[i] = np.array([min([column.min(), *ends[i]]), max([column.max(), *ends[i]])])
+            if len(seen[i]) <= max_bins:
+                at = np.searchsorted(seen[i], column)
+                known = seen[i].take(at, mode="clip") == column if len(seen[i]) else np.zeros(len(column), bool)
+                if not known.all():
+                    seen[i] = np.unique(np.concatenate((seen[i], column[~known])))[: max_bins + 1]
         for of_ends, found in ((False, seen), (True, ends)):
             at = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.concatenate(found)), pa.array(np.full(len(at), of_ends))], ["feature", "value", "of_ends"])
 
-    if not features:
+    if not n_features:
         return []
-    named = [x.alias(f"x{i}") for i, x in enumerate(_inputs(features))]
     # At most max_bins + 3 values per feature and task arrive here.
-    distinct = reliable_checkpoint(rows.select(*named).mapInArrow(run, "feature int, value double, of_ends boolean").distinct())
+    distinct = reliable_checkpoint(raw.mapInArrow(run, "feature int, value double, of_ends boolean").distinct())
     few = distinct.groupBy("feature").agg(F.count_if(~F.col("of_ends")).alias("n"), F.min("value").alias("low"), F.max("value").alias("high"))
     ends = {r["feature"]: (r["low"], r["high"]) for r in few.where(F.col("n") > max_bins).collect()}
     small = distinct.where(~F.col("of_ends") & ~F.col("feature").isin(list(ends)))
-    found: dict[int, list[float]] = {i: [] for i in range(len(features))}
+    found: dict[int, list[float]] = {i: [] for i in range(n_features)}
     for r in small.collect():
         found[r["feature"]].append(r["value"])
     drop_checkpoint(distinct)
-    large = _quantiles(rows.select(*[named[i] for i in sorted(ends)]), {i: ends[i] for i in sorted(ends)}, max_bins) if ends else {}
-    return [large[i] if i in large else np.unique(np.array(found[i], dtype=float)) for i in range(len(features))]
+    large = _quantiles(raw, ends, max_bins) if ends else {}
+    return [large[i] if i in large else np.unique(np.array(found[i], dtype=float)) for i in range(n_features)]
 
 
 def _uniform(rows: np.ndarray, seed: int, tree: int) -> np.ndarray:
@@ -387,86 +430,47 @@ def _chosen_features(fit: TreeFit, tree: int, n: int) -> list[int]:
 _HISTOGRAM = "fit int, node int, feature int, bin int, g double, h double"
 
 
-#: Columns of a stored block besides its number of rows; those that no fit needs are empty.
-_PACKED = (("row", np.int64), ("codes", np.uint16), ("y", np.float64), ("code", np.int32), ("w", np.float64), ("pred", np.float64))
-_STORED = "n int, " + ", ".join(f"{name} binary" for name, _ in _PACKED)
-
-
-@dataclass
 class _Block:
     """Some stored rows, as arrays."""
 
-    codes: np.ndarray
-    missing: bool
-    y: np.ndarray
-    row: np.ndarray
-    code: np.ndarray
-    w: np.ndarray
-    pred: np.ndarray
-
-
-def _blocks(batch: pa.RecordBatch, n_features: int) -> Iterator[_Block]:
-    """Read the records of a stored table."""
-    for k in range(batch.num_rows):
-        n = batch.column(0)[k].as_py()
-        row, codes, y, code, w, pred = (np.frombuffer(c[k].as_buffer() or b"", kind) for c, (_, kind) in zip(batch.columns[1:], _PACKED, strict=True))
-        # Row numbers without gaps are stored by the first.
-        row = row[0] + np.arange(n) if len(row) == 1 else row
-        codes = codes.reshape(n_features, n)
-        yield _Block(codes, not codes.all(), y, row, code, w.reshape(-1, n), pred.reshape(-1, n))
-
-
-def _record(n: int, arrays: Sequence[np.ndarray]) -> pa.RecordBatch:
-    packed = [pa.array([np.ascontiguousarray(x, kind).tobytes()], pa.binary()) for x, (_, kind) in zip(arrays, _PACKED, strict=True)]
-    return pa.RecordBatch.from_arrays([pa.array([n], pa.int32()), *packed], ["n", *[name for name, _ in _PACKED]])
+    def __init__(self, arrays: Mapping[str, np.ndarray]) -> None:
+        self.codes, self.y, self.row, self.code, self.w, self.pred = (arrays[x] for x in ("codes", "y", "row", "code", "w", "pred"))
+        self.missing = not self.codes.all()
 
 
 class _Batch:
     """The fits that grow together and the stored rows that they read."""
 
-    def __init__(self, rows: DataFrame, features: Sequence[str], label: str, cuts: list[np.ndarray], fits: Sequence[TreeFit],
-                 fold: str | None, weights: str | None) -> None:
-        self.features, self.cuts, self.fits = tuple(features), cuts, list(fits)
-        self.folds = list(dict.fromkeys(f.held_out for f in fits if f.held_out is not None))
-        code = F.lit(-1)
-        for i, value in enumerate(self.folds):
-            code = F.when(col(fold).eqNullSafe(F.lit(value)), i).otherwise(code)
-        self.replicates = sorted({f.replicate for f in fits if f.replicate is not None})
-        n_fits, folds, n_weights, n_features = len(self.fits), bool(self.folds), len(self.replicates), len(cuts)
+    def __init__(self, raw: DataFrame, features: Sequence[str], cuts: list[np.ndarray], fits: Sequence[TreeFit],
+                 folds: Sequence[Any], replicates: Sequence[int]) -> None:
+        self.features, self.cuts, self.fits, self.folds, self.replicates = tuple(features), cuts, list(fits), folds, replicates
+        per_row = 2 * len(cuts) + 8 * (3 + len(replicates) + len(fits))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            nothing = np.zeros(0)
+            size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // per_row))
             for batch in batches:
-                if not batch.num_rows:
-                    continue
-                row, y, code, *more = (np.asarray(c) for c in batch.columns)
-                w, values = more[:n_weights], more[n_weights:]
-                codes = coded(values, cuts, len(y))
-                size = max(1, min(BLOCK_ROWS, BLOCK_BYTES // (2 * n_features + 8 * (3 + n_weights + n_fits))))
-                for at in range(0, len(y), size):
-                    to = slice(at, at + size)
-                    own = row[to]
-                    gaps = own[-1] - own[0] != len(own) - 1
-                    yield _record(len(own), [own if gaps else own[:1], codes[:, to], y[to], code[to] if folds else nothing, [x[to] for x in w], nothing])
-
-        # Columns of plain numbers, as arrays are slow to hand over. A row without a weight counts for nothing.
-        named = [F.coalesce(F.get(col(weights).cast("array<double>"), r), F.lit(0.0)).alias(f"w{r}") for r in self.replicates]
-        named += [x.alias(f"x{i}") for i, x in enumerate(_inputs(features))]
-        plain = rows.select(
-            F.monotonically_increasing_id().alias("row"), number(label).alias("y"), code.cast("int").alias("code"), *named
-        ).filter("y is not null")
-        self.table = reliable_checkpoint(plain.mapInArrow(run, _STORED), **_WRITING)
+                for block in _arrays(batch, _RAW):
+                    used = np.flatnonzero(~np.isnan(block["y"]))
+                    for at in range(0, len(used), size):
+                        own = used[at : at + size]
+                        row, x, y, code, w = (block[name] for name in _RAW)
+                        own_rows = row[own]
+                        gaps = own_rows[-1] - own_rows[0] != len(own) - 1
+                        codes = coded([c[own] for c in x], cuts, len(own))
+                        yield _record(_BINNED, len(own), [own_rows if gaps else own_rows[:1], codes, y[own], code[own] if len(code) else code, w[:, own], []])
+
+        self.table = reliable_checkpoint(raw.mapInArrow(run, _schema(_BINNED)), **_WRITING)
         self.models = [TreeModel(self.features, cuts, 0.0) for _ in fits]
         self._set_bases()
         self.kept = 0
 
     def _set_bases(self) -> None:
-        n_features, n_codes, replicates = len(self.features), len(self.folds) + 1, [-1, *self.replicates]
+        n_codes, replicates = len(self.folds) + 1, [-1, *self.replicates]
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             sums = np.zeros((2, len(replicates), n_codes))
             for batch in batches:
-                for block in _blocks(batch, n_features):
+                for block in map(_Block, _arrays(batch, _BINNED)):
                     code = block.code.astype(np.intp) + 1 if n_codes > 1 else np.zeros(len(block.y), np.intp)
                     for k, w in enumerate((np.ones(len(block.y)), *block.w)):
                         sums[0, k] += np.bincount(code, w * block.y, n_codes)
@@ -498,18 +502,18 @@ class _Batch:
 
     def keep(self) -> None:
         """Store the predictions so far with the rows."""
-        n, n_features = len(self.fits), len(self.features)
+        n = len(self.fits)
         margin = self._margins(range(n))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for k, block in enumerate(_blocks(batch, n_features)):
-                    pred = np.stack([margin(block, i) for i in range(n)])
+                for k, arrays in enumerate(_arrays(batch, _BINNED)):
+                    pred = np.stack([margin(_Block(arrays), i) for i in range(n)])
                     own = batch.slice(k, 1)
                     yield pa.RecordBatch.from_arrays([*own.columns[:-1], pa.array([pred.tobytes()], pa.binary())], own.schema.names)
 
         old = self.table
-        self.table = reliable_checkpoint(old.mapInArrow(run, _STORED), **_WRITING)
+        self.table = reliable_checkpoint(old.mapInArrow(run, _schema(_BINNED)), **_WRITING)
         drop_checkpoint(old)
         self.kept = max(len(m.trees) for m in self.models)
 
@@ -542,7 +546,7 @@ class _Batch:
                 return (np.logical_and.reduce(by) if by else None), weight
 
             for batch in batches:
-                for block in _blocks(batch, n):
+                for block in map(_Block, _arrays(batch, _BINNED)):
                     drawn: dict[int, np.ndarray] = {}
                     for i in growing:
                         counted, weight = used(block, i, drawn)
@@ -675,7 +679,16 @@ def fit_many(
     A fit leaves out the rows whose ``fold`` equals its ``held_out`` and weighs the others by its element of the array
     column ``weights``. Bins come from all rows. Rows without a label count for nothing, and a fit without rows predicts 0.
     """
-    cuts = feature_cuts(rows, features, max_bins)
+    folds = list(dict.fromkeys(f.held_out for f in fits if f.held_out is not None))
+    replicates = sorted({f.replicate for f in fits if f.replicate is not None})
+    code = F.lit(-1)
+    for i, value in enumerate(folds):
+        code = F.when(col(fold).eqNullSafe(F.lit(value)), i).otherwise(code)
+    # Columns of plain numbers, as arrays are slow to hand over. A row without a weight counts for nothing.
+    drawn = [F.coalesce(F.get(col(weights).cast("array<double>"), r), F.lit(0.0)) for r in replicates]
+    y = F.coalesce(number(label), F.lit(float("nan")))
+    raw = _raw_blocks(rows, features, [y, *([code.cast("int")] if folds else []), *drawn], bool(folds))
+    cuts = _cuts(raw, len(features), max_bins)
     width = sum(len(c) + 2 for c in cuts) or 1
     out: list[TreeModel] = []
     batch: list[TreeFit] = []
@@ -683,7 +696,7 @@ def fit_many(
 
     def flush() -> None:
         if batch:
-            out.extend(_Batch(rows, features, label, cuts, batch, fold, weights).grow())
+            out.extend(_Batch(raw, features, cuts, batch, folds, replicates).grow())
             batch.clear()
 
     for fit in fits:
@@ -694,4 +707,5 @@ def fit_many(
         batch.append(fit)
         size += need
     flush()
+    drop_checkpoint(raw)
     return out
